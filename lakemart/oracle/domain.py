@@ -82,7 +82,7 @@ from customer""")
 
 cte("page_log", """
 select
-  struct_pack(ar := cast(user_id % 25 as varchar), ba := 'brand' || cast(user_id % 3 as varchar),
+  struct_pack(ar := lpad(cast(user_id % 25 as varchar), 6, '0'), ba := 'brand' || cast(user_id % 3 as varchar),
     ch := 'ch' || cast(user_id % 5 as varchar),
     is_new := case when user_id % 3 = 0 then '1' else '0' end,
     md := 'model' || cast(user_id % 4 as varchar), mid := cast(user_id as varchar),
@@ -203,3 +203,25 @@ def nd_sql(src: str, keys: str, stems: list[str], day: str, money: set[str] = fr
             cols.append(f"cast(sum({v}) as {typ}) {s}_{w}d")
     return (f"select {keys}, {', '.join(cols)}, '{day}' dt from {src} "
             f"where dt >= '{lo30}' and dt <= '{day}' group by {keys}")
+
+
+def user_inc_sql(day: str) -> str:
+    from ..functions.scalar import add_days
+    prev = add_days(day, -1)
+    data = ("struct_pack(id := id, login_name := login_name, nick_name := name, name := name, "
+            "phone_num := phone_num, email := email, user_level := {lvl}, "
+            "birthday := strftime(date '1980-01-01' + cast(id % 7300 as integer), '%Y-%m-%d'), "
+            "gender := gender, create_time := create_time, operate_time := {op})")
+    return f"""
+select 'bootstrap-insert' type, epoch(strptime(create_time, '%Y-%m-%d %H:%M:%S'))::bigint ts,
+  {data.format(lvl='user_level', op='cast(null as varchar)')} data, cast(null as map(varchar, varchar)) old, '{prev}' dt
+from users where substr(create_time, 1, 10) < '{day}'
+union all
+select 'insert', epoch(strptime(create_time, '%Y-%m-%d %H:%M:%S'))::bigint,
+  {data.format(lvl='user_level', op='cast(null as varchar)')}, cast(null as map(varchar, varchar)), '{day}'
+from users where substr(create_time, 1, 10) = '{day}'
+union all
+select 'update', epoch(timestamp '{day} 10:00:00')::bigint + v,
+  {data.format(lvl='cast(v + 1 as varchar)', op=f"'{day} 10:00:0' || cast(v as varchar)")},
+  map(['user_level'], [cast(v as varchar)]), '{day}'
+from users, (values (1), (2)) t(v) where id % 5 = 1"""

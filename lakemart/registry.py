@@ -32,4 +32,4 @@ def load_all():
     return QUERIES, ORACLE
 
 
-SUITES = ("rollups",)
+SUITES = ("rollups", "facts")

@@ -171,7 +171,7 @@ def page_log(drv: Driver, lo: str | None = None, hi: str | None = None) -> DataF
     ms = epoch_ms("ts")
     et = F.col("event_type")
     common = F.struct(
-        (F.col("user_id") % 25).cast("string").alias("ar"),
+        F.lpad((F.col("user_id") % 25).cast("string"), 6, "0").alias("ar"),
         F.concat(F.lit("brand"), (F.col("user_id") % 3).cast("string")).alias("ba"),
         F.concat(F.lit("ch"), (F.col("user_id") % 5).cast("string")).alias("ch"),
         F.when(F.col("user_id") % 3 == 0, F.lit("1")).otherwise(F.lit("0")).alias("is_new"),
@@ -240,3 +240,40 @@ def province(drv: Driver) -> DataFrame:
         F.concat(F.lit("CN-"), F.col("n_nationkey").cast("string")).alias("iso_code"),
         F.concat(F.lit("CN-"), F.upper(F.substring("n_name", 1, 2))).alias("iso_3166_2"),
     )
+
+
+# ---------------------------------------------------------------- CDC streams
+def user_inc(drv: Driver, day: str = TRAFFIC_DAY) -> DataFrame:
+    """User CDC envelope (type, ts, data, old, dt).  Users created before ``day``
+    land as ``bootstrap-insert`` on ``day-1``; users created on ``day`` as ``insert``;
+    every fifth user (id % 5 = 1) gets two ``update`` rows on ``day`` raising
+    ``user_level`` (ts 1 then 2), so newest-per-key matters."""
+    u = users(drv)
+    cday = F.substring("create_time", 1, 10)
+    birthday = F.date_format(F.date_add(F.lit("1980-01-01").cast("date"), (F.col("id") % 7300).cast("int")),
+                             "yyyy-MM-dd")
+
+    def data(level, op_time):
+        return F.struct(F.col("id").alias("id"), F.col("login_name").alias("login_name"),
+                        F.col("name").alias("nick_name"), F.col("name").alias("name"),
+                        F.col("phone_num").alias("phone_num"), F.col("email").alias("email"),
+                        level.alias("user_level"), birthday.alias("birthday"), F.col("gender").alias("gender"),
+                        F.col("create_time").alias("create_time"), op_time.alias("operate_time"))
+
+    no_map = F.lit(None).cast("map<string,string>")
+    no_time = F.lit(None).cast("string")
+    boot = u.where(cday < day).select(
+        F.lit("bootstrap-insert").alias("type"), F.unix_timestamp("create_time").alias("ts"),
+        data(F.col("user_level"), no_time).alias("data"), no_map.alias("old"), F.lit(add_days(day, -1)).alias("dt"))
+    ins = u.where(cday == day).select(
+        F.lit("insert").alias("type"), F.unix_timestamp("create_time").alias("ts"),
+        data(F.col("user_level"), no_time).alias("data"), no_map.alias("old"), F.lit(day).alias("dt"))
+    v = F.col("_v")
+    upd = (u.where(F.col("id") % 5 == 1).withColumn("_v", F.explode(F.array(F.lit(1), F.lit(2))))
+           .select(F.lit("update").alias("type"),
+                   (F.unix_timestamp(F.lit(day + " 10:00:00")) + v).alias("ts"),
+                   data((v + 1).cast("string"),
+                        F.concat(F.lit(day + " 10:00:0"), v.cast("string"))).alias("data"),
+                   F.create_map(F.lit("user_level"), v.cast("string")).alias("old"),
+                   F.lit(day).alias("dt")))
+    return boot.unionByName(ins).unionByName(upd)
