@@ -196,12 +196,22 @@ def user_refund_nd(ur1d: DataFrame, day: str) -> DataFrame:
 
 
 # J-43
-def session_page_view_1d(page_view: DataFrame, day: str) -> DataFrame:
+def session_page_view_1d(page_view: DataFrame, day: str | None = None) -> DataFrame:
+    """``day=None``: every day at once (grouped by ``dt`` too)."""
     keys = ["session_id", "mid_id", "brand", "model", "operate_system", "version_code", "channel"]
-    return (page_view.where(F.col("dt") == day).groupBy(*keys)
+    src = page_view if day is None else page_view.where(F.col("dt") == day)
+    return (src.groupBy(*keys, "dt")
             .agg(F.sum("during_time").cast("bigint").alias("during_time_1d"),
                  F.count(F.lit(1)).alias("page_count_1d"))
-            .withColumn("dt", F.lit(day)))
+            .select(*keys, "during_time_1d", "page_count_1d", "dt"))
+
+
+def registrations(user_inc: DataFrame) -> DataFrame:
+    """Registration rows of every landed day (J-25 first-load shape, no device)."""
+    return (user_inc.where(F.col("type").isin("bootstrap-insert", "insert"))
+            .select(F.col("data.id").alias("user_id"),
+                    F.substring("data.create_time", 1, 10).alias("date_id"),
+                    F.substring("data.create_time", 1, 10).alias("dt")))
 
 
 PV_KEYS = ["mid_id", "brand", "model", "operate_system", "page_id"]

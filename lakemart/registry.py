@@ -32,4 +32,4 @@ def load_all():
     return QUERIES, ORACLE
 
 
-SUITES = ("rollups", "facts")
+SUITES = ("rollups", "facts", "reports")
