@@ -225,3 +225,83 @@ select 'update', epoch(timestamp '{day} 10:00:00')::bigint + v,
   {data.format(lvl='cast(v + 1 as varchar)', op=f"'{day} 10:00:0' || cast(v as varchar)")},
   map(['user_level'], [cast(v as varchar)]), '{day}'
 from users, (values (1), (2)) t(v) where id % 5 = 1"""
+
+
+cte("cart_inc", """
+select 'insert' type, ts_s ts, struct_pack(id := event_id, user_id := user_id, sku_id := event_id % 200, sku_num := num,
+    source_id := event_id % 50, source_type := '240' || cast(event_id % 4 + 1 as varchar)) data,
+  cast(null as map(varchar, varchar)) old, dt
+from c
+union all
+select 'update', ts_s + 60, struct_pack(id := event_id, user_id := user_id, sku_id := event_id % 200,
+    sku_num := case when k % 4 = 1 then num + 2 else num end,
+    source_id := event_id % 50, source_type := '240' || cast(event_id % 4 + 1 as varchar)),
+  case when k % 4 = 1 then map(['sku_num'], [cast(num as varchar)])
+       when k % 4 = 2 then map(['sku_num'], [cast(num + 1 as varchar)])
+       else map(['is_checked'], ['0']) end, dt
+from c where k % 4 <> 0""")
+CTES["cart_inc"] = ("with c as (select event_id, user_id, cast(floor(value) + 1 as bigint) num, "
+                    "cast(json_extract_string(props, '$.k') as integer) k, epoch_us(ts) // 1000000 ts_s, "
+                    "strftime(ts, '%Y-%m-%d') dt from events where event_type = 'click') " + CTES["cart_inc"][0], ())
+
+cte("order_inc", """
+with j as (select o_orderkey, o_custkey, o_orderstatus, o_orderdate, c_nationkey,
+             cast(o_orderdate as date) d, cast(o_orderdate as date) + cast(o_orderkey % 2 as integer) cd
+           from orders join customer on o_custkey = c_custkey)
+select 'insert' type, epoch_us(o_orderdate) // 1000000 ts,
+  struct_pack(id := o_orderkey, user_id := o_custkey, province_id := c_nationkey, order_status := '1001',
+              operate_time := cast(null as varchar)) data,
+  cast(null as map(varchar, varchar)) old, strftime(o_orderdate, '%Y-%m-%d') dt
+from j
+union all
+select 'update', epoch(cast(cd as timestamp))::bigint,
+  struct_pack(id := o_orderkey, user_id := o_custkey, province_id := c_nationkey, order_status := '1003',
+              operate_time := strftime(cd, '%Y-%m-%d') || ' 12:00:00'),
+  map(['order_status'], ['1001']), strftime(cd, '%Y-%m-%d')
+from j where o_orderstatus = 'P'
+union all
+select 'update', epoch(cast(cd + 1 as timestamp))::bigint,
+  struct_pack(id := o_orderkey, user_id := o_custkey, province_id := c_nationkey, order_status := '1003',
+              operate_time := strftime(cd + 1, '%Y-%m-%d') || ' 09:00:00'),
+  map(['order_comment'], ['']), strftime(cd + 1, '%Y-%m-%d')
+from j where o_orderstatus = 'P' and o_orderkey % 3 = 0""")
+
+cte("coupon_use_inc", """
+with u as (select distinct on (l_orderkey, l_suppkey % 10) l_orderkey order_id, l_suppkey % 10 coupon_id,
+             o_custkey user_id, o_orderstatus, o_orderdate, cast(o_orderdate as date) - 1 gd
+           from lineitem join orders on l_orderkey = o_orderkey where l_tax > 0)
+select 'insert' type, epoch(cast(gd as timestamp))::bigint ts,
+  struct_pack(id := order_id * 10 + coupon_id, coupon_id := coupon_id, user_id := user_id, order_id := order_id,
+    get_time := strftime(gd, '%Y-%m-%d') || ' 10:00:00', using_time := cast(null as varchar),
+    used_time := cast(null as varchar)) data,
+  cast(null as map(varchar, varchar)) old, strftime(gd, '%Y-%m-%d') dt
+from u
+union all
+select 'update', epoch_us(o_orderdate) // 1000000,
+  struct_pack(id := order_id * 10 + coupon_id, coupon_id := coupon_id, user_id := user_id, order_id := order_id,
+    get_time := strftime(gd, '%Y-%m-%d') || ' 10:00:00', using_time := strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'),
+    used_time := cast(null as varchar)),
+  map(['using_time', 'coupon_status'], [cast(null as varchar), '1401']), strftime(o_orderdate, '%Y-%m-%d')
+from u
+union all
+select 'update', epoch_us(o_orderdate) // 1000000 + 1,
+  struct_pack(id := order_id * 10 + coupon_id, coupon_id := coupon_id, user_id := user_id, order_id := order_id,
+    get_time := strftime(gd, '%Y-%m-%d') || ' 10:00:00', using_time := strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'),
+    used_time := strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')),
+  map(['used_time', 'coupon_status'], [cast(null as varchar), '1402']), strftime(o_orderdate, '%Y-%m-%d')
+from u where o_orderstatus = 'F'""")
+
+cte("favor_inc", """
+select 'insert' type, epoch_us(ts) // 1000000 ts,
+  struct_pack(id := event_id, user_id := user_id, sku_id := event_id % 200, is_cancel := '0',
+              create_time := strftime(ts, '%Y-%m-%d %H:%M:%S')) data,
+  cast(null as map(varchar, varchar)) old, strftime(ts, '%Y-%m-%d') dt
+from events where event_type = 'view' and cast(json_extract_string(props, '$.k') as integer) % 10 = 0""")
+
+cte("comment_inc", """
+select 'insert' type, epoch_us(ts) // 1000000 ts,
+  struct_pack(id := event_id, user_id := user_id, sku_id := event_id % 200, order_id := event_id,
+              appraise := '120' || cast(cast(json_extract_string(props, '$.k') as integer) % 4 + 1 as varchar),
+              create_time := strftime(ts, '%Y-%m-%d %H:%M:%S')) data,
+  cast(null as map(varchar, varchar)) old, strftime(ts, '%Y-%m-%d') dt
+from events where event_type = 'purchase'""")

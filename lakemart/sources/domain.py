@@ -277,3 +277,121 @@ def user_inc(drv: Driver, day: str = TRAFFIC_DAY) -> DataFrame:
                    F.create_map(F.lit("user_level"), v.cast("string")).alias("old"),
                    F.lit(day).alias("dt")))
     return boot.unionByName(ins).unionByName(upd)
+
+
+def _epoch_s(ts):
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000)).cast("bigint")
+
+
+def cart_inc(drv: Driver) -> DataFrame:
+    """Cart CDC from clicks: each click inserts a cart row on its day; by ``k % 4`` a
+    second row raises the quantity (kept as a delta), lowers it (dropped), or
+    changes another column (dropped)."""
+    e = drv.events.where(F.col("event_type") == "click")
+    k = F.get_json_object("props", "$.k").cast("int")
+    x = e.select("event_id", "user_id", "value", "ts", k.alias("k"), _epoch_s("ts").alias("ts_s"),
+                 day_of("ts").alias("dt"))
+    num = (F.floor("value") + 1).cast("bigint")
+
+    def data(n):
+        return F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("user_id"),
+                        (F.col("event_id") % 200).alias("sku_id"), n.alias("sku_num"),
+                        (F.col("event_id") % 50).alias("source_id"),
+                        F.concat(F.lit("240"), (F.col("event_id") % 4 + 1).cast("string")).alias("source_type"))
+
+    no_map = F.lit(None).cast("map<string,string>")
+    ins = x.select(F.lit("insert").alias("type"), F.col("ts_s").alias("ts"), data(num).alias("data"),
+                   no_map.alias("old"), "dt")
+    m = F.col("k") % 4
+    upd = x.where(m != 0).select(
+        F.lit("update").alias("type"), (F.col("ts_s") + 60).alias("ts"),
+        data(F.when(m == 1, num + 2).otherwise(num)).alias("data"),
+        F.when(m == 1, F.create_map(F.lit("sku_num"), num.cast("string")))
+         .when(m == 2, F.create_map(F.lit("sku_num"), (num + 1).cast("string")))
+         .otherwise(F.create_map(F.lit("is_checked"), F.lit("0"))).alias("old"),
+        "dt")
+    return ins.unionByName(upd)
+
+
+def order_inc(drv: Driver) -> DataFrame:
+    """Order-header CDC: an insert per order on its day; cancelled (P) orders get an
+    ``order_status`` update on the order day or the next (by key parity); every third
+    cancelled order also gets a later edit whose ``old`` lacks ``order_status``."""
+    o = drv.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    j = o.join(_customer(drv), F.col("o_custkey") == F.col("c_custkey"))
+    day = F.to_date("o_orderdate")
+
+    def data(status, op_time):
+        return F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
+                        F.col("c_nationkey").alias("province_id"), F.lit(status).alias("order_status"),
+                        op_time.alias("operate_time"))
+
+    ins = j.select(F.lit("insert").alias("type"), _epoch_s("o_orderdate").alias("ts"),
+                   data(ORDER_UNPAID, F.lit(None).cast("string")).alias("data"),
+                   F.lit(None).cast("map<string,string>").alias("old"), day_of("o_orderdate").alias("dt"))
+    p = j.where(F.col("o_orderstatus") == "P")
+    cday = F.date_add(day, (F.col("o_orderkey") % 2).cast("int"))
+    cancel = p.select(F.lit("update").alias("type"), F.unix_timestamp(cday.cast("timestamp")).alias("ts"),
+                      data(ORDER_CANCELLED, F.concat(F.date_format(cday, "yyyy-MM-dd"), F.lit(" 12:00:00")))
+                      .alias("data"),
+                      F.create_map(F.lit("order_status"), F.lit(ORDER_UNPAID)).alias("old"),
+                      F.date_format(cday, "yyyy-MM-dd").alias("dt"))
+    eday = F.date_add(cday, 1)
+    edit = p.where(F.col("o_orderkey") % 3 == 0).select(
+        F.lit("update").alias("type"), F.unix_timestamp(eday.cast("timestamp")).alias("ts"),
+        data(ORDER_CANCELLED, F.concat(F.date_format(eday, "yyyy-MM-dd"), F.lit(" 09:00:00"))).alias("data"),
+        F.create_map(F.lit("order_comment"), F.lit("")).alias("old"), F.date_format(eday, "yyyy-MM-dd").alias("dt"))
+    return ins.unionByName(cancel).unionByName(edit)
+
+
+def coupon_use_inc(drv: Driver) -> DataFrame:
+    """Coupon-use CDC from order lines carrying a coupon: received the day before the
+    order (insert), used at order (update naming ``using_time``), used at payment for
+    paid orders (update naming ``used_time``)."""
+    li = drv.lineitem.where(F.col("l_tax") > 0).select("l_orderkey", "l_suppkey")
+    o = drv.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    u = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+         .select(F.col("l_orderkey").alias("order_id"), (F.col("l_suppkey") % 10).alias("coupon_id"),
+                 F.col("o_custkey").alias("user_id"), "o_orderstatus", "o_orderdate")
+         .dropDuplicates(["order_id", "coupon_id"]))
+    day = F.to_date("o_orderdate")
+    get_day = F.date_add(day, -1)
+    t_get = F.concat(F.date_format(get_day, "yyyy-MM-dd"), F.lit(" 10:00:00"))
+    t_use = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    null_s = F.lit(None).cast("string")
+
+    def data(using, used):
+        return F.struct((F.col("order_id") * 10 + F.col("coupon_id")).alias("id"), F.col("coupon_id").alias("coupon_id"),
+                        F.col("user_id").alias("user_id"), F.col("order_id").alias("order_id"),
+                        t_get.alias("get_time"), using.alias("using_time"), used.alias("used_time"))
+
+    ins = u.select(F.lit("insert").alias("type"), F.unix_timestamp(get_day.cast("timestamp")).alias("ts"),
+                   data(null_s, null_s).alias("data"), F.lit(None).cast("map<string,string>").alias("old"),
+                   F.date_format(get_day, "yyyy-MM-dd").alias("dt"))
+    using = u.select(F.lit("update").alias("type"), _epoch_s("o_orderdate").alias("ts"),
+                     data(t_use, null_s).alias("data"),
+                     F.create_map(F.lit("using_time"), null_s, F.lit("coupon_status"), F.lit("1401")).alias("old"),
+                     day_of("o_orderdate").alias("dt"))
+    used = u.where(F.col("o_orderstatus") == "F").select(
+        F.lit("update").alias("type"), (_epoch_s("o_orderdate") + 1).alias("ts"),
+        data(t_use, t_use).alias("data"),
+        F.create_map(F.lit("used_time"), null_s, F.lit("coupon_status"), F.lit("1402")).alias("old"),
+        day_of("o_orderdate").alias("dt"))
+    return ins.unionByName(using).unionByName(used)
+
+
+def interaction_inc(drv: Driver, kind: str) -> DataFrame:
+    """Favourites (every tenth view, by ``k``) or comments (purchases) as insert rows."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    if kind == "favor":
+        e = drv.events.where((F.col("event_type") == "view") & (k % 10 == 0))
+        extra = [F.lit("0").alias("is_cancel")]
+    else:
+        e = drv.events.where(F.col("event_type") == "purchase")
+        extra = [F.col("event_id").alias("order_id"),
+                 F.concat(F.lit("120"), (k % 4 + 1).cast("string")).alias("appraise")]
+    data = F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("user_id"),
+                    (F.col("event_id") % 200).alias("sku_id"), *extra,
+                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("create_time"))
+    return e.select(F.lit("insert").alias("type"), _epoch_s("ts").alias("ts"), data.alias("data"),
+                    F.lit(None).cast("map<string,string>").alias("old"), day_of("ts").alias("dt"))

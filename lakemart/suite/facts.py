@@ -140,3 +140,146 @@ def q_user_login(spark, sf):
     """J-26: first row with a user id in each session (min-struct aggregate)."""
     _, log, prov = _log(spark, sf)
     return L.user_login(log, prov)
+
+
+# ------------------------------------------------------------------ trade facts (CDC)
+from ..plans import facts_trade as T  # noqa: E402
+from ..sources.dictionary import dictionary, dictionary_sql  # noqa: E402
+
+cte("dic", dictionary_sql())
+
+
+def dic_join(alias: str, parent: str, code: str) -> str:
+    return (f"left join (select dic_code, dic_name from dic where parent_code = '{parent}') {alias} "
+            f"on {code} = {alias}.dic_code")
+
+
+@register("fact_cart_add", with_ctes(f"""
+select id, user_id, sku_id, date_id, create_time, source_id, source_type_code, d.dic_name source_type_name, sku_num, dt
+from (select data.id id, data.user_id user_id, data.sku_id sku_id, {lt('ts * 1000', '%Y-%m-%d')} date_id,
+        {lt('ts * 1000')} create_time, data.source_id source_id, data.source_type source_type_code,
+        case when type = 'insert' then data.sku_num else data.sku_num - cast(old['sku_num'] as bigint) end sku_num, dt
+      from cart_inc
+      where type = 'insert' or (type = 'update' and old['sku_num'] is not null
+                                and data.sku_num > cast(old['sku_num'] as bigint))) c
+{dic_join('d', '24', 'c.source_type_code')}""", "cart_inc", "dic"))
+def q_cart_add(spark, sf):
+    """J-08: inserts + quantity increases (delta), map lookup on ``old``."""
+    return T.cart_add(D.cart_inc(_d(spark, sf)), dictionary(spark))
+
+
+OD_COLS = ("order_id, user_id, sku_id, province_id, activity_id, activity_rule_id, coupon_id")
+AMT = "sku_num, split_original_amount, split_activity_amount, split_coupon_amount"
+
+
+@register("fact_order_detail", with_ctes(f"""
+select {OD_COLS}, substr(create_time, 1, 10) date_id, create_time, source_id, source_type source_type_code,
+  d.dic_name source_type_name, {AMT}, split_total_amount, dt
+from order_detail o {dic_join('d', '24', 'o.source_type')}""", "order_detail", "dic"))
+def q_order_detail(spark, sf):
+    """J-09: order lines ⋈ header ⋈ customer, source type decoded (broadcast dictionary)."""
+    return T.order_detail(D.order_detail(_d(spark, sf)), dictionary(spark))
+
+
+@register("fact_cancel_detail", with_ctes(f"""
+select {OD_COLS}, substr(cancel_time, 1, 10) date_id, cancel_time, source_id, source_type source_type_code,
+  d.dic_name source_type_name, {AMT}, split_total_amount, cdt dt
+from order_detail o
+join (select data.id oid, data.operate_time cancel_time, dt cdt from order_inc
+      where type = 'update' and data.order_status = '1003' and list_contains(map_keys(old), 'order_status')) c
+  on o.order_id = c.oid and (o.dt = c.cdt or o.dt = strftime(cast(c.cdt as date) - 1, '%Y-%m-%d'))
+{dic_join('d', '24', 'o.source_type')}""", "order_detail", "order_inc", "dic"))
+def q_cancel_detail(spark, sf):
+    """J-10: status-change filter on the CDC ``old`` map; lines of D and D-1."""
+    d = _d(spark, sf)
+    return T.cancel_detail(D.order_detail(d), D.order_inc(d), dictionary(spark))
+
+
+cte("pay_detail", f"""
+select {OD_COLS}, p.payment_type payment_type_code, pt.dic_name payment_type_name, substr(callback_time, 1, 10) date_id,
+  callback_time, source_id, source_type source_type_code, st.dic_name source_type_name, {AMT},
+  split_total_amount split_payment_amount, p.dt
+from order_detail o join (select order_id oid, payment_type, callback_time, dt from payment_info) p on o.order_id = p.oid
+{dic_join('pt', '11', 'p.payment_type')}
+{dic_join('st', '24', 'o.source_type')}""", ("order_detail", "payment_info", "dic"))
+
+
+@register("fact_payment_success", with_ctes("select * from pay_detail", "pay_detail"))
+def q_pay_detail(spark, sf):
+    """J-11: paid lines, payment and source type decoded."""
+    d = _d(spark, sf)
+    return T.pay_detail(D.order_detail(d), D.payment_info(d), dictionary(spark))
+
+
+@register("fact_order_refund", with_ctes(f"""
+select user_id, order_id, sku_id, province_id, substr(create_time, 1, 10) date_id, create_time,
+  refund_type refund_type_code, t.dic_name refund_type_name, refund_reason_type refund_reason_type_code,
+  r2.dic_name refund_reason_type_name, r2.dic_name refund_reason_txt, refund_num, refund_amount, dt
+from refund_info r {dic_join('t', '15', 'r.refund_type')} {dic_join('r2', '13', 'r.refund_reason_type')}""",
+    "refund_info", "dic"))
+def q_order_refund(spark, sf):
+    """J-12: refund requests with two dictionary decodes."""
+    return T.order_refund(D.refund_info(_d(spark, sf)), dictionary(spark))
+
+
+@register("fact_refund_paid", with_ctes(f"""
+select p.user_id, p.order_id, p.sku_id, p.province_id, p.payment_type payment_type_code, d.dic_name payment_type_name,
+  substr(p.create_time, 1, 10) date_id, p.create_time callback_time, q.refund_num, p.refund_amount, p.dt
+from (select * from refund_info where refund_status = '0705') p
+left join (select order_id, sku_id, refund_num from refund_info) q on p.order_id = q.order_id and p.sku_id = q.sku_id
+{dic_join('d', '11', 'p.payment_type')}""", "refund_info", "dic"))
+def q_refund_paid(spark, sf):
+    """J-13: composite-key join (order, sku) back to the request."""
+    return T.refund_paid(D.refund_info(_d(spark, sf)), dictionary(spark))
+
+
+@register("fact_cart_full", with_ctes(f"""
+select id, user_id, sku_id, 'sku ' || cast(sku_id as varchar) sku_name, sku_num, '{TDAY}' dt
+from cart_all where event_dt <= '{TDAY}' and is_ordered = '0'""", "cart_all"))
+def q_cart_full(spark, sf):
+    """J-14: periodic snapshot of un-ordered cart rows on D."""
+    return T.cart_full(D.cart_snapshot(_d(spark, sf), TDAY))
+
+
+@register("fact_coupon_get", with_ctes("""
+select data.id id, data.coupon_id coupon_id, data.user_id user_id, substr(data.get_time, 1, 10) date_id,
+  data.get_time get_time, dt from coupon_use_inc where type = 'insert'""", "coupon_use_inc"))
+def q_coupon_get(spark, sf):
+    """J-15."""
+    return T.coupon_get(D.coupon_use_inc(_d(spark, sf)))
+
+
+@register("fact_coupon_order", with_ctes("""
+select data.id id, data.coupon_id coupon_id, data.user_id user_id, data.order_id order_id,
+  substr(data.using_time, 1, 10) date_id, data.using_time order_time, dt
+from coupon_use_inc where type = 'update' and list_contains(map_keys(old), 'using_time')""", "coupon_use_inc"))
+def q_coupon_order(spark, sf):
+    """J-16: updates that changed ``using_time``."""
+    return T.coupon_order(D.coupon_use_inc(_d(spark, sf)))
+
+
+@register("fact_coupon_pay", with_ctes("""
+select data.id id, data.coupon_id coupon_id, data.user_id user_id, data.order_id order_id,
+  substr(data.used_time, 1, 10) date_id, data.used_time payment_time, dt
+from coupon_use_inc where type = 'update' and list_contains(map_keys(old), 'used_time')""", "coupon_use_inc"))
+def q_coupon_pay(spark, sf):
+    """J-17: updates that changed ``used_time``."""
+    return T.coupon_pay(D.coupon_use_inc(_d(spark, sf)))
+
+
+@register("fact_favor_add", with_ctes("""
+select data.id id, data.user_id user_id, data.sku_id sku_id, substr(data.create_time, 1, 10) date_id,
+  data.create_time create_time, dt from favor_inc where type = 'insert'""", "favor_inc"))
+def q_favor_add(spark, sf):
+    """J-18."""
+    return T.favor_add(D.interaction_inc(_d(spark, sf), "favor"))
+
+
+@register("fact_comment", with_ctes(f"""
+select id, user_id, sku_id, order_id, date_id, create_time, appraise_code, d.dic_name appraise_name, dt
+from (select data.id id, data.user_id user_id, data.sku_id sku_id, data.order_id order_id,
+        substr(data.create_time, 1, 10) date_id, data.create_time create_time, data.appraise appraise_code, dt
+      from comment_inc where type = 'insert') c {dic_join('d', '12', 'c.appraise_code')}""", "comment_inc", "dic"))
+def q_comment(spark, sf):
+    """J-19: reviews with the appraise code decoded."""
+    return T.comment(D.interaction_inc(_d(spark, sf), "comment"), dictionary(spark))
