@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.scalar import add_days
 from ..oracle.domain import SKU_ATTRS, cte, nd_sql, with_ctes
+from .rollups import TD_SQL
 from ..plans import facts_log as L
 from ..plans import reports as P
 from ..plans import rollups as R
@@ -296,3 +297,181 @@ def q_user_stats(spark, sf):
     """J-53: new users (registrations) and active users (logins), 1/7/30 d."""
     d, _, _, today = login_frames(spark, sf)
     return P.user_stats(today, R.registrations(D.user_inc(d, TDAY)), TDAY)
+
+
+# ------------------------------------------------------------------ cart / payment rollups and the reports on them
+from ..plans import facts_trade as T  # noqa: E402
+from ..sources.dictionary import dictionary  # noqa: E402
+
+cte("ca1d", """
+select user_id, count(*) cart_add_count_1d, cast(sum(sku_num) as bigint) cart_add_num_1d, dt
+from (select data.user_id user_id, case when type = 'insert' then data.sku_num
+        else data.sku_num - cast(old['sku_num'] as bigint) end sku_num, dt
+      from cart_inc where type = 'insert' or (type = 'update' and old['sku_num'] is not null
+                                              and data.sku_num > cast(old['sku_num'] as bigint))) c
+group by user_id, dt""", ("cart_inc",))
+cte("cand", nd_sql("ca1d", "user_id", ["cart_add_count", "cart_add_num"], TDAY), ("ca1d",))
+cte("up1d", """
+select user_id, count(distinct order_id) payment_count_1d, cast(sum(sku_num) as bigint) payment_num_1d,
+  cast(sum(split_payment_amount) as decimal(16,2)) payment_amount_1d, dt
+from pay_detail group by user_id, dt""", ("pay_detail",))
+cte("upnd", nd_sql("up1d", "user_id", R.PAY_STEMS, DAY, MONEY), ("up1d",))
+TD_PAY_SQL = """select user_id, min(dt) payment_date_first, max(dt) payment_date_last,
+  cast(sum(payment_count_1d) as bigint) payment_count_td, cast(sum(payment_num_1d) as bigint) payment_num_td,
+  cast(sum(payment_amount_1d) as decimal(16,2)) payment_amount_td, '{day}' dt
+from up1d where dt <= '{day}' group by user_id"""
+cte("uptd", TD_PAY_SQL.format(day=DAY), ("up1d",))
+
+
+def _cart_add_1d(spark, sf):
+    return R.user_cart_add_1d(T.cart_add(D.cart_inc(_d(spark, sf)), dictionary(spark)))
+
+
+def _pay_1d(spark, sf, lo=None, hi=None):
+    d = _d(spark, sf)
+    return R.user_payment_1d(T.pay_detail(D.order_detail(d, lo, hi), D.payment_info(d, lo, hi), dictionary(spark)))
+
+
+@register("user_cart_add_1d", with_ctes("select * from ca1d", "ca1d"))
+def q_cart_add_1d(spark, sf):
+    """J-34."""
+    return _cart_add_1d(spark, sf)
+
+
+@register("user_cart_add_nd", with_ctes("select * from cand", "cand"))
+def q_cart_add_nd(spark, sf):
+    """J-35 (read by the funnel but never created in the reference; built by analogy)."""
+    return R.user_cart_add_nd(_cart_add_1d(spark, sf), TDAY)
+
+
+@register("user_payment_1d", with_ctes("select * from up1d", "up1d"))
+def q_payment_1d(spark, sf):
+    """J-36."""
+    return _pay_1d(spark, sf)
+
+
+@register("user_payment_nd", with_ctes("select * from upnd", "upnd"))
+def q_payment_nd(spark, sf):
+    """J-37."""
+    return R.user_payment_nd(_pay_1d(spark, sf, LO30, DAY), DAY)
+
+
+@register("user_payment_td", with_ctes("select * from uptd", "uptd"))
+def q_payment_td(spark, sf):
+    """J-38 (daily step from the D-1 state; equals the first-load aggregate at D)."""
+    up = _pay_1d(spark, sf)
+    prev = R.user_payment_td_first(up, add_days(DAY, -1)).drop("dt")
+    return R.user_payment_td_step(prev, up, DAY)
+
+
+@register("session_page_view_1d", with_ctes("select * from session_1d", "session_1d"))
+def q_session_1d(spark, sf):
+    """J-43 (every day)."""
+    d = _d(spark, sf)
+    return R.session_page_view_1d(L.page_view(D.page_log(d), D.province(d)))
+
+
+cte("pv1d", """
+select mid_id, brand, model, operate_system, page_id, cast(sum(during_time) as bigint) during_time_1d,
+  count(*) view_count_1d, dt
+from page_view group by mid_id, brand, model, operate_system, page_id, dt""", ("page_view",))
+cte("pvnd", nd_sql("pv1d", "mid_id, brand, model, operate_system, page_id", ["during_time", "view_count"], TDAY),
+    ("pv1d",))
+
+
+def _pv1d(spark, sf, lo=None, hi=None):
+    d = _d(spark, sf)
+    return R.page_visitor_view_1d(L.page_view(D.page_log(d, lo, hi), D.province(d)))
+
+
+@register("page_visitor_view_1d", with_ctes("select * from pv1d", "pv1d"))
+def q_pv1d(spark, sf):
+    """J-44."""
+    return _pv1d(spark, sf)
+
+
+@register("page_visitor_view_nd", with_ctes(
+    "select mid_id, brand, model, operate_system, page_id, during_time_7d, view_count_7d, during_time_30d, "
+    "view_count_30d, dt from pvnd", "pvnd"))
+def q_pvnd(spark, sf):
+    """J-45."""
+    return R.page_visitor_view_nd(_pv1d(spark, sf, add_days(TDAY, -29), TDAY), TDAY)
+
+
+@register("rpt_new_buyers", with_ctes(f"""
+select '{DAY}' dt, o.recent_days, new_order_user_count, new_payment_user_count
+from (select recent_days, cast(sum(case when order_date_first >= strftime(date '{DAY}' - cast(recent_days - 1 as integer),
+        '%Y-%m-%d') then 1 else 0 end) as bigint) new_order_user_count
+      from ({TD_SQL.format(day=DAY)}) t, (values (1), (7), (30)) v(recent_days) group by recent_days) o
+join (select recent_days, cast(sum(case when payment_date_first >= strftime(date '{DAY}' - cast(recent_days - 1 as integer),
+        '%Y-%m-%d') then 1 else 0 end) as bigint) new_payment_user_count
+      from uptd, (values (1), (7), (30)) v(recent_days) group by recent_days) p
+on o.recent_days = p.recent_days""", "uo1d", "uptd"))
+def q_new_buyers(spark, sf):
+    """J-55: first-time orderers and payers from the to-date states."""
+    d = _d(spark, sf)
+    otd = R.user_order_td_first(R.user_order_1d(D.order_detail(d)), DAY)
+    ptd = R.user_payment_td_first(_pay_1d(spark, sf), DAY)
+    return P.new_buyers(otd, ptd, DAY)
+
+
+@register("rpt_cart_top3_by_category", with_ctes(f"""
+select '{TDAY}' dt, category1_id, category1_name, category2_id, category2_name, category3_id, category3_name,
+  sku_id, sku_name, cart_num, rk
+from (select cart.sku_id, s.sku_name, s.category1_id, s.category1_name, s.category2_id, s.category2_name,
+        s.category3_id, s.category3_name, cart_num,
+        rank() over (partition by s.category1_id, s.category2_id, s.category3_id order by cart_num desc) rk
+      from (select sku_id, cast(sum(sku_num) as bigint) cart_num from cart_all
+            where event_dt <= '{TDAY}' and is_ordered = '0' group by sku_id) cart
+      left join sku s on cart.sku_id = s.id) t
+where rk <= 3""", "cart_all", "sku"))
+def q_cart_top3(spark, sf):
+    """J-59: top 3 SKUs in carts per category, ties kept (rank + WindowGroupLimit)."""
+    d = _d(spark, sf)
+    return P.cart_top3_by_category(T.cart_full(D.cart_snapshot(d, TDAY)), D.sku(d), TDAY)
+
+
+FUNNEL_HOME, FUNNEL_DETAIL = "view", "click"  # page ids of the event stream standing in for home / detail
+
+
+@register("rpt_funnel", with_ctes(f"""
+select '{TDAY}' dt, pg.recent_days, home_count, good_detail_count, cart_count, order_count, payment_count
+from (select 1 recent_days, cast(sum(case when page_id = '{FUNNEL_HOME}' then 1 else 0 end) as bigint) home_count,
+        cast(sum(case when page_id = '{FUNNEL_DETAIL}' then 1 else 0 end) as bigint) good_detail_count
+      from pv1d where dt = '{TDAY}' and page_id in ('{FUNNEL_HOME}', '{FUNNEL_DETAIL}')
+      union all
+      select recent_days, cast(sum(case when page_id = '{FUNNEL_HOME}' and vc > 0 then 1 else 0 end) as bigint),
+        cast(sum(case when page_id = '{FUNNEL_DETAIL}' and vc > 0 then 1 else 0 end) as bigint)
+      from (select recent_days, page_id, case recent_days when 7 then view_count_7d when 30 then view_count_30d end vc
+            from pvnd, (values (7), (30)) v(recent_days)
+            where dt = '{TDAY}' and page_id in ('{FUNNEL_HOME}', '{FUNNEL_DETAIL}')) t group by recent_days) pg
+join (select 1 recent_days, count(*) cart_count from ca1d where dt = '{TDAY}'
+      union all
+      select recent_days, cast(sum(case when c > 0 then 1 else 0 end) as bigint)
+      from (select recent_days, case recent_days when 7 then cart_add_count_7d when 30 then cart_add_count_30d end c
+            from cand, (values (7), (30)) v(recent_days) where dt = '{TDAY}') t group by recent_days) ct
+  on pg.recent_days = ct.recent_days
+join (select 1 recent_days, count(*) order_count from uo1d where dt = '{TDAY}'
+      union all
+      select recent_days, cast(sum(case when c > 0 then 1 else 0 end) as bigint)
+      from (select recent_days, case recent_days when 7 then order_count_7d when 30 then order_count_30d end c
+            from ({nd_sql("uo1d", "user_id", R.ORDER_STEMS, TDAY, MONEY)}) n, (values (7), (30)) v(recent_days)) t
+      group by recent_days) od on pg.recent_days = od.recent_days
+join (select 1 recent_days, count(*) payment_count from up1d where dt = '{TDAY}'
+      union all
+      select recent_days, cast(sum(case when c > 0 then 1 else 0 end) as bigint)
+      from (select recent_days, case recent_days when 7 then payment_count_7d when 30 then payment_count_30d end c
+            from ({nd_sql("up1d", "user_id", R.PAY_STEMS, TDAY, MONEY)}) n, (values (7), (30)) v(recent_days)) t
+      group by recent_days) py on pg.recent_days = py.recent_days""", "pv1d", "pvnd", "ca1d", "cand", "uo1d", "up1d"))
+def q_funnel(spark, sf):
+    """J-54 at the traffic day.  The trade rollups hold no rows in the event month, so
+    the 7/30-day branches are empty and the inner joins keep only the 1-day row —
+    the reference's own behaviour (SURVEY §7.4 #23)."""
+    d = _d(spark, sf)
+    pv1d = _pv1d(spark, sf)
+    ca1d = _cart_add_1d(spark, sf)
+    uo1d = R.user_order_1d(D.order_detail(d))
+    up1d = _pay_1d(spark, sf)
+    return P.funnel(pv1d, R.page_visitor_view_nd(pv1d, TDAY), ca1d, R.user_cart_add_nd(ca1d, TDAY),
+                    uo1d, R.user_order_nd(uo1d, TDAY), up1d, R.user_payment_nd(up1d, TDAY), TDAY,
+                    home=FUNNEL_HOME, detail=FUNNEL_DETAIL)
