@@ -255,3 +255,62 @@ def user_login_td_step(prev_td: DataFrame, login: DataFrame, day: str) -> DataFr
                     (F.coalesce("old.login_count_td", F.lit(0)) + F.coalesce("new.login_count_1d", F.lit(0)))
                     .cast("bigint").alias("login_count_td"),
                     F.lit(day).alias("dt"))
+
+
+# ---------------------------------------------------------------- draft variants (J-64..J-68)
+def draft_user_brand_1d(detail: DataFrame, sku: DataFrame) -> DataFrame:
+    """J-64: join the dimension first, then aggregate (A-17)."""
+    s = sku.select(F.col("id").alias("_sid"), "tm_id", "tm_name")
+    j = detail.join(s, detail.sku_id == s._sid, "left")
+    return (j.groupBy("user_id", "tm_id", "tm_name", "dt")
+            .agg(F.count(F.lit(1)).alias("order_count"), F.sum("sku_num").alias("order_num"),
+                 F.sum("split_total_amount").cast(MONEY).alias("order_total_amount"))
+            .select("user_id", "tm_id", "tm_name", "order_count", "order_num", "order_total_amount", "dt"))
+
+
+def draft_user_brand_nd(ub1d: DataFrame, day: str) -> DataFrame:
+    """J-65 with the draft's typos fixed (day literal, ``user_id`` in the grouping)."""
+    out = trailing(ub1d, ["user_id", "tm_id", "tm_name"],
+                   {"order_count": "order_count", "order_num": "order_num", "order_total_amount": "order_total_amount"},
+                   day, casts={"order_total_amount": MONEY})
+    return out.select("user_id", "tm_id", "tm_name", "order_count_7d", "order_num_7d", "order_total_amount_7d",
+                      "order_count_30d", "order_num_30d", "order_total_amount_30d").withColumn("dt", F.lit(day))
+
+
+DRAFT_TD = ["order_count", "order_num", "order_total_amount"]
+
+
+def draft_order_td_first(detail: DataFrame, day: str) -> DataFrame:
+    """J-66: to-date totals straight from the fact."""
+    return (detail.where(F.col("dt") <= day).groupBy("user_id")
+            .agg(F.min("dt").alias("order_date_first"), F.max("dt").alias("order_date_last"),
+                 F.count_distinct("order_id").alias("order_count"), F.sum("sku_num").alias("order_num"),
+                 F.sum("split_total_amount").cast(MONEY).alias("order_total_amount"))
+            .withColumn("dt", F.lit(day)))
+
+
+def _draft_today(detail: DataFrame, day: str) -> DataFrame:
+    return (detail.where(F.col("dt") == day).groupBy("user_id")
+            .agg(F.count_distinct("order_id").alias("order_count"), F.sum("sku_num").alias("order_num"),
+                 F.sum("split_total_amount").cast(MONEY).alias("order_total_amount")))
+
+
+def draft_order_td_full_outer(prev: DataFrame, detail: DataFrame, day: str) -> DataFrame:
+    """J-67: state(D-1) full outer today's per-user totals (last date fixed, §7.4 #21)."""
+    return (to_date_step(prev, _draft_today(detail, day), "user_id", {c: c for c in DRAFT_TD},
+                         "order_date_first", "order_date_last", day, casts={"order_total_amount": MONEY})
+            .withColumn("dt", F.lit(day)))
+
+
+def draft_order_td_union(prev: DataFrame, detail: DataFrame, day: str) -> DataFrame:
+    """J-68: ``union all`` of state and increment, re-aggregated (no join at all: one
+    shuffle by user, partial aggregation on both inputs)."""
+    inc = _draft_today(detail, day).select("user_id", F.lit(day).alias("order_date_first"),
+                                           F.lit(day).alias("order_date_last"), *DRAFT_TD)
+    st = prev.select("user_id", "order_date_first", "order_date_last", *DRAFT_TD)
+    return (st.unionByName(inc).groupBy("user_id")
+            .agg(F.min("order_date_first").alias("order_date_first"), F.max("order_date_last").alias("order_date_last"),
+                 F.sum("order_count").cast("bigint").alias("order_count"),
+                 F.sum("order_num").cast("bigint").alias("order_num"),
+                 F.sum("order_total_amount").cast(MONEY).alias("order_total_amount"))
+            .withColumn("dt", F.lit(day)))

@@ -125,3 +125,53 @@ def q_user_refund_1d(spark, sf):
 def q_user_refund_nd(spark, sf):
     """J-42."""
     return R.user_refund_nd(R.user_refund_1d(D.refund_info(_d(spark, sf), LO30, DAY)), DAY)
+
+
+# ------------------------------------------------------------------ draft variants J-64..J-68
+UB1D = """select user_id, tm_id, tm_name, count(*) order_count, cast(sum(sku_num) as bigint) order_num,
+  cast(sum(split_total_amount) as decimal(16,2)) order_total_amount, dt
+from order_detail od left join (select id, tm_id, tm_name from sku) s on od.sku_id = s.id
+group by user_id, tm_id, tm_name, dt"""
+
+
+@register("draft_user_brand_1d", with_ctes(UB1D, "order_detail", "sku"))
+def q_draft_ub1d(spark, sf):
+    """J-64: user × brand × day, join then aggregate."""
+    d = _d(spark, sf)
+    return R.draft_user_brand_1d(D.order_detail(d), D.sku(d))
+
+
+@register("draft_user_brand_nd", with_ctes(
+    f"with ub1d as ({UB1D})\n" + nd_sql("ub1d", "user_id, tm_id, tm_name", R.DRAFT_TD, DAY,
+                                        {"order_total_amount"}).replace("_1d", ""),
+    "order_detail", "sku"))
+def q_draft_ubnd(spark, sf):
+    """J-65: 7/30-day user × brand (typos of the draft fixed)."""
+    d = _d(spark, sf)
+    return R.draft_user_brand_nd(R.draft_user_brand_1d(D.order_detail(d, LO30, DAY), D.sku(d)), DAY)
+
+
+DRAFT_TD_SQL = """select user_id, min(dt) order_date_first, max(dt) order_date_last,
+  count(distinct order_id) order_count, cast(sum(sku_num) as bigint) order_num,
+  cast(sum(split_total_amount) as decimal(16,2)) order_total_amount, '{day}' dt
+from order_detail where dt <= '{day}' group by user_id"""
+
+
+@register("draft_order_td_first", with_ctes(DRAFT_TD_SQL.format(day=DAY), "order_detail"))
+def q_draft_td_first(spark, sf):
+    """J-66."""
+    return R.draft_order_td_first(D.order_detail(_d(spark, sf)), DAY)
+
+
+@register("draft_order_td_full_outer", with_ctes(DRAFT_TD_SQL.format(day=DAY), "order_detail"))
+def q_draft_td_fo(spark, sf):
+    """J-67: must equal J-66 at D (state at D-1 from J-66)."""
+    det = D.order_detail(_d(spark, sf))
+    return R.draft_order_td_full_outer(R.draft_order_td_first(det, PREV).drop("dt"), det, DAY)
+
+
+@register("draft_order_td_union", with_ctes(DRAFT_TD_SQL.format(day=DAY), "order_detail"))
+def q_draft_td_union(spark, sf):
+    """J-68: union all + re-aggregate; must equal J-66 and J-67."""
+    det = D.order_detail(_d(spark, sf))
+    return R.draft_order_td_union(R.draft_order_td_first(det, PREV).drop("dt"), det, DAY)
