@@ -32,4 +32,4 @@ def load_all():
     return QUERIES, ORACLE
 
 
-SUITES = ("rollups", "facts", "reports", "dims", "worked")
+SUITES = ("rollups", "facts", "reports", "dims", "worked", "primitives")
