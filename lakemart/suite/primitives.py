@@ -133,7 +133,7 @@ def p12(spark, sf):
     return t2.groupBy("province_id").agg(F.max("n").alias("max_orders_per_user"))
 
 
-@register("select_distinct", with_ctes("select distinct substr(orderdate, 1, 7) "month" from business", "business"))
+@register("select_distinct", with_ctes('select distinct substr(orderdate, 1, 7) "month" from business', "business"))
 def p13(spark, sf):
     """P-13 distinct values."""
     return WS.business(_d(spark, sf)).select(F.substring("orderdate", 1, 7).alias("month")).distinct()
@@ -456,3 +456,248 @@ def a17(spark, sf):
     s = D.sku(d).select(F.col("id").alias("_id"), "tm_name")
     o = D.order_detail(d)
     return o.join(s, o.sku_id == s._id, "left").groupBy("tm_name").agg(F.count(F.lit(1)).alias("lines"))
+
+
+# ----------------------------------------------------------------- windows
+EV = """select event_id, user_id, event_type, cast(floor(value * 100) as bigint) cents,
+  strftime(ts, '%Y-%m-%d') dt, epoch_us(ts) ts_us from events"""
+
+
+def _ev(spark, sf):
+    e = _d(spark, sf).events
+    return e.select("event_id", "user_id", "event_type", F.floor(F.col("value") * 100).cast("bigint").alias("cents"),
+                    F.date_format("ts", "yyyy-MM-dd").alias("dt"),
+                    F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+
+@register("win_latest_per_key", with_ctes("""select id, ts, user_level from (
+  select data.id id, ts, data.user_level user_level,
+    row_number() over (partition by data.id order by ts desc, data desc) rn from user_inc) t where rn = 1""",
+    "user_inc"))
+def w01(spark, sf):
+    """W-01 newest change per key, as a max-struct aggregate (no window, no hot task)."""
+    x = D.user_inc(_d(spark, sf), TDAY).select("ts", "data", F.col("data.id").alias("id"))
+    out = last_per_group(x, ["id"], ["ts"], ["ts", "data"])
+    return out.select("id", "ts", F.col("data.user_level").alias("user_level"))
+
+
+@register("win_last_value_ignore_nulls", f"""select user_id, event_id,
+  last_value(case when event_type = 'signup' then ts_us end ignore nulls)
+    over (partition by dt, user_id order by ts_us) last_signup_us
+from ({EV}) e""")
+def w02(spark, sf):
+    """W-02 carry the last non-null start forward (two-level running max)."""
+    from ..operators.sessions import session_start
+    e = _ev(spark, sf)
+    s = session_start(e, "user_id", "ts_us", F.col("event_type") == "signup", part=("dt",),
+                      bucket_ms=600_000_000, out="last_signup_us")
+    return s.select("user_id", "event_id", "last_signup_us")
+
+
+@register("win_first_per_session", f"""select user_id, dt, event_id first_event, event_type first_type from (
+  select *, row_number() over (partition by user_id, dt order by ts_us, event_id) rn from ({EV}) e) t where rn = 1""")
+def w03(spark, sf):
+    """W-03 first row per group (min-struct aggregate)."""
+    return first_per_group(_ev(spark, sf), ["user_id", "dt"], ["ts_us", "event_id"], ["event_id", "event_type"]) \
+        .select("user_id", "dt", F.col("event_id").alias("first_event"), F.col("event_type").alias("first_type"))
+
+
+STEP_W = "partition by user_id, dt order by ts_us, event_id"
+
+
+@register("win_lead", f"""select event_id, lead(event_type, 1) over ({STEP_W}) next_type from ({EV}) e""")
+def w04(spark, sf):
+    """W-04 next value in the group (ordered: §7.4 #1)."""
+    w = Window.partitionBy("user_id", "dt").orderBy("ts_us", "event_id")
+    return _ev(spark, sf).select("event_id", F.lead("event_type", 1).over(w).alias("next_type"))
+
+
+@register("win_step_number", f"""select event_id, row_number() over ({STEP_W}) step from ({EV}) e""")
+def w05(spark, sf):
+    """W-05 step number inside the group."""
+    w = Window.partitionBy("user_id", "dt").orderBy("ts_us", "event_id")
+    return _ev(spark, sf).select("event_id", F.row_number().over(w).alias("step"))
+
+
+@register("win_lag_default", f"""select event_id,
+  lag(event_type, 1, 'none') over (partition by user_id order by ts_us, event_id) prev_type from ({EV}) e""")
+def w06(spark, sf):
+    """W-06 previous value with a default."""
+    w = Window.partitionBy("user_id").orderBy("ts_us", "event_id")
+    return _ev(spark, sf).select("event_id", F.lag("event_type", 1, "none").over(w).alias("prev_type"))
+
+
+@register("win_total_over_all", """select event_type, count(*) over () types
+from events group by event_type""")
+def w07(spark, sf):
+    """W-07 ``count(*) over ()`` after ``group by``: a 1-row count joined back."""
+    g = _d(spark, sf).events.select("event_type").distinct()
+    return one_row_join(g, g.agg(F.count(F.lit(1)).alias("types")))
+
+
+@register("win_partition_total", f"""select event_id, cents,
+  cast(sum(cents) over (partition by event_type) as bigint) type_cents from ({EV}) e""")
+def w08(spark, sf):
+    """W-08 whole-partition total: partial aggregate joined back."""
+    from ..operators.ranking import partition_total
+    e = _ev(spark, sf)
+    return partition_total(e, ["event_type"], "cents", "type_cents") \
+        .select("event_id", "cents", F.col("type_cents").cast("bigint").alias("type_cents"))
+
+
+@register("win_running_rows", f"""select event_id, cast(sum(cents) over (partition by user_id order by ts_us, event_id
+  rows between unbounded preceding and current row) as bigint) running from ({EV}) e""")
+def w09(spark, sf):
+    """W-09 running sum, ROWS frame."""
+    w = Window.partitionBy("user_id").orderBy("ts_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return _ev(spark, sf).select("event_id", F.sum("cents").over(w).cast("bigint").alias("running"))
+
+
+@register("win_running_range", f"""select event_id, cast(sum(cents) over (partition by user_id order by dt)
+  as bigint) running from ({EV}) e""")
+def w10(spark, sf):
+    """W-10 running sum, default RANGE frame (same-day rows share the value)."""
+    w = Window.partitionBy("user_id").orderBy("dt")
+    return _ev(spark, sf).select("event_id", F.sum("cents").over(w).cast("bigint").alias("running"))
+
+
+@register("win_moving_rows", f"""select event_id, cast(sum(cents) over (partition by user_id order by ts_us, event_id
+  rows between 1 preceding and 1 following) as bigint) moving from ({EV}) e""")
+def w11(spark, sf):
+    """W-11 previous + current + next row."""
+    w = Window.partitionBy("user_id").orderBy("ts_us", "event_id").rowsBetween(-1, 1)
+    return _ev(spark, sf).select("event_id", F.sum("cents").over(w).cast("bigint").alias("moving"))
+
+
+@register("win_ntile", f"""select dt, n, cast(ntile(4) over (order by n, dt) as integer) quartile
+from (select dt, count(*) n from ({EV}) e group by dt) d""")
+def w12(spark, sf):
+    """W-12 ntile over an aggregated frame (one row per day: bounded by the calendar)."""
+    per_day = _ev(spark, sf).groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+    return per_day.select("dt", "n", F.ntile(4).over(Window.orderBy("n", "dt")).alias("quartile"))
+
+
+UT = "select event_type, user_id, count(*) n from events group by event_type, user_id"
+
+
+@register("win_rank_family", f"""select event_type, user_id, n,
+  cast(rank() over (partition by event_type order by n desc) as integer) rp,
+  cast(dense_rank() over (partition by event_type order by n desc) as integer) drp,
+  cast(row_number() over (partition by event_type order by n desc, user_id) as integer) rmp from ({UT}) t""")
+def w13(spark, sf):
+    """W-13 rank / dense_rank / row_number (histogram ranks)."""
+    from ..operators.ranking import rank_family
+    ut = _d(spark, sf).events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return rank_family(ut, ["event_type"], "n", tiebreak=["user_id"])
+
+
+@register("win_rank_over_aggregate", """select event_type, count(*) n,
+  cast(rank() over (order by count(*) desc) as integer) rk from events group by event_type""")
+def w14(spark, sf):
+    """W-14 rank groups by their count."""
+    from ..operators.ranking import rank_family
+    g = _d(spark, sf).events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return rank_family(g, [], "n", tiebreak=["event_type"], names=("rk", "_d", "_r")).select("event_type", "n", "rk")
+
+
+@register("win_topk_rank", f"""select event_type, user_id, n from (
+  select *, rank() over (partition by event_type order by n desc) rk from ({UT}) t) s where rk <= 3""")
+def w15(spark, sf):
+    """W-15 top-k per group with ties kept."""
+    from ..operators.topk import top_k_per_group
+    ut = _d(spark, sf).events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return top_k_per_group(ut, ["event_type"], [F.col("n").desc()], 3, "rank", out=None)
+
+
+@register("win_topk_row_number", f"""select event_type, user_id, n from (
+  select *, row_number() over (partition by event_type order by n desc, user_id) rk from ({UT}) t) s where rk <= 3""")
+def w16(spark, sf):
+    """W-16 top-k per group, ties cut."""
+    from ..operators.topk import top_k_per_group
+    ut = _d(spark, sf).events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return top_k_per_group(ut, ["event_type"], [F.col("n").desc(), F.col("user_id")], 3, "row_number", out=None)
+
+
+# ----------------------------------------------------------------- sort / limit / set / generators
+@register("top_n", with_ctes("""select order_id, total_amount from order_info
+order by total_amount desc, order_id limit 10""", "order_info"))
+def o01(spark, sf):
+    """O-01 order by + limit (TakeOrderedAndProject)."""
+    from ..operators.topk import top_n
+    return top_n(D.order_info(_d(spark, sf)).select("order_id", "total_amount"),
+                 [F.col("total_amount").desc(), F.col("order_id")], 10)
+
+
+@register("top_n_filtered", with_ctes("""select id, category3_name from (
+  select id, unnest(string_split(category3_name, '/')) part, category3_name from sku) t
+where part = 'ECONOMY' order by id desc limit 5""", "sku"))
+def o02(spark, sf):
+    """O-02 explode + filter + top-n."""
+    from ..operators.topk import top_n
+    s = D.sku(_d(spark, sf)).select("id", "category3_name", F.explode(F.split("category3_name", "/")).alias("part"))
+    return top_n(s.where(F.col("part") == "ECONOMY").select("id", "category3_name"), [F.col("id").desc()], 5)
+
+
+@register("sort_result", with_ctes("""select tm_id, count(*) skus from sku group by tm_id order by skus desc, tm_id""",
+                                   "sku"))
+def o03(spark, sf):
+    """O-03 total sort of an aggregate (range-partitioned sort)."""
+    return D.sku(_d(spark, sf)).groupBy("tm_id").agg(F.count(F.lit(1)).alias("skus")).orderBy(F.desc("skus"), "tm_id")
+
+
+UNION_SQL = f"""select user_id, sku_id from order_detail where dt = '{DAY}'
+union {{kind}} select user_id, sku_id from refund_info where dt = '{DAY}'"""
+
+
+@register("union_all", with_ctes(UNION_SQL.format(kind="all"), "order_detail", "refund_info"))
+def o04(spark, sf):
+    """O-04 bag union."""
+    d = _d(spark, sf)
+    return D.order_detail(d, DAY, DAY).select("user_id", "sku_id").unionByName(
+        D.refund_info(d, DAY, DAY).select("user_id", "sku_id"))
+
+
+@register("union_distinct", with_ctes(UNION_SQL.format(kind=""), "order_detail", "refund_info"))
+def o05(spark, sf):
+    """O-05 set union."""
+    return o04(spark, sf).distinct()
+
+
+@register("explode_array", with_ctes("""select common.mid mid_id, d.item display_item, d."order" display_order
+from (select common, unnest(displays) d from page_log where displays is not null) t""", "page_log"))
+def o06(spark, sf):
+    """O-06 ``lateral view explode(array)``; NULL / empty arrays give no rows."""
+    x = D.page_log(_d(spark, sf)).select("common", F.explode("displays").alias("d"))
+    return x.select(F.col("common.mid").alias("mid_id"), F.col("d.item").alias("display_item"),
+                    F.col("d.order").alias("display_order"))
+
+
+@register("explode_split", """select p_partkey, unnest(string_split(p_name, ' ')) word from part""")
+def o07(spark, sf):
+    """O-07 split a string, then explode."""
+    return _d(spark, sf).part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+
+
+@register("explode_in_select", with_ctes("select unnest(category) category_name from video", "video"))
+def o08(spark, sf):
+    """O-08 ``select explode(c)`` without a lateral view."""
+    return WS.video(_d(spark, sf)).select(F.explode("category").alias("category_name"))
+
+
+@register("explode_literal_periods", with_ctes(f"""select recent_days, count(*) orders
+from order_info, (values (1), (7), (30)) v(recent_days)
+where dt <= '{DAY}' and dt >= strftime(date '{DAY}' - cast(recent_days - 1 as integer), '%Y-%m-%d')
+group by recent_days""", "order_info"))
+def o09(spark, sf):
+    """O-09 fan out to (1, 7, 30) and filter per period (widest bound pruned first)."""
+    x = recent_days(D.order_info(_d(spark, sf), add_days(DAY, -29), DAY), DAY)
+    return x.groupBy("recent_days").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@register("explode_struct_fields", with_ctes("""select common.mid mid_id, a.action_id action_id, a.ts action_ts
+from (select common, unnest(actions) a from page_log where actions is not null) t""", "page_log"))
+def o10(spark, sf):
+    """O-10 explode an array of structs and read the fields."""
+    x = D.page_log(_d(spark, sf)).select("common", F.explode("actions").alias("a"))
+    return x.select(F.col("common.mid").alias("mid_id"), F.col("a.action_id").alias("action_id"),
+                    F.col("a.ts").alias("action_ts"))
