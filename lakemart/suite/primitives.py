@@ -701,3 +701,184 @@ def o10(spark, sf):
     x = D.page_log(_d(spark, sf)).select("common", F.explode("actions").alias("a"))
     return x.select(F.col("common.mid").alias("mid_id"), F.col("a.action_id").alias("action_id"),
                     F.col("a.ts").alias("action_ts"))
+
+
+# ----------------------------------------------------------------- scalar functions
+@register("fn_concat", with_ctes("""select ts, common.uid || '-' || page.last_page_id uid_page,
+  common.mid || '-' || cast(ts as varchar) mid_ts from page_log""", "page_log"))
+def f01(spark, sf):
+    """F-01 ``concat``: NULL if any argument is NULL; mixed types."""
+    x = D.page_log(_d(spark, sf))
+    return x.select("ts", F.concat("common.uid", F.lit("-"), "page.last_page_id").alias("uid_page"),
+                    F.concat("common.mid", F.lit("-"), F.col("ts").cast("string")).alias("mid_ts"))
+
+
+@register("fn_concat_ws", """select p_partkey, concat_ws(',', p_type, p_brand) type_brand,
+  array_to_string([p_type, p_brand, p_name], '|') joined from part""")
+def f02(spark, sf):
+    """F-02 ``concat_ws`` on columns and on an array."""
+    p = _d(spark, sf).part
+    return p.select("p_partkey", F.concat_ws(",", "p_type", "p_brand").alias("type_brand"),
+                    F.concat_ws("|", F.array("p_type", "p_brand", "p_name")).alias("joined"))
+
+
+@register("fn_substring", with_ctes("select orderdate, substr(orderdate, 1, 7) month_key from business", "business"))
+def f03(spark, sf):
+    """F-03 ``substring(s, 1, 7)``."""
+    return WS.business(_d(spark, sf)).select("orderdate", F.substring("orderdate", 1, 7).alias("month_key"))
+
+
+@register("fn_split", """select p_partkey, string_split(p_name, ' ') words from part""")
+def f04(spark, sf):
+    """F-04 ``split`` (regular expression)."""
+    return _d(spark, sf).part.select("p_partkey", F.split("p_name", " ").alias("words"))
+
+
+@register("fn_md5", """select c_custkey, md5(c_name) name_md5 from customer""")
+def f05(spark, sf):
+    """F-05 one-way masking."""
+    return _d(spark, sf).customer.select("c_custkey", mask("c_name").alias("name_md5"))
+
+
+@register("fn_date_format", """select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') d,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') dts, strftime(cast(strftime(o_orderdate, '%Y-%m-%d') as date), '%Y-%m')
+    month_of_text from orders""")
+def f06(spark, sf):
+    """F-06 ``date_format`` of a timestamp and of a date string."""
+    o = _d(spark, sf).orders
+    return o.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("dts"),
+                    F.date_format(F.date_format("o_orderdate", "yyyy-MM-dd"), "yyyy-MM").alias("month_of_text"))
+
+
+@register("fn_from_utc_timestamp", """select event_id,
+  strftime(epoch_ms(epoch_us(ts) // 1000) + interval 8 hour, '%Y-%m-%d %H:%M:%S') local_time,
+  strftime(epoch_ms(epoch_us(ts) // 1000000 * 1000) + interval 8 hour, '%Y-%m-%d') local_day from events""")
+def f07(spark, sf):
+    """F-07 epoch (ms for logs, s x 1000 for CDC) to GMT+8 wall time."""
+    from ..functions.scalar import epoch_ms, local_time_s
+    e = _d(spark, sf).events
+    secs = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000)).cast("bigint")
+    return e.select("event_id", local_time(epoch_ms("ts")).alias("local_time"),
+                    local_time_s(secs, "yyyy-MM-dd").alias("local_day"))
+
+
+@register("fn_date_add", with_ctes(f"""select recent_days,
+  strftime(date '{DAY}' + cast(-recent_days + 1 as integer), '%Y-%m-%d') lo
+from (values (1), (7), (30)) v(recent_days), (select count(*) n from order_info) t where n > 0""", "order_info"))
+def f08(spark, sf):
+    """F-08 ``date_add`` with a non-constant offset (``-recent_days + 1``)."""
+    x = fan_out(D.order_info(_d(spark, sf)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0), (1, 7, 30))
+    return x.select("recent_days", F.date_format(F.date_add(F.lit(DAY).cast("date"), -F.col("recent_days") + 1),
+                                                 "yyyy-MM-dd").alias("lo"))
+
+
+@register("fn_date_sub", with_ctes("""select order_id, strftime(cast(dt as date) - 7, '%Y-%m-%d') week_before
+from order_info""", "order_info"))
+def f09(spark, sf):
+    """F-09 ``date_sub``."""
+    return D.order_info(_d(spark, sf)).select("order_id", F.date_format(F.date_sub(F.col("dt").cast("date"), 7),
+                                                                        "yyyy-MM-dd").alias("week_before"))
+
+
+@register("fn_datediff", with_ctes("""select user_id, cast(datediff('day', cast(min(dt) as date), cast(max(dt) as date))
+  as integer) span_days from order_info group by user_id""", "order_info"))
+def f10(spark, sf):
+    """F-10 days between two dates."""
+    x = D.order_info(_d(spark, sf)).groupBy("user_id").agg(F.min("dt").alias("a"), F.max("dt").alias("b"))
+    return x.select("user_id", F.datediff(F.col("b").cast("date"), F.col("a").cast("date")).alias("span_days"))
+
+
+@register("fn_month", with_ctes("""select orderdate, month(cast(orderdate as date)) m, year(cast(orderdate as date)) y,
+  day(cast(orderdate as date)) d, weekofyear(cast(orderdate as date)) w from business""", "business"))
+def f11(spark, sf):
+    """F-11 month / year / day / weekofyear."""
+    b = WS.business(_d(spark, sf))
+    d = F.col("orderdate").cast("date")
+    return b.select("orderdate", F.month(d).alias("m"), F.year(d).alias("y"), F.dayofmonth(d).alias("d"),
+                    F.weekofyear(d).alias("w"))
+
+
+@register("fn_nvl", with_ctes("select order_id, coalesce(coupon_id, -1) coupon_or_default from order_detail",
+                              "order_detail"))
+def f12(spark, sf):
+    """F-12 ``nvl``."""
+    return D.order_detail(_d(spark, sf)).select("order_id", F.coalesce("coupon_id", F.lit(-1)).alias("coupon_or_default"))
+
+
+@register("fn_if", with_ctes("""select order_id, case when order_status = '1002' then 'paid' else 'other' end kind
+from order_info""", "order_info"))
+def f13(spark, sf):
+    """F-13 ``if(p, a, b)``."""
+    return D.order_info(_d(spark, sf)).select(
+        "order_id", F.when(F.col("order_status") == "1002", F.lit("paid")).otherwise(F.lit("other")).alias("kind"))
+
+
+@register("fn_case", with_ctes("""select order_id, case order_status when '1002' then 'paid' when '1003' then 'cancelled'
+  end kind from order_info""", "order_info"))
+def f14(spark, sf):
+    """F-14 ``case x when ...`` without ``else`` gives NULL."""
+    s = F.col("order_status")
+    return D.order_info(_d(spark, sf)).select(
+        "order_id", F.when(s == "1002", F.lit("paid")).when(s == "1003", F.lit("cancelled")).alias("kind"))
+
+
+@register("fn_cast", """select l_orderkey, l_linenumber, cast(l_linenumber as varchar) s, cast(l_quantity as integer) q,
+  cast(l_quantity as bigint) qb, cast(l_extendedprice as decimal(16,2)) amount from lineitem""")
+def f15(spark, sf):
+    """F-15 casts to string, int, bigint, decimal(16,2)."""
+    li = _d(spark, sf).lineitem
+    return li.select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("string").alias("s"),
+                     F.col("l_quantity").cast("int").alias("q"), F.col("l_quantity").cast("bigint").alias("qb"),
+                     F.col("l_extendedprice").cast("decimal(16,2)").alias("amount"))
+
+
+@register("fn_arith", with_ctes("""select data.id id,
+  cast(data.sku_num * cast(10.50 as decimal(16,2)) as decimal(18,2)) amount,
+  cast(10 * (1 - cast(0.15 as decimal(16,2))) as decimal(16,2)) discount_text_base,
+  data.sku_num - cast(old['sku_num'] as bigint) delta
+from cart_inc where type = 'update' and old['sku_num'] is not null""", "cart_inc"))
+def f16(spark, sf):
+    """F-16 bigint x decimal, ``10 * (1 - d)``, subtraction with a text operand (cast)."""
+    x = cdc.cdc_rows(D.cart_inc(_d(spark, sf)), kinds=("update",)).where(cdc.old_value("sku_num").isNotNull())
+    return x.select(F.col("data.id").alias("id"),
+                    (F.col("data.sku_num") * F.lit(10.50).cast("decimal(16,2)")).cast("decimal(18,2)").alias("amount"),
+                    (F.lit(10) * (F.lit(1) - F.lit(0.15).cast("decimal(16,2)"))).cast("decimal(16,2)")
+                    .alias("discount_text_base"),
+                    (F.col("data.sku_num") - cdc.old_value("sku_num", "bigint")).alias("delta"))
+
+
+@register("fn_named_struct", """select p_partkey, struct_pack(brand := p_brand, size := p_size) attrs from part""")
+def f17(spark, sf):
+    """F-17 ``named_struct``."""
+    return _d(spark, sf).part.select("p_partkey", F.struct(F.col("p_brand").alias("brand"),
+                                                           F.col("p_size").alias("size")).alias("attrs"))
+
+
+@register("fn_array", """select p_partkey, [p_type, p_brand] tags from part""")
+def f18(spark, sf):
+    """F-18 literal / column array."""
+    return _d(spark, sf).part.select("p_partkey", F.array("p_type", "p_brand").alias("tags"))
+
+
+@register("fn_array_contains", """select p_partkey, list_contains(string_split(p_name, ' '), 'ring') has_ring
+from part""")
+def f19(spark, sf):
+    """F-19 array membership."""
+    return _d(spark, sf).part.select("p_partkey", F.array_contains(F.split("p_name", " "), "ring").alias("has_ring"))
+
+
+@register("fn_map_keys", with_ctes("""select data.id id, ts, list_sort(map_keys(old)) changed from user_inc
+where old is not null""", "user_inc"))
+def f20(spark, sf):
+    """F-20 keys of a map."""
+    x = D.user_inc(_d(spark, sf), TDAY).where(F.col("old").isNotNull())
+    return x.select(F.col("data.id").alias("id"), "ts", F.sort_array(F.map_keys("old")).alias("changed"))
+
+
+@register("fn_compare_dates_as_text", with_ctes(f"""select user_id, min(dt) first_day, max(dt) last_day,
+  max(dt) >= '{add_days(DAY, -364)}' active_last_year from order_info group by user_id""", "order_info"))
+def f21(spark, sf):
+    """F-21 min / max / >= on ISO day strings."""
+    x = D.order_info(_d(spark, sf)).groupBy("user_id").agg(F.min("dt").alias("first_day"), F.max("dt").alias("last_day"))
+    return x.withColumn("active_last_year", F.col("last_day") >= F.lit(add_days(DAY, -364)))
