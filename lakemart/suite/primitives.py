@@ -512,7 +512,8 @@ def w04(spark, sf):
     return _ev(spark, sf).select("event_id", F.lead("event_type", 1).over(w).alias("next_type"))
 
 
-@register("win_step_number", f"""select event_id, row_number() over ({STEP_W}) step from ({EV}) e""")
+@register("win_step_number", f"""select event_id, cast(row_number() over ({STEP_W}) as integer) step
+from ({EV}) e""")
 def w05(spark, sf):
     """W-05 step number inside the group."""
     w = Window.partitionBy("user_id", "dt").orderBy("ts_us", "event_id")
@@ -789,8 +790,9 @@ def f10(spark, sf):
     return x.select("user_id", F.datediff(F.col("b").cast("date"), F.col("a").cast("date")).alias("span_days"))
 
 
-@register("fn_month", with_ctes("""select orderdate, month(cast(orderdate as date)) m, year(cast(orderdate as date)) y,
-  day(cast(orderdate as date)) d, weekofyear(cast(orderdate as date)) w from business""", "business"))
+@register("fn_month", with_ctes("""select orderdate, cast(month(cast(orderdate as date)) as integer) m,
+  cast(year(cast(orderdate as date)) as integer) y, cast(day(cast(orderdate as date)) as integer) d,
+  cast(weekofyear(cast(orderdate as date)) as integer) w from business""", "business"))
 def f11(spark, sf):
     """F-11 month / year / day / weekofyear."""
     b = WS.business(_d(spark, sf))
