@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import configure
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -16,7 +19,13 @@ def register(key: str, oracle: str | None = None):
     def deco(fn):
         if key in QUERIES:
             raise ValueError(f"duplicate query key {key}")
-        QUERIES[key] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)  # UTC rendering, dynamic partition overwrite, AQE
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         if oracle is not None:
             ORACLE[key] = oracle
         return fn
@@ -32,4 +41,4 @@ def load_all():
     return QUERIES, ORACLE
 
 
-SUITES = ("rollups", "facts", "reports", "dims", "worked", "primitives")
+SUITES = ("rollups", "facts", "reports", "dims", "worked", "primitives", "sinks")
