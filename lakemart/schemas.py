@@ -33,3 +33,6 @@ ORDER_INFO = "order_id bigint, user_id bigint, province_id int, order_status str
              "total_amount decimal(16,2), create_time string, dt string"
 BUSINESS = "name string, orderdate string, cost int"
 EMP = "empno int, ename string, job string, mgr int, hiredate string, sal double, comm double, deptno int"
+
+CART_DATA = _struct(("id", L), ("user_id", L), ("sku_id", L), ("sku_num", L), ("source_id", L), ("source_type", S))
+CART_INC_WITH_DT = StructType(cdc(CART_DATA).fields + [StructField("dt", S)])
