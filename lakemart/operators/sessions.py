@@ -31,6 +31,8 @@ def session_start(df: DataFrame, device: str, ts: str, is_start: Column,
     w_local = (Window.partitionBy(*keys, "_b").orderBy(ts)
                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     x = x.withColumn("_local", F.max("_start").over(w_local))
+    # Per-slice maximum straight from the input: a column-pruned scan with a map-side
+    # partial aggregate, so only one row per (device, bucket, map task) is shuffled.
     per_bucket = x.groupBy(*keys, "_b").agg(F.max("_start").alias("_bmax"))
     w_carry = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(*keys, "_b", F.max("_bmax").over(w_carry).alias("_carry"))
