@@ -106,22 +106,27 @@ def user_zip_init(user_inc: DataFrame, day: str) -> DataFrame:
 
 # J-07
 def user_zip_apply(open_rows: DataFrame, user_inc: DataFrame, day: str) -> DataFrame:
-    """Newest change per user on ``day`` (max-struct aggregate, W-01), full outer with
-    the open rows; each joined row emits its current version into ``9999-12-31`` and,
-    when both sides exist, the old version closed on ``day-1``."""
+    """Newest change per user on ``day`` (max-struct aggregate, W-01); open rows of
+    changed users are closed on ``day-1``, the changes become the new open rows, all
+    other open rows pass through.
+
+    Same answer as the full outer join of open rows with changes, but the dimension is
+    only *left*-joined to the set of changed ids: when a day's changes are small AQE
+    broadcasts them and the (large) dimension is never shuffled; otherwise it falls
+    back to a sort-merge join.  One scan of the open rows feeds both the kept and the
+    closed output through a single ``explode``."""
     changes = user_inc.where(F.col("dt") == day).select("ts", "data", F.col("data.id").alias("_k"))
     newest = last_per_group(changes, ["_k"], ["ts"], ["data"])
-    new = newest.select(*_user_cols(), F.lit(day).alias("start_date"), F.lit(OPEN_END).alias("end_date"))
     cols = ZIP + ["start_date", "end_date"]
-    o = open_rows.select(*[F.col(c).alias(f"o_{c}") for c in cols])
-    n = new.select(*[F.col(c).alias(f"n_{c}") for c in cols])
-    j = o.join(n, o.o_id == n.n_id, "full")
-    has_new = F.col("n_id").isNotNull()
-    current = F.struct(*[F.when(has_new, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c) for c in cols],
-                       F.lit(OPEN_END).alias("dt"))
+    current_new = newest.select(*_user_cols(), F.lit(day).alias("start_date"), F.lit(OPEN_END).alias("end_date"),
+                                F.lit(OPEN_END).alias("dt"))
+    changed = newest.select(F.col("_k").alias("_chg_id"))
+    j = open_rows.join(changed, open_rows.id == changed._chg_id, "left")
     closed_day = add_days(day, -1)
-    closed = F.when(has_new & F.col("o_id").isNotNull(), F.struct(
-        *[F.col(f"o_{c}").alias(c) for c in ZIP], F.col("o_start_date").alias("start_date"),
+    keep = F.when(F.col("_chg_id").isNull(), F.struct(*[F.col(c).alias(c) for c in cols],
+                                                      F.lit(OPEN_END).alias("dt")))
+    closed = F.when(F.col("_chg_id").isNotNull(), F.struct(
+        *[F.col(c).alias(c) for c in ZIP], F.col("start_date").alias("start_date"),
         F.lit(closed_day).alias("end_date"), F.lit(closed_day).alias("dt")))
-    out = j.select(F.explode(F.array(current, closed)).alias("r")).where(F.col("r").isNotNull())
-    return out.select("r.*")
+    old = j.select(F.explode(F.array(keep, closed)).alias("r")).where(F.col("r").isNotNull()).select("r.*")
+    return old.unionByName(current_new)
