@@ -50,7 +50,8 @@ def order_detail(drv: Driver, lo: str | None = None, hi: str | None = None) -> D
                              "l_extendedprice", "l_discount", "l_tax")
     o = _orders(drv, lo, hi).select("o_orderkey", "o_custkey", "o_orderdate")
     j = (li.join(o, li.l_orderkey == o.o_orderkey)
-         .join(_customer(drv), F.col("o_custkey") == F.col("c_custkey")))
+         .join(_customer(drv), F.col("o_custkey") == F.col("c_custkey"))
+         .withColumn("_ct", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")))
     orig = money("l_extendedprice")
     act = F.when(F.col("l_discount") > 0, (orig * money("l_discount")).cast("decimal(16,2)"))
     cpn = F.when(F.col("l_tax") > 0, (orig * money("l_tax")).cast("decimal(16,2)"))
@@ -70,8 +71,8 @@ def order_detail(drv: Driver, lo: str | None = None, hi: str | None = None) -> D
         act.alias("split_activity_amount"),
         cpn.alias("split_coupon_amount"),
         (orig - nvl0(act) - nvl0(cpn)).cast("decimal(16,2)").alias("split_total_amount"),
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("create_time"),
-        day_of("o_orderdate").alias("dt"),
+        F.col("_ct").alias("create_time"),
+        F.substring("_ct", 1, 10).alias("dt"),
     )
 
 
