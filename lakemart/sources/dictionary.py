@@ -8,7 +8,10 @@ from ..functions.codes import DICTIONARY
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DICTIONARY, "dic_code string, dic_name string, parent_code string")
+    """A JVM-side VALUES relation (no Python serialisation; a tiny LocalRelation that
+    broadcasts trivially)."""
+    rows = ", ".join(f"('{c}', '{n}', '{p}')" for c, n, p in DICTIONARY)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS d(dic_code, dic_name, parent_code)")
 
 
 def dictionary_sql() -> str:
