@@ -317,3 +317,110 @@ def q21(spark, sf):
     for o in outs[1:]:
         out = out.unionByName(o)
     return out
+
+
+NATION_COLS = "deptno int, dname string, loc string"
+
+
+def _dept_table(spark, key):
+    t = _name(key)
+    K.create_partitioned(spark, t, NATION_COLS + ", region string", ["region"], K.shared_path(spark, "tables", t))
+    return t
+
+
+def _depts(spark, sf):
+    d = _d(spark, sf)
+    j = d.nation.join(d.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select(F.col("n_nationkey").alias("deptno"), F.col("n_name").alias("dname"),
+                    F.concat(F.lit("loc "), F.col("n_regionkey").cast("string")).alias("loc"),
+                    F.col("r_name").alias("region"))
+
+
+@register("partition_add", """select 'region=' || r_name "partition" from region
+union all select 'region=' || r_name || '_NEXT' from region""")
+def k14(spark, sf):
+    """K-14: register empty partitions next to the loaded ones (several at once)."""
+    t = _dept_table(spark, "add")
+    K.overwrite_dynamic_partition(spark, _depts(spark, sf), t)
+    names = [r.r_name for r in _d(spark, sf).region.select("r_name").collect()]  # 5 region names
+    K.partition_add(spark, t, *[{"region": f"{n}_NEXT"} for n in names])
+    return K.partition_list(spark, t)
+
+
+@register("partition_drop", """select deptno, dname, loc, region from (
+  select n_nationkey deptno, n_name dname, 'loc ' || cast(n_regionkey as varchar) loc, r_name region, r_regionkey
+  from nation join region on n_regionkey = r_regionkey) t
+where r_regionkey <> (select min(r_regionkey) from region)""")
+def k15(spark, sf):
+    """K-15: drop one partition; the other partitions' rows remain."""
+    t = _dept_table(spark, "drop")
+    K.overwrite_dynamic_partition(spark, _depts(spark, sf), t)
+    first = _d(spark, sf).region.orderBy("r_regionkey").select("r_name").first()[0]
+    K.partition_drop(spark, t, {"region": first})
+    return spark.table(t)
+
+
+@register("overwrite_table", "select s_suppkey, s_name, s_nationkey from supplier")
+def k08(spark, sf):
+    """K-08: replace a whole unpartitioned table."""
+    t = _name("overwrite")
+    spark.sql(f"CREATE TABLE {t} (s_suppkey bigint, s_name string, s_nationkey int) USING parquet "
+              f"LOCATION '{K.shared_path(spark, 'tables', t)}'")
+    sup = _d(spark, sf).supplier.select("s_suppkey", "s_name", "s_nationkey")
+    K.insert_append(spark, sup.withColumn("s_name", F.lit("stale")), t)
+    K.overwrite_table(spark, sup, t)
+    return spark.table(t)
+
+
+@register("load_files", "select s_suppkey, s_name, s_nationkey from supplier union all "
+                        "select s_suppkey, s_name, s_nationkey from supplier")
+def k11(spark, sf):
+    """K-11: tab-delimited files loaded into a table twice (append), after an
+    overwrite load of a stale copy."""
+    path = K.shared_path(spark, "landing", "supplier_tsv")
+    sup = _d(spark, sf).supplier.select("s_suppkey", "s_name", "s_nationkey")
+    sup.write.mode("overwrite").option("sep", "\t").csv(path)
+    files = S.read_delimited(spark, path, "s_suppkey bigint, s_name string, s_nationkey int")
+    t = _name("load")
+    spark.sql(f"CREATE TABLE {t} (s_suppkey bigint, s_name string, s_nationkey int) USING parquet "
+              f"LOCATION '{K.shared_path(spark, 'tables', t)}'")
+    K.load_files(spark, t, files.withColumn("s_name", F.lit("stale")), overwrite=True)
+    K.load_files(spark, t, files, overwrite=True)
+    K.load_files(spark, t, files, overwrite=False)
+    return spark.table(t)
+
+
+@register("load_partition", f"""select event_id, event_type, '{D.TRAFFIC_DAY}' dt from events
+where strftime(ts, '%Y-%m-%d') = '{D.TRAFFIC_DAY}'""")
+def k12(spark, sf):
+    """K-12: one day's landed file loaded into partition ``dt='D'`` (overwrite)."""
+    day = D.TRAFFIC_DAY
+    path = K.shared_path(spark, "landing", "events_day")
+    e = _d(spark, sf).events.where(F.date_format("ts", "yyyy-MM-dd") == day).select("event_id", "event_type")
+    e.write.mode("overwrite").option("sep", "\t").csv(path)
+    t = _name("loadpart")
+    K.create_partitioned(spark, t, "event_id bigint, event_type string, dt string", ["dt"],
+                         K.shared_path(spark, "tables", t))
+    files = S.read_delimited(spark, path, "event_id bigint, event_type string")
+    K.load_partition(spark, t, files, {"dt": day})
+    K.load_partition(spark, t, files, {"dt": day})  # overwrite: loading twice keeps one copy
+    return spark.table(t)
+
+
+@register("truncate_drop", "select s_suppkey, s_name from supplier")
+def k18(spark, sf):
+    """K-18: create and use a database, truncate a table, reload it, drop another."""
+    db = _name("db")
+    K.create_database(spark, db)
+    try:
+        t = f"{db}.sup"
+        spark.sql(f"CREATE TABLE {t} (s_suppkey bigint, s_name string) USING parquet "
+                  f"LOCATION '{K.shared_path(spark, 'tables', db)}'")
+        sup = _d(spark, sf).supplier.select("s_suppkey", "s_name")
+        K.insert_append(spark, sup, t)
+        K.truncate(spark, t)
+        K.insert_append(spark, sup, t)
+        K.drop_table(spark, f"{db}.never_created")
+        return spark.table(t)
+    finally:
+        spark.sql("USE default")
