@@ -1,0 +1,70 @@
+"""Per-key prefix windows (running sum, lag) computed in two levels.
+
+``sum(x) over (partition by k order by o)`` and ``lag(x) over (...)`` put every row
+of a key in one task; with a key that holds a third of the data that task is the
+job.  Both are prefix operations, so they split:
+
+1. rows are sliced by (key, bucket), where ``bucket`` is a column that never
+   decreases along the order (e.g. the day of the timestamp); the window runs inside
+   each slice;
+2. one row per slice (its total / its last value) is windowed per key — a frame that
+   is as long as the number of buckets, not the number of rows — and joined back.
+
+Peers of the ordering (rows a RANGE frame treats as equal) must share a bucket, which
+holds whenever the bucket is a function of the ordering column.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _join_back(x: DataFrame, per: DataFrame, keys: Sequence[str]) -> DataFrame:
+    cond = None
+    for k in [*keys, "_b"]:
+        c = x[k].eqNullSafe(per[f"_p_{k}"])
+        cond = c if cond is None else cond & c
+    return x.join(per, cond, "left").drop(*[f"_p_{k}" for k in [*keys, "_b"]])
+
+
+def _renamed(per: DataFrame, keys: Sequence[str]) -> DataFrame:
+    for k in [*keys, "_b"]:
+        per = per.withColumnRenamed(k, f"_p_{k}")
+    return per
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], measure: str, out: str,
+                bucket: Column, frame: str = "rows") -> DataFrame:
+    """``sum(measure) over (partition by keys order by order)`` with a ROWS frame
+    (unbounded preceding .. current row) or the default RANGE frame."""
+    x = df.withColumn("_b", bucket)
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if frame == "rows" else w
+    x = x.withColumn("_local", F.sum(measure).over(w))
+    tot = df.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.sum(measure).alias("_bt"))
+    wc = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = _renamed(tot.select(*keys, "_b", F.coalesce(F.sum("_bt").over(wc), F.lit(0)).alias("_carry")), keys)
+    j = _join_back(x, per, keys)
+    return j.withColumn(out, F.col("_local") + F.col("_carry")).drop("_b", "_local", "_carry")
+
+
+def lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, bucket: Column,
+        default=None) -> DataFrame:
+    """``lag(value, 1, default) over (partition by keys order by order)``: the first
+    row of a slice takes the last value of the key's previous slice; ``default`` only
+    when the key has no earlier row at all."""
+    x = df.withColumn("_b", bucket)
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    x = x.withColumn("_local", F.lag(value, 1).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = (df.withColumn("_b", bucket).groupBy(*keys, "_b")
+            .agg(F.max(F.struct(*[F.col(o) for o in order], F.col(value).alias("_v"))).alias("_m")))
+    wb = Window.partitionBy(*keys).orderBy("_b")
+    per = _renamed(last.select(*keys, "_b", F.lag("_m._v", 1).over(wb).alias("_prev"),
+                               F.lag(F.lit(1), 1).over(wb).isNotNull().alias("_has_prev")), keys)
+    j = _join_back(x, per, keys)
+    d = F.lit(default) if default is not None else F.lit(None).cast(df.schema[value].dataType)
+    v = F.when(~F.col("_first"), F.col("_local")).when(F.col("_has_prev"), F.col("_prev")).otherwise(d)
+    return j.withColumn(out, v).drop("_b", "_local", "_first", "_prev", "_has_prev")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import one_row_join
+from ..operators.prefix import lag as prefix_lag
+from ..operators.prefix import running_sum
 from ..operators.ranking import first_ntile, partition_total, rank_family
 from ..operators.topk import top_k_per_group, top_n
 from ..sources.worked import FEMALE, MALE
@@ -70,18 +72,21 @@ def month_total(business: DataFrame) -> DataFrame:
 
 # Q-07
 def prev_purchase(business: DataFrame) -> DataFrame:
-    w = Window.partitionBy("name").orderBy("orderdate", "cost")
-    return business.withColumn("time1", F.lag("orderdate", 1, "1970-01-01").over(w))
+    """``lag(orderdate, 1, '1970-01-01') over (partition by name order by orderdate)``,
+    two-level over (name, day) slices so one heavy buyer is not one task."""
+    return prefix_lag(business, ["name"], ["orderdate", "cost"], "orderdate", "time1", F.col("orderdate"),
+                      "1970-01-01")
 
 
 # Q-08
 def running_cost(business: DataFrame, frame: str = "rows") -> DataFrame:
+    """ROWS frame ordered by (date, cost), or the default RANGE frame ordered by date
+    (same-day rows share the value); two-level over (name, day) slices."""
     if frame == "rows":
-        w = Window.partitionBy("name").orderBy("orderdate", "cost") \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    else:  # default RANGE frame: rows with the same date share the value
-        w = Window.partitionBy("name").orderBy("orderdate")
-    return business.withColumn("running_cost", F.sum("cost").over(w).cast("bigint"))
+        x = running_sum(business, ["name"], ["orderdate", "cost"], "cost", "running_cost", F.col("orderdate"), "rows")
+    else:
+        x = running_sum(business, ["name"], ["orderdate"], "cost", "running_cost", F.col("orderdate"), "range")
+    return x.withColumn("running_cost", F.col("running_cost").cast("bigint"))
 
 
 # Q-09

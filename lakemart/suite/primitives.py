@@ -523,9 +523,10 @@ def w05(spark, sf):
 @register("win_lag_default", f"""select event_id,
   lag(event_type, 1, 'none') over (partition by user_id order by ts_us, event_id) prev_type from ({EV}) e""")
 def w06(spark, sf):
-    """W-06 previous value with a default."""
-    w = Window.partitionBy("user_id").orderBy("ts_us", "event_id")
-    return _ev(spark, sf).select("event_id", F.lag("event_type", 1, "none").over(w).alias("prev_type"))
+    """W-06 previous value with a default (two-level over (user, day) slices)."""
+    from ..operators.prefix import lag
+    x = lag(_ev(spark, sf), ["user_id"], ["ts_us", "event_id"], "event_type", "prev_type", F.col("dt"), "none")
+    return x.select("event_id", "prev_type")
 
 
 @register("win_total_over_all", """select event_type, count(*) over () types
@@ -549,17 +550,20 @@ def w08(spark, sf):
 @register("win_running_rows", f"""select event_id, cast(sum(cents) over (partition by user_id order by ts_us, event_id
   rows between unbounded preceding and current row) as bigint) running from ({EV}) e""")
 def w09(spark, sf):
-    """W-09 running sum, ROWS frame."""
-    w = Window.partitionBy("user_id").orderBy("ts_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _ev(spark, sf).select("event_id", F.sum("cents").over(w).cast("bigint").alias("running"))
+    """W-09 running sum, ROWS frame (two-level over (user, day) slices)."""
+    from ..operators.prefix import running_sum
+    x = running_sum(_ev(spark, sf), ["user_id"], ["ts_us", "event_id"], "cents", "running", F.col("dt"), "rows")
+    return x.select("event_id", F.col("running").cast("bigint").alias("running"))
 
 
 @register("win_running_range", f"""select event_id, cast(sum(cents) over (partition by user_id order by dt)
   as bigint) running from ({EV}) e""")
 def w10(spark, sf):
-    """W-10 running sum, default RANGE frame (same-day rows share the value)."""
-    w = Window.partitionBy("user_id").orderBy("dt")
-    return _ev(spark, sf).select("event_id", F.sum("cents").over(w).cast("bigint").alias("running"))
+    """W-10 running sum, default RANGE frame (same-day rows share the value); the day
+    is the slice, so each slice's local sum is its total and the carry does the rest."""
+    from ..operators.prefix import running_sum
+    x = running_sum(_ev(spark, sf), ["user_id"], ["dt"], "cents", "running", F.col("dt"), "range")
+    return x.select("event_id", F.col("running").cast("bigint").alias("running"))
 
 
 @register("win_moving_rows", f"""select event_id, cast(sum(cents) over (partition by user_id order by ts_us, event_id

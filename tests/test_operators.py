@@ -238,3 +238,23 @@ def test_invariants_nd_and_daily_partitioning(spark, sf):
         parts = x if parts is None else parts.unionByName(x)
     cols = whole.columns
     assert rows(whole, *cols) == rows(parts, *cols)
+
+
+def test_two_level_prefix_windows_match_plain_windows(spark):
+    from lakemart.operators.prefix import lag, running_sum
+    random.seed(11)
+    data = [(random.choice(["hot"] * 8 + ["a", "b", None]), f"2001-0{random.randint(1, 3)}-{random.randint(1, 28):02d}",
+             random.randint(0, 50)) for _ in range(800)]
+    df = spark.createDataFrame(data, "name string, orderdate string, cost int")
+    b = F.col("orderdate")
+    rs = running_sum(df, ["name"], ["orderdate", "cost"], "cost", "s", b, "rows")
+    rr = running_sum(df, ["name"], ["orderdate"], "cost", "s", F.substring("orderdate", 1, 7), "range")
+    lg = lag(df, ["name"], ["orderdate", "cost"], "orderdate", "p", b, "1970-01-01")
+    w = Window.partitionBy("name").orderBy("orderdate", "cost")
+    ws = df.withColumn("s", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    wr = df.withColumn("s", F.sum("cost").over(Window.partitionBy("name").orderBy("orderdate")))
+    wl = df.withColumn("p", F.lag("orderdate", 1, "1970-01-01").over(w))
+    cols = ("name", "orderdate", "cost")
+    assert rows(rs, *cols, "s") == rows(ws, *cols, "s")
+    assert rows(rr, *cols, "s") == rows(wr, *cols, "s")
+    assert rows(lg, *cols, "p") == rows(wl, *cols, "p")
