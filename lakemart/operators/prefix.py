@@ -68,3 +68,38 @@ def lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, ou
     d = F.lit(default) if default is not None else F.lit(None).cast(df.schema[value].dataType)
     v = F.when(~F.col("_first"), F.col("_local")).when(F.col("_has_prev"), F.col("_prev")).otherwise(d)
     return j.withColumn(out, v).drop("_b", "_local", "_first", "_prev", "_has_prev")
+
+
+def lead(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, bucket: Column,
+         default=None) -> DataFrame:
+    """``lead(value, 1, default)``: the last row of a slice takes the first value of the
+    key's next slice."""
+    x = df.withColumn("_b", bucket)
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    wd = Window.partitionBy(*keys, "_b").orderBy(*[F.col(o).desc() for o in order])
+    x = x.withColumn("_local", F.lead(value, 1).over(w)).withColumn("_last", F.row_number().over(wd) == 1)
+    first = (df.withColumn("_b", bucket).groupBy(*keys, "_b")
+             .agg(F.min(F.struct(*[F.col(o) for o in order], F.col(value).alias("_v"))).alias("_m")))
+    wb = Window.partitionBy(*keys).orderBy("_b")
+    per = _renamed(first.select(*keys, "_b", F.lead("_m._v", 1).over(wb).alias("_next"),
+                                F.lead(F.lit(1), 1).over(wb).isNotNull().alias("_has_next")), keys)
+    j = _join_back(x, per, keys)
+    d = F.lit(default) if default is not None else F.lit(None).cast(df.schema[value].dataType)
+    v = F.when(~F.col("_last"), F.col("_local")).when(F.col("_has_next"), F.col("_next")).otherwise(d)
+    return j.withColumn(out, v).drop("_b", "_local", "_last", "_next", "_has_next")
+
+
+def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, bucket: Column) -> DataFrame:
+    """``row_number()`` as a running count (ROWS frame) — the order must be total."""
+    x = running_sum(df.withColumn("_one", F.lit(1)), keys, order, "_one", out, bucket, "rows")
+    return x.withColumn(out, F.col(out).cast("int")).drop("_one")
+
+
+def moving_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: str, out: str,
+               bucket: Column) -> DataFrame:
+    """``sum(m) over (... rows between 1 preceding and 1 following)`` = previous +
+    current + next row, each neighbour found across slice boundaries."""
+    x = lag(df, keys, order, measure, "_prev_m", bucket)
+    x = lead(x, keys, order, measure, "_next_m", bucket)
+    return (x.withColumn(out, F.col(measure) + F.coalesce("_prev_m", F.lit(0)) + F.coalesce("_next_m", F.lit(0)))
+            .drop("_prev_m", "_next_m"))

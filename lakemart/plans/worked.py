@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import one_row_join
 from ..operators.prefix import lag as prefix_lag
-from ..operators.prefix import running_sum
+from ..operators.prefix import moving_sum, running_sum
 from ..operators.ranking import first_ntile, partition_total, rank_family
 from ..operators.topk import top_k_per_group, top_n
 from ..sources.worked import FEMALE, MALE
@@ -91,8 +91,9 @@ def running_cost(business: DataFrame, frame: str = "rows") -> DataFrame:
 
 # Q-09
 def moving_cost(business: DataFrame) -> DataFrame:
-    w = Window.partitionBy("name").orderBy("orderdate", "cost").rowsBetween(-1, 1)
-    return business.withColumn("moving_cost", F.sum("cost").over(w).cast("bigint"))
+    """3-row moving sum per buyer, two-level over (name, day) slices."""
+    x = moving_sum(business, ["name"], ["orderdate", "cost"], "cost", "moving_cost", F.col("orderdate"))
+    return x.withColumn("moving_cost", F.col("moving_cost").cast("bigint"))
 
 
 # Q-10

@@ -505,19 +505,25 @@ def w03(spark, sf):
 STEP_W = "partition by user_id, dt order by ts_us, event_id"
 
 
+HOUR_US = 3_600_000_000
+
+
 @register("win_lead", f"""select event_id, lead(event_type, 1) over ({STEP_W}) next_type from ({EV}) e""")
 def w04(spark, sf):
-    """W-04 next value in the group (ordered: §7.4 #1)."""
-    w = Window.partitionBy("user_id", "dt").orderBy("ts_us", "event_id")
-    return _ev(spark, sf).select("event_id", F.lead("event_type", 1).over(w).alias("next_type"))
+    """W-04 next value in the group (ordered: §7.4 #1); two-level over hour slices."""
+    from ..operators.prefix import lead
+    x = lead(_ev(spark, sf), ["user_id", "dt"], ["ts_us", "event_id"], "event_type", "next_type",
+             F.floor(F.col("ts_us") / HOUR_US))
+    return x.select("event_id", "next_type")
 
 
 @register("win_step_number", f"""select event_id, cast(row_number() over ({STEP_W}) as integer) step
 from ({EV}) e""")
 def w05(spark, sf):
-    """W-05 step number inside the group."""
-    w = Window.partitionBy("user_id", "dt").orderBy("ts_us", "event_id")
-    return _ev(spark, sf).select("event_id", F.row_number().over(w).alias("step"))
+    """W-05 step number inside the group (running count over hour slices)."""
+    from ..operators.prefix import row_number
+    x = row_number(_ev(spark, sf), ["user_id", "dt"], ["ts_us", "event_id"], "step", F.floor(F.col("ts_us") / HOUR_US))
+    return x.select("event_id", "step")
 
 
 @register("win_lag_default", f"""select event_id,
@@ -569,9 +575,10 @@ def w10(spark, sf):
 @register("win_moving_rows", f"""select event_id, cast(sum(cents) over (partition by user_id order by ts_us, event_id
   rows between 1 preceding and 1 following) as bigint) moving from ({EV}) e""")
 def w11(spark, sf):
-    """W-11 previous + current + next row."""
-    w = Window.partitionBy("user_id").orderBy("ts_us", "event_id").rowsBetween(-1, 1)
-    return _ev(spark, sf).select("event_id", F.sum("cents").over(w).cast("bigint").alias("moving"))
+    """W-11 previous + current + next row (neighbours found across day slices)."""
+    from ..operators.prefix import moving_sum
+    x = moving_sum(_ev(spark, sf), ["user_id"], ["ts_us", "event_id"], "cents", "moving", F.col("dt"))
+    return x.select("event_id", F.col("moving").cast("bigint").alias("moving"))
 
 
 @register("win_ntile", f"""select dt, n, cast(ntile(4) over (order by n, dt) as integer) quartile

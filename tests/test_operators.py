@@ -258,3 +258,20 @@ def test_two_level_prefix_windows_match_plain_windows(spark):
     assert rows(rs, *cols, "s") == rows(ws, *cols, "s")
     assert rows(rr, *cols, "s") == rows(wr, *cols, "s")
     assert rows(lg, *cols, "p") == rows(wl, *cols, "p")
+
+
+def test_two_level_lead_rownumber_moving(spark):
+    from lakemart.operators.prefix import lead, moving_sum, row_number
+    random.seed(13)
+    data = [(random.choice(["hot"] * 6 + ["a", "b"]), i, random.randint(0, 5) * 100 + random.randint(0, 50),
+             random.randint(0, 9)) for i in range(600)]
+    df = spark.createDataFrame(data, "u string, id int, ts int, v int")
+    b = F.floor(F.col("ts") / 100)
+    w = Window.partitionBy("u").orderBy("ts", "id")
+    cols = ("u", "id")
+    assert rows(lead(df, ["u"], ["ts", "id"], "v", "n", b), *cols, "n") == \
+        rows(df.withColumn("n", F.lead("v", 1).over(w)), *cols, "n")
+    assert rows(row_number(df, ["u"], ["ts", "id"], "r", b), *cols, "r") == \
+        rows(df.withColumn("r", F.row_number().over(w)), *cols, "r")
+    assert rows(moving_sum(df, ["u"], ["ts", "id"], "v", "m", b), *cols, "m") == \
+        rows(df.withColumn("m", F.sum("v").over(w.rowsBetween(-1, 1))), *cols, "m")
