@@ -103,3 +103,28 @@ def moving_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure
     x = lead(x, keys, order, measure, "_next_m", bucket)
     return (x.withColumn(out, F.col(measure) + F.coalesce("_prev_m", F.lit(0)) + F.coalesce("_next_m", F.lit(0)))
             .drop("_prev_m", "_next_m"))
+
+
+def steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, rn: str, nxt: str,
+          bucket: Column) -> DataFrame:
+    """``row_number()`` and ``lead(value)`` over the same ordering in one two-level
+    pass: one window inside the slices, one aggregate per slice (row count, first
+    value), one window over the slices, one join back."""
+    x = df.withColumn("_b", bucket)
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = (x.withColumn("_lrn", F.row_number().over(w)).withColumn("_lnext", F.lead(value, 1).over(w))
+          .withColumn("_cnt", F.count(F.lit(1)).over(wall)))
+    per = (df.withColumn("_b", bucket).groupBy(*keys, "_b")
+           .agg(F.count(F.lit(1)).alias("_n"),
+                F.min(F.struct(*[F.col(o) for o in order], F.col(value).alias("_v"))).alias("_m")))
+    wb = Window.partitionBy(*keys).orderBy("_b")
+    per = _renamed(per.select(*keys, "_b",
+                              F.coalesce(F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
+                                         F.lit(0)).alias("_carry"),
+                              F.lead("_m._v", 1).over(wb).alias("_next")), keys)
+    j = _join_back(x, per, keys)
+    last = F.col("_lrn") == F.col("_cnt")
+    return (j.withColumn(rn, (F.col("_lrn") + F.col("_carry")).cast("int"))
+             .withColumn(nxt, F.when(~last, F.col("_lnext")).otherwise(F.col("_next")))
+             .drop("_b", "_lrn", "_lnext", "_cnt", "_carry", "_next"))

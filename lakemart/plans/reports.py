@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import MONEY, add_days, ratio
 from ..operators.joins import full_outer_coalesce
 from ..operators.periods import choose_period, fan_out, recent_days
+from ..operators.prefix import steps
 from ..operators.topk import top_k_per_group
 
 
@@ -64,9 +65,10 @@ def page_path(page_view: DataFrame, day: str) -> DataFrame:
     Sessions with a NULL id (rows before a device's first start) are left out."""
     x = page_view.where(F.col("session_id").isNotNull() & (F.col("dt") >= add_days(day, -29))
                         & (F.col("dt") <= day))
-    w = Window.partitionBy("session_id").orderBy("view_time", "page_id")
-    x = (x.withColumn("rn", F.row_number().over(w))
-          .withColumn("next_page_id", F.lead("page_id", 1).over(w)))
+    # step numbers and next pages are prefix windows per session, computed over
+    # (session, hour) slices so one very long session is not one task
+    hour = F.substring("view_time", 1, 13)
+    x = steps(x, ["session_id"], ["view_time", "page_id"], "page_id", "rn", "next_page_id", hour)
     x = x.select("dt",
                  F.concat(F.lit("step-"), F.col("rn").cast("string"), F.lit(":"), F.col("page_id")).alias("source"),
                  F.coalesce(F.concat(F.lit("step-"), (F.col("rn") + 1).cast("string"), F.lit(":"),

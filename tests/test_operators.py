@@ -275,3 +275,15 @@ def test_two_level_lead_rownumber_moving(spark):
         rows(df.withColumn("r", F.row_number().over(w)), *cols, "r")
     assert rows(moving_sum(df, ["u"], ["ts", "id"], "v", "m", b), *cols, "m") == \
         rows(df.withColumn("m", F.sum("v").over(w.rowsBetween(-1, 1))), *cols, "m")
+
+
+def test_two_level_steps(spark):
+    from lakemart.operators.prefix import steps
+    random.seed(17)
+    data = [(random.choice(["s1"] * 5 + ["s2", None]), i, random.randint(0, 500), random.choice("abc"))
+            for i in range(500)]
+    df = spark.createDataFrame(data, "sid string, id int, ts int, page string")
+    got = steps(df, ["sid"], ["ts", "id"], "page", "rn", "nxt", F.floor(F.col("ts") / 50))
+    w = Window.partitionBy("sid").orderBy("ts", "id")
+    want = df.withColumn("rn", F.row_number().over(w)).withColumn("nxt", F.lead("page", 1).over(w))
+    assert rows(got, "sid", "id", "rn", "nxt") == rows(want, "sid", "id", "rn", "nxt")
