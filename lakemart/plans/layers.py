@@ -7,7 +7,7 @@ rerun replaces them and touches nothing else) and reads only the partitions it n
     detail(D), refund(D)            <- landed rows of day D (pushed-down day bounds)
     order_1d(D), refund_1d(D)       <- detail(D) / refund(D) ⋈ sku   (aggregate first)
     order_nd(D), refund_nd(D)       <- 1d(D-29..D)                    (literal partition bounds)
-    report_by_brand += rows(D)      <- 1d(D), nd(D)                   (staged idempotent append)
+    report_by_brand[dt=D] = rows(D) <- 1d(D), nd(D)                   (partition replace, idempotent)
 
 At 100 TB this is what keeps a daily job proportional to one day of data instead of
 the whole history: every read above is a partition-pruned scan.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import add_days
-from ..sinks.writers import partition_layout, shared_path
+from ..sinks.writers import partition_layout
 from ..sources import domain as D
 from ..sources.driver import Driver
 from . import reports as P
@@ -74,16 +74,8 @@ def load_day(layers: Layers, drv: Driver, day: str, first: bool = False) -> Data
 
 
 def append_report(layers: Layers, rows: DataFrame, name: str) -> DataFrame:
-    """K-09 on a path-based report: ``old ∪ new`` without duplicates, staged in the
-    shared folder, then swapped in (a folder cannot be overwritten while read)."""
-    spark = layers.spark
-    target = layers.path(name)
-    try:
-        old = spark.read.schema(rows.schema).parquet(target)
-        merged = old.unionByName(rows).distinct()
-    except Exception:  # noqa: BLE001 — first load: no report yet
-        merged = rows.distinct()
-    staging = shared_path(spark, "staging", name)
-    merged.write.mode("overwrite").parquet(staging)
-    spark.read.schema(rows.schema).parquet(staging).write.mode("overwrite").parquet(target)
-    return spark.read.schema(rows.schema).parquet(target)
+    """Report rows are keyed by their stat day, so the report folder is partitioned by
+    ``dt`` and a day's load replaces exactly its own partition (dynamic overwrite:
+    staged by the commit protocol, other days untouched, a rerun is idempotent)."""
+    layers.write(rows, name)
+    return layers.spark.read.schema(rows.schema).parquet(layers.path(name))

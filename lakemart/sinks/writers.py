@@ -104,13 +104,16 @@ def overwrite_table(spark: SparkSession, df: DataFrame, table: str) -> None:
 def append_distinct(spark: SparkSession, table: str, new_rows: DataFrame, staging: str) -> DataFrame:
     """K-09 idempotent report append: ``old ∪ new`` without exact duplicates.
 
-    A table cannot be overwritten while it is read, so the union is first written to a
-    staging folder (which also cuts the lineage), then the table is overwritten from
-    it.  Re-running a load with the same rows leaves the table unchanged."""
+    A table cannot be overwritten while it is read, so the union is written to a fresh
+    staging folder (which also cuts the lineage) and the table is then pointed at that
+    folder with one catalog update.  A job lost before the swap leaves the table as it
+    was; a job lost after it leaves the new version — never a half-copied table.
+    Re-running a load with the same rows leaves the contents unchanged."""
     old = spark.table(table)
     merged = old.unionByName(new_rows.select(*old.columns)).distinct()
     merged.write.mode("overwrite").parquet(staging)
-    overwrite_table(spark, spark.read.schema(old.schema).parquet(staging), table)
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{staging}'")
+    spark.catalog.refreshTable(table)
     return spark.table(table)
 
 
