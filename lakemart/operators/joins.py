@@ -2,7 +2,7 @@
 
 Only two decisions are made here; everything else is left to Catalyst/AQE:
 * ``small_lookup`` broadcasts a side whose size is bounded by construction (a code
-  dictionary, a 1-row aggregate, a top-n list).  Data-sized sides are never hinted:
+  dictionary, a top-n list); a 1-row aggregate is attached as a scalar subquery.  Data-sized sides are never hinted:
   AQE converts them to broadcast only when runtime statistics are below
   ``spark.sql.autoBroadcastJoinThreshold``.
 * ``full_outer_coalesce`` is the reference's ``full outer join`` + ``nvl`` pattern.
@@ -44,9 +44,12 @@ def full_outer_coalesce(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def one_row_join(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """N-05: attach a 1-row aggregate to every row.  The aggregate is exactly one row,
-    so it is broadcast and joined on a constant key (hash join, no nested loop)."""
-    k = "__one"
-    return (df.withColumn(k, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k)
-            .drop(k))
+    """N-05 / W-07: attach the columns of a 1-row aggregate to every row.
+
+    Each column becomes a scalar subquery (``DataFrame.scalar()``): the aggregate runs
+    once as its own small job and its value is projected into the rows — no join, no
+    nested loop, nothing broadcast."""
+    out = df
+    for c in one_row.columns:
+        out = out.withColumn(c, one_row.select(c).scalar())
+    return out

@@ -82,14 +82,16 @@ def page_path(page_view: DataFrame, day: str) -> DataFrame:
 # J-51
 def user_change(login_td_today: DataFrame, login_td_prev: DataFrame, day: str) -> DataFrame:
     churn = (login_td_today.where(F.col("login_date_last") == add_days(day, -7))
-             .agg(F.count(F.lit(1)).alias("user_churn_count")).withColumn("dt", F.lit(day)))
+             .agg(F.count(F.lit(1)).alias("user_churn_count")))
     t1 = login_td_today.select("user_id", "login_date_last")
     t2 = login_td_prev.select("user_id", F.col("login_date_last").alias("login_date_previous"))
     back = (t1.join(t2, "user_id")
             .where(F.datediff(F.col("login_date_last").cast("date"), F.col("login_date_previous").cast("date")) >= 8)
-            .agg(F.count(F.lit(1)).alias("user_back_count")).withColumn("dt", F.lit(day)))
-    # two 1-row aggregates joined on the stat day (as the reference does)
-    return churn.join(back, "dt").select("dt", "user_churn_count", "user_back_count")
+            .agg(F.count(F.lit(1)).alias("user_back_count")))
+    # the reference joins two 1-row aggregates on the stat day; the second one is
+    # attached as a scalar subquery instead (no join)
+    return churn.select(F.lit(day).alias("dt"), "user_churn_count",
+                        back.select("user_back_count").scalar().alias("user_back_count"))
 
 
 # J-52

@@ -1,0 +1,36 @@
+"""Physical-plan properties of the registered queries (planning only, no execution)."""
+
+import pytest
+
+import __spark_entry__ as E
+
+QUERIES = E.queries()
+SIDE_EFFECTS = ("scan_", "overwrite_", "insert_append", "partition_", "append_distinct", "create_", "export_dir",
+                "format_roundtrip", "load_", "truncate_drop", "select_star", "stream_")
+PURE = sorted(k for k in QUERIES if not k.startswith(SIDE_EFFECTS))
+
+
+def plan(spark, sf, key):
+    return QUERIES[key](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("key", PURE)
+def test_no_cross_or_nested_loop_join(spark, sf, key):
+    p = plan(spark, sf, key)
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_day_bounds_reach_the_scan(spark, sf):
+    p = QUERIES["user_sku_order_nd"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "o_orderdate" in p and "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in p
+
+
+def test_topk_limits_before_the_shuffle(spark, sf):
+    df = QUERIES["rpt_cart_top3_by_category"](spark, sf)
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert p.count("WindowGroupLimit") >= 2  # partial (map side) + final
+
+
+def test_dictionary_is_broadcast(spark, sf):
+    assert "BroadcastHashJoin" in plan(spark, sf, "join_dim_decode")
