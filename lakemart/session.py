@@ -52,12 +52,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.  Read the cluster's ``spark.checkpoint.dir``;
-    only when it is unset (local tests) fall back to a scratch folder."""
+    """Shared folder for lineage cuts and staged writes.
+
+    The cluster's ``spark.checkpoint.dir`` wins.  Only when it is unset is one chosen:
+    a scratch folder in local mode (tests), otherwise a folder under the shared
+    warehouse location — never a machine-local path on a cluster."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        import tempfile
-        d = tempfile.mkdtemp(prefix="lakemart-ckpt-")
+        if spark.sparkContext.master.startswith("local"):
+            import tempfile
+            d = tempfile.mkdtemp(prefix="lakemart-ckpt-")
+        else:
+            d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lakemart_checkpoints"
         spark.sparkContext.setCheckpointDir(d)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
