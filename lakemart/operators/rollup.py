@@ -20,6 +20,17 @@ def daily(df: DataFrame, keys: Sequence[str], measures: dict[str, Column]) -> Da
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
 
 
+def daily_distinct(df: DataFrame, keys: Sequence[str], distinct: str, count_name: str,
+                   sums: dict[str, Column]) -> DataFrame:
+    """``count(distinct d)`` plus sums per ``keys`` without Spark's Expand rewrite:
+    aggregate per (keys, d) first, then count those groups.  Exact for any input
+    (NULL ``d`` is not counted, its sums still are); both levels are ordinary partial
+    aggregates, so neither a hot key nor a hot ``d`` concentrates in one task."""
+    inner = df.groupBy(*keys, distinct).agg(*[c.alias(n) for n, c in sums.items()])
+    return inner.groupBy(*keys).agg(F.count(distinct).alias(count_name),
+                                    *[F.sum(n).alias(n) for n in sums])
+
+
 def in_window(df: DataFrame, day: str, days: int, dt: str = "dt") -> DataFrame:
     """S-08: keep ``[day-days+1, day]`` with literal bounds (always with the upper bound)."""
     return df.where((F.col(dt) >= F.lit(add_days(day, -(days - 1)))) & (F.col(dt) <= F.lit(day)))

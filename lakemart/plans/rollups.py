@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MONEY, nvl0
-from ..operators.rollup import daily, to_date_first, to_date_step, trailing
+from ..operators.rollup import daily, daily_distinct, to_date_first, to_date_step, trailing
 
 SKU_ATTRS = ["sku_name", "category1_id", "category1_name", "category2_id", "category2_name",
              "category3_id", "category3_name", "tm_id", "tm_name"]
@@ -78,15 +78,16 @@ def user_sku_refund_nd(rf1d: DataFrame, day: str) -> DataFrame:
 
 # J-31
 def user_order_1d(detail: DataFrame) -> DataFrame:
-    m = {
-        "order_count_1d": F.count_distinct("order_id"),
+    sums = {
         "order_num_1d": F.sum("sku_num"),
-        "order_original_amount_1d": F.sum("split_original_amount").cast(MONEY),
-        "activity_reduce_amount_1d": F.sum(nvl0("split_activity_amount")).cast(MONEY),
-        "coupon_reduce_amount_1d": F.sum(nvl0("split_coupon_amount")).cast(MONEY),
-        "order_total_amount_1d": F.sum("split_total_amount").cast(MONEY),
+        "order_original_amount_1d": F.sum("split_original_amount"),
+        "activity_reduce_amount_1d": F.sum(nvl0("split_activity_amount")),
+        "coupon_reduce_amount_1d": F.sum(nvl0("split_coupon_amount")),
+        "order_total_amount_1d": F.sum("split_total_amount"),
     }
-    return daily(detail, ["user_id", "dt"], m).select("user_id", *m, "dt")
+    agg = daily_distinct(detail, ["user_id", "dt"], "order_id", "order_count_1d", sums)
+    return agg.select("user_id", "order_count_1d", F.col("order_num_1d"),
+                      *[F.col(c).cast(MONEY).alias(c) for c in list(sums)[1:]], "dt")
 
 
 # J-32
@@ -130,9 +131,10 @@ def user_cart_add_nd(ca1d: DataFrame, day: str) -> DataFrame:
 
 # J-36
 def user_payment_1d(pay_detail: DataFrame) -> DataFrame:
-    m = {"payment_count_1d": F.count_distinct("order_id"), "payment_num_1d": F.sum("sku_num"),
-         "payment_amount_1d": F.sum("split_payment_amount").cast(MONEY)}
-    return daily(pay_detail, ["user_id", "dt"], m).select("user_id", *m, "dt")
+    sums = {"payment_num_1d": F.sum("sku_num"), "payment_amount_1d": F.sum("split_payment_amount")}
+    agg = daily_distinct(pay_detail, ["user_id", "dt"], "order_id", "payment_count_1d", sums)
+    return agg.select("user_id", "payment_count_1d", "payment_num_1d",
+                      F.col("payment_amount_1d").cast(MONEY).alias("payment_amount_1d"), "dt")
 
 
 PAY_STEMS = ["payment_count", "payment_num", "payment_amount"]
@@ -163,14 +165,15 @@ def user_payment_td_step(prev_td: DataFrame, up1d: DataFrame, day: str) -> DataF
 
 # J-39
 def province_order_1d(detail: DataFrame, province: DataFrame) -> DataFrame:
-    m = {
-        "order_count_1d": F.count_distinct("order_id"),
-        "order_original_amount_1d": F.sum("split_original_amount").cast(MONEY),
-        "activity_reduce_amount_1d": F.sum(nvl0("split_activity_amount")).cast(MONEY),
-        "coupon_reduce_amount_1d": F.sum(nvl0("split_coupon_amount")).cast(MONEY),
-        "order_total_amount_1d": F.sum("split_total_amount").cast(MONEY),
+    sums = {
+        "order_original_amount_1d": F.sum("split_original_amount"),
+        "activity_reduce_amount_1d": F.sum(nvl0("split_activity_amount")),
+        "coupon_reduce_amount_1d": F.sum(nvl0("split_coupon_amount")),
+        "order_total_amount_1d": F.sum("split_total_amount"),
     }
-    agg = daily(detail, ["province_id", "dt"], m)
+    agg = daily_distinct(detail, ["province_id", "dt"], "order_id", "order_count_1d", sums)
+    agg = agg.select("province_id", "dt", "order_count_1d", *[F.col(c).cast(MONEY).alias(c) for c in sums])
+    m = ["order_count_1d", *sums]
     p = province.select(F.col("id").alias("_pid"), "province_name", "area_code", "iso_code", "iso_3166_2")
     j = agg.join(F.broadcast(p), agg.province_id == p._pid, "left")  # provinces: a fixed geography list
     return j.select("province_id", "province_name", "area_code", "iso_code", "iso_3166_2", *m, "dt")
