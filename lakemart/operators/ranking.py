@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 
 def rank_family(df: DataFrame, part: Sequence[str], value: str, desc: bool = True,
-                tiebreak: Sequence[str] = (), names=("rp", "drp", "rmp")) -> DataFrame:
-    """rank / dense_rank / row_number over ``partition by part order by value``."""
+                tiebreak: Sequence[str] = (), names=("rp", "drp", "rmp"), tie_bucket=None) -> DataFrame:
+    """rank / dense_rank / row_number over ``partition by part order by value``.
+
+    ``tie_bucket`` (a column that never decreases along ``tiebreak``, e.g. a prefix of
+    a name) numbers the rows inside a tie group in two levels as well, so even one
+    (group, value) pair holding a third of the rows is spread over tasks."""
     part = list(part)
     hist = df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_n"))
     o = F.col(value).desc() if desc else F.col(value).asc()
@@ -26,12 +30,17 @@ def rank_family(df: DataFrame, part: Sequence[str], value: str, desc: bool = Tru
                        (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).alias("_rank"),
                        (F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)) + 1).alias("_dense"))
     j = df.join(hist, [*part, value])
-    tie = Window.partitionBy(*part, value).orderBy(*tiebreak) if tiebreak else \
-        Window.partitionBy(*part, value).orderBy(F.lit(1))
     r, d, n = names
-    return (j.withColumn(n, (F.col("_rank") + F.row_number().over(tie) - 1).cast("int"))
+    if tie_bucket is not None and tiebreak:
+        from .prefix import row_number
+        j = row_number(j, [*part, value], list(tiebreak), "_tie", tie_bucket)
+    else:
+        tie = Window.partitionBy(*part, value).orderBy(*tiebreak) if tiebreak else \
+            Window.partitionBy(*part, value).orderBy(F.lit(1))
+        j = j.withColumn("_tie", F.row_number().over(tie))
+    return (j.withColumn(n, (F.col("_rank") + F.col("_tie") - 1).cast("int"))
             .withColumn(r, F.col("_rank").cast("int")).withColumn(d, F.col("_dense").cast("int"))
-            .drop("_rank", "_dense"))
+            .drop("_rank", "_dense", "_tie"))
 
 
 def first_ntile(df: DataFrame, order: str, tiebreak: Sequence[str], buckets: int) -> DataFrame:

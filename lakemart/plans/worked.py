@@ -103,7 +103,8 @@ def first_20pct(business: DataFrame) -> DataFrame:
 
 # Q-11
 def subject_rank(score: DataFrame) -> DataFrame:
-    return rank_family(score, ["subject"], "score", desc=True, tiebreak=["name"])
+    return rank_family(score, ["subject"], "score", desc=True, tiebreak=["name"],
+                       tie_bucket=F.substring("name", 1, 3))
 
 
 # Q-12

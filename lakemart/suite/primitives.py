@@ -600,7 +600,7 @@ def w13(spark, sf):
     """W-13 rank / dense_rank / row_number (histogram ranks)."""
     from ..operators.ranking import rank_family
     ut = _d(spark, sf).events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return rank_family(ut, ["event_type"], "n", tiebreak=["user_id"])
+    return rank_family(ut, ["event_type"], "n", tiebreak=["user_id"], tie_bucket=F.floor(F.col("user_id") / 100))
 
 
 @register("win_rank_over_aggregate", """select event_type, count(*) n,

@@ -46,12 +46,14 @@ def test_rank_family_matches_windows(spark):
     data = [(random.choice("xyz"), random.randint(0, 9), f"n{i}") for i in range(500)]
     df = spark.createDataFrame(data, "subject string, score int, name string")
     got = rank_family(df, ["subject"], "score", tiebreak=["name"])
+    got2 = rank_family(df, ["subject"], "score", tiebreak=["name"], tie_bucket=F.substring("name", 1, 2))
     w = Window.partitionBy("subject").orderBy(F.col("score").desc())
     want = df.select("*", F.rank().over(w).alias("rp"), F.dense_rank().over(w).alias("drp"),
                      F.row_number().over(Window.partitionBy("subject").orderBy(F.col("score").desc(), "name"))
                      .alias("rmp"))
     cols = ("subject", "score", "name", "rp", "drp", "rmp")
     assert rows(got, *cols) == rows(want, *cols)
+    assert rows(got2, *cols) == rows(want, *cols)
 
 
 def test_first_ntile_matches_ntile(spark):
