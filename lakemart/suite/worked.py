@@ -241,3 +241,13 @@ from emp group by deptno""", "emp"))
 def q20(spark, sf):
     """Q-20: mean salary per department."""
     return Q.avg_salary(WS.emp(_d(spark, sf)))
+
+
+@register("q_category_heat_count", with_ctes("""select category_name, count(videoId) count_video_id
+from video, unnest(category) t(category_name)
+group by category_name order by count_video_id desc, category_name limit 10""", "video"))
+def q14b(spark, sf):
+    """Q-14 second form (lateral view alias, counted column named differently); must
+    rank the same categories as ``q_category_heat``."""
+    heat = Q.category_heat(WS.video(_d(spark, sf)))
+    return heat.select("category_name", heat["hot"].alias("count_video_id"))
