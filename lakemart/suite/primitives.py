@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import add_days, local_time, mask, ratio
 from ..operators import cdc
 from ..operators.joins import full_outer_coalesce, one_row_join
-from ..operators.periods import choose_period, fan_out, recent_days
+from ..operators.periods import fan_out, recent_days
 from ..operators.sessions import first_per_group, last_per_group
 from ..oracle.domain import with_ctes
 from ..plans import rollups as R

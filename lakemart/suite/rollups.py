@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..functions.scalar import add_days
 from ..oracle.domain import SKU_ATTRS, nd_sql, with_ctes
