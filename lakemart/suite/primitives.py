@@ -775,14 +775,15 @@ def f07(spark, sf):
                     local_time_s(secs, "yyyy-MM-dd").alias("local_day"))
 
 
-@register("fn_date_add", with_ctes(f"""select recent_days,
-  strftime(date '{DAY}' + cast(-recent_days + 1 as integer), '%Y-%m-%d') lo
-from (values (1), (7), (30)) v(recent_days), (select count(*) n from order_info) t where n > 0""", "order_info"))
+@register("fn_date_add", with_ctes("""select order_id, recent_days,
+  strftime(cast(dt as date) + cast(-recent_days + 1 as integer), '%Y-%m-%d') lo
+from order_info, (values (1), (7), (30)) v(recent_days)""", "order_info"))
 def f08(spark, sf):
-    """F-08 ``date_add`` with a non-constant offset (``-recent_days + 1``)."""
-    x = fan_out(D.order_info(_d(spark, sf)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0), (1, 7, 30))
-    return x.select("recent_days", F.date_format(F.date_add(F.lit(DAY).cast("date"), -F.col("recent_days") + 1),
-                                                 "yyyy-MM-dd").alias("lo"))
+    """F-08 ``date_add`` with a non-constant offset (``-recent_days + 1``), per order."""
+    x = fan_out(D.order_info(_d(spark, sf)).select("order_id", "dt"), (1, 7, 30))
+    return x.select("order_id", "recent_days",
+                    F.date_format(F.date_add(F.col("dt").cast("date"), -F.col("recent_days") + 1),
+                                  "yyyy-MM-dd").alias("lo"))
 
 
 @register("fn_date_sub", with_ctes("""select order_id, strftime(cast(dt as date) - 7, '%Y-%m-%d') week_before
