@@ -54,7 +54,7 @@ def trailing(df: DataFrame, keys: Sequence[str], measures: dict[str, str], day:
             v = col(c)
             e = F.sum(v) if w == windows[-1] else F.sum(F.when(F.col(dt) >= F.lit(lo), v).otherwise(F.lit(0)))
             if stem in casts:
-                e = e.cast(casts[stem])
+                e = e.try_cast(casts[stem])
             aggs.append(e.alias(f"{stem}_{w}d"))
     return src.groupBy(*keys).agg(*aggs)
 
@@ -66,7 +66,7 @@ def to_date_first(df_1d: DataFrame, key: str, measures: dict[str, str], first: s
     aggs = [F.min(dt).alias(first), F.max(dt).alias(last)]
     for out, c in measures.items():
         e = F.sum(col(c))
-        aggs.append((e.cast(casts[out]) if out in casts else e).alias(out))
+        aggs.append((e.try_cast(casts[out]) if out in casts else e).alias(out))
     return df_1d.where(F.col(dt) <= F.lit(day)).groupBy(key).agg(*aggs)
 
 
@@ -92,5 +92,5 @@ def to_date_step(state: DataFrame, today: DataFrame, key: str, measures: dict[st
         cols.append(F.when(new_key.isNotNull(), F.lit(day)).otherwise(F.col(f"old.{last}")).alias(last))
     for s, t in measures.items():
         e = F.coalesce(F.col(f"old.{s}"), F.lit(0)) + F.coalesce(F.col(f"new.{t}"), F.lit(0))
-        cols.append((e.cast(casts[s]) if s in casts else e).alias(s))
+        cols.append((e.try_cast(casts[s]) if s in casts else e).alias(s))
     return j.select(*cols)

@@ -228,11 +228,11 @@ def cart_top3_by_category(cart_full: DataFrame, sku: DataFrame, day: str, k: int
 # J-60
 def trade_stats(uo1d, uond, ur1d, urnd, day: str) -> DataFrame:
     o1 = (uo1d.where(F.col("dt") == day)
-          .agg(F.sum("order_total_amount_1d").cast(MONEY).alias("order_total_amount"),
+          .agg(F.sum("order_total_amount_1d").try_cast(MONEY).alias("order_total_amount"),
                F.sum("order_count_1d").cast("bigint").alias("order_count"),
                F.count(F.lit(1)).alias("order_user_count")).select(F.lit(1).alias("recent_days"), "*"))
     on = (_nd_pick(uond, day, ["order_total_amount", "order_count"]).groupBy("recent_days")
-          .agg(F.sum("order_total_amount").cast(MONEY).alias("order_total_amount"),
+          .agg(F.sum("order_total_amount").try_cast(MONEY).alias("order_total_amount"),
                F.sum("order_count").cast("bigint").alias("order_count"),
                F.sum(F.when(F.col("order_count") > 0, 1).otherwise(0)).cast("bigint").alias("order_user_count")))
     r1 = (ur1d.where(F.col("dt") == day)
@@ -254,10 +254,10 @@ PROV = ["province_id", "province_name", "area_code", "iso_code", "iso_3166_2"]
 def order_by_province(po1d: DataFrame, pond: DataFrame, day: str) -> DataFrame:
     one = po1d.where(F.col("dt") == day).select(
         F.lit(1).alias("recent_days"), *PROV, F.col("order_count_1d").cast("bigint").alias("order_count"),
-        F.col("order_total_amount_1d").cast(MONEY).alias("order_total_amount"))
+        F.col("order_total_amount_1d").try_cast(MONEY).alias("order_total_amount"))
     nd = (_nd_pick(pond, day, ["order_count", "order_total_amount"]).groupBy("recent_days", *PROV)
           .agg(F.sum("order_count").cast("bigint").alias("order_count"),
-               F.sum("order_total_amount").cast(MONEY).alias("order_total_amount")))
+               F.sum("order_total_amount").try_cast(MONEY).alias("order_total_amount")))
     return (one.unionByName(nd).distinct()
             .select(F.lit(day).alias("dt"), "recent_days", *PROV[:4],
                     F.col("iso_3166_2").alias("iso_code_3166_2"), "order_count", "order_total_amount"))

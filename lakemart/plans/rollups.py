@@ -1,5 +1,9 @@
 """DWS rollups J-27..J-48 (and draft variants J-64..J-68).
 
+Sums are returned in the declared DECIMAL(16,2) with ``try_cast``: a total that no
+longer fits becomes NULL (the original engine's answer) instead of failing the job
+under ANSI mode — at 100 TB a 30-day total can outgrow 16 digits.
+
 Each 1-day rollup aggregates the fact *before* joining the dimension (A-16), so the
 join sees one row per group instead of one per event.  n-day rollups are one scan of
 30 daily partitions with conditional sums; to-date rollups fold yesterday's state with
@@ -30,10 +34,10 @@ def user_sku_order_1d(detail: DataFrame, sku: DataFrame) -> DataFrame:
     m = {
         "order_count_1d": F.count(F.lit(1)),
         "order_num_1d": F.sum("sku_num"),
-        "order_original_amount_1d": F.sum("split_original_amount").cast(MONEY),
-        "activity_reduce_amount_1d": F.sum(nvl0("split_activity_amount")).cast(MONEY),
-        "coupon_reduce_amount_1d": F.sum(nvl0("split_coupon_amount")).cast(MONEY),
-        "order_total_amount_1d": F.sum("split_total_amount").cast(MONEY),
+        "order_original_amount_1d": F.sum("split_original_amount").try_cast(MONEY),
+        "activity_reduce_amount_1d": F.sum(nvl0("split_activity_amount")).try_cast(MONEY),
+        "coupon_reduce_amount_1d": F.sum(nvl0("split_coupon_amount")).try_cast(MONEY),
+        "order_total_amount_1d": F.sum("split_total_amount").try_cast(MONEY),
     }
     agg = daily(detail, ["dt", "user_id", "sku_id"], m)
     return _with_sku(agg, sku, ["user_id", "sku_id"], list(m))
@@ -62,7 +66,7 @@ def user_sku_refund_1d(refund: DataFrame, sku: DataFrame) -> DataFrame:
     m = {
         "order_refund_count_1d": F.count(F.lit(1)),
         "order_refund_num_1d": F.sum("refund_num"),
-        "order_refund_amount_1d": F.sum("refund_amount").cast(MONEY),
+        "order_refund_amount_1d": F.sum("refund_amount").try_cast(MONEY),
     }
     agg = daily(refund, ["dt", "user_id", "sku_id"], m)
     return _with_sku(agg, sku, ["user_id", "sku_id"], list(m))
@@ -87,7 +91,7 @@ def user_order_1d(detail: DataFrame) -> DataFrame:
     }
     agg = daily_distinct(detail, ["user_id", "dt"], "order_id", "order_count_1d", sums)
     return agg.select("user_id", "order_count_1d", F.col("order_num_1d"),
-                      *[F.col(c).cast(MONEY).alias(c) for c in list(sums)[1:]], "dt")
+                      *[F.col(c).try_cast(MONEY).alias(c) for c in list(sums)[1:]], "dt")
 
 
 # J-32
@@ -134,7 +138,7 @@ def user_payment_1d(pay_detail: DataFrame) -> DataFrame:
     sums = {"payment_num_1d": F.sum("sku_num"), "payment_amount_1d": F.sum("split_payment_amount")}
     agg = daily_distinct(pay_detail, ["user_id", "dt"], "order_id", "payment_count_1d", sums)
     return agg.select("user_id", "payment_count_1d", "payment_num_1d",
-                      F.col("payment_amount_1d").cast(MONEY).alias("payment_amount_1d"), "dt")
+                      F.col("payment_amount_1d").try_cast(MONEY).alias("payment_amount_1d"), "dt")
 
 
 PAY_STEMS = ["payment_count", "payment_num", "payment_amount"]
@@ -172,7 +176,7 @@ def province_order_1d(detail: DataFrame, province: DataFrame) -> DataFrame:
         "order_total_amount_1d": F.sum("split_total_amount"),
     }
     agg = daily_distinct(detail, ["province_id", "dt"], "order_id", "order_count_1d", sums)
-    agg = agg.select("province_id", "dt", "order_count_1d", *[F.col(c).cast(MONEY).alias(c) for c in sums])
+    agg = agg.select("province_id", "dt", "order_count_1d", *[F.col(c).try_cast(MONEY).alias(c) for c in sums])
     m = ["order_count_1d", *sums]
     p = province.select(F.col("id").alias("_pid"), "province_name", "area_code", "iso_code", "iso_3166_2")
     j = agg.join(F.broadcast(p), agg.province_id == p._pid, "left")  # provinces: a fixed geography list
@@ -189,7 +193,7 @@ def province_order_nd(po1d: DataFrame, day: str) -> DataFrame:
 # J-41
 def user_refund_1d(refund: DataFrame) -> DataFrame:
     m = {"order_refund_count_1d": F.count(F.lit(1)), "order_refund_num_1d": F.sum("refund_num"),
-         "order_refund_amount_1d": F.sum("refund_amount").cast(MONEY)}
+         "order_refund_amount_1d": F.sum("refund_amount").try_cast(MONEY)}
     return daily(refund, ["user_id", "dt"], m).select("user_id", *m, "dt")
 
 
@@ -267,7 +271,7 @@ def draft_user_brand_1d(detail: DataFrame, sku: DataFrame) -> DataFrame:
     j = detail.join(s, detail.sku_id == s._sid, "left")
     return (j.groupBy("user_id", "tm_id", "tm_name", "dt")
             .agg(F.count(F.lit(1)).alias("order_count"), F.sum("sku_num").alias("order_num"),
-                 F.sum("split_total_amount").cast(MONEY).alias("order_total_amount"))
+                 F.sum("split_total_amount").try_cast(MONEY).alias("order_total_amount"))
             .select("user_id", "tm_id", "tm_name", "order_count", "order_num", "order_total_amount", "dt"))
 
 
@@ -288,14 +292,14 @@ def draft_order_td_first(detail: DataFrame, day: str) -> DataFrame:
     return (detail.where(F.col("dt") <= day).groupBy("user_id")
             .agg(F.min("dt").alias("order_date_first"), F.max("dt").alias("order_date_last"),
                  F.count_distinct("order_id").alias("order_count"), F.sum("sku_num").alias("order_num"),
-                 F.sum("split_total_amount").cast(MONEY).alias("order_total_amount"))
+                 F.sum("split_total_amount").try_cast(MONEY).alias("order_total_amount"))
             .withColumn("dt", F.lit(day)))
 
 
 def _draft_today(detail: DataFrame, day: str) -> DataFrame:
     return (detail.where(F.col("dt") == day).groupBy("user_id")
             .agg(F.count_distinct("order_id").alias("order_count"), F.sum("sku_num").alias("order_num"),
-                 F.sum("split_total_amount").cast(MONEY).alias("order_total_amount")))
+                 F.sum("split_total_amount").try_cast(MONEY).alias("order_total_amount")))
 
 
 def draft_order_td_full_outer(prev: DataFrame, detail: DataFrame, day: str) -> DataFrame:
@@ -315,5 +319,5 @@ def draft_order_td_union(prev: DataFrame, detail: DataFrame, day: str) -> DataFr
             .agg(F.min("order_date_first").alias("order_date_first"), F.max("order_date_last").alias("order_date_last"),
                  F.sum("order_count").cast("bigint").alias("order_count"),
                  F.sum("order_num").cast("bigint").alias("order_num"),
-                 F.sum("order_total_amount").cast(MONEY).alias("order_total_amount"))
+                 F.sum("order_total_amount").try_cast(MONEY).alias("order_total_amount"))
             .withColumn("dt", F.lit(day)))

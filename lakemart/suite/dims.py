@@ -211,8 +211,8 @@ def coupon_order_nd(dim_coupon, detail, day):
           .select("coupon_id", "split_original_amount", "split_coupon_amount"))
     j = cou.join(od, cou.id == od.coupon_id, "left")
     return (j.groupBy("id", "coupon_name", "coupon_type_code", "coupon_type_name", "benefit_rule", "start_date")
-            .agg(F.sum("split_original_amount").cast(MONEY).alias("original_amount_30d"),
-                 F.sum("split_coupon_amount").cast(MONEY).alias("coupon_reduce_amount_30d"))
+            .agg(F.sum("split_original_amount").try_cast(MONEY).alias("original_amount_30d"),
+                 F.sum("split_coupon_amount").try_cast(MONEY).alias("coupon_reduce_amount_30d"))
             .select(F.col("id").alias("coupon_id"), "coupon_name", "coupon_type_code", "coupon_type_name",
                     F.col("benefit_rule").alias("coupon_rule"), "start_date", "original_amount_30d",
                     "coupon_reduce_amount_30d", F.lit(day).alias("dt")))
@@ -230,8 +230,8 @@ def activity_order_nd(dim_activity, detail, day):
           .select(F.col("activity_id").alias("_aid"), "split_original_amount", "split_activity_amount"))
     j = act.join(od, act.activity_id == od._aid, "left")
     return (j.groupBy("activity_id", "activity_name", "activity_type_code", "activity_type_name", "start_time")
-            .agg(F.sum("split_original_amount").cast(MONEY).alias("original_amount_30d"),
-                 F.sum("split_activity_amount").cast(MONEY).alias("activity_reduce_amount_30d"))
+            .agg(F.sum("split_original_amount").try_cast(MONEY).alias("original_amount_30d"),
+                 F.sum("split_activity_amount").try_cast(MONEY).alias("activity_reduce_amount_30d"))
             .select("activity_id", "activity_name", "activity_type_code", "activity_type_name",
                     F.date_format("start_time", "yyyy-MM-dd").alias("start_date"), "original_amount_30d",
                     "activity_reduce_amount_30d", F.lit(day).alias("dt")))

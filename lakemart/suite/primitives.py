@@ -391,12 +391,12 @@ def a10(spark, sf):
         F.concat_ws("|", F.sort_array(F.collect_set("p_type"))).alias("types"))
 
 
-@register("agg_global", with_ctes("""select count(*) n, cast(sum(total_amount) as decimal(18,2)) total
+@register("agg_global", with_ctes("""select count(*) n, cast(sum(total_amount) as decimal(38,2)) total
 from order_info""", "order_info"))
 def a11(spark, sf):
     """A-11 aggregate without keys (one row)."""
     return D.order_info(_d(spark, sf)).agg(F.count(F.lit(1)).alias("n"),
-                                           F.sum("total_amount").cast("decimal(18,2)").alias("total"))
+                                           F.sum("total_amount").cast("decimal(38,2)").alias("total"))
 
 
 @register("agg_group_as_distinct", with_ctes("""select province_id, order_status from order_info
@@ -429,12 +429,12 @@ def a14(spark, sf):
 
 
 @register("agg_null_safe_sum", with_ctes("""select province_id,
-  cast(sum(coalesce(split_activity_amount, 0)) as decimal(18,2)) activity_cut from order_detail group by province_id""",
+  cast(sum(coalesce(split_activity_amount, 0)) as decimal(38,2)) activity_cut from order_detail group by province_id""",
     "order_detail"))
 def a15(spark, sf):
     """A-15 ``sum(nvl(x, 0))``."""
     return D.order_detail(_d(spark, sf)).groupBy("province_id").agg(
-        F.sum(F.coalesce("split_activity_amount", F.lit(0))).cast("decimal(18,2)").alias("activity_cut"))
+        F.sum(F.coalesce("split_activity_amount", F.lit(0))).cast("decimal(38,2)").alias("activity_cut"))
 
 
 @register("agg_before_join", with_ctes("""select a.sku_id, s.tm_name, a.lines
