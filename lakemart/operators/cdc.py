@@ -34,9 +34,11 @@ def two_days(day: str) -> list[str]:
 
 
 def old_value(c: str, cast: str | None = None) -> Column:
-    """P-03 ``old['c']`` (NULL when absent), optionally cast (Spark rejects text-number mixing)."""
+    """P-03 ``old['c']`` (NULL when absent), optionally cast (Spark rejects text-number
+    mixing).  ``try_cast``: a malformed previous value reads as NULL instead of
+    failing the load."""
     v = F.col("old")[c]
-    return v.cast(cast) if cast else v
+    return v.try_cast(cast) if cast else v
 
 
 def decode(df: DataFrame, code: str, dic: DataFrame, parent: str, out: str) -> DataFrame:

@@ -168,7 +168,7 @@ def page_log(drv: Driver, lo: str | None = None, hi: str | None = None) -> DataF
     fourth event; clicks carry actions, views carry displays, signups an app start,
     errors an error struct."""
     e = _between(drv.events, "ts", lo, hi)
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     ms = epoch_ms("ts")
     et = F.col("event_type")
     common = F.struct(
@@ -217,7 +217,7 @@ def page_log(drv: Driver, lo: str | None = None, hi: str | None = None) -> DataF
 def cart_snapshot(drv: Driver, day: str) -> DataFrame:
     """Cart contents on ``day``: every click up to that day is a cart row."""
     e = _between(drv.events.where(F.col("event_type") == "click"), "ts", None, day)
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     return e.select(
         F.col("event_id").alias("id"),
         F.col("user_id"),
@@ -289,7 +289,7 @@ def cart_inc(drv: Driver) -> DataFrame:
     second row raises the quantity (kept as a delta), lowers it (dropped), or
     changes another column (dropped)."""
     e = drv.events.where(F.col("event_type") == "click")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     x = e.select("event_id", "user_id", "value", "ts", k.alias("k"), _epoch_s("ts").alias("ts_s"),
                  day_of("ts").alias("dt"))
     num = (F.floor("value") + 1).cast("bigint")
@@ -383,7 +383,7 @@ def coupon_use_inc(drv: Driver) -> DataFrame:
 
 def interaction_inc(drv: Driver, kind: str) -> DataFrame:
     """Favourites (every tenth view, by ``k``) or comments (purchases) as insert rows."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     if kind == "favor":
         e = drv.events.where((F.col("event_type") == "view") & (k % 10 == 0))
         extra = [F.lit("0").alias("is_cancel")]
