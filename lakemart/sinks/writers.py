@@ -16,16 +16,22 @@ from ..session import checkpoint_dir
 
 
 def partition_layout(df: DataFrame, cols: list[str], salt_buckets: int = 1) -> DataFrame:
-    """Layout before a partitioned write: hash rows by the partition columns so each
-    output folder is written by one task and the folders are spread over all tasks
-    (one file per folder instead of one per folder per input task).  A load whose
-    single day is large passes ``salt_buckets`` > 1 to spread that day over several
-    tasks / files."""
+    """Layout before a partitioned write.
+
+    On a cluster: the ``REBALANCE`` hint on the partition columns — AQE then splits a
+    large day into advisory-size files (``spark.sql.adaptive.advisoryPartitionSizeInBytes``)
+    and merges small days, so neither one huge task per day nor thousands of tiny
+    files.  In local mode (tests) the rows are hashed by the partition columns over the
+    shuffle partitions instead: one file per folder, folders spread over all threads.
+    ``salt_buckets`` > 1 forces a day to be spread over that many files in both modes."""
     from pyspark.sql import functions as F
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    spark = df.sparkSession
     keys = [F.col(c) for c in cols]
     if salt_buckets > 1:
         keys.append(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets)))
+    if not spark.sparkContext.master.startswith("local"):
+        return df.repartition(*keys) if salt_buckets > 1 else df.hint("rebalance", *cols)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return df.repartition(max(n, salt_buckets), *keys)
 
 
