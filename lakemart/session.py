@@ -24,12 +24,12 @@ JOB_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the jobs need to an existing session."""
+    """Apply the runtime settings the jobs need to an existing session.  All of them are
+    runtime settings of a session: one that cannot be set is an error, since a job that ran
+    on without it could shift days or keep stale partitions."""
     for k, v in JOB_CONF.items():
-        try:
+        if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: keep what the cluster set
-            pass
     return spark
 
 
@@ -54,17 +54,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and staged writes.
 
-    The cluster's ``spark.checkpoint.dir`` wins.  Only when it is unset is one chosen:
-    a scratch folder in local mode (tests), otherwise a folder under the shared
-    warehouse location — never a machine-local path on a cluster."""
+    The cluster's ``spark.checkpoint.dir`` wins.  Only where it is unset is one chosen, the
+    same way in every mode: a folder under the warehouse location, which driver and
+    executors share."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        if spark.sparkContext.master.startswith("local"):
-            import tempfile
-            d = tempfile.mkdtemp(prefix="lakemart-ckpt-")
-        else:
-            d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lakemart_checkpoints"
-        spark.sparkContext.setCheckpointDir(d)
-    elif not spark.sparkContext.getCheckpointDir():
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lakemart_checkpoints"
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
