@@ -63,3 +63,11 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN own USING (r)
 def op10(spark, sf_dir):
     from . import decontam
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@register("op4_bpe")
+def op4(spark, sf_dir):
+    import public_tokenizers
+    from . import bpe
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), full=False).drop("text")
