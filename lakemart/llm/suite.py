@@ -71,3 +71,9 @@ def op4(spark, sf_dir):
     from . import bpe
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), full=False).drop("text")
+
+
+@register("op1_fingerprints")
+def op1(spark, sf_dir):
+    from . import iblt
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
