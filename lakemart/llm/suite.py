@@ -77,3 +77,9 @@ def op4(spark, sf_dir):
 def op1(spark, sf_dir):
     from . import iblt
     return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op3_language")
+def op3(spark, sf_dir):
+    from . import langid
+    return langid.languages(table(spark, sf_dir, "documents"))
