@@ -83,3 +83,10 @@ def op1(spark, sf_dir):
 def op3(spark, sf_dir):
     from . import langid
     return langid.languages(table(spark, sf_dir, "documents"))
+
+
+@register("op9_toxicity")
+def op9(spark, sf_dir):
+    from . import toxicity
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
