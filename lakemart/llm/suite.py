@@ -90,3 +90,9 @@ def op9(spark, sf_dir):
     from . import toxicity
     found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@register("op7_quality")
+def op7(spark, sf_dir):
+    from . import quality
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
