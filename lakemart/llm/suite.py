@@ -96,3 +96,9 @@ def op9(spark, sf_dir):
 def op7(spark, sf_dir):
     from . import quality
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op5_jaccard_join")
+def op5(spark, sf_dir):
+    from . import sigtree
+    return sigtree.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
