@@ -102,3 +102,31 @@ def op7(spark, sf_dir):
 def op5(spark, sf_dir):
     from . import sigtree
     return sigtree.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split(replace(replace(coalesce(text, ''), chr(10), chr(10) || chr(1) || chr(2)), '. ', '. ' || chr(1) || chr(2)),
+                                  chr(1) || chr(2)), lambda x: x <> '') AS u
+  FROM documents),
+l AS (SELECT r, doc_id, i, u[i] AS x, CAST('0x' || substr(md5(u[i]), 1, 8) AS BIGINT) AS h
+      FROM (SELECT r, doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM d)),
+rolled AS (SELECT *, (h + 31 * lag(h, 1, 0) OVER (PARTITION BY r ORDER BY i)) % 3 = 0 AS c FROM l),
+cuts AS (SELECT *, c AND NOT lag(c, 1, false) OVER (PARTITION BY r ORDER BY i) AS e FROM rolled),
+own AS (SELECT *, coalesce(sum(CAST(e AS INT)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM cuts),
+chunk AS (SELECT r, doc_id, k, min(i) AS s, count(*) AS n, string_agg(x, '' ORDER BY i) AS t FROM own GROUP BY r, doc_id, k),
+ranked AS (SELECT *, n >= 2 AND length(t) >= 100 AND dense_rank() OVER (PARTITION BY t, n >= 2 ORDER BY doc_id, s) > 1 AS gone FROM chunk),
+kept AS (
+  SELECT r, coalesce(sum(CASE WHEN gone THEN n ELSE 0 END), 0) AS n_removed,
+         coalesce(string_agg(t, '' ORDER BY k) FILTER (WHERE NOT gone), '') AS text
+  FROM ranked GROUP BY r)
+SELECT d.doc_id, CAST(len(d.u) AS BIGINT) AS n_lines, CAST(coalesce(kept.n_removed, 0) AS BIGINT) AS n_removed, coalesce(kept.text, '') AS text
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
+@register("op6_line_chunks", OP6_SQL)
+def op6(spark, sf_dir):
+    from . import linechunks
+    return linechunks.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
