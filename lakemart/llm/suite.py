@@ -130,3 +130,55 @@ FROM d LEFT JOIN kept USING (r)
 def op6(spark, sf_dir):
     from . import linechunks
     return linechunks.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP2_SQL = r"""
+WITH u AS (
+  SELECT row_number() OVER () AS r, page_id,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT r, page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)(?:\?([^#]*))?', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^([^/?#]*)([^?#]*)(?:\?([^#]*))?', 2) AS path,
+         translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)(?:\?([^#]*))?', 3), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS query
+  FROM u),
+listed(rule, rhost, rpath, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+fits AS (
+  SELECT r, rule, verdict, row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC, rule DESC) AS k
+  FROM p JOIN listed ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+x AS (
+  SELECT p.*, f.rule, f.verdict AS known,
+         list_distinct(list_transform(regexp_extract_all(host, '[a-z0-9-]+'), lambda t: 'h:' || t)
+           || list_transform(list_filter(regexp_extract_all(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+'),
+                                         lambda t: regexp_matches(t, '[a-z]')), lambda t: 'p:' || t)
+           || list_transform(regexp_extract_all(query, '([a-z0-9_]+)=', 1), lambda t: 'q:' || t)) AS tokens
+  FROM p LEFT JOIN fits f ON f.r = p.r AND f.k = 1),
+labelled AS (
+  SELECT row_number() OVER () AS t, tokens,
+         coalesce(known, CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 'block' ELSE 'allow' END) AS label
+  FROM x JOIN labels ON page_id = doc_id),
+least AS (SELECT ceil(0.01 * count(*)) AS n FROM labelled),
+one AS (SELECT t, label, unnest(tokens) AS a FROM labelled),
+held AS (
+  SELECT t, label, a, NULL AS b FROM one
+  UNION ALL SELECT x.t, x.label, x.a, y.a FROM one x JOIN one y ON x.t = y.t AND x.a < y.a),
+total AS (SELECT a, b, count(*) AS n FROM held GROUP BY a, b),
+mined AS (
+  SELECT h.a, h.b, h.label, count(*) AS support, count(*) / any_value(total.n) AS confidence
+  FROM held h JOIN total ON h.a = total.a AND h.b IS NOT DISTINCT FROM total.b
+  GROUP BY h.a, h.b, h.label
+  HAVING count(*) >= (SELECT n FROM least) AND count(*) / any_value(total.n) >= 0.6),
+open AS (SELECT r, tokens FROM x WHERE known IS NULL),
+best AS (
+  SELECT r, label, confidence, concat_ws(' ', a, b) AS mined,
+         row_number() OVER (PARTITION BY r ORDER BY b IS NULL, confidence DESC, support DESC, label = 'allow', concat_ws(' ', a, b)) AS k
+  FROM (SELECT r, tokens, unnest(tokens) AS tok FROM open) o JOIN mined ON o.tok = mined.a AND (b IS NULL OR list_contains(tokens, b)))
+SELECT x.page_id, x.host, x.path, x.rule, coalesce(x.known, best.label, 'allow') AS verdict, best.mined, best.confidence
+FROM x LEFT JOIN best ON best.r = x.r AND best.k = 1
+"""
+
+
+@register("op2_url_rules", OP2_SQL)
+def op2(spark, sf_dir):
+    from . import urlrules
+    return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
