@@ -182,3 +182,9 @@ FROM x LEFT JOIN best ON best.r = x.r AND best.k = 1
 def op2(spark, sf_dir):
     from . import urlrules
     return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@register("op8_licenses")
+def op8(spark, sf_dir):
+    from . import licenses
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
