@@ -258,15 +258,14 @@ def _tokenizer(sent) -> WordBPE:
 GROUP_BYTES = 4 << 20
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", full: bool = True, ids_col: str = "ids",
-           decoded_col: str = "decoded", prefix: str = "") -> DataFrame:
-    """Append each text's ids and decoded text (``full``), and always their number and SHA-256
-    digests: ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` (names after ``prefix``).  An
-    input column of the same name is replaced."""
+def encode(df: DataFrame, path: str, text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
+    """Append each text's ``ids`` and ``decoded`` text (where asked for), their number and
+    SHA-256 digests: ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned 32-bit
+    numbers), ``decoded_sha256``.  Input columns of these names are replaced."""
     sent = load(df.sparkSession, path)
-    added = [T.StructField(ids_col, T.ArrayType(T.LongType())), T.StructField(decoded_col, T.StringType())] if full else []
-    added += [T.StructField(prefix + "n_tokens", T.LongType()), T.StructField(prefix + "ids_sha256", T.StringType()),
-              T.StructField(prefix + "decoded_sha256", T.StringType())]
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else []
+    added += [T.StructField("decoded", T.StringType())] if decoded else []
+    added += [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     names = {f.name for f in added}
     kept = [f for f in df.schema.fields if f.name not in names]
     out = T.StructType(kept + added)
@@ -276,7 +275,6 @@ def encode(df: DataFrame, path: str, text_col: str = "text", full: bool = True,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(sent)
         for batch in batches:
-            ids, decoded, counts, ids_sha, decoded_sha = [], [], [], [], []
             texts = batch.column(batch.num_columns - 1).to_pylist()
             at = 0
             while at < len(texts):
@@ -284,19 +282,18 @@ def encode(df: DataFrame, path: str, text_col: str = "text", full: bool = True,
                 while upto < len(texts) and (upto == at or size + len(texts[upto] or "") <= GROUP_BYTES):
                     size += len(texts[upto] or "")
                     upto += 1
-                for a, b in bpe.encode_batch(texts[at:upto]):
-                    counts.append(len(a) // 4)
-                    ids_sha.append(hashlib.sha256(a).hexdigest())
-                    decoded_sha.append(hashlib.sha256(b).hexdigest())
-                    if full:
-                        ids.append(np.frombuffer(a, "<u4").astype(np.int64))
-                        decoded.append(b.decode())
+                codes, strings = zip(*bpe.encode_batch(texts[at:upto]), strict=True)
+                counts = np.array([len(c) // 4 for c in codes], np.int64)
+                columns = [c.slice(at, upto - at) for c in batch.columns[:-1]]
+                if ids:
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(codes), "<i4"))))
+                if decoded:
+                    columns.append(pa.array([b.decode() for b in strings], pa.string()))
+                columns += [pa.array(counts), pa.array([hashlib.sha256(c).hexdigest() for c in codes], pa.string()),
+                            pa.array([hashlib.sha256(b).hexdigest() for b in strings], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out.fields])
                 at = upto
-            columns = [*batch.columns[:-1]]
-            if full:
-                columns += [pa.array(ids, pa.list_(pa.int64())), pa.array(decoded, pa.string())]
-            columns += [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out.fields])
 
     small_batches(df.sparkSession)
     return source.mapInArrow(run, out)

@@ -70,7 +70,7 @@ def op4(spark, sf_dir):
     import public_tokenizers
     from . import bpe
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), full=False).drop("text")
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), ids=False, decoded=False).drop("text")
 
 
 @register("op1_fingerprints")
