@@ -53,3 +53,13 @@ def one_row_join(df: DataFrame, one_row: DataFrame) -> DataFrame:
     for c in one_row.columns:
         out = out.withColumn(c, one_row.select(c).scalar())
     return out
+
+
+def null_safe_join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of ``other``, joined on equal keys where NULL equals NULL:
+    for joining back an aggregate of ``df`` itself, whose every row has its group there."""
+    named = other.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(named, cond).drop(*[f"_k_{k}" for k in keys])

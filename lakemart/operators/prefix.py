@@ -46,9 +46,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     x = x.withColumn("_local", F.sum(measure).over(w))
     tot = df.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.sum(measure).alias("_bt"))
     wc = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = _renamed(tot.select(*keys, "_b", F.coalesce(F.sum("_bt").over(wc), F.lit(0)).alias("_carry")), keys)
+    per = _renamed(tot.select(*keys, "_b", F.sum("_bt").over(wc).alias("_carry")), keys)
     j = _join_back(x, per, keys)
-    return j.withColumn(out, F.col("_local") + F.col("_carry")).drop("_b", "_local", "_carry")
+    # a sum over NULLs only is NULL: either side may have no value yet
+    total = F.coalesce(F.col("_local") + F.col("_carry"), F.col("_local"), F.col("_carry"))
+    return j.withColumn(out, total).drop("_b", "_local", "_carry")
 
 
 def lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, bucket: Column,
@@ -101,8 +103,10 @@ def moving_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure
     current + next row, each neighbour found across slice boundaries."""
     x = lag(df, keys, order, measure, "_prev_m", bucket)
     x = lead(x, keys, order, measure, "_next_m", bucket)
-    return (x.withColumn(out, F.col(measure) + F.coalesce("_prev_m", F.lit(0)) + F.coalesce("_next_m", F.lit(0)))
-            .drop("_prev_m", "_next_m"))
+    near = ("_prev_m", measure, "_next_m")
+    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in near), F.lit(0))
+    any_value = F.coalesce(*[F.col(c) for c in near]).isNotNull()  # NULL only where all three are
+    return x.withColumn(out, F.when(any_value, total)).drop("_prev_m", "_next_m")
 
 
 def steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, rn: str, nxt: str,

@@ -14,33 +14,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import null_safe_join
+
 
 def rank_family(df: DataFrame, part: Sequence[str], value: str, desc: bool = True,
                 tiebreak: Sequence[str] = (), names=("rp", "drp", "rmp"), tie_bucket=None) -> DataFrame:
     """rank / dense_rank / row_number over ``partition by part order by value``.
 
+    NULL groups and NULL values are groups and values like any other (NULLs come last in
+    descending order, first in ascending), as in the window.  The row number needs a
+    ``tiebreak`` that orders the rows of a tie; where ``names[2]`` is None no row is numbered
+    and no tie group is sorted.
+
     ``tie_bucket`` (a column that never decreases along ``tiebreak``, e.g. a prefix of
     a name) numbers the rows inside a tie group in two levels as well, so even one
     (group, value) pair holding a third of the rows is spread over tasks."""
     part = list(part)
+    r, d, n = names
+    if n is not None and not tiebreak:
+        raise ValueError("a row number needs a tiebreak; pass names=(rank, dense_rank, None) for the ranks alone")
     hist = df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_n"))
     o = F.col(value).desc() if desc else F.col(value).asc()
     w = Window.partitionBy(*part).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.select(*part, value,
                        (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).alias("_rank"),
                        (F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)) + 1).alias("_dense"))
-    j = df.join(hist, [*part, value])
-    r, d, n = names
-    if tie_bucket is not None and tiebreak:
+    j = null_safe_join(df, hist, [*part, value])
+    if n is not None and tie_bucket is not None:
         from .prefix import row_number
         j = row_number(j, [*part, value], list(tiebreak), "_tie", tie_bucket)
-    else:
-        tie = Window.partitionBy(*part, value).orderBy(*tiebreak) if tiebreak else \
-            Window.partitionBy(*part, value).orderBy(F.lit(1))
-        j = j.withColumn("_tie", F.row_number().over(tie))
-    return (j.withColumn(n, (F.col("_rank") + F.col("_tie") - 1).cast("int"))
-            .withColumn(r, F.col("_rank").cast("int")).withColumn(d, F.col("_dense").cast("int"))
-            .drop("_rank", "_dense", "_tie"))
+    elif n is not None:
+        j = j.withColumn("_tie", F.row_number().over(Window.partitionBy(*part, value).orderBy(*tiebreak)))
+    if n is not None:
+        j = j.withColumn(n, (F.col("_rank") + F.col("_tie") - 1).cast("int")).drop("_tie")
+    return (j.withColumn(r, F.col("_rank").cast("int")).withColumn(d, F.col("_dense").cast("int"))
+            .drop("_rank", "_dense"))
 
 
 def first_ntile(df: DataFrame, order: str, tiebreak: Sequence[str], buckets: int) -> DataFrame:
@@ -55,7 +63,7 @@ def first_ntile(df: DataFrame, order: str, tiebreak: Sequence[str], buckets: int
     hist = hist.select(order, "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
                        F.ceil(F.sum("_n").over(tot) / F.lit(buckets)).alias("_m"))
     hist = hist.where(F.col("_before") < F.col("_m"))  # values that start inside bucket 1
-    j = df.join(hist, order)
+    j = null_safe_join(df, hist, [order])  # NULLs sort first and fill the bucket like other values
     whole = j.where(F.col("_before") + F.col("_n") <= F.col("_m"))
     edge = j.where(F.col("_before") + F.col("_n") > F.col("_m"))
     wt = Window.partitionBy(order).orderBy(*tiebreak)
@@ -64,9 +72,9 @@ def first_ntile(df: DataFrame, order: str, tiebreak: Sequence[str], buckets: int
     return whole.unionByName(edge).drop("_n", "_before", "_m")
 
 
-def partition_total(df: DataFrame, keys: Sequence[str], measure: str, out: str, small: bool = False) -> DataFrame:
+def partition_total(df: DataFrame, keys: Sequence[str], measure: str, out: str) -> DataFrame:
     """``sum(m) over (partition by keys)`` (no ordering) as a partial aggregate joined
-    back; ``small=True`` broadcasts the totals when the key domain is bounded (e.g. a
-    month number)."""
+    back; rows with NULL keys form groups of their own.  A few totals are broadcast by AQE
+    from their measured size."""
     tot = df.groupBy(*keys).agg(F.sum(measure).alias(out))
-    return df.join(F.broadcast(tot) if small else tot, list(keys))
+    return null_safe_join(df, tot, list(keys))

@@ -1,8 +1,9 @@
 """Day-by-day materialisation of the trade layers (the production path).
 
 Each layer is a ``dt``-partitioned Parquet folder in a shared location.  A daily run
-for day D writes exactly the partitions it owns (dynamic partition overwrite, so a
-rerun replaces them and touches nothing else) and reads only the partitions it needs:
+for day D replaces exactly the partition ``dt=D`` (also with nothing: a rerun that yields
+no rows empties the day), the first load replaces the whole layer, and both read only
+the partitions they need:
 
     detail(D), refund(D)            <- landed rows of day D (pushed-down day bounds)
     order_1d(D), refund_1d(D)       <- detail(D) / refund(D) ⋈ sku   (aggregate first)
@@ -36,10 +37,14 @@ class Layers:
     def path(self, name: str) -> str:
         return f"{self.base.rstrip('/')}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> None:
-        """Dynamic partition overwrite of the days present in ``df``."""
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        partition_layout(df, ["dt"]).write.mode("overwrite").partitionBy("dt").parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, day: str | None) -> None:
+        """Replace the partition ``dt=day`` by the rows of ``df`` (all of that day), or with
+        ``day`` None the whole layer.  A static overwrite: what is not written again is gone."""
+        if day is None:
+            x, path = partition_layout(df, ["dt"]).write.partitionBy("dt"), self.path(name)
+        else:
+            x, path = df.where(F.col("dt") == F.lit(day)).drop("dt").hint("rebalance").write, f"{self.path(name)}/dt={day}"
+        x.option("partitionOverwriteMode", "static").mode("overwrite").parquet(path)
 
     def read(self, name: str, schema, lo: str, hi: str) -> DataFrame:
         df = self.spark.read.schema(schema).parquet(self.path(name))
@@ -53,29 +58,30 @@ def load_day(layers: Layers, drv: Driver, day: str, first: bool = False) -> Data
     sku = D.sku(drv)
     detail = D.order_detail(drv, lo, day)
     refund = D.refund_info(drv, lo, day)
-    layers.write(detail, "dwd_order_detail")
-    layers.write(refund, "dwd_order_refund")
+    own = None if first else day
+    layers.write(detail, "dwd_order_detail", own)
+    layers.write(refund, "dwd_order_refund", own)
     det_schema, ref_schema = detail.schema, refund.schema
     detail = layers.read("dwd_order_detail", det_schema, lo or "0000-00-00", day)
     refund = layers.read("dwd_order_refund", ref_schema, lo or "0000-00-00", day)
     od1d = R.user_sku_order_1d(detail, sku)
     rf1d = R.user_sku_refund_1d(refund, sku)
-    layers.write(od1d, "dws_user_sku_order_1d")
-    layers.write(rf1d, "dws_user_sku_refund_1d")
+    layers.write(od1d, "dws_user_sku_order_1d", own)
+    layers.write(rf1d, "dws_user_sku_refund_1d", own)
     lo30 = add_days(day, -29)
     od1d = layers.read("dws_user_sku_order_1d", od1d.schema, lo30, day)
     rf1d = layers.read("dws_user_sku_refund_1d", rf1d.schema, lo30, day)
-    layers.write(R.user_sku_order_nd(od1d, day), "dws_user_sku_order_nd")
-    layers.write(R.user_sku_refund_nd(rf1d, day), "dws_user_sku_refund_nd")
+    layers.write(R.user_sku_order_nd(od1d, day), "dws_user_sku_order_nd", day)
+    layers.write(R.user_sku_refund_nd(rf1d, day), "dws_user_sku_refund_nd", day)
     odnd = layers.read("dws_user_sku_order_nd", R.user_sku_order_nd(od1d, day).schema, day, day)
     rfnd = layers.read("dws_user_sku_refund_nd", R.user_sku_refund_nd(rf1d, day).schema, day, day)
     rows = P.trade_by_brand(od1d, odnd, rf1d, rfnd, day)
-    return append_report(layers, rows, "ads_trade_stats_by_tm")
+    return append_report(layers, rows, "ads_trade_stats_by_tm", day)
 
 
-def append_report(layers: Layers, rows: DataFrame, name: str) -> DataFrame:
+def append_report(layers: Layers, rows: DataFrame, name: str, day: str) -> DataFrame:
     """Report rows are keyed by their stat day, so the report folder is partitioned by
-    ``dt`` and a day's load replaces exactly its own partition (dynamic overwrite:
-    staged by the commit protocol, other days untouched, a rerun is idempotent)."""
-    layers.write(rows, name)
+    ``dt`` and a day's load replaces exactly its own partition (other days untouched, a
+    rerun is idempotent)."""
+    layers.write(rows, name, day)
     return layers.spark.read.schema(rows.schema).parquet(layers.path(name))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import MONEY, nvl0
+from ..functions.scalar import MONEY, add_days, nvl0
 from ..operators.rollup import daily, daily_distinct, to_date_first, to_date_step, trailing
 
 SKU_ATTRS = ["sku_name", "category1_id", "category1_name", "category2_id", "category2_name",
@@ -321,3 +321,39 @@ def draft_order_td_union(prev: DataFrame, detail: DataFrame, day: str) -> DataFr
                  F.sum("order_num").cast("bigint").alias("order_num"),
                  F.sum("order_total_amount").try_cast(MONEY).alias("order_total_amount"))
             .withColumn("dt", F.lit(day)))
+
+
+# J-46
+def coupon_order_nd(dim_coupon: DataFrame, detail: DataFrame, day: str) -> DataFrame:
+    """Coupons published in the last 30 days (upper bound added, §7.4 #24).  The lines are
+    summed per coupon before the join, so raw lines never meet on a coupon id."""
+    lo = add_days(day, -29)
+    cou = (dim_coupon.select("id", "coupon_name", "coupon_type_code", "coupon_type_name", "benefit_rule",
+                             F.date_format("start_time", "yyyy-MM-dd").alias("start_date"))
+           .where((F.col("start_date") >= lo) & (F.col("start_date") <= day)))
+    od = (detail.where((F.col("dt") >= lo) & (F.col("dt") <= day) & F.col("coupon_id").isNotNull())
+          .groupBy("coupon_id").agg(F.sum("split_original_amount").alias("_o"), F.sum("split_coupon_amount").alias("_c")))
+    return (cou.join(od, cou.id == od.coupon_id, "left")
+            .select(F.col("id").alias("coupon_id"), "coupon_name", "coupon_type_code", "coupon_type_name",
+                    F.col("benefit_rule").alias("coupon_rule"), "start_date",
+                    F.col("_o").try_cast(MONEY).alias("original_amount_30d"),
+                    F.col("_c").try_cast(MONEY).alias("coupon_reduce_amount_30d"), F.lit(day).alias("dt")))
+
+
+# J-47
+def activity_order_nd(dim_activity: DataFrame, detail: DataFrame, day: str) -> DataFrame:
+    """Activities started in the last 30 days; the rule-grain dimension is first reduced to
+    one row per activity (group by without aggregates, A-12), the lines to one per activity."""
+    lo = add_days(day, -29)
+    act = (dim_activity.where((F.date_format("start_time", "yyyy-MM-dd") >= lo)
+                              & (F.date_format("start_time", "yyyy-MM-dd") <= day))
+           .select("activity_id", "activity_name", "activity_type_code", "activity_type_name", "start_time")
+           .dropDuplicates())
+    od = (detail.where((F.col("dt") >= lo) & (F.col("dt") <= day) & F.col("activity_id").isNotNull())
+          .groupBy(F.col("activity_id").alias("_aid"))
+          .agg(F.sum("split_original_amount").alias("_o"), F.sum("split_activity_amount").alias("_c")))
+    return (act.join(od, act.activity_id == od._aid, "left")
+            .select("activity_id", "activity_name", "activity_type_code", "activity_type_name",
+                    F.date_format("start_time", "yyyy-MM-dd").alias("start_date"),
+                    F.col("_o").try_cast(MONEY).alias("original_amount_30d"),
+                    F.col("_c").try_cast(MONEY).alias("activity_reduce_amount_30d"), F.lit(day).alias("dt")))

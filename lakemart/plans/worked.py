@@ -66,7 +66,7 @@ def month_buyers(business: DataFrame, month: str, form: str = "join") -> DataFra
 # Q-06
 def month_total(business: DataFrame) -> DataFrame:
     x = business.withColumn("_m", F.month(F.col("orderdate").cast("date")))
-    return partition_total(x, ["_m"], "cost", "month_cost", small=True) \
+    return partition_total(x, ["_m"], "cost", "month_cost") \
         .select("name", "orderdate", "cost", F.col("month_cost").cast("bigint").alias("month_cost"))
 
 
@@ -144,11 +144,10 @@ def top20_categories(video: DataFrame) -> DataFrame:
 # Q-16
 def top50_related_rank(video: DataFrame) -> DataFrame:
     rel = _top_videos(video, 50, ["relatedId"]).select(F.explode("relatedId").alias("videoId"))
-    # the related list is at most 50 x |relatedId| rows: broadcast is bounded
-    j = video.select("videoId", "category").join(F.broadcast(rel), "videoId")
+    j = video.select("videoId", "category").join(rel, "videoId")
     cats = j.select(F.explode("category").alias("category_name"))
     agg = cats.groupBy("category_name").agg(F.count("category_name").alias("num"))
-    return rank_family(agg, [], "num", desc=True, tiebreak=["category_name"], names=("rk", "_d", "_r")) \
+    return rank_family(agg, [], "num", desc=True, names=("rk", "_d", None)) \
         .select("category_name", "num", "rk")
 
 

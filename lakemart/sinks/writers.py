@@ -11,28 +11,21 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
 
 def partition_layout(df: DataFrame, cols: list[str], salt_buckets: int = 1) -> DataFrame:
-    """Layout before a partitioned write.
-
-    On a cluster: the ``REBALANCE`` hint on the partition columns — AQE then splits a
-    large day into advisory-size files (``spark.sql.adaptive.advisoryPartitionSizeInBytes``)
-    and merges small days, so neither one huge task per day nor thousands of tiny
-    files.  In local mode (tests) the rows are hashed by the partition columns over the
-    shuffle partitions instead: one file per folder, folders spread over all threads.
-    ``salt_buckets`` > 1 forces a day to be spread over that many files in both modes."""
-    from pyspark.sql import functions as F
-    spark = df.sparkSession
-    keys = [F.col(c) for c in cols]
+    """Layout before a partitioned write: the ``REBALANCE`` hint on the partition columns.
+    AQE then splits a large day into advisory-size files
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) and merges small days, so there is
+    neither one huge task per day nor thousands of tiny files.  ``salt_buckets`` > 1 forces
+    a day to be spread over that many files."""
     if salt_buckets > 1:
-        keys.append(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets)))
-    if not spark.sparkContext.master.startswith("local"):
-        return df.repartition(*keys) if salt_buckets > 1 else df.hint("rebalance", *cols)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartition(max(n, salt_buckets), *keys)
+        keys = [F.col(c) for c in cols]
+        return df.repartition(*keys, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets)))
+    return df.hint("rebalance", *cols)
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
@@ -77,10 +70,7 @@ def overwrite_static_partition(spark: SparkSession, df: DataFrame, table: str, s
 
 
 def _partition_cols(spark: SparkSession, table: str) -> list[str]:
-    try:
-        return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
-    except Exception:  # noqa: BLE001
-        return []
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
 
 def overwrite_dynamic_partition(spark: SparkSession, df: DataFrame, table: str, salt_buckets: int = 1) -> None:
@@ -139,7 +129,6 @@ def load_partition(spark: SparkSession, table: str, files: DataFrame, spec: dict
     if overwrite:
         overwrite_static_partition(spark, files, table, spec)
     else:
-        from pyspark.sql import functions as F
         insert_append(spark, files.select("*", *[F.lit(v).alias(k) for k, v in spec.items()]), table)
 
 

@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.codes import OPEN_END
-from ..functions.scalar import MONEY, add_days
+from ..functions.scalar import add_days
 from ..oracle.domain import cte, with_ctes
 from ..plans import dims as DM
 from ..plans import reports as P
+from ..plans import rollups as R
 from ..registry import register
 from ..sources import domain as D
 from ..sources import snapshots as S
@@ -201,42 +202,6 @@ def q_zip_apply(spark, sf):
 LO30 = add_days(DAY, -29)
 
 
-def coupon_order_nd(dim_coupon, detail, day):
-    """J-46: coupons published in the last 30 days (upper bound added, §7.4 #24)."""
-    lo = add_days(day, -29)
-    cou = (dim_coupon.select("id", "coupon_name", "coupon_type_code", "coupon_type_name", "benefit_rule",
-                             F.date_format("start_time", "yyyy-MM-dd").alias("start_date"))
-           .where((F.col("start_date") >= lo) & (F.col("start_date") <= day)))
-    od = (detail.where((F.col("dt") >= lo) & (F.col("dt") <= day) & F.col("coupon_id").isNotNull())
-          .select("coupon_id", "split_original_amount", "split_coupon_amount"))
-    j = cou.join(od, cou.id == od.coupon_id, "left")
-    return (j.groupBy("id", "coupon_name", "coupon_type_code", "coupon_type_name", "benefit_rule", "start_date")
-            .agg(F.sum("split_original_amount").try_cast(MONEY).alias("original_amount_30d"),
-                 F.sum("split_coupon_amount").try_cast(MONEY).alias("coupon_reduce_amount_30d"))
-            .select(F.col("id").alias("coupon_id"), "coupon_name", "coupon_type_code", "coupon_type_name",
-                    F.col("benefit_rule").alias("coupon_rule"), "start_date", "original_amount_30d",
-                    "coupon_reduce_amount_30d", F.lit(day).alias("dt")))
-
-
-def activity_order_nd(dim_activity, detail, day):
-    """J-47: activities started in the last 30 days; the rule-grain dimension is first
-    reduced to one row per activity (group by without aggregates, A-12)."""
-    lo = add_days(day, -29)
-    act = (dim_activity.where((F.date_format("start_time", "yyyy-MM-dd") >= lo)
-                              & (F.date_format("start_time", "yyyy-MM-dd") <= day))
-           .select("activity_id", "activity_name", "activity_type_code", "activity_type_name", "start_time")
-           .dropDuplicates())
-    od = (detail.where((F.col("dt") >= lo) & (F.col("dt") <= day) & F.col("activity_id").isNotNull())
-          .select(F.col("activity_id").alias("_aid"), "split_original_amount", "split_activity_amount"))
-    j = act.join(od, act.activity_id == od._aid, "left")
-    return (j.groupBy("activity_id", "activity_name", "activity_type_code", "activity_type_name", "start_time")
-            .agg(F.sum("split_original_amount").try_cast(MONEY).alias("original_amount_30d"),
-                 F.sum("split_activity_amount").try_cast(MONEY).alias("activity_reduce_amount_30d"))
-            .select("activity_id", "activity_name", "activity_type_code", "activity_type_name",
-                    F.date_format("start_time", "yyyy-MM-dd").alias("start_date"), "original_amount_30d",
-                    "activity_reduce_amount_30d", F.lit(day).alias("dt")))
-
-
 cte("coupon_nd", f"""
 select id coupon_id, coupon_name, coupon_type_code, coupon_type_name, benefit_rule coupon_rule, start_date,
   cast(sum(split_original_amount) as decimal(16,2)) original_amount_30d,
@@ -263,12 +228,12 @@ group by act.activity_id, activity_name, activity_type_code, activity_type_name,
 
 def _coupon_nd(spark, sf):
     d = _d(spark, sf)
-    return coupon_order_nd(DM.dim_coupon(S.coupon_info(d), dictionary(spark)), D.order_detail(d, LO30, DAY), DAY)
+    return R.coupon_order_nd(DM.dim_coupon(S.coupon_info(d), dictionary(spark)), D.order_detail(d, LO30, DAY), DAY)
 
 
 def _activity_nd(spark, sf):
     d = _d(spark, sf)
-    return activity_order_nd(DM.dim_activity(S.activity_rule(d), S.activity_info(d), dictionary(spark)),
+    return R.activity_order_nd(DM.dim_activity(S.activity_rule(d), S.activity_info(d), dictionary(spark)),
                              D.order_detail(d, LO30, DAY), DAY)
 
 

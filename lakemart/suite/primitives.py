@@ -609,7 +609,78 @@ def w14(spark, sf):
     """W-14 rank groups by their count."""
     from ..operators.ranking import rank_family
     g = _d(spark, sf).events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return rank_family(g, [], "n", tiebreak=["event_type"], names=("rk", "_d", "_r")).select("event_type", "n", "rk")
+    return rank_family(g, [], "n", names=("rk", "_d", None)).select("event_type", "n", "rk")
+
+
+# the same operators over a frame with NULL keys, order values and measures
+NEV = f"""select event_id, case when user_id % 7 = 0 then null else user_id end user_id,
+  case when event_id % 11 = 0 then null else event_type end event_type,
+  case when event_id % 3 = 0 then null else cents end cents, case when event_id % 13 = 0 then null else dt end dt
+  from ({EV}) e0"""
+
+
+def _nev(spark, sf):
+    e = _ev(spark, sf)
+    return e.select("event_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("user_id"),
+                    F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("event_type"),
+                    F.when(F.col("event_id") % 3 != 0, F.col("cents")).alias("cents"),
+                    F.when(F.col("event_id") % 13 != 0, F.col("dt")).alias("dt"))
+
+
+@register("win_partition_total_nulls", f"""select event_id, cents,
+  cast(sum(cents) over (partition by event_type) as bigint) type_cents from ({NEV}) e""")
+def w08_nulls(spark, sf):
+    """W-08 with NULL keys and measures."""
+    from ..operators.ranking import partition_total
+    return partition_total(_nev(spark, sf), ["event_type"], "cents", "type_cents") \
+        .select("event_id", "cents", F.col("type_cents").cast("bigint").alias("type_cents"))
+
+
+@register("win_running_rows_nulls", f"""select event_id, cast(sum(cents) over (partition by user_id
+  order by dt nulls first, event_id rows between unbounded preceding and current row) as bigint) running from ({NEV}) e""")
+def w09_nulls(spark, sf):
+    """W-09 with NULL keys, order values and measures."""
+    from ..operators.prefix import running_sum
+    x = running_sum(_nev(spark, sf), ["user_id"], ["dt", "event_id"], "cents", "running", F.col("dt"), "rows")
+    return x.select("event_id", F.col("running").cast("bigint").alias("running"))
+
+
+@register("win_running_range_nulls", f"""select event_id, cast(sum(cents) over (partition by user_id
+  order by dt nulls first) as bigint) running from ({NEV}) e""")
+def w10_nulls(spark, sf):
+    """W-10 with NULL keys, order values and measures."""
+    from ..operators.prefix import running_sum
+    x = running_sum(_nev(spark, sf), ["user_id"], ["dt"], "cents", "running", F.col("dt"), "range")
+    return x.select("event_id", F.col("running").cast("bigint").alias("running"))
+
+
+@register("win_moving_rows_nulls", f"""select event_id, cast(sum(cents) over (partition by user_id
+  order by dt nulls first, event_id rows between 1 preceding and 1 following) as bigint) moving from ({NEV}) e""")
+def w11_nulls(spark, sf):
+    """W-11 with NULL keys, order values and measures."""
+    from ..operators.prefix import moving_sum
+    x = moving_sum(_nev(spark, sf), ["user_id"], ["dt", "event_id"], "cents", "moving", F.col("dt"))
+    return x.select("event_id", F.col("moving").cast("bigint").alias("moving"))
+
+
+@register("win_first_ntile_nulls", f"""select event_id, dt from (
+  select event_id, dt, ntile(5) over (order by dt nulls first, event_id) q from ({NEV}) e) t where q = 1""")
+def w12_nulls(spark, sf):
+    """W-12 first bucket with NULL order values, which sort first."""
+    from ..operators.ranking import first_ntile
+    return first_ntile(_nev(spark, sf), "dt", ["event_id"], 5).select("event_id", "dt")
+
+
+@register("win_rank_family_nulls", f"""select event_id, event_type, cents,
+  cast(rank() over (partition by event_type order by cents desc nulls last) as integer) rp,
+  cast(dense_rank() over (partition by event_type order by cents desc nulls last) as integer) drp,
+  cast(row_number() over (partition by event_type order by cents desc nulls last, event_id) as integer) rmp
+  from ({NEV}) t""")
+def w13_nulls(spark, sf):
+    """W-13 with NULL groups and NULL values."""
+    from ..operators.ranking import rank_family
+    x = _nev(spark, sf).select("event_id", "event_type", "cents")
+    return rank_family(x, ["event_type"], "cents", tiebreak=["event_id"], tie_bucket=F.floor(F.col("event_id") / 1000))
 
 
 @register("win_topk_rank", f"""select event_type, user_id, n from (
