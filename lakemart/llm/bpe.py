@@ -31,16 +31,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, with_text
 
 #: Words, and stretches of text without white space, whose encodings a task keeps: as many of
 #: the last ones in use, and as many again of those in use before.
 CACHE = 350_000
 
-# Fixed values of the file format: the white space of its patterns, its word pattern, and the
-# printable stand-ins of the 256 bytes.
+# Fixed values of the file format: the white space of its patterns, small letters, its word
+# pattern, and the printable stand-ins of the 256 bytes.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
+#: Capitals (and their small letters) that Python's Unicode tables do not know yet.
+NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+         **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+
+
+#: Letters and numbers of the regex module's Unicode version that are none in the file format's (16.0).
+LATER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF "
+    "10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 "
+    "16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF "
+    "1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD "
+    "323B0-33479 3D000-3FC3F "
+).split()
+
+
+def word_pattern() -> str:
+    """``'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+``, in the format's Unicode version."""
+    ranges = [(r.split("-")[0], r.split("-")[-1]) for r in LATER]
+    later = "".join(f"\\U{int(a, 16):08x}-\\U{int(b, 16):08x}" for a, b in ranges)
+    return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{later}]]+|[\p{{N}}--[{later}]]|[[^{SPACE}\p{{L}}\p{{N}}]||[{later}]]+"
 
 
 def byte_names() -> list[str]:
@@ -99,8 +119,9 @@ class WordBPE:
         codes = np.array(self.pair)
         self.order = np.argsort(codes)
         self.codes = codes[self.order]
-        self.words = regex.compile(WORD_PATTERN)
+        self.words = regex.compile(word_pattern())
         self.space = re.compile(f"[{SPACE}]+")
+        self.newer = re.compile("[" + "".join(map(chr, NEWER)) + "]")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kept = Recent(CACHE)  # word or longer stretch -> (ids, decoded)
 
@@ -111,6 +132,8 @@ class WordBPE:
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # lower() would choose between two forms by position
             text = text.replace("Σ", "σ")
+        if not text.isascii() and self.newer.search(text):
+            text = text.translate(NEWER)
         return text.lower()
 
     def pieces(self, text: str) -> list[str]:
@@ -269,13 +292,11 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids: bool = True, d
     names = {f.name for f in added}
     kept = [f for f in df.schema.fields if f.name not in names]
     out = T.StructType(kept + added)
-    # the text under a name of its own: an input column may be replaced or be no string
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(sent)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(-1).to_pylist()
             at = 0
             while at < len(texts):
                 upto, size = at, 0
@@ -296,4 +317,4 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids: bool = True, d
                 at = upto
 
     small_batches(df.sparkSession)
-    return source.mapInArrow(run, out)
+    return with_text(df, kept, text_col).mapInArrow(run, out)

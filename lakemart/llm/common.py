@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
@@ -35,15 +36,23 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def with_text(df: DataFrame, kept: list[T.StructField], text_col: str) -> DataFrame:
+    """The columns kept and, last, the text as a string, under a name that none of them has."""
+    name = "text_"
+    while any(f.name == name for f in kept):
+        name += "_"
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias(name))
+
+
 def texts_of(column) -> pa.Array:
     """A string column as one Arrow array without nulls (null: empty)."""
     x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return pc.fill_null(x, "")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Regroup batches into ones of about ``limit`` bytes of text: small ones are joined,
-    large ones cut between rows."""
+def blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Regroup batches into ones of about ``limit`` bytes of text (in the column of that
+    number): small ones are joined, large ones cut between rows."""
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -54,7 +63,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
     for batch in batches:
         if not batch.num_rows:
             continue
-        n = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), dtype=np.int64)
+        n = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         at = 0
         while at < len(n):
             upto = size + np.cumsum(n[at:])

@@ -53,7 +53,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: np.ndarray,
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, vocabulary = TaskContext.get().partitionId(), sent.value
-        for seq, b in enumerate(blocks(batches, "text")):
+        for seq, b in enumerate(blocks(batches, -1)):
             w = Words(texts_of(b.column(1)), WORD)
             at = np.minimum(np.searchsorted(vocabulary, w.key), max(len(vocabulary) - 1, 0))
             known = np.flatnonzero(vocabulary[at] == w.key) if len(vocabulary) else np.zeros(0, np.int64)

@@ -252,17 +252,20 @@ def successors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = x.select(F.col("id").cast("double").alias("key"), "id")
     bounds = sorted(set(ids.approxQuantile("key", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="key", outputCol="range", handleInvalid="keep")
     # null ids come after all others: range 0; the others from 1 on
-    place = F.when(F.col("id").isNull(), 0).otherwise(F.col("range").cast("int") + 1)
-    heads = {r["range"]: r["top"] for r in cut.transform(ids).select(place.alias("range"), "id").groupBy("range").agg(F.max("id").alias("top")).collect()}
+    if bounds:
+        cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="key", outputCol="range", handleInvalid="keep").transform
+        place = F.when(F.col("id").isNull(), 0).otherwise(F.col("range").cast("int") + 1)
+    else:  # one value at most
+        cut, place = lambda df: df, F.when(F.col("id").isNull(), 0).otherwise(1)
+    heads = {r["range"]: r["top"] for r in cut(ids).select(place.alias("range"), "id").groupBy("range").agg(F.max("id").alias("top")).collect()}
     ranges = sorted(heads)
     ghost = F.lit(None).cast("int")
     for k, r in enumerate(ranges):  # a range's first row follows the last row of the next higher range
         above = ranges[(k + 1) % len(ranges)]
         own = F.col("id").isNull() if heads[r] is None else F.col("id") == F.lit(heads[r])
         ghost = F.when(own, F.lit(above)).otherwise(ghost)
-    dealt = cut.transform(x.withColumn("key", F.col("id").cast("double"))).select(
+    dealt = cut(x.withColumn("key", F.col("id").cast("double"))).select(
         "id", "text", F.explode(F.array(F.struct(place.alias("range"), F.lit(0).alias("ghost")),
                                         F.struct(ghost.alias("range"), F.lit(1).alias("ghost")))).alias("p")) \
         .select("id", "text", F.col("p.range").alias("range"), F.col("p.ghost").alias("ghost")).where("range is not null")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, doc_hash, small_batches, texts_of
+from .common import blocks, doc_hash, small_batches, texts_of, with_text
 from .crf import Block, Crf
 
 #: Training sample: texts of each language, and characters of a text.
@@ -97,8 +97,8 @@ def predict(docs: DataFrame, model: Crf | None, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = sent.value
-        for batch in blocks(batches, "__text"):
-            texts = texts_of(batch.column(batch.num_columns - 1))
+        for batch in blocks(batches, -1):
+            texts = texts_of(batch.column(-1))
             language, score = ["und"] * len(texts), np.zeros(len(texts))
             if crf is not None:
                 block = Block(texts)
@@ -116,7 +116,7 @@ def predict(docs: DataFrame, model: Crf | None, text_col: str = "text") -> DataF
                                              names=[f.name for f in out.fields])
 
     small_batches(docs.sparkSession)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, out)
+    return with_text(docs, kept, text_col).mapInArrow(run, out)
 
 
 def tag(model: Crf, text: str) -> list[tuple[str, int, int, str, float]]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, blocks, small_batches, texts_of
+from .common import Words, blocks, small_batches, texts_of, with_text
 from .decontam import WORD
 from .license_texts import TEMPLATES
 
@@ -163,12 +163,12 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [t for t in (Template(k, v) for k, v in texts.items()) if t.words]
-        for batch in blocks(batches, "__text"):
-            found = scan_block(texts_of(batch.column(batch.num_columns - 1)), own, coverage)
+        for batch in blocks(batches, -1):
+            found = scan_block(texts_of(batch.column(-1)), own, coverage)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow)], names=[f.name for f in out.fields])
 
     small_batches(docs.sparkSession)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, out)
+    return with_text(docs, kept, text_col).mapInArrow(run, out)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

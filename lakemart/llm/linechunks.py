@@ -81,17 +81,21 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line
     """The documents with repeated chunks removed from ``text_col``, and ``lines_col`` and
     ``removed_col``: how many lines the text had, and how many of them were removed.  Input
     columns of these names are replaced."""
-    gone = repeats(docs, id_col, text_col).select(F.col("id").alias("__id"), "gone")
+    gone = repeats(docs, id_col, text_col).select(F.col("id").alias("gone_id"), "gone")
     kept = [c for c in docs.columns if c not in (lines_col, removed_col)]
-    x = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text")) \
-        .join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
-    changed = chunked(x.where("gone is not null"), "__text")
+    # the input's columns in one struct: none can clash with the names used here
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")) \
+        .join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left")
+
+    def columns(text: Column) -> list[Column]:
+        return [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in kept]
+
+    changed = chunked(x.where("gone is not null"), "text")
     stays = F.filter("chunks", lambda c: ~F.array_contains(F.col("gone"), F.struct(c["s"].alias("s"), F.md5(c["t"]).alias("digest"))))
     changed = _held(changed, "stays", stays)
     count = F.aggregate("stays", F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    changed = changed.select(*[F.array_join(F.transform("stays", lambda c: c["t"]), "").alias(c) if c == text_col else F.col(f"`{c}`") for c in kept],
+    changed = changed.select(*columns(F.array_join(F.transform("stays", lambda c: c["t"]), "")),
                              F.size("lines").cast("long").alias(lines_col), (F.size("lines") - count).alias(removed_col))
-    same = x.where("gone is null").select(
-        *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept],
-        F.size(lines(F.col("__text"))).cast("long").alias(lines_col), F.lit(0).cast("long").alias(removed_col))
+    same = x.where("gone is null").select(*columns(F.coalesce(F.col("text"), F.lit(""))),
+                                          F.size(lines(F.col("text"))).cast("long").alias(lines_col), F.lit(0).cast("long").alias(removed_col))
     return same.unionByName(changed)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import M1, Words, blocks, doc_hash, mix, small_batches, texts_of
+from .common import M1, Words, blocks, doc_hash, mix, small_batches, texts_of, with_text
 from .langid import held_out, sample
 from .toxicity import few
 
@@ -188,8 +188,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", explain: bool =
     out = T.StructType([*kept, *own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "__text"):
-            p = Passages(texts_of(batch.column(batch.num_columns - 1)))
+        for batch in blocks(batches, -1):
+            p = Passages(texts_of(batch.column(-1)))
             s, a = sent.value.score(p)
             columns = [*batch.columns[:-1], pa.array(s, pa.float64()), pa.array(s >= 0.5).cast(pa.int32())]
             if explain:
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", explain: bool =
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out.fields])
 
     small_batches(docs.sparkSession)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, out)
+    return with_text(docs, kept, text_col).mapInArrow(run, out)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Model:

@@ -148,7 +148,7 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
     """(kind 0) each row's id and set size; (kind 1) n-grams common in a block, and in how many
     of its documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, -1):
             s = Sets(texts_of(b.column(1)), n)
             key, count = np.unique(s.key, return_counts=True)
             often = np.flatnonzero(count >= max(4, b.num_rows * COMMON_PER_MILLE // 1000))
@@ -166,7 +166,7 @@ def routes(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, -1):
             s = Sets(texts_of(b.column(1)), n)
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             some = np.flatnonzero(s.size > 0)
@@ -357,7 +357,7 @@ UNIT_BYTES = 8 << 20
 def links(docs: DataFrame, family: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) that connect exactly the linked documents of each family."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, -1):
             s = Sets(texts_of(b.column(2)), n)
             d1, d2 = s.digest()
             raw = [s.key[f:f + k].tobytes() for f, k in zip(s.first, s.size, strict=True)]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, doc_hash, small_batches, texts_of
+from .common import blocks, doc_hash, small_batches, texts_of, with_text
 from .crf import Block, Crf
 from .langid import TEXTS, held_out, sample
 
@@ -199,8 +199,8 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in blocks(batches, "__text"):
-            texts = texts_of(batch.column(batch.num_columns - 1))
+        for batch in blocks(batches, -1):
+            texts = texts_of(batch.column(-1))
             n = len(texts)
             if own.crf is None:
                 score, found = np.full(n, own.share), [[] for _ in range(n)]
@@ -212,7 +212,7 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                                               pa.array(found, arrow)], names=[f.name for f in out.fields])
 
     small_batches(docs.sparkSession)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, out)
+    return with_text(docs, kept, text_col).mapInArrow(run, out)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str) -> DataFrame:

@@ -1,0 +1,63 @@
+import hashlib
+import json
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lakemart.llm import bpe
+
+from .cases import ROWS, documents, empty
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+tokenizers = pytest.importorskip("tokenizers")
+LIBRARY = tokenizers.Tokenizer.from_file(PATH)
+OWN = bpe.WordBPE(json.load(open(PATH)))
+
+
+def check(texts):
+    want = LIBRARY.encode_batch(texts, add_special_tokens=False)
+    for t, w, (ids, decoded) in zip(texts, want, OWN.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == w.ids, t
+        assert decoded.decode() == LIBRARY.decode(w.ids, skip_special_tokens=False) == OWN.decode(w.ids), t
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=60), max_size=6))
+def test_any_text_as_the_library(texts):
+    check(texts)
+
+
+def test_awkward_texts_as_the_library():
+    check([t or "" for _, t, *_ in ROWS] + ["a" * 3000, "ab" * 1000, "<|endoftext|><|startoftext|>", "x<|endoftext|>y", "'S 'll It's", "\x1cA\x85b c"])
+
+
+def test_merges_never_make_a_lower_rank():
+    """What lets all occurrences of a rank be merged at once: a pair with a merged symbol has a
+    higher rank than the merge that made the symbol."""
+    made = {i: r for r, i in OWN.rank.values()}
+    for code, (r, _) in OWN.rank.items():
+        assert made.get(code >> 20, -1) < r and made.get(code & 0xFFFFF, -1) < r
+
+
+def test_bounded_cache_does_not_change_results(monkeypatch):
+    small = bpe.WordBPE(json.load(open(PATH)))
+    small.kept = bpe.Recent(3)
+    texts = [t or "" for _, t, *_ in ROWS if len(t or "") < 5000]
+    for t in texts:
+        assert list(small.encode_batch([t])) == list(OWN.encode_batch([t]))
+
+
+def test_encode_on_spark(spark):
+    x = bpe.encode(documents(spark), PATH)
+    got = x.collect()
+    assert len(got) == len(ROWS) and [c for c in x.columns if c == "ids"] == ["ids"]
+    want = {t or "": LIBRARY.encode(t or "", add_special_tokens=False).ids for _, t, *_ in ROWS}
+    for r in got:
+        ids = want[r["text"] or ""]
+        assert r["ids"] == ids and r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
+    assert bpe.encode(empty(spark), PATH).collect() == []

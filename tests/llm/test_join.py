@@ -1,0 +1,102 @@
+import random
+
+import numpy as np
+import pytest
+
+from lakemart.llm import sigtree
+from lakemart.llm.components import components
+
+from .cases import ROWS, documents, empty, prose
+
+
+def sets_of(rows, n):
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = [x for x in "".join(" " if c in "\t\n\x0b\x0c\r " else c for c in low).split(" ") if x]
+        out[k] = (i, frozenset(tuple(w[j:j + n]) for j in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    return out
+
+
+def brute(rows, n, num, den):
+    """(id, size) and the smallest id of each row's component."""
+    sets = sets_of(rows, n)
+    name = {i: i for i, _ in sets.values() if i is not None}
+
+    def top(x):
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    live = [(i, s) for i, s in sets.values() if i is not None and s]
+    for k, (i, s) in enumerate(live):
+        for j, t in live[:k]:
+            both = len(s & t)
+            if den * both >= num * (len(s) + len(t) - both):
+                a, b = sorted((top(i), top(j)))
+                name[b] = a
+    return sorted(((i, len(s), None if i is None else top(i)) for i, s in sets.values()), key=str)
+
+
+def got(df):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
+def test_join_is_exact(spark, monkeypatch, n, num):
+    monkeypatch.setattr(sigtree, "BLOCK", 8)  # so that the families here are cut into blocks
+    rng = random.Random(5)
+    base = [prose(k, rng.choice([4, 12, 60, 200])).split() for k in range(6)]
+    rows = [(i, t) for i, t, *_ in ROWS if len(t or "") < 20000]
+    for k in range(120):  # edits around the threshold, in chains
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, max(1, len(w) // 25))):
+            w[rng.randrange(len(w))] = f"w{rng.randint(0, 40)}"
+        rows.append((100 + k, " ".join(w)))
+        if rng.random() < 0.3:
+            base.append(w)
+    x = documents(spark, [(i, t, None, None) for i, t in rows])
+    assert got(sigtree.join(x, n, num, 100)) == brute(rows, n, num, 100)
+
+
+def test_empty_table(spark):
+    assert got(sigtree.join(empty(spark))) == []
+    assert got(sigtree.join(documents(spark, [(1, None, None, None), (2, "", None, None)]))) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_tree_finds_every_link():
+    rng = np.random.default_rng(1)
+    sets = []
+    for k in range(150):
+        s = rng.integers(0, 1 << 63, rng.integers(1, 60)).astype(np.uint64) if k % 5 == 0 or not sets else sets[rng.integers(0, len(sets))].copy()
+        s[: rng.integers(0, 3)] = rng.integers(0, 1 << 63, 1)
+        sets.append(np.unique(s))
+    n = len(sets)
+    pairs = sigtree.family_links(np.arange(n), sets, np.zeros(n, np.int64), np.arange(n), 80, 100)
+    name = list(range(n))
+    for a, b in pairs:
+        assert len(np.intersect1d(sets[a], sets[b])) * 100 >= 80 * len(np.union1d(sets[a], sets[b]))
+        name = [name[a] if x == name[b] else x for x in name]
+    for a in range(n):
+        for b in range(a):
+            if len(np.intersect1d(sets[a], sets[b])) * 100 >= 80 * len(np.union1d(sets[a], sets[b])):
+                assert name[a] == name[b]
+
+
+def test_bands_hold_every_link():
+    for num in (80, 90):
+        bands = sigtree.Bands(num, 100)
+        bands.of(np.array([3000]))
+        for x in range(1, 1200):
+            y = x * 100 // num  # the largest partner
+            assert bands.of(np.array([y]))[0] - bands.of(np.array([x]))[0] in (0, 1)
+            d = (x + y) * (100 - num) // (100 + num)
+            assert d <= bands.differ[int(bands.of(np.array([x]))[0])] < bands.parts[int(bands.of(np.array([x]))[0])]
+
+
+def test_components_of_chains(spark):
+    edges = [(k, k + 1) for k in range(200, 260)] + [(5, 9), (9, 7), (300, 1), (8, 8)]
+    found = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(found[k] == 200 for k in range(200, 261))
+    assert found[5] == found[7] == found[9] == 5 and found[300] == found[1] == 1 and 8 not in found
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
