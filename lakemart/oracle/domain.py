@@ -103,7 +103,7 @@ select
     open_ad_skip_ms := cast(k * 5 as bigint)) end "start",
   case when event_type = 'error' then struct_pack(error_code := cast(k as bigint),
     msg := 'error ' || cast(k as varchar)) end err,
-  ms ts, strftime(ts, '%Y-%m-%d') dt
+  ms ts, event_id, strftime(ts, '%Y-%m-%d') dt
 from (select *, cast(json_extract_string(props, '$.k') as integer) k, epoch_us(ts) // 1000 ms from events) e""")
 
 cte("cart_all", """

@@ -36,18 +36,20 @@ def _flat(log: DataFrame, page: bool = True) -> list:
 
 def _province(df: DataFrame, province: DataFrame, how: str = "left") -> DataFrame:
     p = province.select(F.col("id").alias("province_id"), F.col("area_code").alias("_ac"))
-    return df.join(F.broadcast(p), df.area_code == p._ac, how).drop("_ac")
+    return df.join(p, df.area_code == p._ac, how).drop("_ac")
 
 
 # J-20
 def page_view(log: DataFrame, province: DataFrame, day: str | None = None) -> DataFrame:
-    x = _day(log, day).where(F.col("page").isNotNull()).select(*_flat(log), "ts", "dt")
+    """Page views with their session; ``ts`` (milliseconds) and ``event_id`` stay with them, for
+    ``view_time`` has seconds only and does not order the pages of one second."""
+    x = _day(log, day).where(F.col("page").isNotNull()).select(*_flat(log), "ts", "event_id", "dt")
     x = sessionize(x, "mid_id", "ts", F.col("last_page_id").isNull(), part=("dt",))
     x = _province(x, province)
     return x.select(*DEVICE_OUT, *PAGE_OUT,
                     local_time("ts", "yyyy-MM-dd").alias("date_id"),
                     local_time("ts").alias("view_time"),
-                    "session_id", "during_time", "dt")
+                    "session_id", "during_time", "ts", "event_id", "dt")
 
 
 # J-21

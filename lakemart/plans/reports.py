@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codes import PERIODS
 from ..functions.scalar import MONEY, add_days, ratio
 from ..operators.joins import full_outer_coalesce
 from ..operators.periods import choose_period, fan_out, recent_days
@@ -58,8 +59,8 @@ def traffic_by_channel_union(session_1d: DataFrame, day: str) -> DataFrame:
 
 # J-50
 def page_path(page_view: DataFrame, day: str) -> DataFrame:
-    """Transition counts ``step-n:page -> step-n+1:next``.  Steps are numbered once per
-    session (a session lies inside one day, so its membership in a period is
+    """Transition counts ``step-n:page -> step-n+1:next``, steps in the order of (``ts``,
+    ``event_id``).  Steps are numbered once per session (a session lies inside one day, so its membership in a period is
     all-or-nothing); transitions are counted per day, then fanned out to the periods —
     the window runs once instead of three times and the fan-out sees counts, not rows.
     Sessions with a NULL id (rows before a device's first start) are left out."""
@@ -67,8 +68,7 @@ def page_path(page_view: DataFrame, day: str) -> DataFrame:
                         & (F.col("dt") <= day))
     # step numbers and next pages are prefix windows per session, computed over
     # (session, hour) slices so one very long session is not one task
-    hour = F.substring("view_time", 1, 13)
-    x = steps(x, ["session_id"], ["view_time", "page_id"], "page_id", "rn", "next_page_id", hour)
+    x = steps(x, ["session_id"], ["ts", "event_id"], "page_id", "rn", "next_page_id", F.floor(F.col("ts") / 3_600_000))
     x = x.select("dt",
                  F.concat(F.lit("step-"), F.col("rn").cast("string"), F.lit(":"), F.col("page_id")).alias("source"),
                  F.coalesce(F.concat(F.lit("step-"), (F.col("rn") + 1).cast("string"), F.lit(":"),
@@ -109,16 +109,19 @@ def retention(register: DataFrame, login_td: DataFrame, day: str) -> DataFrame:
                     "retention_count", "new_user_count", "retention_rate"))
 
 
+def _counts_since(df: DataFrame, date: str, day: str, out: str) -> DataFrame:
+    """How many rows have ``date`` in the last 1, 7 and 30 days up to ``day``: one pass of
+    conditional counts, and the one row turned into three."""
+    one = df.agg(*[F.count_if(F.col(date) >= F.lit(add_days(day, -(p - 1)))).alias(f"_{p}") for p in PERIODS])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(p).alias("recent_days"), F.col(f"_{p}").alias(out)) for p in PERIODS]))
+                      .alias("s")).select("s.*")
+
+
 # J-53 (new users from registrations, active users from logins; the reference swaps them)
 def user_stats(login_td: DataFrame, register: DataFrame, day: str) -> DataFrame:
-    def since(c):
-        return F.col(c) >= F.date_format(F.date_add(F.lit(day).cast("date"), -F.col("recent_days") + 1),
-                                         "yyyy-MM-dd")
-
-    active = (fan_out(login_td, (1, 7, 30)).groupBy("recent_days")
-              .agg(F.sum(F.when(since("login_date_last"), 1).otherwise(0)).cast("bigint").alias("active_user_count")))
-    new = (fan_out(register.where(F.col("dt") <= day), (1, 7, 30)).groupBy("recent_days")
-           .agg(F.sum(F.when(since("date_id"), 1).otherwise(0)).cast("bigint").alias("new_user_count")))
+    active = _counts_since(login_td, "login_date_last", day, "active_user_count")
+    lately = register.where((F.col("dt") >= add_days(day, -(max(PERIODS) - 1))) & (F.col("dt") <= day))
+    new = _counts_since(lately, "date_id", day, "new_user_count")
     return new.join(active, "recent_days").select(F.lit(day).alias("dt"), "recent_days", "new_user_count",
                                                   "active_user_count")
 
@@ -155,13 +158,8 @@ def funnel(pv1d: DataFrame, pvnd: DataFrame, ca1d: DataFrame, cand: DataFrame, u
 
 # J-55
 def new_buyers(order_td: DataFrame, payment_td: DataFrame, day: str) -> DataFrame:
-    def firsts(td, c, out):
-        lo = F.date_format(F.date_add(F.lit(day).cast("date"), -F.col("recent_days") + 1), "yyyy-MM-dd")
-        return (fan_out(td.where(F.col("dt") == day), (1, 7, 30)).groupBy("recent_days")
-                .agg(F.sum(F.when(F.col(c) >= lo, 1).otherwise(0)).cast("bigint").alias(out)))
-
-    o = firsts(order_td, "order_date_first", "new_order_user_count")
-    p = firsts(payment_td, "payment_date_first", "new_payment_user_count")
+    o = _counts_since(order_td.where(F.col("dt") == day), "order_date_first", day, "new_order_user_count")
+    p = _counts_since(payment_td.where(F.col("dt") == day), "payment_date_first", day, "new_payment_user_count")
     return o.join(p, "recent_days").select(F.lit(day).alias("dt"), "recent_days", "new_order_user_count",
                                            "new_payment_user_count")
 

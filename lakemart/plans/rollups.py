@@ -179,7 +179,7 @@ def province_order_1d(detail: DataFrame, province: DataFrame) -> DataFrame:
     agg = agg.select("province_id", "dt", "order_count_1d", *[F.col(c).try_cast(MONEY).alias(c) for c in sums])
     m = ["order_count_1d", *sums]
     p = province.select(F.col("id").alias("_pid"), "province_name", "area_code", "iso_code", "iso_3166_2")
-    j = agg.join(F.broadcast(p), agg.province_id == p._pid, "left")  # provinces: a fixed geography list
+    j = agg.join(p, agg.province_id == p._pid, "left")
     return j.select("province_id", "province_name", "area_code", "iso_code", "iso_3166_2", *m, "dt")
 
 

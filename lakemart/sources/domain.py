@@ -211,7 +211,7 @@ def page_log(drv: Driver, lo: str | None = None, hi: str | None = None) -> DataF
                                          F.concat(F.lit("error "), k.cast("string")).alias("msg")))
     return e.select(common.alias("common"), page.alias("page"), actions.alias("actions"),
                     displays.alias("displays"), start.alias("start"), err.alias("err"),
-                    ms.alias("ts"), day_of("ts").alias("dt"))
+                    ms.alias("ts"), "event_id", day_of("ts").alias("dt"))
 
 
 def cart_snapshot(drv: Driver, day: str) -> DataFrame:

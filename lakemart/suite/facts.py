@@ -38,8 +38,8 @@ cte("page_view", f"""
 select {DEV_OUT}, {PG_OUT}, {lt('ts', '%Y-%m-%d')} date_id, {lt('ts')} view_time,
   mid_id || '-' || cast(last_value(case when last_page_id is null then ts end ignore nulls)
      over (partition by dt, mid_id order by ts) as varchar) session_id,
-  during_time, dt
-from (select {DEV}, {PG}, ts, dt from page_log where page is not null) l
+  during_time, ts, event_id, dt
+from (select {DEV}, {PG}, ts, event_id, dt from page_log where page is not null) l
 left join province p on l.area_code = p.area_code""", ("page_log", "province"))
 
 cte("user_login", f"""

@@ -70,14 +70,13 @@ def p05(spark, sf):
             .select("order_id", "sku_id", F.col("coupon_id").isNull().alias("no_coupon"), "dt"))
 
 
-@register("bool_predicates", with_ctes(f"""select order_id, sku_id, dt from order_detail
-where dt >= '{LO7}' and dt <= '{DAY}' and (activity_id is not null or coupon_id is not null)""", "order_detail"))
+@register("bool_predicates", with_ctes("""select order_id, sku_id, dt from order_detail
+where (activity_id is not null or coupon_id is not null) and not (activity_id is not null and coupon_id is not null)""",
+    "order_detail"))
 def p06(spark, sf):
-    """P-06 and/or predicate trees."""
-    x = D.order_detail(_d(spark, sf), LO7, DAY)
-    return (x.where((F.col("dt") >= LO7) & (F.col("dt") <= DAY)
-                    & (F.col("activity_id").isNotNull() | F.col("coupon_id").isNotNull()))
-            .select("order_id", "sku_id", "dt"))
+    """P-06 and/or/not predicate trees."""
+    act, cou = F.col("activity_id").isNotNull(), F.col("coupon_id").isNotNull()
+    return D.order_detail(_d(spark, sf)).where((act | cou) & ~(act & cou)).select("order_id", "sku_id", "dt")
 
 
 @register("in_list", "select event_id, event_type from events where event_type in ('click', 'view')")
@@ -185,24 +184,23 @@ def n03(spark, sf):
     return o.join(r, (o.order_id == r._o) & (o.sku_id == r._s)).select("order_id", "sku_id", "refund_num")
 
 
-@register("join_full_outer", with_ctes(f"""select coalesce(o.user_id, r.user_id) user_id,
+@register("join_full_outer", with_ctes("""select coalesce(o.user_id, r.user_id) user_id, coalesce(o.dt, r.dt) dt,
   coalesce(order_count_1d, 0) order_count_1d, coalesce(order_refund_count_1d, 0) order_refund_count_1d
-from (select user_id, order_count_1d from uo1d where dt = '{DAY}') o
-full outer join (select user_id, order_refund_count_1d from ur1d where dt = '{DAY}') r on o.user_id = r.user_id""",
+from (select user_id, dt, order_count_1d from uo1d) o
+full outer join (select user_id, dt, order_refund_count_1d from ur1d) r on o.user_id = r.user_id and o.dt = r.dt""",
     "uo1d", "ur1d"))
 def n04(spark, sf):
-    """N-04 full outer on a key, keys and measures null-coalesced."""
+    """N-04 full outer on (user, day) over all days, keys and measures null-coalesced."""
     d = _d(spark, sf)
-    o = R.user_order_1d(D.order_detail(d, DAY, DAY)).where(F.col("dt") == DAY).select("user_id", "order_count_1d")
-    r = R.user_refund_1d(D.refund_info(d, DAY, DAY)).where(F.col("dt") == DAY) \
-        .select("user_id", "order_refund_count_1d")
-    return full_outer_coalesce(o, r, ["user_id"], {"order_count_1d": 0, "order_refund_count_1d": 0})
+    o = R.user_order_1d(D.order_detail(d)).select("user_id", "dt", "order_count_1d")
+    r = R.user_refund_1d(D.refund_info(d)).select("user_id", "dt", "order_refund_count_1d")
+    return full_outer_coalesce(o, r, ["user_id", "dt"], {"order_count_1d": 0, "order_refund_count_1d": 0})
 
 
 @register("join_cross", with_ctes("""select o.order_id, o.total_amount, t.avg_amount
 from order_info o, (select cast(avg(total_amount) as decimal(16,2)) avg_amount from order_info) t""", "order_info"))
 def n05(spark, sf):
-    """N-05 join with a 1-row aggregate (broadcast, constant-key hash join)."""
+    """N-05 join with a 1-row aggregate, attached as a scalar subquery."""
     oi = D.order_info(_d(spark, sf))
     one = oi.agg(F.avg("total_amount").cast("decimal(16,2)").alias("avg_amount"))
     return one_row_join(oi.select("order_id", "total_amount"), one)
@@ -250,7 +248,7 @@ def n08(spark, sf):
     s = D.sku(d).select(F.col("id").alias("_s"), "tm_name")
     pr = D.province(d).select(F.col("id").alias("_pr"), "province_name")
     j = (o.join(p, o.order_id == p._p).join(s, o.sku_id == s._s, "left")
-         .join(F.broadcast(pr), o.province_id == pr._pr, "left"))
+         .join(pr, o.province_id == pr._pr, "left"))
     j = cdc.decode(j, "source_type", dictionary(spark), "24", "source_name")
     return j.select("order_id", "sku_id", "tm_name", "payment_type", "province_name", "source_name")
 
@@ -728,16 +726,14 @@ def o03(spark, sf):
     return D.sku(_d(spark, sf)).groupBy("tm_id").agg(F.count(F.lit(1)).alias("skus")).orderBy(F.desc("skus"), "tm_id")
 
 
-UNION_SQL = f"""select user_id, sku_id from order_detail where dt = '{DAY}'
-union {{kind}} select user_id, sku_id from refund_info where dt = '{DAY}'"""
+UNION_SQL = "select user_id, sku_id from order_detail union {kind} select user_id, sku_id from refund_info"
 
 
 @register("union_all", with_ctes(UNION_SQL.format(kind="all"), "order_detail", "refund_info"))
 def o04(spark, sf):
     """O-04 bag union."""
     d = _d(spark, sf)
-    return D.order_detail(d, DAY, DAY).select("user_id", "sku_id").unionByName(
-        D.refund_info(d, DAY, DAY).select("user_id", "sku_id"))
+    return D.order_detail(d).select("user_id", "sku_id").unionByName(D.refund_info(d).select("user_id", "sku_id"))
 
 
 @register("union_distinct", with_ctes(UNION_SQL.format(kind=""), "order_detail", "refund_info"))

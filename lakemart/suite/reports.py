@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.sql import functions as F
+
 from ..functions.scalar import add_days
 from ..oracle.domain import SKU_ATTRS, cte, nd_sql, with_ctes
 from .rollups import TD_SQL
@@ -193,8 +197,8 @@ select '{TDAY}' dt, recent_days, source, coalesce(target, 'null') target, count(
 from (select recent_days, 'step-' || cast(rn as varchar) || ':' || page_id source,
         'step-' || cast(rn + 1 as varchar) || ':' || next_page_id target
       from (select recent_days, page_id,
-              lead(page_id, 1) over (partition by session_id, recent_days order by view_time, page_id) next_page_id,
-              row_number() over (partition by session_id, recent_days order by view_time, page_id) rn
+              lead(page_id, 1) over (partition by session_id, recent_days order by ts, event_id) next_page_id,
+              row_number() over (partition by session_id, recent_days order by ts, event_id) rn
             from page_view, (values (1), (7), (30)) v(recent_days)
             where session_id is not null and dt <= '{TDAY}'
               and dt >= strftime(date '{TDAY}' - cast(recent_days - 1 as integer), '%Y-%m-%d')) t1) t2
@@ -236,8 +240,7 @@ cte("login_td_prev", login_td_first_sql(add_days(TDAY, -1)), ("users", "user_log
 
 def login_frames(spark, sf, day=TDAY):
     d = _d(spark, sf)
-    login = L.user_login(D.page_log(d), D.province(d)).withColumn("user_id", __import__(
-        "pyspark.sql.functions", fromlist=["col"]).col("user_id").cast("bigint"))
+    login = L.user_login(D.page_log(d), D.province(d)).withColumn("user_id", F.col("user_id").cast("bigint"))
     users = D.users(d)
     prev = R.user_login_td_first(users, login, add_days(day, -1))
     today = R.user_login_td_step(prev.drop("dt"), login, day)
@@ -359,9 +362,8 @@ def q_payment_nd(spark, sf):
 @register("user_payment_td", with_ctes("select * from uptd", "uptd"))
 def q_payment_td(spark, sf):
     """J-38 (daily step from the D-1 state; equals the first-load aggregate at D)."""
-    up = _pay_1d(spark, sf)
-    prev = R.user_payment_td_first(up, add_days(DAY, -1)).drop("dt")
-    return R.user_payment_td_step(prev, up, DAY)
+    prev = R.user_payment_td_first(_pay_1d(spark, sf, None, add_days(DAY, -1)), add_days(DAY, -1)).drop("dt")
+    return R.user_payment_td_step(prev, _pay_1d(spark, sf, DAY, DAY), DAY)
 
 
 @register("session_page_view_1d", with_ctes("select * from session_1d", "session_1d"))
@@ -432,6 +434,18 @@ def q_cart_top3(spark, sf):
 
 
 FUNNEL_HOME, FUNNEL_DETAIL = "view", "click"  # page ids of the event stream standing in for home / detail
+# The driver's orders and events lie years apart.  The funnel reads both in one month, so the
+# 30 days of trade up to DAY are dated as the 30 days up to TDAY.
+SHIFT = (date.fromisoformat(TDAY) - date.fromisoformat(DAY)).days
+
+
+def _redated_sql(t: str) -> str:
+    return f"""(select * replace (strftime(cast(dt as date) + cast({SHIFT} as integer), '%Y-%m-%d') as dt)
+      from {t} where dt >= '{LO30}' and dt <= '{DAY}')"""
+
+
+def _redated(df):
+    return df.withColumn("dt", F.date_format(F.date_add(F.col("dt").cast("date"), SHIFT), "yyyy-MM-dd"))
 
 
 @register("rpt_funnel", with_ctes(f"""
@@ -451,27 +465,26 @@ join (select 1 recent_days, count(*) cart_count from ca1d where dt = '{TDAY}'
       from (select recent_days, case recent_days when 7 then cart_add_count_7d when 30 then cart_add_count_30d end c
             from cand, (values (7), (30)) v(recent_days) where dt = '{TDAY}') t group by recent_days) ct
   on pg.recent_days = ct.recent_days
-join (select 1 recent_days, count(*) order_count from uo1d where dt = '{TDAY}'
+join (select 1 recent_days, count(*) order_count from {_redated_sql('uo1d')} r where dt = '{TDAY}'
       union all
       select recent_days, cast(sum(case when c > 0 then 1 else 0 end) as bigint)
       from (select recent_days, case recent_days when 7 then order_count_7d when 30 then order_count_30d end c
-            from ({nd_sql("uo1d", "user_id", R.ORDER_STEMS, TDAY, MONEY)}) n, (values (7), (30)) v(recent_days)) t
+            from ({nd_sql(_redated_sql("uo1d") + " r", "user_id", R.ORDER_STEMS, TDAY, MONEY)}) n, (values (7), (30)) v(recent_days)) t
       group by recent_days) od on pg.recent_days = od.recent_days
-join (select 1 recent_days, count(*) payment_count from up1d where dt = '{TDAY}'
+join (select 1 recent_days, count(*) payment_count from {_redated_sql('up1d')} r where dt = '{TDAY}'
       union all
       select recent_days, cast(sum(case when c > 0 then 1 else 0 end) as bigint)
       from (select recent_days, case recent_days when 7 then payment_count_7d when 30 then payment_count_30d end c
-            from ({nd_sql("up1d", "user_id", R.PAY_STEMS, TDAY, MONEY)}) n, (values (7), (30)) v(recent_days)) t
+            from ({nd_sql(_redated_sql("up1d") + " r", "user_id", R.PAY_STEMS, TDAY, MONEY)}) n, (values (7), (30)) v(recent_days)) t
       group by recent_days) py on pg.recent_days = py.recent_days""", "pv1d", "pvnd", "ca1d", "cand", "uo1d", "up1d"))
 def q_funnel(spark, sf):
-    """J-54 at the traffic day.  The trade rollups hold no rows in the event month, so
-    the 7/30-day branches are empty and the inner joins keep only the 1-day row —
-    the reference's own behaviour (SURVEY §7.4 #23)."""
+    """J-54 at the traffic day, over a month that holds page, cart, order and payment rows
+    (the trade month is dated as the traffic month): all three periods."""
     d = _d(spark, sf)
     pv1d = _pv1d(spark, sf)
     ca1d = _cart_add_1d(spark, sf)
-    uo1d = R.user_order_1d(D.order_detail(d))
-    up1d = _pay_1d(spark, sf)
+    uo1d = _redated(R.user_order_1d(D.order_detail(d, LO30, DAY)))
+    up1d = _redated(_pay_1d(spark, sf, LO30, DAY))
     return P.funnel(pv1d, R.page_visitor_view_nd(pv1d, TDAY), ca1d, R.user_cart_add_nd(ca1d, TDAY),
                     uo1d, R.user_order_nd(uo1d, TDAY), up1d, R.user_payment_nd(up1d, TDAY), TDAY,
                     home=FUNNEL_HOME, detail=FUNNEL_DETAIL)

@@ -92,9 +92,8 @@ def q_user_order_td_step(spark, sf):
     """J-33 daily load: state(D-1) full outer 1d(D).  Its answer must equal the
     first-load aggregate at D (the td invariant), so the oracle is the same SQL."""
     d = _d(spark, sf)
-    uo = R.user_order_1d(D.order_detail(d))
-    prev = R.user_order_td_first(uo, PREV).drop("dt")
-    return R.user_order_td_step(prev, uo, DAY)
+    prev = R.user_order_td_first(R.user_order_1d(D.order_detail(d, None, PREV)), PREV).drop("dt")
+    return R.user_order_td_step(prev, R.user_order_1d(D.order_detail(d, DAY, DAY)), DAY)
 
 
 @register("province_order_1d", with_ctes("select * from po1d", "po1d"))
@@ -165,12 +164,14 @@ def q_draft_td_first(spark, sf):
 @register("draft_order_td_full_outer", with_ctes(DRAFT_TD_SQL.format(day=DAY), "order_detail"))
 def q_draft_td_fo(spark, sf):
     """J-67: must equal J-66 at D (state at D-1 from J-66)."""
-    det = D.order_detail(_d(spark, sf))
-    return R.draft_order_td_full_outer(R.draft_order_td_first(det, PREV).drop("dt"), det, DAY)
+    d = _d(spark, sf)
+    state = R.draft_order_td_first(D.order_detail(d, None, PREV), PREV).drop("dt")
+    return R.draft_order_td_full_outer(state, D.order_detail(d, DAY, DAY), DAY)
 
 
 @register("draft_order_td_union", with_ctes(DRAFT_TD_SQL.format(day=DAY), "order_detail"))
 def q_draft_td_union(spark, sf):
     """J-68: union all + re-aggregate; must equal J-66 and J-67."""
-    det = D.order_detail(_d(spark, sf))
-    return R.draft_order_td_union(R.draft_order_td_first(det, PREV).drop("dt"), det, DAY)
+    d = _d(spark, sf)
+    state = R.draft_order_td_first(D.order_detail(d, None, PREV), PREV).drop("dt")
+    return R.draft_order_td_union(state, D.order_detail(d, DAY, DAY), DAY)

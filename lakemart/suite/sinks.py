@@ -266,16 +266,16 @@ def k03(spark, sf):
 
 
 @register("create_partitioned_multi", """select event_id, event_type, strftime(ts, '%Y-%m-%d') "day",
-  strftime(ts, '%H') "hour" from events where strftime(ts, '%H') = '12'""")
+  strftime(ts, '%H') "hour" from events""")
 def k02(spark, sf):
-    """K-02: two partition levels (day, hour); one hour read across all days."""
+    """K-02: two partition levels (day, hour), every hour read back."""
     t = _name("multi")
     K.create_partitioned(spark, t, "event_id bigint, event_type string, day string, hour string", ["day", "hour"],
                          K.shared_path(spark, "tables", t))
     e = _d(spark, sf).events.select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"),
                                     F.date_format("ts", "HH").alias("hour"))
     K.overwrite_dynamic_partition(spark, e, t)
-    return spark.table(t).where(F.col("hour") == "12")
+    return spark.table(t)
 
 
 @register("export_dir", with_ctes("select name || chr(9) || dept_id || chr(9) || sex value from emp_sex", "emp_sex"))
