@@ -41,4 +41,4 @@ def load_all():
     return QUERIES, ORACLE
 
 
-SUITES = ("rollups", "facts", "reports", "dims", "worked", "primitives", "sinks", "streaming")
+SUITES = ("rollups", "facts", "facts_cdc", "reports", "dims", "worked", "primitives", "sinks", "streaming")
