@@ -145,19 +145,22 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def profile(docs: DataFrame, n: int) -> DataFrame:
-    """(kind 0) each row's id and set size; (kind 1) n-grams common in a block, and in how many
-    of its documents."""
+    """(kind 0) each row's id, set size and the set's digest; (kind 1) n-grams common in a block,
+    and in how many of its documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, -1):
             s = Sets(texts_of(b.column(1)), n)
             key, count = np.unique(s.key, return_counts=True)
             often = np.flatnonzero(count >= max(4, b.num_rows * COMMON_PER_MILLE // 1000))
+            none = pa.nulls(len(often), pa.int64())
+            d1, d2 = s.digest()
             yield pa.RecordBatch.from_arrays([
                 pa.concat_arrays([pa.array(np.zeros(s.docs, np.int8)), pa.array(np.ones(len(often), np.int8))]),
                 pa.concat_arrays([b.column(0), pa.array(key[often].view(np.int64))]),
-                pa.concat_arrays([pa.array(s.size.astype(np.int64)), pa.array(count[often].astype(np.int64))])], names=["kind", "a", "b"])
+                pa.concat_arrays([pa.array(s.size.astype(np.int64)), pa.array(count[often].astype(np.int64))]),
+                pa.concat_arrays([pa.array(d1), none]), pa.concat_arrays([pa.array(d2), none])], names=["kind", "a", "b", "d1", "d2"])
 
-    return docs.mapInArrow(run, "kind byte, a long, b long")
+    return docs.mapInArrow(run, "kind byte, a long, b long, d1 long, d2 long")
 
 
 def routes(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> DataFrame:
@@ -354,26 +357,62 @@ def _unit(num: int, den: int):
 UNIT_BYTES = 8 << 20
 
 
-def links(docs: DataFrame, family: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Edges (a, b) that connect exactly the linked documents of each family."""
+#: Bits of the map of ids that selects which texts are read for their sets.
+MOST_BITS = 1 << 26
+
+
+def id_map(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """A map of hashed ids: how many bits (16 for each id, at most ``MOST_BITS``: 8 MB, whatever
+    the number of ids), and the bits.  An id that is not among ``ids`` may be set too; the
+    join that follows drops it."""
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (16 * ids.count()).bit_length()))
+    part = 1 << 15
+
+    def pack(table: pa.Table) -> pa.Table:
+        own = np.zeros(part, dtype=bool)
+        own[table.column("p").to_numpy() % part] = True
+        return pa.table({"k": table.column("k").slice(0, 1), "m": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    places = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p")).distinct().withColumn("k", (F.col("p") / part).cast("int"))
+    out = np.zeros((bits // part, part // 8), np.uint8)
+    for r in places.groupBy("k").applyInArrow(pack, "k int, m binary").collect():
+        out[r["k"]] = np.frombuffer(r["m"], np.uint8)
+    return bits, out.ravel()
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The sets of at least the documents in ``ids``: id, digest and sorted n-gram hashes."""
+    bits, held = id_map(ids)
+    sent = docs.sparkSession.sparkContext.broadcast(held)  # at most MOST_BITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, -1):
+        def chosen():
+            for b in batches:
+                p = b.column(1).to_numpy()
+                yield b.filter(pa.array((sent.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)))
+
+        for b in blocks(chosen(), -1):
             s = Sets(texts_of(b.column(2)), n)
             d1, d2 = s.digest()
             raw = [s.key[f:f + k].tobytes() for f, k in zip(s.first, s.size, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.size.astype(np.int64)), pa.array(d1), pa.array(d2),
-                                              pa.array(raw, pa.binary())], names=["family", "id", "n", "d1", "d2", "tokens"])
-
-    mine = docs.join(family.select("id", F.col("root").alias("family")), "id").select("family", "id", "text")
-    sets = staged(mine.mapInArrow(run, "family long, id long, n long, d1 long, d2 long, tokens binary").where("n > 0"), "sets")
-    # one set for equal ones; a set's rows meet by digest, so a large group of copies is summed up on the way
-    equal = staged(sets.groupBy("family", "n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "equal")
-    copies = sets.join(equal.where("rows > 1"), ["family", "n", "d1", "d2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d1), pa.array(d2), pa.array(raw, pa.binary())], names=["id", "d1", "d2", "tokens"])
+
+    return docs.select("id", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p"), "text").mapInArrow(run, "id long, d1 long, d2 long, tokens binary")
+
+
+def links(docs: DataFrame, seen: DataFrame, family: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that connect exactly the linked documents of each family; ``seen``: the
+    documents' ids, set sizes and digests."""
+    mine = staged(seen.where("n > 0").join(family.select("id", F.col("root").alias("family")), "id"), "mine")
+    # one set for equal ones: grouped by digest, a large group of copies is summed up in the map tasks
+    equal = mine.groupBy("family", "n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    equal = staged(equal, "equal")
+    copies = mine.join(equal.where("rows > 1"), ["family", "n", "d1", "d2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     count = equal.groupBy("family").agg(F.count(F.lit(1)).alias("g"))
     several = staged(count.where("g > 1").select("family", "g"), "several")
-    chosen = equal.join(several, "family").select("family", "g", F.col("rep").alias("id"), "d1", "d2")
-    reps = staged(sets.select("family", "id", "d1", "d2", "tokens").join(chosen, ["family", "id", "d1", "d2"])
-                  .select("family", "g", "id", "tokens"), "reps")
+    chosen = staged(equal.join(several, "family").select("family", "g", F.col("rep").alias("id"), "d1", "d2"), "chosen")
+    # the same join at every size: the sets are dealt out by id
+    reps = staged(sets_of(docs, chosen.select("id"), n).join(chosen.hint("merge"), ["id", "d1", "d2"]).select("family", "g", "id", "tokens"), "reps")
     size = reps.agg(F.sum(F.length("tokens")).alias("s")).first()["s"] or 0
     units = max(1, -(-size // UNIT_BYTES))
     nb = F.greatest(F.lit(1), F.ceil(F.col("g") / BLOCK)).cast("int")
@@ -416,6 +455,6 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     often = seen.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).orderBy(F.desc("b"), "a").limit(COMMON).collect()
     common = np.sort(np.array([r["a"] for r in often], np.int64).view(np.uint64))
     family = components(routes(x, n, num, den, common))
-    root = components(links(x.where("id is not null"), family, n, num, den))
-    return seen.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles")).join(root, "id", "left") \
-        .select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.coalesce("root", "id").cast(kind).alias("component_id"))
+    sizes = seen.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "d1", "d2")
+    root = components(links(x.where("id is not null"), sizes, family, n, num, den))
+    return sizes.join(root, "id", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").cast(kind).alias("component_id"))
