@@ -44,8 +44,9 @@ def create_partitioned(spark: SparkSession, table: str, columns: str, partitions
 
 
 def create_bucketed(df: DataFrame, table: str, buckets: int, col: str, location: str, fmt: str = "parquet") -> None:
-    """K-03 hash-bucketed table: later joins / aggregations on ``col`` skip the shuffle."""
-    (df.write.format(fmt).bucketBy(buckets, col).sortBy(col).option("path", location)
+    """K-03 hash-bucketed table: later joins / aggregations on ``col`` skip the shuffle.  The
+    rows are dealt by the same hash first, so each bucket is one file, not one per task."""
+    (df.repartition(buckets, col).write.format(fmt).bucketBy(buckets, col).sortBy(col).option("path", location)
      .mode("overwrite").saveAsTable(table))
 
 
@@ -106,13 +107,21 @@ def append_distinct(spark: SparkSession, table: str, new_rows: DataFrame, stagin
     was; a job lost after it leaves the new version — never a half-copied table.
     Re-running a load with the same rows leaves the contents unchanged."""
     old = spark.table(table)
+    before = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
     merged = old.unionByName(new_rows.select(*old.columns)).distinct()
     merged.write.mode("overwrite").parquet(staging)
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{staging}'")
     spark.catalog.refreshTable(table)
+    delete_path(spark, before)  # the table no longer points there
     return spark.table(table)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder in the store it is in, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ctas(spark: SparkSession, table: str, df: DataFrame, location: str, fmt: str = "parquet") -> None:
     """K-10 ``CREATE TABLE ... AS SELECT``."""
     df.write.format(fmt).option("path", location).mode("errorifexists").saveAsTable(table)

@@ -3,6 +3,8 @@ reports built on them (J-46, J-47, J-62, J-63)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.codes import OPEN_END
@@ -12,10 +14,12 @@ from ..plans import dims as DM
 from ..plans import reports as P
 from ..plans import rollups as R
 from ..registry import register
+from ..sinks import writers as K
 from ..sources import domain as D
 from ..sources import snapshots as S
 from ..sources.dictionary import dictionary
 from ..sources.driver import Driver
+from ..sources.readers import read_delimited
 from .facts import dic_join
 from .reports import RATIO
 
@@ -153,8 +157,19 @@ select strftime(d, '%Y-%m-%d') date_id, cast(weekofyear(d) as varchar) week_id,
   case when isodow(d) in (6, 7) then '0' else '1' end is_workday, cast(null as varchar) holiday_id
 from (select distinct cast(o_orderdate as date) d from orders) t"""))
 def q_dim_date(spark, sf):
-    """J-05: calendar dimension from the seed rows (staged, then overwritten whole)."""
-    return DM.dim_date(S.date_seed(_d(spark, sf)))
+    """J-05: the seed as delimited text, loaded into a staging table, and the dimension
+    overwritten whole from it (K-08)."""
+    seed = S.date_seed(_d(spark, sf))
+    text = K.shared_path(spark, "landing", "date_seed")
+    seed.write.option("sep", "\t").option("nullValue", "").csv(text)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seed.schema.fields)
+    tmp, dim = (f"lakemart_{n}_{uuid.uuid4().hex[:8]}" for n in ("tmp_date", "dim_date"))
+    for t in (tmp, dim):
+        spark.sql(f"CREATE TABLE {t} ({columns}) USING parquet LOCATION '{K.shared_path(spark, 'tables', t)}'")
+    K.load_files(spark, tmp, read_delimited(spark, text, columns, sep="\t"), overwrite=True)
+    K.overwrite_table(spark, DM.dim_date(spark.table(tmp)), dim)
+    K.drop_table(spark, tmp)
+    return spark.table(dim)
 
 
 ZIP_SQL = """id, login_name, nick_name, md5(name) name, md5(phone_num) phone_num, md5(email) email, user_level,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.scalar import add_days
 from ..oracle.domain import with_ctes
+from ..plans import facts_trade as T
 from ..plans import reports as P
 from ..plans import rollups as R
 from ..registry import register
@@ -18,6 +19,7 @@ from ..sinks import writers as K
 from ..sources import domain as D
 from ..sources import readers as S
 from ..sources import worked as WS
+from ..sources.dictionary import dictionary
 from ..sources.driver import Driver
 from .reports import trade_by_sql, trade_frames
 
@@ -162,84 +164,110 @@ def s10(spark, sf):
 
 @register("select_star", with_ctes("select * from order_info", "order_info"))
 def s11(spark, sf):
-    """S-11 + K-10: CTAS into a table in the shared folder, then ``select *``."""
+    """S-11: ``select *`` of a table in the shared folder."""
     t = _name("ctas")
     K.ctas(spark, t, D.order_info(_d(spark, sf)), K.shared_path(spark, "tables", t))
     return S.select_star(spark, t)
 
 
 # ----------------------------------------------------------------- sinks / table management
-UO_COLS = ("user_id bigint, order_count_1d bigint, order_num_1d bigint, order_original_amount_1d decimal(16,2), "
-           "activity_reduce_amount_1d decimal(16,2), coupon_reduce_amount_1d decimal(16,2), "
-           "order_total_amount_1d decimal(16,2), dt string")
+CART_COLS = "user_id bigint, cart_add_count_1d bigint, cart_add_num_1d bigint, dt string"
+TDAY = D.TRAFFIC_DAY
 
 
-def _uo_table(spark, key):
+def _cart_table(spark, key):
     t = _name(key)
-    K.create_partitioned(spark, t, UO_COLS, ["dt"], K.shared_path(spark, "tables", t))
+    K.create_partitioned(spark, t, CART_COLS, ["dt"], K.shared_path(spark, "tables", t))
     return t
 
 
+def _cart_1d(spark, sf):
+    """The daily rollup that the partition loads here write: cart adds by user and day."""
+    return R.user_cart_add_1d(T.cart_add(D.cart_inc(_d(spark, sf)), dictionary(spark)))
+
+
 def _corrupt(df):
-    return df.withColumn("order_count_1d", F.col("order_count_1d") * 10)
+    return df.withColumn("cart_add_count_1d", F.col("cart_add_count_1d") * 10)
+
+
+@register("create_partitioned", with_ctes("select * from ca1d", "ca1d"))
+def k01(spark, sf):
+    """K-01: a table declared ``PARTITIONED BY (dt)``, loaded, read back whole."""
+    t = _cart_table(spark, "created")
+    K.overwrite_dynamic_partition(spark, _cart_1d(spark, sf), t)
+    return spark.table(t)
 
 
-@register("overwrite_static_partition", with_ctes("select * from uo1d", "uo1d"))
+@register("overwrite_static_partition", with_ctes("select * from ca1d", "ca1d"))
 def k05(spark, sf):
     """K-05: a wrong day D is replaced by ``INSERT OVERWRITE ... PARTITION (dt='D')``;
     the other days are untouched."""
-    uo = R.user_order_1d(D.order_detail(_d(spark, sf)))
-    t = _uo_table(spark, "static")
-    K.overwrite_dynamic_partition(spark, uo.where(F.col("dt") != DAY).unionByName(_corrupt(uo.where(F.col("dt") == DAY))),
-                                  t)
-    K.overwrite_static_partition(spark, uo.where(F.col("dt") == DAY).drop("dt"), t, {"dt": DAY})
+    x = _cart_1d(spark, sf)
+    t = _cart_table(spark, "static")
+    K.overwrite_dynamic_partition(spark, x.where(F.col("dt") != TDAY).unionByName(_corrupt(x.where(F.col("dt") == TDAY))), t)
+    K.overwrite_static_partition(spark, x.where(F.col("dt") == TDAY).drop("dt"), t, {"dt": TDAY})
     return spark.table(t)
 
 
-@register("overwrite_dynamic_partition", with_ctes("select * from uo1d", "uo1d"))
+@register("overwrite_dynamic_partition", with_ctes("select * from ca1d", "ca1d"))
 def k06(spark, sf):
     """K-06: the last 7 days are corrupted, then a dynamic ``PARTITION (dt)`` load
     replaces exactly those days."""
-    uo = R.user_order_1d(D.order_detail(_d(spark, sf)))
-    lo = add_days(DAY, -6)
-    t = _uo_table(spark, "dynamic")
-    K.overwrite_dynamic_partition(spark, uo.where(F.col("dt") < lo).unionByName(_corrupt(uo.where(F.col("dt") >= lo))),
-                                  t)
-    K.overwrite_dynamic_partition(spark, uo.where(F.col("dt") >= lo), t)
+    x = _cart_1d(spark, sf)
+    lo = add_days(TDAY, -6)
+    t = _cart_table(spark, "dynamic")
+    K.overwrite_dynamic_partition(spark, x.where(F.col("dt") < lo).unionByName(_corrupt(x.where(F.col("dt") >= lo))), t)
+    K.overwrite_dynamic_partition(spark, x.where(F.col("dt") >= lo), t)
     return spark.table(t)
 
 
-@register("insert_append", with_ctes("select * from uo1d", "uo1d"))
+@register("insert_append", with_ctes("select * from ca1d", "ca1d"))
 def k07(spark, sf):
     """K-07: ``INSERT INTO`` the last day after the history."""
-    uo = R.user_order_1d(D.order_detail(_d(spark, sf)))
-    t = _uo_table(spark, "append")
-    K.insert_append(spark, uo.where(F.col("dt") < DAY), t)
-    K.insert_append(spark, uo.where(F.col("dt") == DAY), t)
+    x = _cart_1d(spark, sf)
+    t = _cart_table(spark, "append")
+    K.insert_append(spark, x.where(F.col("dt") < TDAY), t)
+    K.insert_append(spark, x.where(F.col("dt") == TDAY), t)
     return spark.table(t)
 
 
-@register("partition_list", with_ctes('select distinct \'dt=\' || dt "partition" from uo1d', "uo1d"))
+@register("partition_list", with_ctes('select distinct \'dt=\' || dt "partition" from ca1d', "ca1d"))
 def k16(spark, sf):
-    """K-16 (+K-01): ``SHOW PARTITIONS`` of a dynamically loaded dt-partitioned table."""
-    t = _uo_table(spark, "parts")
-    K.overwrite_dynamic_partition(spark, R.user_order_1d(D.order_detail(_d(spark, sf))), t)
+    """K-16: ``SHOW PARTITIONS`` of a dynamically loaded dt-partitioned table."""
+    t = _cart_table(spark, "parts")
+    K.overwrite_dynamic_partition(spark, _cart_1d(spark, sf), t)
     return K.partition_list(spark, t)
 
 
-@register("partition_repair", with_ctes("select * from uo1d", "uo1d"))
+@register("partition_repair", with_ctes("select * from ca1d", "ca1d"))
 def k17(spark, sf):
     """K-17: partition folders written by path, table declared over them, ``MSCK
     REPAIR TABLE`` discovers the days."""
     t = _name("repair")
     loc = K.shared_path(spark, "tables", t)
-    uo = K.partition_layout(R.user_order_1d(D.order_detail(_d(spark, sf))), ["dt"])
-    uo.write.mode("overwrite").partitionBy("dt").parquet(loc)
-    K.create_partitioned(spark, t, UO_COLS, ["dt"], loc)
+    K.partition_layout(_cart_1d(spark, sf), ["dt"]).write.mode("overwrite").partitionBy("dt").parquet(loc)
+    K.create_partitioned(spark, t, CART_COLS, ["dt"], loc)
     K.partition_repair(spark, t)
     return spark.table(t)
 
 
+@register("write_compressed", "select event_id, user_id, event_type from events")
+def k04(spark, sf):
+    """K-04: ORC with zlib, read back whole."""
+    path = K.shared_path(spark, "landing", "events_orc")
+    K.write_compressed(_d(spark, sf).events.select("event_id", "user_id", "event_type"), path, "orc", "zlib")
+    return S.read_orc(spark, path)
+
+
+@register("ctas", with_ctes("select order_id, user_id, total_amount, dt from order_info", "order_info"))
+def k10(spark, sf):
+    """K-10: ``CREATE TABLE ... AS SELECT`` as ORC."""
+    t = _name("ctas")
+    x = D.order_info(_d(spark, sf)).select("order_id", "user_id", "total_amount", "dt")
+    K.ctas(spark, t, x, K.shared_path(spark, "tables", t), "orc")
+    return spark.table(t)
+
+
 @register("append_distinct", with_ctes(trade_by_sql(["tm_id", "tm_name"]), "od1d", "odnd", "rf1d", "rfnd"))
 def k09(spark, sf):
     """K-09: a report loaded twice through ``old ∪ new`` without duplicates stays
@@ -320,6 +348,7 @@ def q21(spark, sf):
 
 
 NATION_COLS = "deptno int, dname string, loc string"
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")  # as a statement would name them
 
 
 def _dept_table(spark, key):
@@ -342,8 +371,7 @@ def k14(spark, sf):
     """K-14: register empty partitions next to the loaded ones (several at once)."""
     t = _dept_table(spark, "add")
     K.overwrite_dynamic_partition(spark, _depts(spark, sf), t)
-    names = [r.r_name for r in _d(spark, sf).region.select("r_name").collect()]  # 5 region names
-    K.partition_add(spark, t, *[{"region": f"{n}_NEXT"} for n in names])
+    K.partition_add(spark, t, *[{"region": f"{n}_NEXT"} for n in REGIONS])
     return K.partition_list(spark, t)
 
 
@@ -355,8 +383,7 @@ def k15(spark, sf):
     """K-15: drop one partition; the other partitions' rows remain."""
     t = _dept_table(spark, "drop")
     K.overwrite_dynamic_partition(spark, _depts(spark, sf), t)
-    first = _d(spark, sf).region.orderBy("r_regionkey").select("r_name").first()[0]
-    K.partition_drop(spark, t, {"region": first})
+    K.partition_drop(spark, t, {"region": REGIONS[0]})
     return spark.table(t)
 
 
@@ -396,7 +423,9 @@ def k12(spark, sf):
     """K-12: one day's landed file loaded into partition ``dt='D'`` (overwrite)."""
     day = D.TRAFFIC_DAY
     path = K.shared_path(spark, "landing", "events_day")
-    e = _d(spark, sf).events.where(F.date_format("ts", "yyyy-MM-dd") == day).select("event_id", "event_type")
+    ts = F.col("ts")  # a range on the column itself reaches the scan
+    e = _d(spark, sf).events.where((ts >= F.lit(day).cast("timestamp_ntz")) & (ts < F.lit(add_days(day, 1)).cast("timestamp_ntz"))) \
+        .select("event_id", "event_type")
     e.write.mode("overwrite").option("sep", "\t").csv(path)
     t = _name("loadpart")
     K.create_partitioned(spark, t, "event_id bigint, event_type string, dt string", ["dt"],
