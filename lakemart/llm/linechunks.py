@@ -50,10 +50,10 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
-def chunked(docs: DataFrame, text: str) -> DataFrame:
+def chunked(docs: DataFrame, text: Column) -> DataFrame:
     """Append ``lines`` and ``chunks``: of each chunk its first line ``s`` (from 1), number of
-    lines ``n``, and text ``t``."""
-    x = _held(docs, "lines", lines(F.col(text)))
+    lines ``n``, and text ``t``; both null where ``text`` is."""
+    x = _held(docs, "lines", F.when(text.isNotNull(), lines(text)))
     x = _held(x, "h", F.transform("lines", line_hash))
     x = _held(x, "c", F.zip_with("h", _before(F.col("h"), F.lit(0).cast("long")), lambda a, b: (a + 31 * b) % MODULUS == 0))
     # a line that ends a chunk right after another one that does would be a chunk alone
@@ -67,7 +67,7 @@ def chunked(docs: DataFrame, text: str) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per id the chunks to be removed: ``gone``, an array of (first line, digest)."""
-    x = chunked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
+    x = chunked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col("text"))
     rows = x.select("id", F.explode("chunks").alias("c")).where((F.col("c.n") >= 2) & (F.length("c.t") >= MIN_CHARS)) \
         .select("id", F.col("c.s").alias("s"), F.md5("c.t").alias("digest"), F.col("c.t").alias("t"))
     groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "s")).alias("first"),
@@ -84,18 +84,13 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line
     gone = repeats(docs, id_col, text_col).select(F.col("id").alias("gone_id"), "gone")
     kept = [c for c in docs.columns if c not in (lines_col, removed_col)]
     # the input's columns in one struct: none can clash with the names used here
-    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")) \
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").alias("id")) \
         .join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left")
-
-    def columns(text: Column) -> list[Column]:
-        return [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in kept]
-
-    changed = chunked(x.where("gone is not null"), "text")
-    stays = F.filter("chunks", lambda c: ~F.array_contains(F.col("gone"), F.struct(c["s"].alias("s"), F.md5(c["t"]).alias("digest"))))
-    changed = _held(changed, "stays", stays)
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    x = chunked(x, F.when(F.col("gone").isNotNull(), text))  # only texts that lose a chunk are cut again
+    x = _held(x, "stays", F.filter("chunks", lambda c: ~F.array_contains(F.col("gone"), F.struct(c["s"].alias("s"), F.md5(c["t"]).alias("digest")))))
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform("stays", lambda c: c["t"]), ""))
+    n_lines = F.when(F.col("gone").isNull(), F.size(lines(text))).otherwise(F.size("lines")).cast("long")
     count = F.aggregate("stays", F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    changed = changed.select(*columns(F.array_join(F.transform("stays", lambda c: c["t"]), "")),
-                             F.size("lines").cast("long").alias(lines_col), (F.size("lines") - count).alias(removed_col))
-    same = x.where("gone is null").select(*columns(F.coalesce(F.col("text"), F.lit(""))),
-                                          F.size(lines(F.col("text"))).cast("long").alias(lines_col), F.lit(0).cast("long").alias(removed_col))
-    return same.unionByName(changed)
+    return x.select(*[(left if c == text_col else F.col("row").getField(c)).alias(c) for c in kept], n_lines.alias(lines_col),
+                    F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(F.size("lines") - count).alias(removed_col))
