@@ -75,7 +75,7 @@ class Passages:
             share[:, k] = np.diff(np.concatenate([[0], np.cumsum(kind == k)])[where]) if size else 0
         total = np.maximum(share[:, 1:].sum(axis=1), 1)
         length = (w.end - w.start).astype(float)
-        starts, ends = w.data[w.start] if size else w.data, w.data[w.end - 1] if size else w.data
+        starts, ends = w.data[w.start], w.data[w.end - 1]
         again = np.zeros(size)
         again[1:] = (w.key[1:] == w.key[:-1]) & ~new[1:]
         _, seen = np.unique(mix(w.key + passage.astype(np.uint64) * M1), return_index=True)

@@ -366,7 +366,7 @@ def id_map(ids: DataFrame) -> tuple[int, np.ndarray]:
     the number of ids), and the bits.  An id that is not among ``ids`` may be set too; the
     join that follows drops it."""
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (16 * ids.count()).bit_length()))
-    part = 1 << 15
+    part = 1 << 12
 
     def pack(table: pa.Table) -> pa.Table:
         own = np.zeros(part, dtype=bool)

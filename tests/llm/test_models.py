@@ -1,0 +1,141 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lakemart.llm import langid, quality, toxicity
+from lakemart.llm.common import doc_hash
+from lakemart.llm.crf import Block, Crf
+
+from .cases import ROWS, documents, empty, prose
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute_marginals(scores, step):
+    """Label probabilities of a chain by summing over all label sequences."""
+    n, k = scores.shape
+    total = np.zeros((n, k))
+    for code in range(k ** n):
+        y = [(code // k ** t) % k for t in range(n)]
+        w = np.exp(sum(scores[t, y[t]] for t in range(n)) + sum(step[y[t], y[t + 1]] for t in range(n - 1)))
+        for t in range(n):
+            total[t, y[t]] += w
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_forward_backward_sums_over_all_sequences():
+    rng = np.random.default_rng(2)
+    crf = Crf(["a", "b", "c"])
+    crf.weight[:] = rng.normal(size=crf.weight.shape)
+    crf.step[:] = rng.normal(size=(3, 3))
+    block = Block(pa.array(["one two three four", "", "five", "six seven one"], pa.string()))
+    got, scores = crf.marginals(block), crf.scores(block)[block.word]
+    at = 0
+    for n in (4, 0, 1, 3):
+        assert np.allclose(got[at:at + n], brute_marginals(scores[at:at + n].astype(float), crf.step.astype(float)), atol=1e-4) if n else True
+        at += n
+
+
+def test_long_texts_keep_every_word():
+    block = Block(pa.array([prose(3, 3000), "a b"], pa.string()))
+    assert block.n == 3002 and block.length.sum() == block.n
+
+
+def test_code_switched_text_is_labelled_word_by_word():
+    english, german = "the thing with other mother", "der schöne über größe straße"
+    model = langid.train([("en", english + " " + english)] * 20 + [("de", german)] * 20)
+    got = [x[3] for x in langid.tag(model, english + " " + german)]
+    assert got == ["en"] * 5 + ["de"] * 5
+    assert langid.train([]) is None
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+
+
+def held(rows, modulus, remainder):
+    return all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == remainder) for r in rows)
+
+
+def test_language_on_held_out_documents(spark, tables):
+    docs, _ = tables
+    rows = langid.languages(docs).collect()
+    want = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    assert len(rows) == docs.count() and held(rows, 4, 2)
+    out = [r for r in rows if r["held_out"]]
+    assert np.mean([r["lang_pred"] == want[r["doc_id"]] for r in out]) > 0.97
+    model = langid.train(langid.sample(docs, "lang", "text", 50, doc_hash("doc_id")))
+    got = langid.predict(documents(spark), model).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+        else:
+            assert r["lang_pred"] in model.labels and 0 < r["score"] <= 1
+    assert langid.languages(empty(spark)).collect() == []
+    assert {r["lang_pred"] for r in langid.predict(documents(spark), None).collect()} == {"und"}
+
+
+def test_toxicity_on_held_out_documents(spark, tables):
+    docs, labels = tables
+    rows = toxicity.toxicity(docs, labels).collect()
+    want = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert len(rows) == docs.count() and held(rows, 5, 0)
+    out = [r for r in rows if r["held_out"] and r["doc_id"] in want]
+    assert np.mean([r["predicted"] == want[r["doc_id"]] for r in out]) > 0.93
+    assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in rows)
+    assert toxicity.toxicity(empty(spark), labels).collect() == []
+    none = toxicity.toxicity(documents(spark), labels.where("false")).collect()
+    assert len(none) == len(ROWS) and {r["score"] for r in none} == {0}
+
+
+def test_toxic_spans():
+    rows = [("1", f"{prose(k, 30)} you stupid loser {prose(k + 50, 20)} stupid") for k in range(40)]
+    rows += [("0", prose(k, 60)) for k in range(100, 180)]
+    model = toxicity.train(rows)
+    text = "Das ist gut, you STUPID loser, ßé stupid"
+    block = Block(pa.array([text, "", "all fine"], pa.string()))
+    marginal = model.crf.marginals(block)[:, 1].astype(float)
+    found = toxicity.spans(block, marginal, 3)
+    assert any("STUPID" in text[s["start"]:s["end"]] for s in found[0]) and text[found[0][-1]["start"]:found[0][-1]["end"]] == "stupid"
+    assert found[1] == found[2] == []
+    score = model.score(toxicity.features(block, marginal, 3))
+    assert score[0] > 0.5 > max(score[1:])
+
+
+def test_quality_on_held_out_documents(spark, tables):
+    docs, labels = tables
+    rows = quality.quality(docs, labels).collect()
+    want = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    assert len(rows) == docs.count() and held(rows, 3, 1)
+    out = [r for r in rows if r["held_out"] and r["doc_id"] in want]
+    assert np.mean([r["predicted"] == want[r["doc_id"]] for r in out]) > 0.97
+    got = quality.quality(documents(spark), labels).collect()
+    assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
+    assert quality.quality(empty(spark), labels).collect() == []
+    assert {r["score"] for r in quality.quality(documents(spark), labels.where("false")).collect()} == {0.5}
+
+
+def test_attention_is_a_softmax_over_the_passages():
+    texts = [f"{prose(k, 80)}\n{'%%% ### ' * 20 if k % 2 else prose(k + 40, 20)}" for k in range(60)] + ["", "one"]
+    p = quality.Passages(pa.array(texts, pa.string()))
+    assert np.bincount(p.doc, minlength=len(texts)).min() >= 1
+    model = quality.train([(str(1 - k % 2), t) for k, t in enumerate(texts)], 0.5)
+    score, attention = model.score(p)
+    assert np.allclose(np.add.reduceat(attention, p.first), 1)
+    assert np.mean((score[:60] >= 0.5) == [k % 2 == 0 for k in range(60)]) > 0.95
+    junk = [attention[p.first[k]:p.first[k + 1]] for k in range(1, 60, 2)]
+    assert np.mean([a[-1] > 1 / len(a) for a in junk]) > 0.9  # the junk passage is what decides
+
+
+def test_gradient_of_the_attention_model():
+    """Learning lowers the loss of a hand-made set that no single passage average separates."""
+    p = quality.Passages(pa.array(["ok fine text here\n### ### ###", "ok fine text here\nall good here"] * 10, pa.string()))
+    model = quality.Model(0.5)
+    y = np.array([0.0, 1.0] * 10)
+    model.learn([(p, y)], rounds=150)
+    score, _ = model.score(p)
+    assert -np.mean(y * np.log(score) + (1 - y) * np.log(1 - score)) < 0.1
