@@ -33,6 +33,15 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([checkpoint_dir(spark).rstrip("/"), "lakemart", *parts, uuid.uuid4().hex[:12]])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A fact written by day to a fresh shared folder and read back, for jobs that read it
+    several times: they scan the stored days instead of building the fact again."""
+    spark = df.sparkSession
+    path = shared_path(spark, "facts", name)
+    partition_layout(df, ["dt"]).write.partitionBy("dt").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def create_partitioned(spark: SparkSession, table: str, columns: str, partitions: list[str], location: str,
                        fmt: str = "parquet", options: dict[str, str] | None = None) -> None:
     """K-01 / K-02 ``PARTITIONED BY (dt)`` or ``(day, hour)``; K-04 codec in OPTIONS."""

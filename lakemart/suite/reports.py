@@ -13,6 +13,7 @@ from ..plans import facts_log as L
 from ..plans import reports as P
 from ..plans import rollups as R
 from ..registry import register
+from ..sinks.writers import stored
 from ..sources import domain as D
 from ..sources.driver import Driver
 from . import facts as _facts  # noqa: F401  (registers page_view / user_login CTEs)
@@ -206,7 +207,7 @@ group by recent_days, source, coalesce(target, 'null')""", "page_view"))
 def q_page_path(spark, sf):
     """J-50: lead/row_number per session, counted per day then fanned out."""
     d = _d(spark, sf)
-    pv = L.page_view(D.page_log(d, add_days(TDAY, -29), TDAY), D.province(d))
+    pv = stored(L.page_view(D.page_log(d, add_days(TDAY, -29), TDAY), D.province(d)), "page_view")
     return P.page_path(pv, TDAY)
 
 
@@ -240,7 +241,7 @@ cte("login_td_prev", login_td_first_sql(add_days(TDAY, -1)), ("users", "user_log
 
 def login_frames(spark, sf, day=TDAY):
     d = _d(spark, sf)
-    login = L.user_login(D.page_log(d), D.province(d)).withColumn("user_id", F.col("user_id").cast("bigint"))
+    login = stored(L.user_login(D.page_log(d), D.province(d)).withColumn("user_id", F.col("user_id").cast("bigint")), "user_login")
     users = D.users(d)
     prev = R.user_login_td_first(users, login, add_days(day, -1))
     today = R.user_login_td_step(prev.drop("dt"), login, day)
