@@ -9,6 +9,10 @@ the partitions they need:
     order_1d(D), refund_1d(D)       <- detail(D) / refund(D) ⋈ sku   (aggregate first)
     order_nd(D), refund_nd(D)       <- 1d(D-29..D)                    (literal partition bounds)
     report_by_brand[dt=D] = rows(D) <- 1d(D), nd(D)                   (partition replace, idempotent)
+    page_view(D), login(D)          <- app log of day D
+    session_1d(D), login_td(D)      <- page_view(D) / login_td(D-1) ⊕ login(D)
+    user[open], user[D-1]           <- user[open] ⊕ user changes of D (staged, then replaced)
+    log reports[dt=D]               <- session_1d, page_view (D-29..D), login_td (D-1, D)
 
 At 100 TB this is what keeps a daily job proportional to one day of data instead of
 the whole history: every read above is a partition-pruned scan.
@@ -21,10 +25,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.codes import OPEN_END
 from ..functions.scalar import add_days
-from ..sinks.writers import partition_layout
+from ..sinks.writers import delete_path, partition_layout
 from ..sources import domain as D
 from ..sources.driver import Driver
+from . import dims as DM
+from . import facts_log as L
 from . import reports as P
 from . import rollups as R
 
@@ -85,3 +92,49 @@ def append_report(layers: Layers, rows: DataFrame, name: str, day: str) -> DataF
     rerun is idempotent)."""
     layers.write(rows, name, day)
     return layers.spark.read.schema(rows.schema).parquet(layers.path(name))
+
+
+def load_log_day(layers: Layers, drv: Driver, day: str, first: bool = False) -> dict[str, DataFrame]:
+    """Run the app-log layers and their reports for ``day``; ``first=True`` fills every earlier
+    day of the log facts and starts the to-date login state.  Returns the report tables."""
+    lo, own = (None, None) if first else (day, day)
+    log, province = D.page_log(drv, lo, day), D.province(drv)
+    views = L.page_view(log, province)
+    logins = L.user_login(log, province).withColumn("user_id", F.col("user_id").cast("bigint"))
+    layers.write(views, "dwd_page_view", own)
+    layers.write(logins, "dwd_user_login", own)
+    since = lo or "0000-00-00"
+    sessions = R.session_page_view_1d(layers.read("dwd_page_view", views.schema, since, day))
+    layers.write(sessions, "dws_session_page_view_1d", own)
+    login = layers.read("dwd_user_login", logins.schema, since, day)
+    state = R.user_login_td_first(D.users(drv), login, day)
+    before = layers.read("dws_user_login_td", state.schema, add_days(day, -1), add_days(day, -1)) if not first else None
+    layers.write(state if before is None else R.user_login_td_step(before.drop("dt"), login, day), "dws_user_login_td", day)
+    state = layers.read("dws_user_login_td", state.schema, day, day)
+    month = add_days(day, -29)
+    registered = R.registrations(D.user_inc(drv, day))
+    rows = {"ads_traffic_by_channel": P.traffic_by_channel(layers.read("dws_session_page_view_1d", sessions.schema, month, day), day),
+            "ads_page_path": P.page_path(layers.read("dwd_page_view", views.schema, month, day), day),
+            "ads_user_retention": P.retention(registered, state, day), "ads_user_stats": P.user_stats(state, registered, day)}
+    if before is not None:
+        rows["ads_user_change"] = P.user_change(state, before, day)
+    return {name: append_report(layers, x, name, day) for name, x in rows.items()}
+
+
+def load_user_day(layers: Layers, drv: Driver, day: str, first: bool = False) -> DataFrame:
+    """The slowly changing user dimension: open rows in the partition ``OPEN_END``, rows closed
+    on day D-1 in that day's.  The new version is staged first, since it is made from the open
+    partition that it replaces."""
+    changes = D.user_inc(drv, day if not first else add_days(day, 1))
+    init = DM.user_zip_init(changes, day)
+    if first:
+        layers.write(init, "dim_user", None)
+    else:
+        rows = DM.user_zip_apply(layers.read("dim_user", init.schema, OPEN_END, OPEN_END).drop("dt"), changes, day)
+        staging = layers.path("_staging_dim_user")
+        rows.write.mode("overwrite").parquet(staging)
+        staged = layers.spark.read.schema(rows.schema).parquet(staging)
+        layers.write(staged, "dim_user", add_days(day, -1))
+        layers.write(staged, "dim_user", OPEN_END)
+        delete_path(layers.spark, staging)
+    return layers.spark.read.schema(init.schema).parquet(layers.path("dim_user"))

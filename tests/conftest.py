@@ -16,7 +16,10 @@ def spark():
 
     s = (SparkSession.builder.master("local[*]").appName("lakemart-tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+         .config("spark.ui.showConsoleProgress", "false")
+         # the tests' days are a few rows each: without this one task would write all folders of a table
+         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "4k").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     configure(s)
     yield s
