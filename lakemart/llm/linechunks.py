@@ -83,14 +83,15 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line
     columns of these names are replaced."""
     gone = repeats(docs, id_col, text_col).select(F.col("id").alias("gone_id"), "gone")
     kept = [c for c in docs.columns if c not in (lines_col, removed_col)]
-    # the input's columns in one struct: none can clash with the names used here
-    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").alias("id")) \
-        .join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left")
-    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    # the input's columns under names of their own: none can clash with the names used here
+    own = {c: f"in_{k}" for k, c in enumerate(kept)}
+    x = docs.select(*[F.col(f"`{c}`").alias(own[c]) for c in kept]) \
+        .join(gone, F.col(own[id_col]).eqNullSafe(F.col("gone_id")), "left")
+    text = F.coalesce(F.col(own[text_col]), F.lit(""))
     x = chunked(x, F.when(F.col("gone").isNotNull(), text))  # only texts that lose a chunk are cut again
     x = _held(x, "stays", F.filter("chunks", lambda c: ~F.array_contains(F.col("gone"), F.struct(c["s"].alias("s"), F.md5(c["t"]).alias("digest")))))
     left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform("stays", lambda c: c["t"]), ""))
     n_lines = F.when(F.col("gone").isNull(), F.size(lines(text))).otherwise(F.size("lines")).cast("long")
     count = F.aggregate("stays", F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    return x.select(*[(left if c == text_col else F.col("row").getField(c)).alias(c) for c in kept], n_lines.alias(lines_col),
+    return x.select(*[(left if c == text_col else F.col(own[c])).alias(c) for c in kept], n_lines.alias(lines_col),
                     F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(F.size("lines") - count).alias(removed_col))
