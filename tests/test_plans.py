@@ -2,9 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as E
+from lakemart import registry
 
-QUERIES = E.queries()
+QUERIES = registry.load_all()[0]
 SIDE_EFFECTS = ("scan_", "overwrite_", "insert_append", "partition_", "append_distinct", "create_", "export_dir",
                 "format_roundtrip", "load_", "truncate_drop", "select_star", "stream_")
 PURE = sorted(k for k in QUERIES if not k.startswith(SIDE_EFFECTS))
