@@ -122,6 +122,7 @@ class WordBPE:
         self.words = regex.compile(word_pattern())
         self.space = re.compile(f"[{SPACE}]+")
         self.newer = re.compile("[" + "".join(map(chr, NEWER)) + "]")
+        self.lead = {s[0] for s in self.special}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kept = Recent(CACHE)  # word or longer stretch -> (ids, decoded)
 
@@ -139,7 +140,7 @@ class WordBPE:
     def pieces(self, text: str) -> list[str]:
         """Stretches of the normalised text without white space, added tokens apart.  Words
         never hold white space, so each stretch splits into words on its own."""
-        if self.cut is None or "<" not in text or len(parts := self.cut.split(text)) == 1:
+        if not any(c in text for c in self.lead) or len(parts := self.cut.split(text)) == 1:
             return self.stretches(text)
         out: list[str] = []
         for k, part in enumerate(parts):

@@ -63,7 +63,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int = BLOCK_BY
     for batch in batches:
         if not batch.num_rows:
             continue
-        n = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+        n = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64) + 32  # an empty row has a size, too
         at = 0
         while at < len(n):
             upto = size + np.cumsum(n[at:])
