@@ -30,6 +30,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 SUPPORT, CONFIDENCE, TOKENS = 0.01, 0.6, 2
 
@@ -106,7 +108,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     known = labels.select(F.col(label_id).alias("id"), F.when(bad, "block").otherwise("allow").alias("label"))
     labelled = x.join(known, "id").select("tokens", F.coalesce("l.verdict", "label").alias("label"))
-    found = match(x.where("l is null").select("tokens").distinct(), mine(labelled))
+    # written: the join with the pages then has a side of its own, which is broadcast or, by size, split where it is skewed
+    found = staged(match(x.where("l is null").select("tokens").distinct(), mine(labelled)), "url-verdicts")
     open_ = x.where("l is null").join(found, "tokens", "left").select(
         "id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"), "mined", "confidence")
     closed = x.where("l is not null").select("id", "host", "path", "l.rule", "l.verdict", F.lit(None).cast("string").alias("mined"),
