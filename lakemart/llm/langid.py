@@ -36,16 +36,21 @@ TEXTS = 100
 
 def sample(rows: DataFrame, label: str, text: str, per_label: int, order: Column, labels: int = LANGUAGES) -> list[tuple[str, str]]:
     """About ``per_label`` rows of each label in a fixed pseudo-random order: at most
-    ``per_label`` * ``labels`` short texts reach the driver, however many rows there are."""
+    ``per_label`` * ``labels`` short texts reach the driver, however many rows there are.  The
+    labels are counted without reading texts."""
     x = rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.pmod(order, F.lit(1 << 30)).alias("at")) \
-        .where("label is not null and text is not null")
-    x = x.where(F.length("text") <= LONGEST)
+        .where("label is not null")
     counts = x.groupBy("label").count().orderBy(F.desc("count"), "label").limit(labels).collect()
     keep = F.lit(False)
     for r in counts:
-        upto = min(1 << 30, int((1 << 30) * 1.2 * per_label / r["count"]) + 1)
+        upto = min(1 << 30, int((1 << 30) * 1.3 * per_label / r["count"]) + 1)
         keep = keep | ((F.col("label") == r["label"]) & (F.col("at") < upto))
-    got = sorted((r["label"], r["at"], r["text"]) for r in x.where(keep).collect())
+    return pick(x.where(keep), per_label)
+
+
+def pick(rows: DataFrame, per_label: int) -> list[tuple[str, str]]:
+    """Of few rows (``label``, ``at``, ``text``) the first ``per_label`` of each label."""
+    got = sorted((r["label"], r["at"], r["text"]) for r in rows.where(F.length("text") <= LONGEST).select("label", "at", "text").collect())
     out, n = [], 0
     for k, (own, _, t) in enumerate(got):
         n = n + 1 if k and got[k - 1][0] == own else 1

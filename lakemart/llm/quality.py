@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import M1, Words, blocks, doc_hash, mix, small_batches, texts_of, with_text
-from .langid import held_out, sample
+from .common import M1, Words, blocks, mix, small_batches, texts_of, with_text
+from .langid import held_out, pick
 from .toxicity import few
 
 #: Training sample: texts of each label.
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from the labels of ids that are not held out."""
     known = labels.where(~held_out(id_col, 3, 1) & F.col(label).isin(0, 1))
     share = known.select(F.avg(F.col(label).cast("double"))).first()[0]
-    got = sample(few(docs, known, label, id_col, text_col, PER_LABEL), "label", "text", PER_LABEL, doc_hash("id"))
+    got = pick(few(docs, known, label, id_col, text_col, PER_LABEL), PER_LABEL)
     return train(got, share)
 
 

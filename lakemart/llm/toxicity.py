@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, doc_hash, small_batches, texts_of, with_text
+from .common import blocks, small_batches, texts_of, with_text
 from .crf import Block, Crf
-from .langid import TEXTS, held_out, sample
+from .langid import TEXTS, held_out, pick
 
 #: Training sample: texts of each label.
 PER_LABEL = 1200
@@ -215,28 +215,24 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return with_text(docs, kept, text_col).mapInArrow(run, out)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str) -> DataFrame:
-    """Texts with their labels 0 or 1."""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")) \
-        .join(labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)"), "id")
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
     """Learn from the labels of rows that are not held out, and score all rows."""
     known = labels.where(~held_out(id_col, 5, 0))
     share = known.select(F.avg(F.col(label).cast("double"))).first()[0]
-    got = sample(few(docs, known, label, id_col, text_col, PER_LABEL), "label", "text", PER_LABEL, doc_hash("id"))
+    got = pick(few(docs, known, label, id_col, text_col, PER_LABEL), PER_LABEL)
     rows = docs.select(F.col(id_col), held_out(id_col, 5, 0).alias("held_out"), F.col(text_col).alias("text"))
     return scan(rows, train(got, share or 0.0)).select(id_col, "held_out", "score", "predicted", "spans")
 
 
 def few(docs: DataFrame, known: DataFrame, label: str, id_col: str, text_col: str, per_label: int) -> DataFrame:
-    """The texts of labelled ids that can come into the sample at all: about twice as many ids
-    of each label as it takes are chosen before any text is joined to them."""
-    x = known.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and id is not null")
+    """``label``, ``at`` and ``text`` of the labelled ids that can come into the sample: somewhat
+    more ids of each label than it takes are chosen by hash (at most four times ``per_label`` in
+    all), and only these, a bounded number, are sent to the tasks that read the texts."""
+    x = known.select(F.col(id_col).alias("id"), F.col(label).cast("int").cast("string").alias("label")).where("label in ('0', '1') and id is not null")
+    x = x.withColumn("at", F.pmod(F.xxhash64(F.lit(20240229), F.col("id")), F.lit(1 << 30)))
     counts = {r["label"]: r["count"] for r in x.groupBy("label").count().collect()}
-    at = F.pmod(F.xxhash64(F.lit(20240229), F.col("id")), F.lit(1 << 30))
     keep = F.lit(False)
     for own, n in counts.items():
-        keep = keep | ((F.col("label") == own) & (at < min(1 << 30, int((1 << 30) * 2.0 * per_label / n) + 1)))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(x.where(keep), "id")
+        keep = keep | ((F.col("label") == own) & (F.col("at") < min(1 << 30, int((1 << 30) * 1.3 * per_label / n) + 1)))
+    chosen = x.where(keep).orderBy("at", "id", "label").limit(4 * per_label)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
