@@ -251,6 +251,76 @@ def k17(spark, sf):
     return spark.table(t)
 
 
+# The same loads over thousands of days: the order rollup by user and day, over all order days.
+ORDER_COLS = ("user_id bigint, order_count_1d bigint, order_num_1d bigint, order_original_amount_1d decimal(16,2), "
+              "activity_reduce_amount_1d decimal(16,2), coupon_reduce_amount_1d decimal(16,2), "
+              "order_total_amount_1d decimal(16,2), dt string")
+
+
+def _order_table(spark, key):
+    t = _name(key)
+    K.create_partitioned(spark, t, ORDER_COLS, ["dt"], K.shared_path(spark, "tables", t))
+    return t
+
+
+def _order_1d(spark, sf):
+    return R.user_order_1d(D.order_detail(_d(spark, sf)))
+
+
+def _corrupt_orders(df):
+    return df.withColumn("order_count_1d", F.col("order_count_1d") * 10)
+
+
+@register("overwrite_static_partition_orders", with_ctes("select * from uo1d", "uo1d"))
+def k05_orders(spark, sf):
+    """K-05 over all order days: a wrong day D is replaced, the other days are untouched."""
+    x = _order_1d(spark, sf)
+    t = _order_table(spark, "static_orders")
+    K.overwrite_dynamic_partition(spark, x.where(F.col("dt") != DAY).unionByName(_corrupt_orders(x.where(F.col("dt") == DAY))), t)
+    K.overwrite_static_partition(spark, x.where(F.col("dt") == DAY).drop("dt"), t, {"dt": DAY})
+    return spark.table(t)
+
+
+@register("overwrite_dynamic_partition_orders", with_ctes("select * from uo1d", "uo1d"))
+def k06_orders(spark, sf):
+    """K-06 over all order days: the last 7 are corrupted and replaced, the others are untouched."""
+    x = _order_1d(spark, sf)
+    lo = add_days(DAY, -6)
+    t = _order_table(spark, "dynamic_orders")
+    K.overwrite_dynamic_partition(spark, x.where(F.col("dt") < lo).unionByName(_corrupt_orders(x.where(F.col("dt") >= lo))), t)
+    K.overwrite_dynamic_partition(spark, x.where(F.col("dt") >= lo), t)
+    return spark.table(t)
+
+
+@register("insert_append_orders", with_ctes("select * from uo1d", "uo1d"))
+def k07_orders(spark, sf):
+    """K-07 over all order days: ``INSERT INTO`` the last day after the history."""
+    x = _order_1d(spark, sf)
+    t = _order_table(spark, "append_orders")
+    K.insert_append(spark, x.where(F.col("dt") < DAY), t)
+    K.insert_append(spark, x.where(F.col("dt") == DAY), t)
+    return spark.table(t)
+
+
+@register("partition_list_orders", with_ctes('select distinct \'dt=\' || dt "partition" from uo1d', "uo1d"))
+def k16_orders(spark, sf):
+    """K-16 over all order days: ``SHOW PARTITIONS`` of a table of thousands of days."""
+    t = _order_table(spark, "parts_orders")
+    K.overwrite_dynamic_partition(spark, _order_1d(spark, sf), t)
+    return K.partition_list(spark, t)
+
+
+@register("partition_repair_orders", with_ctes("select * from uo1d", "uo1d"))
+def k17_orders(spark, sf):
+    """K-17 over all order days: ``MSCK REPAIR TABLE`` discovers thousands of day folders."""
+    t = _name("repair_orders")
+    loc = K.shared_path(spark, "tables", t)
+    K.partition_layout(_order_1d(spark, sf), ["dt"]).write.mode("overwrite").partitionBy("dt").parquet(loc)
+    K.create_partitioned(spark, t, ORDER_COLS, ["dt"], loc)
+    K.partition_repair(spark, t)
+    return spark.table(t)
+
+
 @register("write_compressed", "select event_id, user_id, event_type from events")
 def k04(spark, sf):
     """K-04: ORC with zlib, read back whole."""

@@ -1,0 +1,17 @@
+"""The partition loads over all order days, not only over the 30 event days."""
+
+import pytest
+
+import __spark_entry__ as E
+from lakemart.sources import domain as D
+from lakemart.sources.driver import Driver
+
+NAMES = ("overwrite_static_partition", "overwrite_dynamic_partition", "insert_append", "partition_list", "partition_repair")
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_order_day_is_a_partition(spark, sf, name):
+    days = {r["dt"] for r in D.order_detail(Driver(spark, sf)).select("dt").distinct().collect()}
+    out = E.queries()[f"{name}_orders"](spark, sf)
+    got = {r[0].removeprefix("dt=") for r in out.select("partition" if name == "partition_list" else "dt").distinct().collect()}
+    assert got == days and len(days) > 500
