@@ -5,10 +5,13 @@ longest run of anchors that ascends in both (longest increasing subsequence), an
 gap between anchors in the same way; where a gap has no such word, equal words at its two ends
 are matched.  The share of the template's words that are matched is its coverage.
 
-``scan`` finds, over a block of texts at once, the places of each template's telling words
-(those of at least ``LONG`` letters).  Where a text has ``TELLING`` of a template's telling
-words, windows of the template's length around them are aligned; matches of at least
-``COVERAGE`` are kept, of overlapping ones the one with most matched words.
+``scan`` finds, over a block of texts at once, the places of each template's words of at least
+``LONG`` letters and of the phrases that tell its license from others (``license_texts``: name,
+version, variant).  A text that lacks more of these words than ``coverage`` leaves unmatched,
+or a phrase, cannot hold the template and is passed over; in others, windows of the template's
+length around the phrase, or the words where it has none, are aligned.  Matches of at least
+``coverage`` that hold each phrase whole are kept, of overlapping ones the one with most
+matched words.
 
 Defined results: null, empty and wordless texts hold no license; every copy of a notice in a
 text is found; ties go to the template first in order of name; repeated rows are each scanned;
@@ -29,9 +32,9 @@ from pyspark.sql import types as T
 
 from .common import Words, blocks, small_batches, texts_of, with_text
 from .decontam import WORD
-from .license_texts import TEMPLATES
+from .license_texts import TELLING, TEMPLATES
 
-COVERAGE, TELLING, LONG = 0.75, 0.5, 5
+COVERAGE, LONG = 0.75, 5
 
 
 def increasing(values: Sequence[int]) -> list[int]:
@@ -81,33 +84,63 @@ def align(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def places(words: Sequence, phrase: Sequence) -> list[int]:
+    """Where a phrase stands whole."""
+    n = len(phrase)
+    return [k for k, w in enumerate(words) if w == phrase[0] and list(words[k:k + n]) == phrase]
+
+
 class Template:
-    def __init__(self, name: str, text: str):
+    def __init__(self, name: str, text: str, coverage: float, phrases: Sequence[str] = ()):
         w = Words(pa.array([text], pa.string()), WORD)
         self.name = name
         self.words = w.key.tolist()
+        self.coverage = coverage
+        #: per phrase its forms, each a list of words
+        self.phrases = [[Words(pa.array([f], pa.string()), WORD).key.tolist() for f in p.split("|")] for p in phrases]
+        self.offsets = places(self.words, self.phrases[0][0]) if phrases else []
+        if phrases and not self.offsets:
+            raise ValueError(f"{name}: its first phrase is not in its text")
+        size = len(self.words)
+        spare = size - next((n for n in range(size + 1) if n >= coverage * size), size)  # words that may go unmatched
         long = (w.end - w.start) >= LONG
-        telling = np.unique(w.key[long]) if long.any() else np.unique(w.key)
-        self.telling = telling
+        if int(long.sum()) <= spare:  # too few to be missed
+            long = np.ones(size, bool)
+        #: telling words, and how many of them (each as often as the template has it) a text has at least
+        self.telling = Counter(w.key[long].tolist())
+        self.least = int(long.sum()) - spare
         self.first = {k: i for i, k in reversed(list(enumerate(self.words)))}
+        self.vocabulary = {*self.telling, *(k for p in self.phrases for f in p for k in f)}
+
+    def possible(self, held: set[int]) -> bool:
+        """Whether a text of these words may hold the template; no match is lost."""
+        return all(any(held.issuperset(f) for f in p) for p in self.phrases) \
+            and sum(self.telling[k] for k in held & self.telling.keys()) >= self.least
 
 
-def matches(words: list[int], hits: np.ndarray, t: Template, coverage: float) -> list[tuple[int, int, float, int]]:
+def matches(words: list[int], hits: Sequence[int], t: Template) -> list[tuple[int, int, float, int]]:
     """(first word, end, coverage, matched words) of each copy of a template, in order; ``hits``:
     places of its telling words."""
     out = []
     size = len(t.words)
     slack = max(2, size // 4)
     end = 0
-    for p in hits.tolist():
+    if t.phrases:
+        hits = sorted({k for f in t.phrases[0] for k in places(words, f)})
+    for p in hits:
         if p < end:
             continue
-        begin = max(end, p - t.first[words[p]] - slack)
-        stop = min(len(words), p - t.first[words[p]] + size + slack)
+        low, high = (t.offsets[0], t.offsets[-1]) if t.phrases else (t.first[words[p]], t.first[words[p]])
+        begin = max(end, p - high - slack)
+        stop = min(len(words), p - low + size + slack)
         got = align(words[begin:stop], t.words)
-        if len(got) >= coverage * size:
-            start, end = begin + got[0][0], begin + got[-1][0] + 1
-            out.append((start, end, len(got) / size, len(got)))
+        if got and len(got) >= t.coverage * size:
+            a, b = begin + got[0][0], begin + got[-1][0] + 1
+            # with as many words as the template goes on at its ends: another form of a phrase may stand there
+            near = words[max(begin, a - got[0][1]):min(stop, b + size - 1 - got[-1][1])]
+            if all(any(places(near, f) for f in forms) for forms in t.phrases):
+                out.append((a, b, len(got) / size, len(got)))
+                end = b
     return out
 
 
@@ -115,12 +148,12 @@ FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.St
                                   T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def scan_block(texts: pa.Array, templates: Sequence[Template], coverage: float) -> list[list[dict]]:
+def scan_block(texts: pa.Array, templates: Sequence[Template]) -> list[list[dict]]:
     w = Words(texts, WORD)
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     if not len(w.key):
         return out
-    telling = np.unique(np.concatenate([t.telling for t in templates])) if templates else np.zeros(0, np.uint64)
+    telling = np.array(sorted(set().union(*[t.vocabulary for t in templates])), np.uint64)
     if not len(telling):
         return out
     at = np.minimum(np.searchsorted(telling, w.key), len(telling) - 1)
@@ -128,21 +161,20 @@ def scan_block(texts: pa.Array, templates: Sequence[Template], coverage: float)
     if not len(hit):
         return out
     points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-    kinds = [set(t.telling.tolist()) for t in templates]
     cuts = np.flatnonzero(np.diff(w.doc[hit])) + 1
     for own in np.split(hit, cuts):
         d = int(w.doc[own[0]])
         held = set(w.key[own].tolist())
         words = None
         found = []
-        for t, kind in zip(templates, kinds, strict=True):
-            if len(held & kind) < TELLING * len(kind):
+        for t in templates:
+            if not t.possible(held):
                 continue
             if words is None:
                 first = int(w.first[d])
                 words = w.key[first:first + int(w.count[d])].tolist()
-            places = np.array([k - first for k in own.tolist() if words[k - first] in kind])
-            found += [(-n, t.name, s, e, c) for s, e, c, n in matches(words, places, t, coverage)]
+            hits = [] if t.phrases else [k - first for k in own.tolist() if words[k - first] in t.telling]
+            found += [(-n, t.name, s, e, c) for s, e, c, n in matches(words, hits, t)]
         taken: list[tuple[int, int]] = []
         for n, name, s, e, c in sorted(found):
             if all(e <= x or s >= y for x, y in taken):
@@ -153,18 +185,20 @@ def scan_block(texts: pa.Array, templates: Sequence[Template], coverage: float)
     return out
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, text_col: str = "text", coverage: float = COVERAGE,
+         telling: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Append ``found``: each notice's license, coverage and place in code points [start, end),
-    in order of place."""
+    in order of place.  ``telling``: phrases by template, those of ``license_texts`` unless given."""
     kept = [f for f in docs.schema.fields if f.name != "found"]
     out = T.StructType([*kept, T.StructField("found", FOUND)])
     arrow = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
     texts = dict(sorted(templates.items()))
+    phrases = dict(telling) if telling is not None else {k: TELLING[k] for k, v in texts.items() if k in TELLING and v == TEMPLATES.get(k)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [t for t in (Template(k, v) for k, v in texts.items()) if t.words]
+        own = [t for t in (Template(k, v, coverage, phrases.get(k, ())) for k, v in texts.items()) if t.words]
         for batch in blocks(batches, -1):
-            found = scan_block(texts_of(batch.column(-1)), own, coverage)
+            found = scan_block(texts_of(batch.column(-1)), own)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow)], names=[f.name for f in out.fields])
 
     small_batches(docs.sparkSession)
