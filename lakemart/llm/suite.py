@@ -184,6 +184,13 @@ def op2(spark, sf_dir):
     return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+@register("url_rules_whole")
+def url_rules_whole(spark, sf_dir):
+    """op2 with rules of every size and of rare sets, which its SQL does not state."""
+    from . import urlrules
+    return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), whole=True)
+
+
 @register("op8_licenses")
 def op8(spark, sf_dir):
     from . import licenses

@@ -16,6 +16,12 @@ rarest token, looked up by the tokens of the distinct token sets, and checked fo
 Of the matching rules the one with most tokens decides, then confidence, support, block before
 allow, and tokens in order; without any the verdict is allow.
 
+``judge(whole=True)`` mines rules of every size and of rare sets: a set of tokens is a rule where at
+least ``LEAST`` labelled URLs hold it with the verdict and the lower end of the confidence's Wilson
+interval (``Z``) is at least ``BOUND``, which guards small counts.  Tokens that the same labelled token
+sets hold count as one item: a set's support and confidence hang on the items alone, so nothing is
+lost, and copies of a long URL give one set, not one for each choice of its tokens.
+
 Defined results: a null URL, or one without ``://``, has empty host and path, no tokens, and
 is allowed; labels of unknown pages are not used, several labels of a page each count; repeated
 rows are each judged; an empty table gives none, and without labels nothing is mined; other
@@ -34,6 +40,7 @@ from .common import staged
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 SUPPORT, CONFIDENCE, TOKENS = 0.01, 0.6, 2
+LEAST, BOUND, Z = 3, 0.6, 1.2816
 
 
 def lower(x: Column) -> Column:
@@ -91,6 +98,11 @@ def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     spaces), ``verdict`` and ``confidence``."""
     found = sets.select("tokens", F.explode("tokens").alias("anchor")).join(rules, "anchor") \
         .where(F.size(F.array_except("ante", "tokens")) == 0)
+    return match_best(found)
+
+
+def match_best(found: DataFrame) -> DataFrame:
+    """Of the rules found for each ``tokens`` array the one that decides."""
     rank = F.struct((-F.size("ante")).alias("size"), (-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"),
                     (F.col("verdict") == "allow").alias("allow"), F.array_join("ante", " ").alias("mined"))
     best = found.groupBy("tokens").agg(F.min(rank).alias("r"))
@@ -98,10 +110,49 @@ def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
                        (-F.col("r.c")).alias("confidence"))
 
 
+def token_items(labelled: DataFrame) -> DataFrame:
+    """Each token of the labelled URLs and its ``item``: tokens of the same token sets share one."""
+    own = labelled.select("tokens").distinct().select(F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b"), F.explode("tokens").alias("token"))
+    same = own.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    return same.select("token", F.concat_ws(".", "n", F.hex("a"), F.hex("b")).alias("item"))
+
+
+def mine_whole(labelled: DataFrame, items: DataFrame, least: int = LEAST, bound: float = BOUND) -> DataFrame:
+    """Rules of every size (``ante`` array of items, ``verdict``, ``support`` count, ``confidence``,
+    ``anchor``) from rows of ``tokens`` and ``label``."""
+    sets = labelled.select("tokens").distinct()
+    named = sets.select("tokens", F.explode("tokens").alias("token")).join(items, "token") \
+        .groupBy("tokens").agg(F.collect_set("item").alias("own"))
+    held = staged(labelled.join(named, "tokens").select(F.array_append("own", F.concat(F.lit("="), F.col("label"))).alias("items")), "url-items")
+    n = max(held.count(), 1)
+    # half a URL less: the miner rounds support x count up, to ``least`` itself
+    sets = FPGrowth(itemsCol="items", minSupport=min((least - 0.5) / n, 1.0), minConfidence=bound).fit(held).freqItemsets
+    sets = staged(sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("="))).alias("ante"),
+                              F.filter("items", lambda x: x.startswith("=")).alias("label"), "freq")
+                  .where((F.size("ante") >= 1) & (F.size("label") <= 1)), "url-sets")
+    alone = sets.where(F.size("label") == 0).select("ante", F.col("freq").cast("double").alias("all"))
+    p, z2 = F.col("freq") / F.col("all"), Z * Z
+    low = (p + z2 / 2 / F.col("all") - Z * F.sqrt((p * (1 - p) + z2 / 4 / F.col("all")) / F.col("all"))) / (1 + z2 / F.col("all"))
+    good = sets.where(F.size("label") == 1).join(alone, "ante").withColumn("confidence", p).where(low >= bound)
+    # the rarest item: an item's name begins with the number of token sets that hold it
+    anchor = F.array_min(F.transform("ante", lambda x: F.struct(F.substring_index(x, ".", 1).cast("long").alias("n"), x.alias("item"))))["item"]
+    return good.select("ante", F.substring(F.col("label")[0], 2, 20).alias("verdict"), F.col("freq").alias("support"), "confidence", anchor.alias("anchor"))
+
+
+def match_whole(sets: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
+    """``match`` for rules of items: a rule's tokens in a URL are all that the URL has of its items."""
+    own = sets.select("tokens", F.explode("tokens").alias("token")).join(items, "token") \
+        .groupBy("tokens").agg(F.collect_list(F.struct("item", "token")).alias("own"))
+    own = own.withColumn("held", F.array_distinct(F.transform("own", lambda x: x["item"])))
+    found = own.withColumn("anchor", F.explode("held")).join(rules, "anchor").where(F.size(F.array_except("ante", "held")) == 0)
+    ante = F.array_sort(F.transform(F.filter("own", lambda x: F.array_contains(F.col("ante"), x["item"])), lambda x: x["token"]))
+    return match_best(found.select("tokens", ante.alias("ante"), "verdict", "support", "confidence"))
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
-          label_id: str = "doc_id") -> DataFrame:
+          label_id: str = "doc_id", whole: bool = False) -> DataFrame:
     """Every page's host, path, listed ``rule``, ``verdict``, and where no rule is listed the
-    ``mined`` one and its ``confidence``."""
+    ``mined`` one and its ``confidence``; ``whole``: mined rules of every size and of rare sets."""
     x = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     x = x.select("id", *[F.coalesce(v, F.lit("")).alias(k) for k, v in parts(F.col("url")).items()])
     x = x.select("id", "host", "path", listed(rules).alias("l"), tokens().alias("tokens"))
@@ -109,7 +160,14 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     known = labels.select(F.col(label_id).alias("id"), F.when(bad, "block").otherwise("allow").alias("label"))
     labelled = x.join(known, "id").select("tokens", F.coalesce("l.verdict", "label").alias("label"))
     # written: the join with the pages then has a side of its own, which is broadcast or, by size, split where it is skewed
-    found = staged(match(x.where("l is null").select("tokens").distinct(), mine(labelled)), "url-verdicts")
+    open_sets = x.where("l is null").select("tokens").distinct()
+    if whole:
+        labelled = staged(labelled, "url-labelled")
+        items = staged(token_items(labelled), "url-token-items")
+        found = match_whole(open_sets, items, mine_whole(labelled, items))
+    else:
+        found = match(open_sets, mine(labelled))
+    found = staged(found, "url-verdicts")
     open_ = x.where("l is null").join(found, "tokens", "left").select(
         "id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"), "mined", "confidence")
     closed = x.where("l is not null").select("id", "host", "path", "l.rule", "l.verdict", F.lit(None).cast("string").alias("mined"),
