@@ -132,6 +132,13 @@ def op6(spark, sf_dir):
     return linechunks.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@register("line_passages")
+def line_passages(spark, sf_dir):
+    """op6 with short lines and runs of chunks, which its SQL does not state."""
+    from . import passages
+    return passages.remove(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH u AS (
   SELECT row_number() OVER () AS r, page_id,

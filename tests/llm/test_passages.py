@@ -1,0 +1,85 @@
+"""Repeated passages on and inside lines: recall on planted ones, and a plain loop."""
+
+import random
+import re
+from collections import defaultdict
+
+import pyarrow as pa
+
+import __spark_entry__ as entry
+from lakemart.llm import passages
+from lakemart.llm.common import Words
+
+from .cases import ROWS, documents, empty, prose
+
+
+def plain_lines(text):
+    out, own = [], ""
+    for piece in re.findall(r"[ \t-\r]*[^ \t-\r]+[ \t-\r]*", text, re.ASCII) if text.strip(" \t\n\v\f\r") else [text] * bool(text):
+        own += piece
+        word = piece.strip(" \t\n\v\f\r")
+        key = int(Words(pa.array([word], pa.string()), passages.INSIDE, lower=False).key[0]) if word else 1
+        if key % passages.EVERY == 0 or "\n" in piece[len(piece.rstrip(" \t\n\v\f\r")):]:
+            out.append(own)
+            own = ""
+    return out + [own] * bool(own)
+
+
+def brute(rows):
+    texts = [(i, t or "", plain_lines(t or "")) for i, t in rows]
+    order = sorted(range(len(rows)), key=lambda k: (-1 if rows[k][0] is None else rows[k][0], k))
+    seen, later = {}, defaultdict(list)
+    for k in order:
+        for j, p in enumerate(zip(texts[k][2], texts[k][2][1:], strict=False)):
+            if seen.setdefault("".join(p), (k, j)) != (k, j):
+                later[k].append(j)
+    out = []
+    for k, (i, _, lines) in enumerate(texts):
+        gone, run = set(), []
+        for j in [*later[k], None]:
+            if run and (j is None or j != run[-1] + 1):
+                if len("".join(lines[run[0]:run[-1] + 2])) >= passages.MIN_CHARS:
+                    gone |= set(range(run[0], run[-1] + 2))
+                run = []
+            if j is not None:
+                run.append(j)
+        out.append((str(i), len(lines), len(gone), "".join(x for j, x in enumerate(lines) if j not in gone)))
+    return sorted(out)
+
+
+def random_words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+def test_against_a_plain_loop(spark):
+    rows = [(i, t) for i, t, *_ in ROWS] + [(300 + k, prose(k, 30) + "\n" + prose(77, 90) + "\n" + prose(k + 50, 30)) for k in range(5)]
+    got = passages.remove(documents(spark, [(i, t, None, None) for i, t in rows])).collect()
+    assert sorted((str(r["doc_id"]), r["n_lines"], r["n_removed"], r["text"]) for r in got) == brute(rows)
+    assert passages.remove(empty(spark)).collect() == []
+
+
+def test_planted_passages_of_51_words_go(spark):
+    rng = random.Random(4)
+    rows, planted = [], {}
+    for p in range(24):
+        passage = random_words(rng, 51)
+        sep = "\n" if p % 2 else " "  # on a line of its own, or inside one
+        for k in range(8):
+            planted[100 * p + k] = (k, p % 2, passage)
+            rows.append((100 * p + k, random_words(rng, 60) + sep + passage + sep + random_words(rng, 60)))
+    lost = {0: [], 1: []}
+    text = dict(rows)
+    for r in passages.remove(documents(spark, [(i, t, None, None) for i, t in rows])).collect():
+        k, own_line, passage = planted[r["doc_id"]]
+        n = len(text[r["doc_id"]]) - len(r["text"])
+        if k == 0:
+            assert n == 0
+        else:
+            lost[own_line].append(min(n, len(passage)) / len(passage))
+    for share in lost.values():
+        assert len(share) == 84 and min(share) > 0.3 and sum(share) / len(share) > 0.7
+
+
+def test_it_is_registered(spark):
+    out = entry.queries()["line_passages"](spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "n_lines", "n_removed", "text"]
