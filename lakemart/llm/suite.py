@@ -202,3 +202,69 @@ def url_rules_whole(spark, sf_dir):
 def op8(spark, sf_dir):
     from . import licenses
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT r, unnest(w) AS term FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM t GROUP BY r, term),
+total AS (SELECT count(DISTINCT r) AS n, CAST(count(*) AS BIGINT) AS l FROM t),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+m AS (SELECT r, doc_id, 25 + (75 * CAST(len(w) AS BIGINT) * n) // l AS m FROM d, total WHERE len(w) > 0),
+item AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+query AS (SELECT item_id, term, count(*) AS q FROM item GROUP BY item_id, term),
+scored AS (
+  SELECT query.item_id, m.r, m.doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m.m))) AS BIGINT) AS score
+  FROM query JOIN weight USING (term) JOIN tf USING (term) JOIN m ON m.r = tf.r
+  GROUP BY query.item_id, m.r, m.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@register("op11_lexical_search", OP11_SQL)
+def op11(spark, sf_dir):
+    from . import search
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+gram AS (
+  SELECT DISTINCT r, doc_id, array_to_string(w[p:p + 3], ' ') AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+size AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM gram GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+link AS (
+  SELECT p.doc_id AS a, q.doc_id AS b FROM common JOIN size p ON p.r = x JOIN size q ON q.r = y
+  WHERE 100 * c >= 80 * (p.n + q.n - c) AND p.doc_id <> q.doc_id),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS id, b AS root FROM edge UNION SELECT reach.id, edge.b FROM reach JOIN edge ON reach.root = edge.a),
+root AS (SELECT id, least(id, min(root)) AS root FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, coalesce(root.root, d.doc_id) AS component_id,
+       coalesce(coalesce(root.root, d.doc_id) = d.doc_id, true) AS kept
+FROM d LEFT JOIN size USING (r) LEFT JOIN root ON root.id = d.doc_id
+"""
+
+
+@register("op12_minhash", OP12_SQL)
+def op12(spark, sf_dir):
+    from . import minmax
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op13_token_alignment")
+def op13(spark, sf_dir):
+    import public_tokenizers
+    from . import align
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

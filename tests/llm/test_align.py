@@ -1,0 +1,108 @@
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import public_tokenizers
+from lakemart.llm import align
+from lakemart.llm.bpe import byte_names
+
+from .cases import ROWS, documents, empty, prose
+
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def brute(rows):
+    """By the tokenizers and sentencepiece libraries and plain loops over offsets."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(A)
+    one.encode_special_tokens = True
+    two = sentencepiece.SentencePieceProcessor(model_file=B)
+    byte = {c: b for b, c in enumerate(byte_names())}
+    names = {i: s for s, i in one.get_vocab(with_added_tokens=False).items()}
+
+    def spans(ids, of):
+        at, out = 0, []
+        for i in ids:
+            out.append((at, at + len(of(i)), i))
+            at = out[-1][1]
+        return out
+
+    def a_bytes(i):
+        return bytes(byte[c] for c in names[i])
+
+    def b_bytes(i):
+        p = two.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if p[:3] == "<0x" and len(p) == 6 else p.replace("▁", " ").encode()
+
+    docs, count = [], Counter()
+    for i, t in rows:
+        a, b = ([], []) if not t else (one.encode(" " + t, add_special_tokens=False).ids, two.encode(t))
+        if t and not b"".join(map(a_bytes, a)) == b"".join(map(b_bytes, b)) == (" " + t).encode():
+            a, b = [], []
+        sa, sb = spans(a, a_bytes), spans(b, b_bytes)
+        links, low = [], 0
+        for s, e, x in sa:
+            while low < len(sb) and sb[low][1] <= s:
+                low += 1
+            k = low
+            while k < len(sb) and sb[k][0] < e:
+                links.append((x, sb[k][2]))
+                k += 1
+        cuts, groups, ka, kb = sorted({e for _, e, _ in sa} & {e for _, e, _ in sb}), [], 0, 0
+        for c in cuts:
+            na, nb = ka + sum(e <= c for _, e, _ in sa[ka:ka + 400]), kb + sum(e <= c for _, e, _ in sb[kb:kb + 400])
+            groups.append(",".join(str(x[2]) for x in sa[ka:na]) + "|" + ",".join(str(x[2]) for x in sb[kb:nb]))
+            ka, kb = na, nb
+        count.update(links)
+        docs.append((i, len(a), len(b), len(cuts), links, hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""))
+    best: dict = {}
+    for (_, y), n in count.items():
+        best[y] = max(best.get(y, 0), n)
+    return sorted(((i, na, nb, g, len(x), sum(count[p] == best[p[1]] for p in x), sum(count[p] for p in x), h) for i, na, nb, g, x, h in docs), key=str)
+
+
+def got(df):
+    return sorted((tuple(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")) for r in df.collect()), key=str)
+
+
+ODD = ["<s></s><unk> <|endoftext|>", "a  b\n\n c\t", "▁x", "½ ﬁ é", "\U0001f44d\U0001f3fd", "\x00\x01", " lead", "trail ", "中文字符日本語", "x" * 300, "'s 're don't", "\r\n\r\n", "­⁠"]
+
+
+@pytest.mark.parametrize("limit", [align.BLOCK_BYTES, 1000])
+def test_alignment_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(align, "BLOCK_BYTES", limit)
+    rows = [(i, t) for i, t, *_ in ROWS if len(t or "") < 20000] + [(500 + k, t) for k, t in enumerate(ODD)] + [(600 + k, prose(k, 40)) for k in range(12)]
+    x = documents(spark, [(i, t, None, None) for i, t in rows])
+    assert got(align.align(x, A, B)) == brute(rows)
+
+
+def test_empty_table_and_long_text(spark):
+    assert align.align(empty(spark), A, B).collect() == []
+    none = align.align(documents(spark, [(1, None, None, None), (2, "", None, None)]), A, B)
+    assert got(none) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+    long = ROWS[6][1]
+    (row,) = got(align.align(documents(spark, [(7, long, "fr", None)]), A, B))
+    assert row[1] > 30000 and row[3] > 20000 and row[4] >= max(row[1], row[2])
+
+
+def test_query_against_brute_force(spark):
+    from lakemart.llm import suite
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    some = [(r[0], r[1]) for r in docs]
+    assert got(suite.QUERIES["op13_token_alignment"](spark, "/root/testdata/sf0.001")) == brute(some)
+
+
+def test_fast_and_slow_encoders_agree():
+    """tiktoken by the file's own vocabulary, against the tokenizers library, in every block of code points."""
+    with open(A, encoding="utf-8") as f:
+        one = align.ByteBPE(f.read())
+    assert one.fast is not None
+    for first in range(0, 0x30000, 0x80):
+        if not 0xD800 <= first < 0xE000:
+            text = "".join(f"a{chr(c)}b 1{chr(c)} !{chr(c)}  {chr(c)}" for c in range(first, first + 0x80, 3))
+            assert np.array_equal(one.encode(text), one.by_library(text))

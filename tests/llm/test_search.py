@@ -1,0 +1,62 @@
+import math
+import re
+from collections import Counter
+
+import pytest
+
+from lakemart.llm import search
+
+from .cases import ROWS, documents, empty, prose
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(rows, items):
+    docs = [(i, Counter(terms(t))) for i, t in rows]
+    live = [c for _, c in docs if c]
+    n, length = len(live), sum(sum(c.values()) for c in live)
+    df = Counter(t for c in live for t in c)
+    queries = {}
+    for i, t in dict.fromkeys(items):
+        queries.setdefault(i, Counter()).update(terms(t))
+    out = []
+    for item, q in queries.items():
+        found = []
+        for i, c in docs:
+            m = 25 + 75 * sum(c.values()) * n // max(1, length)
+            score = sum(k * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 8 * m)) for t, k in q.items() if c[t])
+            if score > 0:
+                found.append((-score, i is None, i or 0, i))
+        out += [(item, k + 1, x[3], -x[0]) for k, x in enumerate(sorted(found)[:10])]
+    return sorted(out, key=str)
+
+
+def got(df):
+    return sorted(((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize(("shard", "part"), [(4096, 256), (3, 2)])
+def test_search_is_exact(spark, monkeypatch, shard, part):
+    monkeypatch.setattr(search, "SHARD_DOCS", shard)
+    monkeypatch.setattr(search, "PART_ITEMS", part)
+    rows = [(i, t) for i, t, *_ in ROWS] + [(100 + k, prose(k % 7, 30 + k % 5)) for k in range(60)]
+    items = [(1, prose(3, 20)), (2, None), (3, ""), (4, "one One the the the"), (5, "zzz never"), (6, "a B 123"), (1, prose(3, 20)), (1, "erlich"),
+             (None, "ünïcödé the"), (7, prose(1, 120)), (8, "12 34 中文")]
+    x = spark.createDataFrame([(i, t, 1, "x") for i, t in items], "item_id long, text string, score int, term string")
+    found = search.search(documents(spark, [(i, t, None, None) for i, t in rows]), x)
+    assert got(found) == brute(rows, items)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def test_one_term_in_every_document_and_empty_tables(spark):
+    rows = [(k, "same words here" + " more" * (k % 3)) for k in range(50)]  # all ties within a length
+    items = spark.createDataFrame([("q", "same more")], "item_id string, text string")
+    x = documents(spark, [(i, t, None, None) for i, t in rows])
+    assert got(search.search(x, items)) == brute(rows, [("q", "same more")])
+    assert got(search.search(empty(spark), items)) == []
+    assert got(search.search(x, items.where("false"))) == []
+    assert got(search.search(documents(spark, [(1, None, None, None), (2, "", None, None)]), items)) == []
