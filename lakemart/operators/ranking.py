@@ -2,50 +2,41 @@
 
 ``rank() over (order by x)`` with no partition sends every row to one task.  These
 helpers compute the same numbers from a *histogram* of the ordering value (a partial
-aggregate: one row per distinct value per group), a running sum over that histogram,
-and a join back; only rows that tie on the value are ordered among themselves
-(``row_number``), so the heaviest single task is one tie group, not the data.
+aggregate: one row per distinct value per group), a segmented scan over that histogram
+(``operators/scan.py``: range slices, carried sums, no task per group), and a join back; rows
+that tie on the value are numbered among themselves by the same scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import null_safe_join
+from .scan import Cut, row_number
 
 
 def rank_family(df: DataFrame, part: Sequence[str], value: str, desc: bool = True,
-                tiebreak: Sequence[str] = (), names=("rp", "drp", "rmp"), tie_bucket=None) -> DataFrame:
+                tiebreak: Sequence[str] = (), names=("rp", "drp", "rmp")) -> DataFrame:
     """rank / dense_rank / row_number over ``partition by part order by value``.
 
     NULL groups and NULL values are groups and values like any other (NULLs come last in
     descending order, first in ascending), as in the window.  The row number needs a
     ``tiebreak`` that orders the rows of a tie; where ``names[2]`` is None no row is numbered
-    and no tie group is sorted.
-
-    ``tie_bucket`` (a column that never decreases along ``tiebreak``, e.g. a prefix of
-    a name) numbers the rows inside a tie group in two levels as well, so even one
-    (group, value) pair holding a third of the rows is spread over tasks."""
+    and no tie group is sorted."""
     part = list(part)
     r, d, n = names
     if n is not None and not tiebreak:
         raise ValueError("a row number needs a tiebreak; pass names=(rank, dense_rank, None) for the ranks alone")
-    hist = df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_n"))
-    o = F.col(value).desc() if desc else F.col(value).asc()
-    w = Window.partitionBy(*part).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(*part, value,
-                       (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).alias("_rank"),
-                       (F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)) + 1).alias("_dense"))
+    cut = Cut(df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_n")), part, [value], desc)
+    cut.running("_n", "_upto")
+    cut.running(F.lit(1), "_dense", "count")
+    hist = cut.result().select(*part, value, (F.col("_upto") - F.col("_n") + 1).alias("_rank"), "_dense")
     j = null_safe_join(df, hist, [*part, value])
-    if n is not None and tie_bucket is not None:
-        from .prefix import row_number
-        j = row_number(j, [*part, value], list(tiebreak), "_tie", tie_bucket)
-    elif n is not None:
-        j = j.withColumn("_tie", F.row_number().over(Window.partitionBy(*part, value).orderBy(*tiebreak)))
     if n is not None:
+        j = row_number(j, [*part, value], list(tiebreak), "_tie")
         j = j.withColumn(n, (F.col("_rank") + F.col("_tie") - 1).cast("int")).drop("_tie")
     return (j.withColumn(r, F.col("_rank").cast("int")).withColumn(d, F.col("_dense").cast("int"))
             .drop("_rank", "_dense"))
@@ -54,22 +45,20 @@ def rank_family(df: DataFrame, part: Sequence[str], value: str, desc: bool = Tru
 def first_ntile(df: DataFrame, order: str, tiebreak: Sequence[str], buckets: int) -> DataFrame:
     """Rows of ``ntile(buckets) over (order by order, tiebreak...) = 1``.
 
-    Bucket 1 holds the first ``ceil(N / buckets)`` rows.  Per-value counts give each
+    Bucket 1 holds the first ``ceil(N / buckets)`` rows.  The counts of the values, scanned in order, give each
     value's running start; values wholly inside the bucket are kept by a join, and
-    only the one boundary value orders its rows (``row_number`` inside that value)."""
-    hist = df.groupBy(order).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    tot = Window.partitionBy(F.lit(1))
-    hist = hist.select(order, "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
-                       F.ceil(F.sum("_n").over(tot) / F.lit(buckets)).alias("_m"))
-    hist = hist.where(F.col("_before") < F.col("_m"))  # values that start inside bucket 1
+    only the one boundary value numbers its rows.  Right also where all values differ: then the scan has as many
+    rows as the data, in slices."""
+    counts = df.groupBy(order).agg(F.count(F.lit(1)).alias("_n"))
+    most = counts.agg(F.ceil(F.sum("_n") / F.lit(buckets)).alias("_m")).scalar()
+    cut = Cut(counts, [], [order])
+    cut.running("_n", "_upto")
+    hist = cut.result().withColumn("_m", most).where(F.col("_upto") - F.col("_n") < F.col("_m"))  # values that start inside bucket 1
     j = null_safe_join(df, hist, [order])  # NULLs sort first and fill the bucket like other values
-    whole = j.where(F.col("_before") + F.col("_n") <= F.col("_m"))
-    edge = j.where(F.col("_before") + F.col("_n") > F.col("_m"))
-    wt = Window.partitionBy(order).orderBy(*tiebreak)
-    edge = edge.withColumn("_rn", F.row_number().over(wt)).where(F.col("_before") + F.col("_rn") <= F.col("_m")) \
-               .drop("_rn")
-    return whole.unionByName(edge).drop("_n", "_before", "_m")
+    whole = j.where(F.col("_upto") <= F.col("_m"))
+    edge = row_number(j.where(F.col("_upto") > F.col("_m")), [order], list(tiebreak), "_rn")
+    edge = edge.where(F.col("_upto") - F.col("_n") + F.col("_rn") <= F.col("_m")).drop("_rn")
+    return whole.unionByName(edge).drop("_n", "_upto", "_m")
 
 
 def partition_total(df: DataFrame, keys: Sequence[str], measure: str, out: str) -> DataFrame:

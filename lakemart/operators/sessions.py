@@ -3,41 +3,29 @@
 The reference assigns each page row the last session-start timestamp seen so far on
 its device: ``last_value(start, true) over (partition by mid order by ts)``.  Because a
 start point *is* the row's own ``ts``, that value equals the running ``max`` of start
-points — an associative prefix, so it can be computed in two levels:
-
-1. rows are cut into (device, time-bucket) slices; a window inside each slice gives
-   the local running max;
-2. a per-slice ``max`` (a small aggregate: one row per device-bucket) is carried
-   forward over earlier buckets of the device and joined back.
-
-A device holding a third of all rows is therefore spread over many tasks; only the
-one-row-per-bucket frame is windowed per device.
+points, an associative prefix: a segmented scan (``operators/scan.py``) over range slices of
+(device, ts) computes it, so a device holding a third of all rows is spread over many tasks.
+Rows of one ``ts`` share their value: a start goes before the other rows of its ``ts``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import Cut
+
 
-def session_start(df: DataFrame, device: str, ts: str, is_start: Column,
-                  part: Sequence[str] = ("dt",), bucket_ms: int = 600_000,
-                  out: str = "session_start") -> DataFrame:
-    keys = [*part, device]
-    x = (df.withColumn("_start", F.when(is_start, F.col(ts)))
-         .withColumn("_b", F.floor(F.col(ts) / F.lit(bucket_ms)).cast("bigint")))
-    w_local = (Window.partitionBy(*keys, "_b").orderBy(ts)
-               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumn("_local", F.max("_start").over(w_local))
-    # Per-slice maximum straight from the input: a column-pruned scan with a map-side
-    # partial aggregate, so only one row per (device, bucket, map task) is shuffled.
-    per_bucket = x.groupBy(*keys, "_b").agg(F.max("_start").alias("_bmax"))
-    w_carry = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bucket.select(*keys, "_b", F.max("_bmax").over(w_carry).alias("_carry"))
-    j = x.join(carry, [*keys, "_b"], "left")
-    return j.withColumn(out, F.coalesce("_local", "_carry")).drop("_start", "_b", "_local", "_carry")
+def session_start(df: DataFrame, device: str, ts: str, is_start: Column, part: Sequence[str] = ("dt",), out: str = "session_start",
+                  tie: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """``tie``: columns that tell rows of one (device, ts) apart, so that many of them can lie in several slices; ``rows``: the
+    number of rows or a bound on it, where one is known without reading ``df``."""
+    x = df.withColumn("_start", F.when(is_start, F.col(ts))).withColumn("_late", F.col("_start").isNull())
+    cut = Cut(x, [*part, device], [ts, "_late", *tie], rows=rows)
+    cut.running("_start", out, "max")
+    return cut.result().drop("_start", "_late")
 
 
 def sessionize(df: DataFrame, device: str, ts: str, is_start: Column,

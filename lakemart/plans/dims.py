@@ -3,9 +3,9 @@
 The snowflake joins of J-01 are chained left joins over small dimension snapshots;
 the attribute sets are built by ``collect_set`` over *distinct* (sku, attribute) pairs
 and sorted, so the set is deterministic and never larger than the distinct pairs.
-The SCD2 merge (J-07) is one full outer join whose rows fan out to one or two output
-rows (current, and closed-yesterday) through a single ``explode`` — the shared join is
-computed once, not once per ``union all`` branch.
+The SCD2 merge (J-07) left-joins the open rows to the ids that changed; each fans out to one
+output row, kept or closed yesterday, through a single ``explode``, and the day's newest
+changes are added as the new open rows.
 """
 
 from __future__ import annotations

@@ -40,11 +40,11 @@ def _province(df: DataFrame, province: DataFrame, how: str = "left") -> DataFram
 
 
 # J-20
-def page_view(log: DataFrame, province: DataFrame, day: str | None = None) -> DataFrame:
+def page_view(log: DataFrame, province: DataFrame, day: str | None = None, rows: int | None = None) -> DataFrame:
     """Page views with their session; ``ts`` (milliseconds) and ``event_id`` stay with them, for
-    ``view_time`` has seconds only and does not order the pages of one second."""
+    ``view_time`` has seconds only and does not order the pages of one second.  ``rows``: a bound on the log's rows."""
     x = _day(log, day).where(F.col("page").isNotNull()).select(*_flat(log), "ts", "event_id", "dt")
-    x = sessionize(x, "mid_id", "ts", F.col("last_page_id").isNull(), part=("dt",))
+    x = sessionize(x, "mid_id", "ts", F.col("last_page_id").isNull(), part=("dt",), tie=("event_id",), rows=rows)
     x = _province(x, province)
     return x.select(*DEVICE_OUT, *PAGE_OUT,
                     local_time("ts", "yyyy-MM-dd").alias("date_id"),
@@ -118,13 +118,13 @@ def user_register(user_inc: DataFrame, log: DataFrame, province: DataFrame, day:
 
 
 # J-26
-def user_login(log: DataFrame, province: DataFrame, day: str | None = None) -> DataFrame:
+def user_login(log: DataFrame, province: DataFrame, day: str | None = None, rows: int | None = None) -> DataFrame:
     x = _day(log, day).where(F.col("page").isNotNull()).select(
         F.col("common.uid").alias("user_id"), F.col("common.ch").alias("channel"),
         F.col("common.ar").alias("area_code"), F.col("common.vc").alias("version_code"),
         F.col("common.mid").alias("mid_id"), F.col("common.ba").alias("brand"), F.col("common.md").alias("model"),
-        F.col("common.os").alias("operate_system"), "ts", F.col("page.last_page_id").alias("last_page_id"), "dt")
-    x = sessionize(x, "mid_id", "ts", F.col("last_page_id").isNull(), part=("dt",))
+        F.col("common.os").alias("operate_system"), "ts", "event_id", F.col("page.last_page_id").alias("last_page_id"), "dt")
+    x = sessionize(x, "mid_id", "ts", F.col("last_page_id").isNull(), part=("dt",), tie=("event_id",), rows=rows)
     # rows before a device's first session start have no session: left out
     x = x.where(F.col("user_id").isNotNull() & F.col("session_id").isNotNull())
     cols = ["user_id", "channel", "area_code", "version_code", "mid_id", "brand", "model", "operate_system"]

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import OPEN_END
 from ..functions.scalar import add_days
-from ..sinks.writers import delete_path, partition_layout
+from ..operators.distinct import number_ids
+from ..sinks.publish import Published
+from ..sinks.writers import partition_layout
 from ..sources import domain as D
 from ..sources.driver import Driver
 from . import dims as DM
@@ -78,11 +80,14 @@ def load_day(layers: Layers, drv: Driver, day: str, first: bool = False) -> Data
     lo30 = add_days(day, -29)
     od1d = layers.read("dws_user_sku_order_1d", od1d.schema, lo30, day)
     rf1d = layers.read("dws_user_sku_refund_1d", rf1d.schema, lo30, day)
+    states = {}
     layers.write(R.user_sku_order_nd(od1d, day), "dws_user_sku_order_nd", day)
     layers.write(R.user_sku_refund_nd(rf1d, day), "dws_user_sku_refund_nd", day)
-    odnd = layers.read("dws_user_sku_order_nd", R.user_sku_order_nd(od1d, day).schema, day, day)
-    rfnd = layers.read("dws_user_sku_refund_nd", R.user_sku_refund_nd(rf1d, day).schema, day, day)
-    rows = P.trade_by_brand(od1d, odnd, rf1d, rfnd, day)
+    for name, src, count in (("dws_brand_buyers_1d", od1d, "order_count_1d"), ("dws_brand_refunders_1d", rf1d, "order_refund_count_1d")):
+        state = P.buyer_sets(src if first else src.where(F.col("dt") == day), P.BRAND, count)
+        layers.write(state, name, own)
+        states[name] = layers.read(name, state.schema, lo30, day)
+    rows = P.trade_by_brand(*states.values(), day)
     return append_report(layers, rows, "ads_trade_stats_by_tm", day)
 
 
@@ -113,7 +118,14 @@ def load_log_day(layers: Layers, drv: Driver, day: str, first: bool = False) ->
     state = layers.read("dws_user_login_td", state.schema, day, day)
     month = add_days(day, -29)
     registered = R.registrations(D.user_inc(drv, day))
-    rows = {"ads_traffic_by_channel": P.traffic_by_channel(layers.read("dws_session_page_view_1d", sessions.schema, month, day), day),
+    visits = layers.read("dws_session_page_view_1d", sessions.schema, since, day)
+    # devices that are new today get the next numbers; a rerun of the day finds the same ones
+    known = None if first else layers.read("dim_device", "mid_id string, pos long, dt string", "0000-00-00", add_days(day, -1)).drop("dt")
+    ids = number_ids(visits, "mid_id", known)
+    layers.write((ids if known is None else ids.join(known, "mid_id", "left_anti")).withColumn("dt", F.lit(day)), "dim_device", day)
+    state_1d = P.visitor_sets(visits, layers.read("dim_device", "mid_id string, pos long, dt string", "0000-00-00", day).drop("dt"))
+    layers.write(state_1d, "dws_channel_visitors_1d", own)
+    rows = {"ads_traffic_by_channel": P.traffic_report(layers.read("dws_channel_visitors_1d", state_1d.schema, month, day), day),
             "ads_page_path": P.page_path(layers.read("dwd_page_view", views.schema, month, day), day),
             "ads_user_retention": P.retention(registered, state, day), "ads_user_stats": P.user_stats(state, registered, day)}
     if before is not None:
@@ -123,18 +135,15 @@ def load_log_day(layers: Layers, drv: Driver, day: str, first: bool = False) ->
 
 def load_user_day(layers: Layers, drv: Driver, day: str, first: bool = False) -> DataFrame:
     """The slowly changing user dimension: open rows in the partition ``OPEN_END``, rows closed
-    on day D-1 in that day's.  The new version is staged first, since it is made from the open
-    partition that it replaces."""
+    on day D-1 in that day's.  Both are published in one step, from the version before day D: a load lost anywhere leaves
+    that version, and a rerun, also of a day that is loaded already, gives the same rows."""
     changes = D.user_inc(drv, day if not first else add_days(day, 1))
     init = DM.user_zip_init(changes, day)
+    users = Published(layers.spark, layers.path("dim_user"), init.schema)
     if first:
-        layers.write(init, "dim_user", None)
+        users.publish(init, replaced=users.folders(), tag=day)
     else:
-        rows = DM.user_zip_apply(layers.read("dim_user", init.schema, OPEN_END, OPEN_END).drop("dt"), changes, day)
-        staging = layers.path("_staging_dim_user")
-        rows.write.mode("overwrite").parquet(staging)
-        staged = layers.spark.read.schema(rows.schema).parquet(staging)
-        layers.write(staged, "dim_user", add_days(day, -1))
-        layers.write(staged, "dim_user", OPEN_END)
-        delete_path(layers.spark, staging)
-    return layers.spark.read.schema(init.schema).parquet(layers.path("dim_user"))
+        before = users.before(day)
+        rows = DM.user_zip_apply(users.read(before, [OPEN_END]).drop("dt"), changes, day)
+        users.publish(rows, replaced=[OPEN_END, add_days(day, -1)], tag=day, onto=before)
+    return users.read()

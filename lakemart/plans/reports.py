@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import PERIODS
 from ..functions.scalar import MONEY, add_days, ratio
+from ..operators.distinct import day_sets, number_ids, period_counts, with_positions
 from ..operators.joins import full_outer_coalesce
 from ..operators.periods import choose_period, fan_out, recent_days
-from ..operators.prefix import steps
+from ..operators.scan import steps
 from ..operators.topk import top_k_per_group
 
 
@@ -26,17 +27,33 @@ def _nd_pick(nd: DataFrame, day: str, stems: list[str]) -> DataFrame:
     return x
 
 
-# J-49 (variant B: one scan + fan-out)
-def traffic_by_channel(session_1d: DataFrame, day: str) -> DataFrame:
-    x = recent_days(session_1d, day)
-    return (x.groupBy("recent_days", "channel")
-            .agg(F.count_distinct("mid_id").cast("bigint").alias("uv_count"),
-                 (F.avg("during_time_1d") / 1000).cast("bigint").alias("avg_duration_sec"),
-                 F.avg("page_count_1d").cast("bigint").alias("avg_page_count"),
-                 F.count(F.lit(1)).cast("bigint").alias("sv_count"),
-                 ratio(F.sum(F.when(F.col("page_count_1d") == 1, 1).otherwise(0)), F.count(F.lit(1)))
-                 .alias("bounce_rate"))
-            .select(F.lit(day).alias("dt"), "*"))
+# J-49 (variant B: mergeable day states)
+def visitor_sets(session_1d: DataFrame, ids: DataFrame) -> DataFrame:
+    """Layer state of J-49: each day's and channel's devices as bitmaps over the dictionary ``ids`` (``mid_id, pos``), with the
+    sums that its averages and rates are made of."""
+    time, pages = F.col("during_time_1d"), F.col("page_count_1d")
+    return day_sets(with_positions(session_1d, "mid_id", ids), ["channel"], "pos", {
+        "_time": time, "_timed": time.isNotNull().cast("int"), "_pages": pages, "_paged": pages.isNotNull().cast("int"),
+        "_visits": F.lit(1), "_bounced": (pages == 1).cast("int")})
+
+
+def traffic_report(state: DataFrame, day: str) -> DataFrame:
+    """The report from the states of the last 30 days: one pass, no row is fanned out, no device shuffled."""
+    sums = {c: c for c in ("_time", "_timed", "_pages", "_paged", "_visits", "_bounced")}
+    x = period_counts(state, ["channel"], day, PERIODS, "uv_count", sums)
+
+    def mean(total, count):  # as avg(): a double, NULL without values
+        return F.try_divide(F.col(total).cast("double"), F.col(count))
+
+    return x.select(F.lit(day).alias("dt"), "recent_days", "channel", "uv_count", (mean("_time", "_timed") / 1000).cast("bigint").alias("avg_duration_sec"),
+                    mean("_pages", "_paged").cast("bigint").alias("avg_page_count"), F.col("_visits").cast("bigint").alias("sv_count"),
+                    ratio(F.coalesce("_bounced", F.lit(0)), F.col("_visits")).alias("bounce_rate"))
+
+
+def traffic_by_channel(session_1d: DataFrame, day: str, ids: DataFrame | None = None) -> DataFrame:
+    """Both steps; ``ids``: the devices' dictionary (else made of the sessions themselves)."""
+    x = session_1d.where((F.col("dt") >= add_days(day, -(max(PERIODS) - 1))) & (F.col("dt") <= day))
+    return traffic_report(visitor_sets(x, number_ids(x, "mid_id") if ids is None else ids), day)
 
 
 # J-49 (variant A: one scan per period + union all) — same answer, kept as the equivalence check
@@ -58,17 +75,17 @@ def traffic_by_channel_union(session_1d: DataFrame, day: str) -> DataFrame:
 
 
 # J-50
-def page_path(page_view: DataFrame, day: str) -> DataFrame:
+def page_path(page_view: DataFrame, day: str, rows: int | None = None) -> DataFrame:
     """Transition counts ``step-n:page -> step-n+1:next``, steps in the order of (``ts``,
     ``event_id``).  Steps are numbered once per session (a session lies inside one day, so its membership in a period is
     all-or-nothing); transitions are counted per day, then fanned out to the periods —
     the window runs once instead of three times and the fan-out sees counts, not rows.
-    Sessions with a NULL id (rows before a device's first start) are left out."""
+    Sessions with a NULL id (rows before a device's first start) are left out.  ``rows``: a bound on the page views,
+    where one is known without reading them."""
     x = page_view.where(F.col("session_id").isNotNull() & (F.col("dt") >= add_days(day, -29))
                         & (F.col("dt") <= day))
-    # step numbers and next pages are prefix windows per session, computed over
-    # (session, hour) slices so one very long session is not one task
-    x = steps(x, ["session_id"], ["ts", "event_id"], "page_id", "rn", "next_page_id", F.floor(F.col("ts") / 3_600_000))
+    # step numbers and next pages in one segmented scan, so one very long session is not one task
+    x = steps(x.select("session_id", "ts", "event_id", "page_id", "dt"), ["session_id"], ["ts", "event_id"], "page_id", "rn", "next_page_id", rows)
     x = x.select("dt",
                  F.concat(F.lit("step-"), F.col("rn").cast("string"), F.lit(":"), F.col("page_id")).alias("source"),
                  F.coalesce(F.concat(F.lit("step-"), (F.col("rn") + 1).cast("string"), F.lit(":"),
@@ -176,39 +193,39 @@ def repeat_rate_by_brand(od_nd: DataFrame, day: str) -> DataFrame:
                     "tm_id", "tm_name", "order_repeat_rate"))
 
 
-def _trade_side(t1d, tnd, day, keys, count_1d, count_stem, out_count, out_users, distinct_nd=True):
-    one = (t1d.where(F.col("dt") == day).groupBy(*keys)
-           .agg(F.sum(count_1d).cast("bigint").alias(out_count), F.count_distinct("user_id").alias(out_users))
-           .withColumn("recent_days", F.lit(1)))
-    users = F.when(F.col(count_stem) > 0, F.col("user_id"))
-    nd = (_nd_pick(tnd, day, [count_stem]).groupBy("recent_days", *keys)
-          .agg(F.sum(count_stem).cast("bigint").alias(out_count),
-               (F.count_distinct(users) if distinct_nd else F.count(users)).alias(out_users)))
-    return one.unionByName(nd)
+def buyer_sets(t1d: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Layer state of J-57 / J-58: the users of each day and group as bitmaps, with the day's count."""
+    return day_sets(t1d, keys, "user_id", {"_c": F.col(count)}, F.col(count) > 0)
+
 
+def _trade_by(orders: DataFrame, refunds: DataFrame, day: str, keys: list[str]) -> DataFrame:
+    """From the two states of the last 30 days: counts and distinct users of 1, 7 and 30 days in one pass each.  A group with
+    rows in the last 30 days has rows for 7 and 30 days, as the n-day tables have; for 1 day only with rows that day."""
+    def side(state, count, users):
+        return period_counts(state, keys, day, PERIODS, users, {count: "_c"}, always=(7, 30))
 
-def _trade_by(od1d, odnd, rf1d, rfnd, day, keys, distinct_refund_users=True):
-    odr = _trade_side(od1d, odnd, day, keys, "order_count_1d", "order_count", "order_count", "order_user_count")
-    ref = _trade_side(rf1d, rfnd, day, keys, "order_refund_count_1d", "order_refund_count", "order_refund_count",
-                      "order_refund_user_count", distinct_refund_users)
-    j = full_outer_coalesce(odr, ref, ["recent_days", *keys],
-                            defaults={"order_count": 0, "order_user_count": 0, "order_refund_count": 0,
-                                      "order_refund_user_count": 0})
-    return j.select(F.lit(day).alias("dt"), "recent_days", *keys, "order_count", "order_user_count",
-                    "order_refund_count", "order_refund_user_count")
+    j = full_outer_coalesce(side(orders, "order_count", "order_user_count"), side(refunds, "order_refund_count", "order_refund_user_count"),
+                            ["recent_days", *keys])
+    counts = ["order_count", "order_user_count", "order_refund_count", "order_refund_user_count"]
+    return j.select(F.lit(day).alias("dt"), "recent_days", *keys, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts])
 
 
 # J-57
-def trade_by_brand(od1d, odnd, rf1d, rfnd, day: str, distinct_refund_users: bool = True) -> DataFrame:
-    return _trade_by(od1d, odnd, rf1d, rfnd, day, ["tm_id", "tm_name"], distinct_refund_users)
+BRAND = ["tm_id", "tm_name"]
+
+
+def trade_by_brand(orders: DataFrame, refunds: DataFrame, day: str) -> DataFrame:
+    """``orders``, ``refunds``: ``buyer_sets`` by ``BRAND`` of the last 30 days."""
+    return _trade_by(orders, refunds, day, BRAND)
 
 
 CATE = ["category1_id", "category1_name", "category2_id", "category2_name", "category3_id", "category3_name"]
 
 
 # J-58
-def trade_by_category(od1d, odnd, rf1d, rfnd, day: str) -> DataFrame:
-    return _trade_by(od1d, odnd, rf1d, rfnd, day, CATE)
+def trade_by_category(orders: DataFrame, refunds: DataFrame, day: str) -> DataFrame:
+    """``orders``, ``refunds``: ``buyer_sets`` by ``CATE`` of the last 30 days."""
+    return _trade_by(orders, refunds, day, CATE)
 
 
 # J-59

@@ -251,9 +251,15 @@ def user_login_td_first(users_open: DataFrame, login: DataFrame, day: str) -> Da
                     F.lit(day).alias("dt"))
 
 
+def user_logins_1d(login: DataFrame, day: str) -> DataFrame:
+    return login.where(F.col("dt") == day).groupBy("user_id").agg(F.count(F.lit(1)).alias("login_count_1d"))
+
+
 def user_login_td_step(prev_td: DataFrame, login: DataFrame, day: str) -> DataFrame:
-    today = (login.where(F.col("dt") == day).groupBy("user_id")
-             .agg(F.count(F.lit(1)).alias("login_count_1d")))
+    return user_login_td_join(prev_td, user_logins_1d(login, day), day)
+
+
+def user_login_td_join(prev_td: DataFrame, today: DataFrame, day: str) -> DataFrame:
     o, n = prev_td.alias("old"), today.alias("new")
     j = o.join(n, F.col("old.user_id") == F.col("new.user_id"), "full")
     return j.select(F.coalesce("old.user_id", "new.user_id").alias("user_id"),

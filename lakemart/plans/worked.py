@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import one_row_join
-from ..operators.prefix import lag as prefix_lag
-from ..operators.prefix import moving_sum, running_sum
 from ..operators.ranking import first_ntile, partition_total, rank_family
+from ..operators.scan import lag, moving_sum, running
 from ..operators.topk import top_k_per_group, top_n
 from ..sources.worked import FEMALE, MALE
 
@@ -73,26 +72,22 @@ def month_total(business: DataFrame) -> DataFrame:
 # Q-07
 def prev_purchase(business: DataFrame) -> DataFrame:
     """``lag(orderdate, 1, '1970-01-01') over (partition by name order by orderdate)``,
-    two-level over (name, day) slices so one heavy buyer is not one task."""
-    return prefix_lag(business, ["name"], ["orderdate", "cost"], "orderdate", "time1", F.col("orderdate"),
-                      "1970-01-01")
+    a segmented scan, so one heavy buyer is not one task."""
+    return lag(business, ["name"], ["orderdate", "cost"], "orderdate", "time1", "1970-01-01")
 
 
 # Q-08
 def running_cost(business: DataFrame, frame: str = "rows") -> DataFrame:
     """ROWS frame ordered by (date, cost), or the default RANGE frame ordered by date
-    (same-day rows share the value); two-level over (name, day) slices."""
-    if frame == "rows":
-        x = running_sum(business, ["name"], ["orderdate", "cost"], "cost", "running_cost", F.col("orderdate"), "rows")
-    else:
-        x = running_sum(business, ["name"], ["orderdate"], "cost", "running_cost", F.col("orderdate"), "range")
+    (same-day rows share the value); a segmented scan."""
+    x = running(business, ["name"], ["orderdate", "cost"] if frame == "rows" else ["orderdate"], "cost", "running_cost", "sum", frame)
     return x.withColumn("running_cost", F.col("running_cost").cast("bigint"))
 
 
 # Q-09
 def moving_cost(business: DataFrame) -> DataFrame:
-    """3-row moving sum per buyer, two-level over (name, day) slices."""
-    x = moving_sum(business, ["name"], ["orderdate", "cost"], "cost", "moving_cost", F.col("orderdate"))
+    """3-row moving sum per buyer, a segmented scan."""
+    x = moving_sum(business, ["name"], ["orderdate", "cost"], "cost", "moving_cost")
     return x.withColumn("moving_cost", F.col("moving_cost").cast("bigint"))
 
 
@@ -103,8 +98,7 @@ def first_20pct(business: DataFrame) -> DataFrame:
 
 # Q-11
 def subject_rank(score: DataFrame) -> DataFrame:
-    return rank_family(score, ["subject"], "score", desc=True, tiebreak=["name"],
-                       tie_bucket=F.substring("name", 1, 3))
+    return rank_family(score, ["subject"], "score", desc=True, tiebreak=["name"])
 
 
 # Q-12

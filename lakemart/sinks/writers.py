@@ -42,6 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """A frame written to a fresh shared folder and read back, for loads that use it more than once."""
+    path = shared_path(df.sparkSession, "landing", name)
+    df.hint("rebalance").write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def create_partitioned(spark: SparkSession, table: str, columns: str, partitions: list[str], location: str,
                        fmt: str = "parquet", options: dict[str, str] | None = None) -> None:
     """K-01 / K-02 ``PARTITIONED BY (dt)`` or ``(day, hour)``; K-04 codec in OPTIONS."""
@@ -59,6 +66,13 @@ def create_bucketed(df: DataFrame, table: str, buckets: int, col: str, location:
      .mode("overwrite").saveAsTable(table))
 
 
+def create_sampled(df: DataFrame, table: str, key: str, buckets: int, location: str) -> None:
+    """A table kept by ``pmod(key, buckets)`` (the bucket of an integer key), for samples of single buckets.  Spark's own
+    buckets go by another hash, and no filter selects one of their files."""
+    x = df.withColumn("_bucket", F.pmod(F.col(key), F.lit(buckets)).cast("int"))
+    (partition_layout(x, ["_bucket"]).write.partitionBy("_bucket").option("path", location).mode("overwrite").saveAsTable(table))
+
+
 def write_compressed(df: DataFrame, path: str, fmt: str = "orc", codec: str = "snappy") -> None:
     """K-04 ORC none / zlib / snappy, Parquet snappy."""
     df.write.mode("overwrite").format(fmt).option("compression", codec).save(path)
@@ -107,28 +121,68 @@ def overwrite_table(spark: SparkSession, df: DataFrame, table: str) -> None:
     _select_in_table_order(spark, df, table).write.insertInto(table, overwrite=True)
 
 
-def append_distinct(spark: SparkSession, table: str, new_rows: DataFrame, staging: str) -> DataFrame:
+def append_distinct(spark: SparkSession, table: str, new_rows: DataFrame, part: str | None = None) -> DataFrame:
     """K-09 idempotent report append: ``old ∪ new`` without exact duplicates.
 
-    A table cannot be overwritten while it is read, so the union is written to a fresh
-    staging folder (which also cuts the lineage) and the table is then pointed at that
-    folder with one catalog update.  A job lost before the swap leaves the table as it
-    was; a job lost after it leaves the new version — never a half-copied table.
-    Re-running a load with the same rows leaves the contents unchanged."""
-    old = spark.table(table)
-    before = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
-    merged = old.unionByName(new_rows.select(*old.columns)).distinct()
-    merged.write.mode("overwrite").parquet(staging)
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{staging}'")
-    spark.catalog.refreshTable(table)
-    delete_path(spark, before)  # the table no longer points there
+    The reference rewrites the whole report with each load.  Here only rows that the table does not have are appended: an
+    anti-join by a digest of the whole row (NULLs compare equal), against the partitions ``part`` of the new rows alone where the
+    report has such a column.  A load of the same rows writes nothing; files that readers hold stay.  A load lost half-way
+    is mended by its rerun, which appends what is missing."""
+    columns = spark.table(table).columns
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    held = spark.table(table)
+    fresh = new_rows.select(*columns)
+    if part is not None:
+        days = [r[0] for r in fresh.select(part).distinct().collect()]  # the stat days of one load
+        held = held.where(F.col(part).isin(days) | F.col(part).isNull()) if days else held.limit(0)
+    fresh = fresh.withColumn("_d", digest).dropDuplicates(["_d"]).join(held.select(digest.alias("_d")), "_d", "left_anti").drop("_d")
+    if not fresh.isEmpty():
+        fresh.hint("rebalance").write.insertInto(table)
+        spark.catalog.refreshTable(table)
     return spark.table(table)
 
 
+class Store:
+    """Folders of the store that a path is in, by Hadoop's file system API: the one place that needs the session's JVM."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self._jvm = spark._jvm
+        self._fs = self._path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, path: str):
+        return self._jvm.org.apache.hadoop.fs.Path(path)
+
+    def names(self, path: str) -> list[str]:
+        """Entries of a folder; none where it is missing."""
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(path))] if self._fs.exists(self._path(path)) else []
+
+    def read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write_new(self, path: str, text: str) -> None:
+        """A whole file or none: written aside, then renamed.  An error if the file is there already."""
+        aside = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
+        stream = self._fs.create(aside, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if self._fs.exists(self._path(path)) or not self._fs.rename(aside, self._path(path)):
+            self._fs.delete(aside, False)
+            raise FileExistsError(path)
+
+    def delete(self, path: str) -> None:
+        """Remove a file or a folder, if it is there."""
+        self._fs.delete(self._path(path), True)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder in the store it is in, if it is there."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    Store(spark, path).delete(path)
 
 
 def ctas(spark: SparkSession, table: str, df: DataFrame, location: str, fmt: str = "parquet") -> None:

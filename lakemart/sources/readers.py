@@ -88,6 +88,25 @@ def scan_previous(df: DataFrame, day: str, col: str = "dt") -> DataFrame:
     return scan_partition(df, add_days(day, -1), col)
 
 
+def latest_partition(spark: SparkSession, table: str, day: str | None = None) -> str | None:
+    """The greatest partition of a catalog table partitioned by one text column, at or before ``day``: from the catalog's
+    list, without reading any data."""
+    value = F.regexp_extract("partition", "=(.*)$", 1)
+    found = spark.sql(f"SHOW PARTITIONS {table}").select(value.alias("v"))
+    return (found if day is None else found.where(F.col("v") <= day)).agg(F.max("v")).first()[0]
+
+
+def scan_latest(spark: SparkSession, table: str, day: str | None = None, col: str = "dt") -> DataFrame:
+    """S-10 the rows of the latest partition at or before ``day``; none if there is no such partition."""
+    found = latest_partition(spark, table, day)
+    return spark.table(table).where(F.lit(False) if found is None else F.col(col) == F.lit(found))
+
+
+def sample_bucket(spark: SparkSession, table: str, x: int) -> DataFrame:
+    """P-14 ``tablesample (bucket x out of n)`` of a table written by ``create_sampled``: its files alone."""
+    return spark.table(table).where(F.col("_bucket") == x - 1).drop("_bucket")
+
+
 def select_star(spark: SparkSession, table: str) -> DataFrame:
     """S-11 whole-table read."""
     return spark.table(table)

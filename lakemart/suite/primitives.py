@@ -3,7 +3,6 @@ the driver tables or frames Spark derives from them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import add_days, local_time, mask, ratio
@@ -254,6 +253,19 @@ def n08(spark, sf):
 
 
 
+@register("join_star_filtered", with_ctes("""select o.order_id, o.sku_id, s.tm_name, p.payment_type
+from order_detail o join (select id, tm_name from sku where tm_id = 'Brand#12' or price > 1800) s on o.sku_id = s.id
+join (select order_id, payment_type from payment_info where payment_type = '1101') p on o.order_id = p.order_id""",
+    "order_detail", "payment_info", "sku"))
+def n08_filtered(spark, sf):
+    """N-07 / N-08 with selective dimensions: where a side is too large to broadcast, Spark builds a Bloom filter of the filtered
+    side's keys and tests the fact's rows at the scan, before their shuffle (``runtime.bloomFilter`` in the job settings)."""
+    d = _d(spark, sf)
+    s = D.sku(d).where((F.col("tm_id") == "Brand#12") | (F.col("price") > 1800)).select(F.col("id").alias("_s"), "tm_name")
+    p = D.payment_info(d).where(F.col("payment_type") == "1101").select(F.col("order_id").alias("_p"), "payment_type")
+    o = D.order_detail(d)
+    return o.join(s, o.sku_id == s._s).join(p, o.order_id == p._p).select("order_id", "sku_id", "tm_name", "payment_type")
+
 
 from .rollups import TD_SQL  # noqa: E402
 
@@ -308,8 +320,9 @@ def a01(spark, sf):
 @register("agg_count_distinct", with_ctes("select dt, count(distinct user_id) buyers from order_detail group by dt",
                                           "order_detail"))
 def a02(spark, sf):
-    """A-02 exact distinct count."""
-    return D.order_detail(_d(spark, sf)).groupBy("dt").agg(F.count_distinct("user_id").alias("buyers"))
+    """A-02 exact distinct count, through bitmaps of the users' ids: no user is shuffled."""
+    from ..operators.distinct import distinct_counts
+    return distinct_counts(D.order_detail(_d(spark, sf)), ["dt"], "user_id", "buyers")
 
 
 LO30 = add_days(DAY, -29)
@@ -342,9 +355,9 @@ def a04(spark, sf):
   count(distinct case when order_status = '1002' then user_id end) paying_users from order_info group by province_id""",
     "order_info"))
 def a05(spark, sf):
-    """A-05 ``count(distinct if(p, x, null))``."""
-    return D.order_info(_d(spark, sf)).groupBy("province_id").agg(
-        F.count_distinct(F.when(F.col("order_status") == "1002", F.col("user_id"))).alias("paying_users"))
+    """A-05 ``count(distinct if(p, x, null))``, through bitmaps."""
+    from ..operators.distinct import distinct_counts
+    return distinct_counts(D.order_info(_d(spark, sf)), ["province_id"], "user_id", "paying_users", F.col("order_status") == "1002")
 
 
 @register("agg_cond_count", with_ctes("""select province_id,
@@ -484,11 +497,10 @@ def w01(spark, sf):
     over (partition by dt, user_id order by ts_us) last_signup_us
 from ({EV}) e""")
 def w02(spark, sf):
-    """W-02 carry the last non-null start forward (two-level running max)."""
+    """W-02 carry the last non-null start forward (a segmented running max)."""
     from ..operators.sessions import session_start
     e = _ev(spark, sf)
-    s = session_start(e, "user_id", "ts_us", F.col("event_type") == "signup", part=("dt",),
-                      bucket_ms=600_000_000, out="last_signup_us")
+    s = session_start(e, "user_id", "ts_us", F.col("event_type") == "signup", part=("dt",), out="last_signup_us", tie=("event_id",))
     return s.select("user_id", "event_id", "last_signup_us")
 
 
@@ -503,33 +515,29 @@ def w03(spark, sf):
 STEP_W = "partition by user_id, dt order by ts_us, event_id"
 
 
-HOUR_US = 3_600_000_000
-
-
 @register("win_lead", f"""select event_id, lead(event_type, 1) over ({STEP_W}) next_type from ({EV}) e""")
 def w04(spark, sf):
-    """W-04 next value in the group (ordered: §7.4 #1); two-level over hour slices."""
-    from ..operators.prefix import lead
-    x = lead(_ev(spark, sf), ["user_id", "dt"], ["ts_us", "event_id"], "event_type", "next_type",
-             F.floor(F.col("ts_us") / HOUR_US))
+    """W-04 next value in the group (ordered: §7.4 #1); a segmented scan."""
+    from ..operators.scan import lead
+    x = lead(_ev(spark, sf), ["user_id", "dt"], ["ts_us", "event_id"], "event_type", "next_type")
     return x.select("event_id", "next_type")
 
 
 @register("win_step_number", f"""select event_id, cast(row_number() over ({STEP_W}) as integer) step
 from ({EV}) e""")
 def w05(spark, sf):
-    """W-05 step number inside the group (running count over hour slices)."""
-    from ..operators.prefix import row_number
-    x = row_number(_ev(spark, sf), ["user_id", "dt"], ["ts_us", "event_id"], "step", F.floor(F.col("ts_us") / HOUR_US))
-    return x.select("event_id", "step")
+    """W-05 step number inside the group (a segmented running count)."""
+    from ..operators.scan import row_number
+    x = row_number(_ev(spark, sf), ["user_id", "dt"], ["ts_us", "event_id"], "step")
+    return x.select("event_id", F.col("step").cast("int").alias("step"))
 
 
 @register("win_lag_default", f"""select event_id,
   lag(event_type, 1, 'none') over (partition by user_id order by ts_us, event_id) prev_type from ({EV}) e""")
 def w06(spark, sf):
-    """W-06 previous value with a default (two-level over (user, day) slices)."""
-    from ..operators.prefix import lag
-    x = lag(_ev(spark, sf), ["user_id"], ["ts_us", "event_id"], "event_type", "prev_type", F.col("dt"), "none")
+    """W-06 previous value with a default (a segmented scan)."""
+    from ..operators.scan import lag
+    x = lag(_ev(spark, sf), ["user_id"], ["ts_us", "event_id"], "event_type", "prev_type", "none")
     return x.select("event_id", "prev_type")
 
 
@@ -554,37 +562,45 @@ def w08(spark, sf):
 @register("win_running_rows", f"""select event_id, cast(sum(cents) over (partition by user_id order by ts_us, event_id
   rows between unbounded preceding and current row) as bigint) running from ({EV}) e""")
 def w09(spark, sf):
-    """W-09 running sum, ROWS frame (two-level over (user, day) slices)."""
-    from ..operators.prefix import running_sum
-    x = running_sum(_ev(spark, sf), ["user_id"], ["ts_us", "event_id"], "cents", "running", F.col("dt"), "rows")
+    """W-09 running sum, ROWS frame (a segmented scan)."""
+    from ..operators.scan import running
+    x = running(_ev(spark, sf), ["user_id"], ["ts_us", "event_id"], "cents", "running")
     return x.select("event_id", F.col("running").cast("bigint").alias("running"))
 
 
 @register("win_running_range", f"""select event_id, cast(sum(cents) over (partition by user_id order by dt)
   as bigint) running from ({EV}) e""")
 def w10(spark, sf):
-    """W-10 running sum, default RANGE frame (same-day rows share the value); the day
-    is the slice, so each slice's local sum is its total and the carry does the rest."""
-    from ..operators.prefix import running_sum
-    x = running_sum(_ev(spark, sf), ["user_id"], ["dt"], "cents", "running", F.col("dt"), "range")
+    """W-10 running sum, default RANGE frame (same-day rows share the value): days are summed up, scanned and joined back."""
+    from ..operators.scan import running
+    x = running(_ev(spark, sf), ["user_id"], ["dt"], "cents", "running", frame="range")
     return x.select("event_id", F.col("running").cast("bigint").alias("running"))
 
 
 @register("win_moving_rows", f"""select event_id, cast(sum(cents) over (partition by user_id order by ts_us, event_id
   rows between 1 preceding and 1 following) as bigint) moving from ({EV}) e""")
 def w11(spark, sf):
-    """W-11 previous + current + next row (neighbours found across day slices)."""
-    from ..operators.prefix import moving_sum
-    x = moving_sum(_ev(spark, sf), ["user_id"], ["ts_us", "event_id"], "cents", "moving", F.col("dt"))
+    """W-11 previous + current + next row (neighbours found across slices)."""
+    from ..operators.scan import moving_sum
+    x = moving_sum(_ev(spark, sf), ["user_id"], ["ts_us", "event_id"], "cents", "moving")
     return x.select("event_id", F.col("moving").cast("bigint").alias("moving"))
 
 
 @register("win_ntile", f"""select dt, n, cast(ntile(4) over (order by n, dt) as integer) quartile
 from (select dt, count(*) n from ({EV}) e group by dt) d""")
 def w12(spark, sf):
-    """W-12 ntile over an aggregated frame (one row per day: bounded by the calendar)."""
+    """W-12 ntile over an aggregated frame, by global row numbers from the segmented scan."""
+    from ..operators.scan import ntile
     per_day = _ev(spark, sf).groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
-    return per_day.select("dt", "n", F.ntile(4).over(Window.orderBy("n", "dt")).alias("quartile"))
+    return ntile(per_day, ["n", "dt"], 4, "quartile").select("dt", "n", "quartile")
+
+
+@register("win_ntile_rows", f"""select event_id, cast(ntile(7) over (order by cents, event_id) as integer) part
+from ({EV}) e""")
+def w12_rows(spark, sf):
+    """W-12 over every row, with all order values distinct: no task holds more than a slice."""
+    from ..operators.scan import ntile
+    return ntile(_ev(spark, sf), ["cents", "event_id"], 7, "part").select("event_id", "part")
 
 
 UT = "select event_type, user_id, count(*) n from events group by event_type, user_id"
@@ -598,7 +614,7 @@ def w13(spark, sf):
     """W-13 rank / dense_rank / row_number (histogram ranks)."""
     from ..operators.ranking import rank_family
     ut = _d(spark, sf).events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return rank_family(ut, ["event_type"], "n", tiebreak=["user_id"], tie_bucket=F.floor(F.col("user_id") / 100))
+    return rank_family(ut, ["event_type"], "n", tiebreak=["user_id"])
 
 
 @register("win_rank_over_aggregate", """select event_type, count(*) n,
@@ -638,8 +654,8 @@ def w08_nulls(spark, sf):
   order by dt nulls first, event_id rows between unbounded preceding and current row) as bigint) running from ({NEV}) e""")
 def w09_nulls(spark, sf):
     """W-09 with NULL keys, order values and measures."""
-    from ..operators.prefix import running_sum
-    x = running_sum(_nev(spark, sf), ["user_id"], ["dt", "event_id"], "cents", "running", F.col("dt"), "rows")
+    from ..operators.scan import running
+    x = running(_nev(spark, sf), ["user_id"], ["dt", "event_id"], "cents", "running")
     return x.select("event_id", F.col("running").cast("bigint").alias("running"))
 
 
@@ -647,8 +663,8 @@ def w09_nulls(spark, sf):
   order by dt nulls first) as bigint) running from ({NEV}) e""")
 def w10_nulls(spark, sf):
     """W-10 with NULL keys, order values and measures."""
-    from ..operators.prefix import running_sum
-    x = running_sum(_nev(spark, sf), ["user_id"], ["dt"], "cents", "running", F.col("dt"), "range")
+    from ..operators.scan import running
+    x = running(_nev(spark, sf), ["user_id"], ["dt"], "cents", "running", frame="range")
     return x.select("event_id", F.col("running").cast("bigint").alias("running"))
 
 
@@ -656,8 +672,8 @@ def w10_nulls(spark, sf):
   order by dt nulls first, event_id rows between 1 preceding and 1 following) as bigint) moving from ({NEV}) e""")
 def w11_nulls(spark, sf):
     """W-11 with NULL keys, order values and measures."""
-    from ..operators.prefix import moving_sum
-    x = moving_sum(_nev(spark, sf), ["user_id"], ["dt", "event_id"], "cents", "moving", F.col("dt"))
+    from ..operators.scan import moving_sum
+    x = moving_sum(_nev(spark, sf), ["user_id"], ["dt", "event_id"], "cents", "moving")
     return x.select("event_id", F.col("moving").cast("bigint").alias("moving"))
 
 
@@ -678,7 +694,7 @@ def w13_nulls(spark, sf):
     """W-13 with NULL groups and NULL values."""
     from ..operators.ranking import rank_family
     x = _nev(spark, sf).select("event_id", "event_type", "cents")
-    return rank_family(x, ["event_type"], "cents", tiebreak=["event_id"], tie_bucket=F.floor(F.col("event_id") / 1000))
+    return rank_family(x, ["event_type"], "cents", tiebreak=["event_id"])
 
 
 @register("win_topk_rank", f"""select event_type, user_id, n from (

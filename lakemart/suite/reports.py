@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import add_days
 from ..oracle.domain import SKU_ATTRS, cte, nd_sql, with_ctes
-from .rollups import TD_SQL
+from .rollups import TD_SQL, _state
+from ..operators.distinct import number_ids
 from ..plans import facts_log as L
 from ..plans import reports as P
 from ..plans import rollups as R
@@ -36,6 +37,14 @@ def _d(spark, sf):
 
 
 # ------------------------------------------------------------------ trade-side frames
+def buyer_frames(d, keys, day=DAY):
+    """The distinct-set states of orders and refunds of the last 30 days."""
+    lo = add_days(day, -29)
+    od1d = R.user_sku_order_1d(D.order_detail(d, lo, day), D.sku(d))
+    rf1d = R.user_sku_refund_1d(D.refund_info(d, lo, day), D.sku(d))
+    return P.buyer_sets(od1d, keys, "order_count_1d"), P.buyer_sets(rf1d, keys, "order_refund_count_1d")
+
+
 def trade_frames(d, day=DAY):
     lo = add_days(day, -29)
     od1d = R.user_sku_order_1d(D.order_detail(d, lo, day), D.sku(d))
@@ -72,13 +81,13 @@ from ({odr}) o full outer join ({ref}) r on {on}"""
 @register("rpt_trade_by_brand", with_ctes(trade_by_sql(["tm_id", "tm_name"]), "od1d", "odnd", "rf1d", "rfnd"))
 def q_trade_by_brand(spark, sf):
     """J-57: brand trade stats 1/7/30 d (refund users counted distinct, §7.4 #6)."""
-    return P.trade_by_brand(*trade_frames(_d(spark, sf)), DAY)
+    return P.trade_by_brand(*buyer_frames(_d(spark, sf), P.BRAND), DAY)
 
 
 @register("rpt_trade_by_category", with_ctes(trade_by_sql(list(P.CATE)), "od1d", "odnd", "rf1d", "rfnd"))
 def q_trade_by_category(spark, sf):
     """J-58: full outer join on 7 keys (recent_days + category path)."""
-    return P.trade_by_category(*trade_frames(_d(spark, sf)), DAY)
+    return P.trade_by_category(*buyer_frames(_d(spark, sf), P.CATE), DAY)
 
 
 @register("rpt_repeat_rate_by_brand", with_ctes(f"""
@@ -164,7 +173,7 @@ from page_view group by session_id, mid_id, brand, model, operate_system, versio
 
 def _session_1d(spark, sf):
     d = _d(spark, sf)
-    pv = L.page_view(D.page_log(d, add_days(TDAY, -29), TDAY), D.province(d))
+    pv = L.page_view(D.page_log(d, add_days(TDAY, -29), TDAY), D.province(d), rows=d.events.count())
     return R.session_page_view_1d(pv)
 
 
@@ -180,8 +189,10 @@ from session_1d, (values (1), (7), (30)) v(recent_days)
 where dt >= strftime(date '{TDAY}' - cast(recent_days - 1 as integer), '%Y-%m-%d') and dt <= '{TDAY}'
 group by recent_days, channel""", "session_1d"))
 def q_traffic_by_channel(spark, sf):
-    """J-49 variant B: one scan of 30 daily partitions, fanned out to 1/7/30."""
-    return P.traffic_by_channel(_session_1d(spark, sf), TDAY)
+    """J-49 variant B: devices as day bitmaps over a dictionary of the log's devices, OR-ed for 1/7/30 days."""
+    d = _d(spark, sf)
+    devices = D.page_log(d, add_days(TDAY, -29), TDAY).select(F.col("common.mid").alias("mid_id"))
+    return P.traffic_by_channel(_session_1d(spark, sf), TDAY, number_ids(devices, "mid_id"))
 
 
 @register("rpt_traffic_by_channel_union", with_ctes(" union all ".join(f"""
@@ -205,10 +216,11 @@ from (select recent_days, 'step-' || cast(rn as varchar) || ':' || page_id sourc
               and dt >= strftime(date '{TDAY}' - cast(recent_days - 1 as integer), '%Y-%m-%d')) t1) t2
 group by recent_days, source, coalesce(target, 'null')""", "page_view"))
 def q_page_path(spark, sf):
-    """J-50: lead/row_number per session, counted per day then fanned out."""
+    """J-50: lead/row_number per session, counted per day then fanned out.  The page views are read once: the events'
+    number, from the files' footers, bounds theirs."""
     d = _d(spark, sf)
-    pv = stored(L.page_view(D.page_log(d, add_days(TDAY, -29), TDAY), D.province(d)), "page_view")
-    return P.page_path(pv, TDAY)
+    rows = d.events.count()
+    return P.page_path(L.page_view(D.page_log(d, add_days(TDAY, -29), TDAY), D.province(d), rows=rows), TDAY, rows)
 
 
 # login to-date state at D-1 and D
@@ -241,7 +253,7 @@ cte("login_td_prev", login_td_first_sql(add_days(TDAY, -1)), ("users", "user_log
 
 def login_frames(spark, sf, day=TDAY):
     d = _d(spark, sf)
-    login = stored(L.user_login(D.page_log(d), D.province(d)).withColumn("user_id", F.col("user_id").cast("bigint")), "user_login")
+    login = L.user_login(D.page_log(d), D.province(d), rows=d.events.count()).withColumn("user_id", F.col("user_id").cast("bigint"))
     users = D.users(d)
     prev = R.user_login_td_first(users, login, add_days(day, -1))
     today = R.user_login_td_step(prev.drop("dt"), login, day)
@@ -254,6 +266,37 @@ def q_login_td(spark, sf):
     return login_frames(spark, sf)[3]
 
 
+def login_states(spark, sf, day=TDAY):
+    """J-48 on co-bucketed tables: the states of D-1 and D."""
+    d = _d(spark, sf)
+    login = L.user_login(D.page_log(d), D.province(d), rows=d.events.count()).withColumn("user_id", F.col("user_id").cast("bigint"))
+    login = stored(login, "user_login")
+    prev, s = add_days(day, -1), _state(spark, "login_td")
+    s.write(R.user_login_td_first(D.users(d), login, prev).drop("dt"), prev)
+    today = login.where(F.col("dt") == day)
+    now = s.advance(prev, R.user_logins_1d(today, day), day, lambda old, inc: R.user_login_td_join(old, inc, day).drop("dt"))
+    return now.withColumn("dt", F.lit(day)), s.read(prev)
+
+
+@register("user_login_td_state", with_ctes("select * from login_td", "login_td"))
+def q_login_td_state(spark, sf):
+    """J-48: the day's state made without an exchange of the state before."""
+    return login_states(spark, sf)[0]
+
+
+@register("rpt_user_change_state", with_ctes(f"""
+select c.dt, user_churn_count, user_back_count
+from (select '{TDAY}' dt, count(*) user_churn_count from login_td where login_date_last = '{add_days(TDAY, -7)}') c
+join (select '{TDAY}' dt, count(*) user_back_count
+      from login_td t1 join login_td_prev t2 on t1.user_id = t2.user_id
+      where datediff('day', cast(t2.login_date_last as date), cast(t1.login_date_last as date)) >= 8) b
+on c.dt = b.dt""", "login_td", "login_td_prev"))
+def q_user_change_state(spark, sf):
+    """J-51 on the two co-bucketed states."""
+    now, prev = login_states(spark, sf)
+    return P.user_change(now, prev, TDAY)
+
+
 @register("rpt_user_change", with_ctes(f"""
 select c.dt, user_churn_count, user_back_count
 from (select '{TDAY}' dt, count(*) user_churn_count from login_td where login_date_last = '{add_days(TDAY, -7)}') c
@@ -367,11 +410,19 @@ def q_payment_td(spark, sf):
     return R.user_payment_td_step(prev, _pay_1d(spark, sf, DAY, DAY), DAY)
 
 
+@register("user_payment_td_state", with_ctes("select * from uptd", "uptd"))
+def q_payment_td_state(spark, sf):
+    """J-38 on co-bucketed tables."""
+    prev, s = add_days(DAY, -1), _state(spark, "payment_td")
+    s.write(R.user_payment_td_first(_pay_1d(spark, sf, None, prev), prev).drop("dt"), prev)
+    return s.joined(prev, _pay_1d(spark, sf, DAY, DAY), DAY, lambda old, today: R.user_payment_td_step(old, today, DAY))
+
+
 @register("session_page_view_1d", with_ctes("select * from session_1d", "session_1d"))
 def q_session_1d(spark, sf):
     """J-43 (every day)."""
     d = _d(spark, sf)
-    return R.session_page_view_1d(L.page_view(D.page_log(d), D.province(d)))
+    return R.session_page_view_1d(L.page_view(D.page_log(d), D.province(d), rows=d.events.count()))
 
 
 cte("pv1d", """
@@ -384,7 +435,7 @@ cte("pvnd", nd_sql("pv1d", "mid_id, brand, model, operate_system, page_id", ["du
 
 def _pv1d(spark, sf, lo=None, hi=None):
     d = _d(spark, sf)
-    return R.page_visitor_view_1d(L.page_view(D.page_log(d, lo, hi), D.province(d)))
+    return R.page_visitor_view_1d(L.page_view(D.page_log(d, lo, hi), D.province(d), rows=d.events.count()))
 
 
 @register("page_visitor_view_1d", with_ctes("select * from pv1d", "pv1d"))

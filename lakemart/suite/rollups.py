@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
 
 from ..functions.scalar import add_days
 from ..oracle.domain import SKU_ATTRS, nd_sql, with_ctes
 from ..plans import rollups as R
 from ..registry import register
+from ..sinks.state import BucketedState, compare
 from ..sources import domain as D
 from ..sources.driver import Driver
 
@@ -96,6 +100,31 @@ def q_user_order_td_step(spark, sf):
     return R.user_order_td_step(prev, R.user_order_1d(D.order_detail(d, DAY, DAY)), DAY)
 
 
+def _state(spark, name):
+    """A to-date state of its own name; as many buckets as shuffle partitions."""
+    return BucketedState(spark, f"lakemart_{name}_{uuid.uuid4().hex[:8]}", "user_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@register("user_order_td_state", with_ctes(TD_SQL.format(day=DAY), "uo1d"))
+def q_user_order_td_state(spark, sf):
+    """J-33 on co-bucketed tables: state(D-1) and 1d(D) lie by user, so the full outer join exchanges nothing."""
+    d = _d(spark, sf)
+    s = _state(spark, "order_td")
+    s.write(R.user_order_td_first(R.user_order_1d(D.order_detail(d, None, PREV)), PREV).drop("dt"), PREV)
+    return s.joined(PREV, R.user_order_1d(D.order_detail(d, DAY, DAY)), DAY, lambda prev, today: R.user_order_td_step(prev, today, DAY))
+
+
+@register("join_self_state_bucketed", with_ctes(f"""select a.user_id, a.order_date_last, b.order_date_last prev_last
+from ({TD_SQL.format(day=DAY)}) a join ({TD_SQL.format(day=PREV)}) b on a.user_id = b.user_id""", "uo1d"))
+def q_self_state_bucketed(spark, sf):
+    """N-09 on co-bucketed states of D and D-1 (the one made from the other): a merge join without an exchange."""
+    d = _d(spark, sf)
+    s = _state(spark, "order_td")
+    s.write(R.user_order_td_first(R.user_order_1d(D.order_detail(d, None, PREV)), PREV).drop("dt"), PREV)
+    now = s.advance(PREV, R.user_order_1d(D.order_detail(d, DAY, DAY)), DAY, lambda prev, today: R.user_order_td_step(prev, today, DAY).drop("dt"))
+    return compare(now, s.read(PREV), "user_id").select("user_id", "order_date_last", F.col("prev_order_date_last").alias("prev_last"))
+
+
 @register("province_order_1d", with_ctes("select * from po1d", "po1d"))
 def q_province_order_1d(spark, sf):
     """J-39."""

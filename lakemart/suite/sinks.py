@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.scalar import add_days
 from ..oracle.domain import with_ctes
+from ..plans import dims as DM
 from ..plans import facts_trade as T
 from ..plans import reports as P
 from ..plans import rollups as R
 from ..registry import register
 from ..sinks import writers as K
+from ..sinks.publish import Published
 from ..sources import domain as D
 from ..sources import readers as S
+from ..sources import snapshots as SN
 from ..sources import worked as WS
 from ..sources.dictionary import dictionary
 from ..sources.driver import Driver
-from .reports import trade_by_sql, trade_frames
+from .reports import buyer_frames, trade_by_sql
 
 DAY = D.TRADE_DAY
 
@@ -156,10 +159,49 @@ def s09(spark, sf):
     return x.select("order_id", "user_id", "total_amount", "dt")
 
 
+def _orders_table(spark, sf, key):
+    """The landed orders as a catalog table whose partitions are registered."""
+    _landed_orders(spark, sf)
+    t = _name(key)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.read_parquet(spark, _LANDED[(spark.sparkContext.applicationId, sf)], schemas.ORDER_INFO).schema)
+    K.create_partitioned(spark, t, columns, ["dt"], _LANDED[(spark.sparkContext.applicationId, sf)])
+    K.partition_repair(spark, t)
+    return t
+
+
 @register("scan_latest_partition", with_ctes(OI.format(w=f"dt = '{add_days(DAY, -1)}'"), "order_info"))
 def s10(spark, sf):
-    """S-10: yesterday's partition."""
-    return S.scan_previous(_landed_orders(spark, sf), DAY).select("order_id", "user_id", "total_amount", "dt")
+    """S-10: the latest partition up to yesterday, found in the catalog without a scan."""
+    return S.scan_latest(spark, _orders_table(spark, sf, "latest"), add_days(DAY, -1)).select("order_id", "user_id", "total_amount", "dt")
+
+
+@register("scan_latest_partition_gap", with_ctes(OI.format(
+    w=f"dt = (select max(dt) from order_info where dt < '{add_days(DAY, -1)}')"), "order_info"))
+def s10_gap(spark, sf):
+    """S-10 where yesterday's partition was never loaded: the one before it is read, not an empty day."""
+    t = _orders_table(spark, sf, "gap")
+    K.partition_drop(spark, t, {"dt": add_days(DAY, -1)})
+    return S.scan_latest(spark, t, add_days(DAY, -1)).select("order_id", "user_id", "total_amount", "dt")
+
+
+@register("scan_days_from_table", with_ctes("""select order_id, user_id, total_amount, dt from order_info
+where dt in (select strftime(d, '%Y-%m-%d') from (select distinct cast(o_orderdate as date) d from orders) t
+             where isodow(d) = 1 and quarter(d) = 2)""", "order_info"))
+def s09_joined(spark, sf):
+    """S-09 with the days in a table (the Mondays of second quarters, from the date dimension): dynamic partition pruning reads
+    only the partitions that the joined days name."""
+    days = K.landed(DM.dim_date(SN.date_seed(_d(spark, sf))), "dim_date")
+    mondays = days.where((F.col("week_day") == "1") & (F.col("quarter") == "2")).select(F.col("date_id").alias("dt"))
+    x = spark.table(_orders_table(spark, sf, "pruned"))
+    return x.join(F.broadcast(mondays), "dt").select("order_id", "user_id", "total_amount", "dt")  # one row a calendar day
+
+
+@register("bucket_sample_files", "select c_custkey, c_name from customer where c_custkey % 4 = 0")
+def p14_files(spark, sf):
+    """P-14 read from a table kept by bucket: only the files of bucket 1 of 4 are opened."""
+    t = _name("sampled")
+    K.create_sampled(_d(spark, sf).customer.select("c_custkey", "c_name"), t, "c_custkey", 4, K.shared_path(spark, "tables", t))
+    return S.sample_bucket(spark, t, 1)
 
 
 @register("select_star", with_ctes("select * from order_info", "order_info"))
@@ -198,9 +240,9 @@ def k01(spark, sf):
     return spark.table(t)
 
 
-@register("overwrite_static_partition", with_ctes("select * from ca1d", "ca1d"))
-def k05(spark, sf):
-    """K-05: a wrong day D is replaced by ``INSERT OVERWRITE ... PARTITION (dt='D')``;
+@register("overwrite_static_partition_carts", with_ctes("select * from ca1d", "ca1d"))
+def k05_carts(spark, sf):
+    """K-05 over the event days: a wrong day D is replaced by ``INSERT OVERWRITE ... PARTITION (dt='D')``;
     the other days are untouched."""
     x = _cart_1d(spark, sf)
     t = _cart_table(spark, "static")
@@ -209,9 +251,9 @@ def k05(spark, sf):
     return spark.table(t)
 
 
-@register("overwrite_dynamic_partition", with_ctes("select * from ca1d", "ca1d"))
-def k06(spark, sf):
-    """K-06: the last 7 days are corrupted, then a dynamic ``PARTITION (dt)`` load
+@register("overwrite_dynamic_partition_carts", with_ctes("select * from ca1d", "ca1d"))
+def k06_carts(spark, sf):
+    """K-06 over the event days: the last 7 days are corrupted, then a dynamic ``PARTITION (dt)`` load
     replaces exactly those days."""
     x = _cart_1d(spark, sf)
     lo = add_days(TDAY, -6)
@@ -221,9 +263,9 @@ def k06(spark, sf):
     return spark.table(t)
 
 
-@register("insert_append", with_ctes("select * from ca1d", "ca1d"))
-def k07(spark, sf):
-    """K-07: ``INSERT INTO`` the last day after the history."""
+@register("insert_append_carts", with_ctes("select * from ca1d", "ca1d"))
+def k07_carts(spark, sf):
+    """K-07 over the event days: ``INSERT INTO`` the last day after the history."""
     x = _cart_1d(spark, sf)
     t = _cart_table(spark, "append")
     K.insert_append(spark, x.where(F.col("dt") < TDAY), t)
@@ -231,17 +273,17 @@ def k07(spark, sf):
     return spark.table(t)
 
 
-@register("partition_list", with_ctes('select distinct \'dt=\' || dt "partition" from ca1d', "ca1d"))
-def k16(spark, sf):
-    """K-16: ``SHOW PARTITIONS`` of a dynamically loaded dt-partitioned table."""
+@register("partition_list_carts", with_ctes('select distinct \'dt=\' || dt "partition" from ca1d', "ca1d"))
+def k16_carts(spark, sf):
+    """K-16 over the event days: ``SHOW PARTITIONS`` of a dynamically loaded dt-partitioned table."""
     t = _cart_table(spark, "parts")
     K.overwrite_dynamic_partition(spark, _cart_1d(spark, sf), t)
     return K.partition_list(spark, t)
 
 
-@register("partition_repair", with_ctes("select * from ca1d", "ca1d"))
-def k17(spark, sf):
-    """K-17: partition folders written by path, table declared over them, ``MSCK
+@register("partition_repair_carts", with_ctes("select * from ca1d", "ca1d"))
+def k17_carts(spark, sf):
+    """K-17 over the event days: partition folders written by path, table declared over them, ``MSCK
     REPAIR TABLE`` discovers the days."""
     t = _name("repair")
     loc = K.shared_path(spark, "tables", t)
@@ -251,7 +293,7 @@ def k17(spark, sf):
     return spark.table(t)
 
 
-# The same loads over thousands of days: the order rollup by user and day, over all order days.
+# The surveyed loads: the order rollup by user and day, over all order days (thousands of partitions).
 ORDER_COLS = ("user_id bigint, order_count_1d bigint, order_num_1d bigint, order_original_amount_1d decimal(16,2), "
               "activity_reduce_amount_1d decimal(16,2), coupon_reduce_amount_1d decimal(16,2), "
               "order_total_amount_1d decimal(16,2), dt string")
@@ -271,9 +313,9 @@ def _corrupt_orders(df):
     return df.withColumn("order_count_1d", F.col("order_count_1d") * 10)
 
 
-@register("overwrite_static_partition_orders", with_ctes("select * from uo1d", "uo1d"))
-def k05_orders(spark, sf):
-    """K-05 over all order days: a wrong day D is replaced, the other days are untouched."""
+@register("overwrite_static_partition", with_ctes("select * from uo1d", "uo1d"))
+def k05(spark, sf):
+    """K-05, all order days: a wrong day D is replaced, the other days are untouched."""
     x = _order_1d(spark, sf)
     t = _order_table(spark, "static_orders")
     K.overwrite_dynamic_partition(spark, x.where(F.col("dt") != DAY).unionByName(_corrupt_orders(x.where(F.col("dt") == DAY))), t)
@@ -281,9 +323,9 @@ def k05_orders(spark, sf):
     return spark.table(t)
 
 
-@register("overwrite_dynamic_partition_orders", with_ctes("select * from uo1d", "uo1d"))
-def k06_orders(spark, sf):
-    """K-06 over all order days: the last 7 are corrupted and replaced, the others are untouched."""
+@register("overwrite_dynamic_partition", with_ctes("select * from uo1d", "uo1d"))
+def k06(spark, sf):
+    """K-06, all order days: the last 7 are corrupted and replaced, the others are untouched."""
     x = _order_1d(spark, sf)
     lo = add_days(DAY, -6)
     t = _order_table(spark, "dynamic_orders")
@@ -292,9 +334,9 @@ def k06_orders(spark, sf):
     return spark.table(t)
 
 
-@register("insert_append_orders", with_ctes("select * from uo1d", "uo1d"))
-def k07_orders(spark, sf):
-    """K-07 over all order days: ``INSERT INTO`` the last day after the history."""
+@register("insert_append", with_ctes("select * from uo1d", "uo1d"))
+def k07(spark, sf):
+    """K-07, all order days: ``INSERT INTO`` the last day after the history."""
     x = _order_1d(spark, sf)
     t = _order_table(spark, "append_orders")
     K.insert_append(spark, x.where(F.col("dt") < DAY), t)
@@ -302,17 +344,17 @@ def k07_orders(spark, sf):
     return spark.table(t)
 
 
-@register("partition_list_orders", with_ctes('select distinct \'dt=\' || dt "partition" from uo1d', "uo1d"))
-def k16_orders(spark, sf):
-    """K-16 over all order days: ``SHOW PARTITIONS`` of a table of thousands of days."""
+@register("partition_list", with_ctes('select distinct \'dt=\' || dt "partition" from uo1d', "uo1d"))
+def k16(spark, sf):
+    """K-16, all order days: ``SHOW PARTITIONS`` of a table of thousands of days."""
     t = _order_table(spark, "parts_orders")
     K.overwrite_dynamic_partition(spark, _order_1d(spark, sf), t)
     return K.partition_list(spark, t)
 
 
-@register("partition_repair_orders", with_ctes("select * from uo1d", "uo1d"))
-def k17_orders(spark, sf):
-    """K-17 over all order days: ``MSCK REPAIR TABLE`` discovers thousands of day folders."""
+@register("partition_repair", with_ctes("select * from uo1d", "uo1d"))
+def k17(spark, sf):
+    """K-17, all order days: ``MSCK REPAIR TABLE`` discovers thousands of day folders."""
     t = _name("repair_orders")
     loc = K.shared_path(spark, "tables", t)
     K.partition_layout(_order_1d(spark, sf), ["dt"]).write.mode("overwrite").partitionBy("dt").parquet(loc)
@@ -342,17 +384,44 @@ def k10(spark, sf):
 def k09(spark, sf):
     """K-09: a report loaded twice through ``old ∪ new`` without duplicates stays
     unchanged (the load is idempotent)."""
-    rows = P.trade_by_brand(*trade_frames(_d(spark, sf)), DAY)
+    rows = P.trade_by_brand(*buyer_frames(_d(spark, sf), P.BRAND), DAY)
     t = _name("report")
     loc = K.shared_path(spark, "tables", t)
     spark.sql(f"CREATE TABLE {t} (dt string, recent_days int, tm_id string, tm_name string, order_count bigint, "
               f"order_user_count bigint, order_refund_count bigint, order_refund_user_count bigint) "
               f"USING parquet LOCATION '{loc}'")
-    K.append_distinct(spark, t, rows, K.shared_path(spark, "staging", t))
-    K.append_distinct(spark, t, rows, K.shared_path(spark, "staging", t))
+    rows = K.landed(rows, "report_rows")
+    K.append_distinct(spark, t, rows, "dt")
+    K.append_distinct(spark, t, rows, "dt")  # writes nothing
     return spark.table(t)
 
 
+UO_COLS = ORDER_COLS
+
+
+@register("publish_partitions", with_ctes("select * from uo1d", "uo1d"))
+def k05_k06_atomic(spark, sf):
+    """K-05 / K-06 with several partitions published in one step: a first version with the last 7 days corrupted, then these
+    days replaced together; readers of the first version keep it."""
+    x = K.landed(_order_1d(spark, sf), "order_days")
+    lo = add_days(DAY, -6)
+    p = Published(spark, K.shared_path(spark, "published", "orders"), UO_COLS)
+    p.publish(x.where(F.col("dt") < lo).unionByName(_corrupt_orders(x.where(F.col("dt") >= lo))), tag=add_days(DAY, -1))
+    p.publish(x.where(F.col("dt") >= lo), replaced=[add_days(DAY, -k) for k in range(7)], tag=DAY)
+    return p.read()
+
+
+@register("merge_report", with_ctes(trade_by_sql(["tm_id", "tm_name"]), "od1d", "odnd", "rf1d", "rfnd"))
+def k09_keyed(spark, sf):
+    """K-09 as a keyed merge into published partitions: half of the rows are loaded, then all; the second load writes only the
+    stat day, the third nothing."""
+    rows = K.landed(P.trade_by_brand(*buyer_frames(_d(spark, sf), P.BRAND), DAY), "report_rows")
+    p = Published(spark, K.shared_path(spark, "published", "report"), rows.schema)
+    for part in (rows.where("recent_days = 1"), rows, rows):
+        p.merge(part, ["dt", "recent_days", *P.BRAND])
+    return p.read()
+
+
 @register("create_bucketed", with_ctes("select * from uo1d", "uo1d"))
 def k03(spark, sf):
     """K-03: 4 hash buckets on the user key (bucketed reads of the same key skip the
@@ -363,6 +432,21 @@ def k03(spark, sf):
     return spark.table(t)
 
 
+@register("bucketed_join_aggregate", with_ctes("""select o.user_id, o.order_days, r.refund_days
+from (select user_id, count(*) order_days from uo1d group by user_id) o
+join (select user_id, count(*) refund_days from ur1d group by user_id) r on o.user_id = r.user_id""", "uo1d", "ur1d"))
+def k03_used(spark, sf):
+    """K-03 used: two tables with the same buckets are aggregated on the key and joined, all without an exchange."""
+    d = _d(spark, sf)
+    tables = []
+    for key, df in (("ob", R.user_order_1d(D.order_detail(d))), ("rb", R.user_refund_1d(D.refund_info(d)))):
+        t = _name(key)
+        K.create_bucketed(df, t, 8, "user_id", K.shared_path(spark, "tables", t))
+        tables.append(spark.table(t))
+    orders, refunds = (t.groupBy("user_id").agg(F.count(F.lit(1)).alias(n)) for t, n in zip(tables, ("order_days", "refund_days"), strict=True))
+    return orders.hint("merge").join(refunds, "user_id")
+
+
 @register("create_partitioned_multi", """select event_id, event_type, strftime(ts, '%Y-%m-%d') "day",
   strftime(ts, '%H') "hour" from events""")
 def k02(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakemart.functions.scalar import ratio
 from lakemart.operators.cdc import cdc_rows, decode, old_value
+from lakemart.operators import scan
 from lakemart.operators.joins import full_outer_coalesce, one_row_join
 from lakemart.operators.ranking import first_ntile, rank_family
 from lakemart.operators.sessions import first_per_group, last_per_group, sessionize
@@ -24,7 +25,7 @@ def rows(df, *cols):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=lambda t: [(v is not None, v) for v in t])
 
 
-def test_sessionize_matches_plain_window(spark):
+def test_sessionize_matches_plain_window(spark, monkeypatch):
     random.seed(7)
     data = []
     for dev in ("a", "b", "c"):
@@ -33,7 +34,8 @@ def test_sessionize_matches_plain_window(spark):
             t += random.randint(1, 400_000)
             data.append((dev, t, random.random() < 0.1, "2024-01-01"))
     df = spark.createDataFrame(data, "mid string, ts long, start boolean, dt string")
-    got = sessionize(df, "mid", "ts", F.col("start"), bucket_ms=1_000_000)
+    monkeypatch.setattr(scan, "SLICE_ROWS", 100)
+    got = sessionize(df, "mid", "ts", F.col("start"))
     w = Window.partitionBy("dt", "mid").orderBy("ts")
     want = df.withColumn("session_id", F.concat("mid", F.lit("-"), F.last(F.when(F.col("start"), F.col("ts")), True)
                                                  .over(w).cast("string")))
@@ -42,12 +44,13 @@ def test_sessionize_matches_plain_window(spark):
     assert got.where(F.col("session_id").isNull()).count() > 0
 
 
-def test_rank_family_matches_windows(spark):
+def test_rank_family_matches_windows(spark, monkeypatch):
     random.seed(3)
     data = [(random.choice("xyz"), random.randint(0, 9), f"n{i}") for i in range(500)]
     df = spark.createDataFrame(data, "subject string, score int, name string")
     got = rank_family(df, ["subject"], "score", tiebreak=["name"])
-    got2 = rank_family(df, ["subject"], "score", tiebreak=["name"], tie_bucket=F.substring("name", 1, 2))
+    monkeypatch.setattr(scan, "SLICE_ROWS", 6)
+    got2 = rank_family(df, ["subject"], "score", tiebreak=["name"])
     w = Window.partitionBy("subject").orderBy(F.col("score").desc())
     want = df.select("*", F.rank().over(w).alias("rp"), F.dense_rank().over(w).alias("drp"),
                      F.row_number().over(Window.partitionBy("subject").orderBy(F.col("score").desc(), "name"))
@@ -193,8 +196,8 @@ def test_append_distinct_is_idempotent(spark, tmp_path):
     K.drop_table(spark, t)
     spark.sql(f"CREATE TABLE {t} (dt string, n bigint) USING parquet LOCATION '{tmp_path / 'r'}'")
     new = spark.createDataFrame([("2020-06-14", 1), ("2020-06-14", 1)], "dt string, n bigint")
-    K.append_distinct(spark, t, new, str(tmp_path / "s1"))
-    K.append_distinct(spark, t, new, str(tmp_path / "s2"))
+    K.append_distinct(spark, t, new)
+    K.append_distinct(spark, t, new, "dt")
     assert spark.table(t).count() == 1
     K.drop_table(spark, t)
 
@@ -243,55 +246,6 @@ def test_invariants_nd_and_daily_partitioning(spark, sf):
     assert rows(whole, *cols) == rows(parts, *cols)
 
 
-def test_two_level_prefix_windows_match_plain_windows(spark):
-    from lakemart.operators.prefix import lag, running_sum
-    random.seed(11)
-    data = [(random.choice(["hot"] * 8 + ["a", "b", None]), f"2001-0{random.randint(1, 3)}-{random.randint(1, 28):02d}",
-             random.randint(0, 50)) for _ in range(800)]
-    df = spark.createDataFrame(data, "name string, orderdate string, cost int")
-    b = F.col("orderdate")
-    rs = running_sum(df, ["name"], ["orderdate", "cost"], "cost", "s", b, "rows")
-    rr = running_sum(df, ["name"], ["orderdate"], "cost", "s", F.substring("orderdate", 1, 7), "range")
-    lg = lag(df, ["name"], ["orderdate", "cost"], "orderdate", "p", b, "1970-01-01")
-    w = Window.partitionBy("name").orderBy("orderdate", "cost")
-    ws = df.withColumn("s", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wr = df.withColumn("s", F.sum("cost").over(Window.partitionBy("name").orderBy("orderdate")))
-    wl = df.withColumn("p", F.lag("orderdate", 1, "1970-01-01").over(w))
-    cols = ("name", "orderdate", "cost")
-    assert rows(rs, *cols, "s") == rows(ws, *cols, "s")
-    assert rows(rr, *cols, "s") == rows(wr, *cols, "s")
-    assert rows(lg, *cols, "p") == rows(wl, *cols, "p")
-
-
-def test_two_level_lead_rownumber_moving(spark):
-    from lakemart.operators.prefix import lead, moving_sum, row_number
-    random.seed(13)
-    data = [(random.choice(["hot"] * 6 + ["a", "b"]), i, random.randint(0, 5) * 100 + random.randint(0, 50),
-             random.randint(0, 9)) for i in range(600)]
-    df = spark.createDataFrame(data, "u string, id int, ts int, v int")
-    b = F.floor(F.col("ts") / 100)
-    w = Window.partitionBy("u").orderBy("ts", "id")
-    cols = ("u", "id")
-    assert rows(lead(df, ["u"], ["ts", "id"], "v", "n", b), *cols, "n") == \
-        rows(df.withColumn("n", F.lead("v", 1).over(w)), *cols, "n")
-    assert rows(row_number(df, ["u"], ["ts", "id"], "r", b), *cols, "r") == \
-        rows(df.withColumn("r", F.row_number().over(w)), *cols, "r")
-    assert rows(moving_sum(df, ["u"], ["ts", "id"], "v", "m", b), *cols, "m") == \
-        rows(df.withColumn("m", F.sum("v").over(w.rowsBetween(-1, 1))), *cols, "m")
-
-
-def test_two_level_steps(spark):
-    from lakemart.operators.prefix import steps
-    random.seed(17)
-    data = [(random.choice(["s1"] * 5 + ["s2", None]), i, random.randint(0, 500), random.choice("abc"))
-            for i in range(500)]
-    df = spark.createDataFrame(data, "sid string, id int, ts int, page string")
-    got = steps(df, ["sid"], ["ts", "id"], "page", "rn", "nxt", F.floor(F.col("ts") / 50))
-    w = Window.partitionBy("sid").orderBy("ts", "id")
-    want = df.withColumn("rn", F.row_number().over(w)).withColumn("nxt", F.lead("page", 1).over(w))
-    assert rows(got, "sid", "id", "rn", "nxt") == rows(want, "sid", "id", "rn", "nxt")
-
-
 def _with_nulls(spark, n=900):
     """Rows with NULL keys, order values and measures; ``id`` is total."""
     random.seed(23)
@@ -300,27 +254,27 @@ def _with_nulls(spark, n=900):
     return spark.createDataFrame(data, "u string, id int, ts int, v int")
 
 
-def test_prefix_windows_keep_nulls(spark):
-    from lakemart.operators.prefix import moving_sum, running_sum
+def test_scan_windows_keep_nulls(spark, monkeypatch):
     df = _with_nulls(spark)
-    b = F.floor(F.col("ts") / 10)
     w = Window.partitionBy("u").orderBy("ts", "id")
     cols = ("u", "id", "ts", "v")
-    assert rows(running_sum(df, ["u"], ["ts", "id"], "v", "s", b, "rows"), *cols, "s") == \
+    monkeypatch.setattr(scan, "SLICE_ROWS", 50)
+    assert rows(scan.running(df, ["u"], ["ts", "id"], "v", "s"), *cols, "s") == \
         rows(df.withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))), *cols, "s")
-    assert rows(running_sum(df, ["u"], ["ts"], "v", "s", b, "range"), *cols, "s") == \
+    assert rows(scan.running(df, ["u"], ["ts"], "v", "s", frame="range"), *cols, "s") == \
         rows(df.withColumn("s", F.sum("v").over(Window.partitionBy("u").orderBy("ts"))), *cols, "s")
-    assert rows(moving_sum(df, ["u"], ["ts", "id"], "v", "m", b), *cols, "m") == \
+    assert rows(scan.moving_sum(df, ["u"], ["ts", "id"], "v", "m"), *cols, "m") == \
         rows(df.withColumn("m", F.sum("v").over(w.rowsBetween(-1, 1))), *cols, "m")
-    # the verdict's probe: a NULL between two values, alone in its slice
+    # a NULL between two values, alone in its slice
+    monkeypatch.setattr(scan, "SLICE_ROWS", 1)
     probe = spark.createDataFrame([("k", 1, 5), ("k", 11, None), ("k", 21, 2)], "u string, ts int, v int")
-    got = running_sum(probe, ["u"], ["ts"], "v", "s", F.floor(F.col("ts") / 10), "rows")
+    got = scan.running(probe, ["u"], ["ts"], "v", "s")
     assert rows(got, "ts", "s") == [(1, 5), (11, 5), (21, 7)]
-    got = moving_sum(probe, ["u"], ["ts"], "v", "m", F.floor(F.col("ts") / 10))
+    got = scan.moving_sum(probe, ["u"], ["ts"], "v", "m")
     assert rows(got, "ts", "m") == [(1, 5), (11, 7), (21, 2)]
 
 
-def test_ranking_keeps_nulls(spark):
+def test_ranking_keeps_nulls(spark, monkeypatch):
     from lakemart.operators.ranking import partition_total
     df = _with_nulls(spark)
     for desc in (True, False):
@@ -329,8 +283,9 @@ def test_ranking_keeps_nulls(spark):
         want = df.select("u", "id", "v", F.rank().over(w).alias("rp"), F.dense_rank().over(w).alias("drp"),
                          F.row_number().over(Window.partitionBy("u").orderBy(o, "id")).alias("rmp"))
         cols = ("u", "id", "v", "rp", "drp", "rmp")
-        for bucket in (None, F.floor(F.col("id") / 50)):
-            got = rank_family(df.select("u", "id", "v"), ["u"], "v", desc=desc, tiebreak=["id"], tie_bucket=bucket)
+        for size in (1 << 20, 7):
+            monkeypatch.setattr(scan, "SLICE_ROWS", size)
+            got = rank_family(df.select("u", "id", "v"), ["u"], "v", desc=desc, tiebreak=["id"])
             assert rows(got, *cols) == rows(want, *cols)
         got = rank_family(df.select("u", "id", "v"), ["u"], "v", desc=desc, names=("rp", "drp", None))
         assert rows(got, *cols[:-1]) == rows(want, *cols[:-1])

@@ -12,6 +12,6 @@ NAMES = ("overwrite_static_partition", "overwrite_dynamic_partition", "insert_ap
 @pytest.mark.parametrize("name", NAMES)
 def test_every_order_day_is_a_partition(spark, sf, name):
     days = {r["dt"] for r in D.order_detail(Driver(spark, sf)).select("dt").distinct().collect()}
-    out = E.queries()[f"{name}_orders"](spark, sf)
+    out = E.queries()[name](spark, sf)
     got = {r[0].removeprefix("dt=") for r in out.select("partition" if name == "partition_list" else "dt").distinct().collect()}
     assert got == days and len(days) > 500
