@@ -23,13 +23,14 @@ from .scan import row_number
 
 
 def number_ids(ids: DataFrame, key: str, known: DataFrame | None = None, rows: int | None = None) -> DataFrame:
-    """``key, pos``: a dense number from 0 for each distinct non-NULL id; those in ``known`` keep theirs."""
+    """``key, pos``: a dense number from 0 for each distinct non-NULL id; those in ``known`` keep theirs.  ``rows``: a bound on
+    the rows, where one is known without reading them."""
     new = ids.select(key).where(F.col(key).isNotNull()).distinct()
     after = F.lit(0)
     if known is not None:
         new = new.join(known, key, "left_anti")
         after = F.coalesce(known.agg(F.max("pos") + 1).scalar(), F.lit(0))
-    numbered = row_number(new, [], [key], "pos").select(key, (F.col("pos") - 1 + after).cast("long").alias("pos"))
+    numbered = row_number(new, [], [key], "pos", rows=rows).select(key, (F.col("pos") - 1 + after).cast("long").alias("pos"))
     return numbered if known is None else known.select(key, "pos").unionByName(numbered)
 
 
@@ -84,6 +85,23 @@ def period_counts(state: DataFrame, group: Sequence[str], day: str, periods: Seq
     return wide.select(*group, F.explode(F.array(*rows)).alias("_r")).where((F.col("_r._n") > 0) | F.col("_r.recent_days").isin(*always)).select("_r.recent_days", *group, f"_r.{out}", *[f"_r.{n}" for n in sums])
 
 
+def latest_counts(df: DataFrame, group: Sequence[str], key: str, day: str, periods: Sequence[int], out: str, sums: dict[str, Column],
+                  where: Column | None = None, always: Sequence[int] = (), dt: str = "dt") -> DataFrame:
+    """``period_counts`` straight from the rows, for ids without numbers or for groups that are many and small, where a bitmap
+    would be mostly zeros: the periods all end on ``day``, so the last day of each (group, id) (with ``where``) tells every
+    period that counts it.  One shuffle by (group, id), summed up map-side; no row is fanned out."""
+    lo = {p: add_days(day, -(p - 1)) for p in periods}
+    x = df.where((F.col(dt) >= F.lit(min(lo.values()))) & (F.col(dt) <= F.lit(day)))
+    counted = F.col(key).isNotNull() if where is None else F.col(key).isNotNull() & where
+    per = x.groupBy(*group, key).agg(F.max(dt).alias("_any"), F.max(F.when(counted, F.col(dt))).alias("_last"),
+                                     *[F.sum(F.when(F.col(dt) >= lo[p], c)).alias(f"_{n}{p}") for p in periods for n, c in sums.items()])
+    wide = per.groupBy(*group).agg(F.max("_any").alias("_any"), *[F.count_if(F.col("_last") >= lo[p]).alias(f"_c{p}") for p in periods],
+                                   *[F.sum(f"_{n}{p}").alias(f"_{n}{p}") for p in periods for n in sums])
+    rows = [F.struct(F.lit(p).alias("recent_days"), ((F.col("_any") >= lo[p]) | F.lit(p in always)).alias("_n"), F.col(f"_c{p}").alias(out),
+                     *[F.col(f"_{n}{p}").alias(n) for n in sums]) for p in periods]
+    return wide.select(*group, F.explode(F.array(*rows)).alias("_r")).where("_r._n").select("_r.recent_days", *group, f"_r.{out}", *[f"_r.{n}" for n in sums])
+
+
 def merge(one: DataFrame, other: DataFrame, group: Sequence[str], sums: Sequence[str] = (), dt: str = "dt") -> DataFrame:
     """Two states of the same days as one: bitmaps OR-ed, sums added."""
     return one.unionByName(other).groupBy(dt, *group, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), *[F.sum(s).alias(s) for s in sums])

@@ -127,16 +127,18 @@ class Cut:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, kind: str = "sum", frame: str = "rows",
-            desc: bool = False) -> DataFrame:
+            desc: bool = False, rows: int | None = None) -> DataFrame:
     """``kind(value) over (partition by keys order by order)`` with a ROWS frame (unbounded preceding .. current row) or the
     default RANGE frame, where rows of equal order share the value."""
     if frame == "rows":
-        cut = Cut(df, keys, order, desc)
+        cut = Cut(df, keys, order, desc, rows)
         cut.running(value, out, kind)
         return cut.result()
+    # the peers are fewer than the rows: their number bounds the peers', without aggregating twice
+    rows = df.count() if rows is None else rows
     columns = list(dict.fromkeys([*keys, *order]))
     peers = df.groupBy(*columns).agg(getattr(F, kind)(value).alias("_v"))
-    scanned = running(peers, keys, order, "_v", out, "sum" if kind == "count" else kind, desc=desc).drop("_v")
+    scanned = running(peers, keys, order, "_v", out, "sum" if kind == "count" else kind, desc=desc, rows=rows).drop("_v")
     return null_safe_join(df, scanned, columns)
 
 
@@ -154,9 +156,9 @@ def lead(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, o
     return cut.result()
 
 
-def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, desc: bool = False) -> DataFrame:
+def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, desc: bool = False, rows: int | None = None) -> DataFrame:
     """``row_number() over (partition by keys order by order)``: numbers inside slices and the rows of the slices before."""
-    cut = Cut(df, keys, order, desc)
+    cut = Cut(df, keys, order, desc, rows)
     cut.running(F.lit(1), out, "count")
     return cut.result()
 

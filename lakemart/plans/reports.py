@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import PERIODS
 from ..functions.scalar import MONEY, add_days, ratio
-from ..operators.distinct import day_sets, number_ids, period_counts, with_positions
+from ..operators.distinct import day_sets, latest_counts, period_counts, with_positions
 from ..operators.joins import full_outer_coalesce
 from ..operators.periods import choose_period, fan_out, recent_days
 from ..operators.scan import steps
@@ -27,21 +27,15 @@ def _nd_pick(nd: DataFrame, day: str, stems: list[str]) -> DataFrame:
     return x
 
 
-# J-49 (variant B: mergeable day states)
-def visitor_sets(session_1d: DataFrame, ids: DataFrame) -> DataFrame:
-    """Layer state of J-49: each day's and channel's devices as bitmaps over the dictionary ``ids`` (``mid_id, pos``), with the
-    sums that its averages and rates are made of."""
+# J-49
+def _visit_sums() -> dict:
+    """What the averages and rates of a channel are made of, from 1-day sessions."""
     time, pages = F.col("during_time_1d"), F.col("page_count_1d")
-    return day_sets(with_positions(session_1d, "mid_id", ids), ["channel"], "pos", {
-        "_time": time, "_timed": time.isNotNull().cast("int"), "_pages": pages, "_paged": pages.isNotNull().cast("int"),
-        "_visits": F.lit(1), "_bounced": (pages == 1).cast("int")})
+    return {"_time": time, "_timed": time.isNotNull().cast("int"), "_pages": pages, "_paged": pages.isNotNull().cast("int"),
+            "_visits": F.lit(1), "_bounced": (pages == 1).cast("int")}
 
 
-def traffic_report(state: DataFrame, day: str) -> DataFrame:
-    """The report from the states of the last 30 days: one pass, no row is fanned out, no device shuffled."""
-    sums = {c: c for c in ("_time", "_timed", "_pages", "_paged", "_visits", "_bounced")}
-    x = period_counts(state, ["channel"], day, PERIODS, "uv_count", sums)
-
+def _traffic(x: DataFrame, day: str) -> DataFrame:
     def mean(total, count):  # as avg(): a double, NULL without values
         return F.try_divide(F.col(total).cast("double"), F.col(count))
 
@@ -50,10 +44,26 @@ def traffic_report(state: DataFrame, day: str) -> DataFrame:
                     ratio(F.coalesce("_bounced", F.lit(0)), F.col("_visits")).alias("bounce_rate"))
 
 
-def traffic_by_channel(session_1d: DataFrame, day: str, ids: DataFrame | None = None) -> DataFrame:
-    """Both steps; ``ids``: the devices' dictionary (else made of the sessions themselves)."""
+def visitor_sets(session_1d: DataFrame, ids: DataFrame) -> DataFrame:
+    """Layer state of J-49: each day's and channel's devices as bitmaps over the dictionary ``ids`` (``mid_id, pos``), with the
+    sums."""
+    return day_sets(with_positions(session_1d, "mid_id", ids), ["channel"], "pos", _visit_sums())
+
+
+def traffic_report(state: DataFrame, day: str) -> DataFrame:
+    """The report from the stored states of the last 30 days: one pass, no row is fanned out, no device shuffled."""
+    return _traffic(period_counts(state, ["channel"], day, PERIODS, "uv_count", {c: c for c in _visit_sums()}), day)
+
+
+def traffic_by_channel(session_1d: DataFrame, day: str) -> DataFrame:
+    """Variant B, straight from 1-day sessions: one pass, devices shuffled once."""
+    return _traffic(latest_counts(session_1d, ["channel"], "mid_id", day, PERIODS, "uv_count", _visit_sums()), day)
+
+
+def traffic_by_channel_sets(session_1d: DataFrame, day: str, ids: DataFrame) -> DataFrame:
+    """Variant C, by way of the states that the daily loads keep."""
     x = session_1d.where((F.col("dt") >= add_days(day, -(max(PERIODS) - 1))) & (F.col("dt") <= day))
-    return traffic_report(visitor_sets(x, number_ids(x, "mid_id") if ids is None else ids), day)
+    return traffic_report(visitor_sets(x, ids), day)
 
 
 # J-49 (variant A: one scan per period + union all) — same answer, kept as the equivalence check
@@ -199,33 +209,37 @@ def buyer_sets(t1d: DataFrame, keys: list[str], count: str) -> DataFrame:
 
 
 def _trade_by(orders: DataFrame, refunds: DataFrame, day: str, keys: list[str]) -> DataFrame:
-    """From the two states of the last 30 days: counts and distinct users of 1, 7 and 30 days in one pass each.  A group with
-    rows in the last 30 days has rows for 7 and 30 days, as the n-day tables have; for 1 day only with rows that day."""
-    def side(state, count, users):
-        return period_counts(state, keys, day, PERIODS, users, {count: "_c"}, always=(7, 30))
-
-    j = full_outer_coalesce(side(orders, "order_count", "order_user_count"), side(refunds, "order_refund_count", "order_refund_user_count"),
-                            ["recent_days", *keys])
+    """Counts and distinct users of 1, 7 and 30 days, of orders and of refunds."""
+    j = full_outer_coalesce(orders, refunds, ["recent_days", *keys])
     counts = ["order_count", "order_user_count", "order_refund_count", "order_refund_user_count"]
     return j.select(F.lit(day).alias("dt"), "recent_days", *keys, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts])
 
 
+#: A group with rows in the last 30 days has rows for 7 and 30 days, as the n-day tables have.
+ALWAYS = (7, 30)
+
+
 # J-57
 BRAND = ["tm_id", "tm_name"]
 
 
 def trade_by_brand(orders: DataFrame, refunds: DataFrame, day: str) -> DataFrame:
-    """``orders``, ``refunds``: ``buyer_sets`` by ``BRAND`` of the last 30 days."""
-    return _trade_by(orders, refunds, day, BRAND)
+    """``orders``, ``refunds``: ``buyer_sets`` by ``BRAND`` of the last 30 days (few groups with many users each)."""
+    return _trade_by(period_counts(orders, BRAND, day, PERIODS, "order_user_count", {"order_count": "_c"}, ALWAYS),
+                     period_counts(refunds, BRAND, day, PERIODS, "order_refund_user_count", {"order_refund_count": "_c"}, ALWAYS), day, BRAND)
 
 
 CATE = ["category1_id", "category1_name", "category2_id", "category2_name", "category3_id", "category3_name"]
 
 
 # J-58
-def trade_by_category(orders: DataFrame, refunds: DataFrame, day: str) -> DataFrame:
-    """``orders``, ``refunds``: ``buyer_sets`` by ``CATE`` of the last 30 days."""
-    return _trade_by(orders, refunds, day, CATE)
+def trade_by_category(od1d: DataFrame, rf1d: DataFrame, day: str) -> DataFrame:
+    """From the 1-day rollups: the third category level has many groups of few users, so no bitmaps."""
+    def side(t1d, count, out, users):
+        return latest_counts(t1d, CATE, "user_id", day, PERIODS, users, {out: F.col(count)}, F.col(count) > 0, ALWAYS)
+
+    return _trade_by(side(od1d, "order_count_1d", "order_count", "order_user_count"),
+                     side(rf1d, "order_refund_count_1d", "order_refund_count", "order_refund_user_count"), day, CATE)
 
 
 # J-59

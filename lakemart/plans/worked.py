@@ -141,7 +141,7 @@ def top50_related_rank(video: DataFrame) -> DataFrame:
     j = video.select("videoId", "category").join(rel, "videoId")
     cats = j.select(F.explode("category").alias("category_name"))
     agg = cats.groupBy("category_name").agg(F.count("category_name").alias("num"))
-    return rank_family(agg, [], "num", desc=True, names=("rk", "_d", None)) \
+    return rank_family(agg, [], "num", desc=True, names=("rk", "_d", None), rows=video.count()) \
         .select("category_name", "num", "rk")
 
 

@@ -87,7 +87,8 @@ def q_trade_by_brand(spark, sf):
 @register("rpt_trade_by_category", with_ctes(trade_by_sql(list(P.CATE)), "od1d", "odnd", "rf1d", "rfnd"))
 def q_trade_by_category(spark, sf):
     """J-58: full outer join on 7 keys (recent_days + category path)."""
-    return P.trade_by_category(*buyer_frames(_d(spark, sf), P.CATE), DAY)
+    od1d, _, rf1d, _ = trade_frames(_d(spark, sf))
+    return P.trade_by_category(od1d, rf1d, DAY)
 
 
 @register("rpt_repeat_rate_by_brand", with_ctes(f"""
@@ -189,10 +190,20 @@ from session_1d, (values (1), (7), (30)) v(recent_days)
 where dt >= strftime(date '{TDAY}' - cast(recent_days - 1 as integer), '%Y-%m-%d') and dt <= '{TDAY}'
 group by recent_days, channel""", "session_1d"))
 def q_traffic_by_channel(spark, sf):
-    """J-49 variant B: devices as day bitmaps over a dictionary of the log's devices, OR-ed for 1/7/30 days."""
+    """J-49 variant B: the last day of each (channel, device) tells its periods."""
+    return P.traffic_by_channel(_session_1d(spark, sf), TDAY)
+
+
+@register("rpt_traffic_by_channel_sets", with_ctes(f"""
+select '{TDAY}' dt, recent_days, channel, {CHANNEL_AGGS}
+from session_1d, (values (1), (7), (30)) v(recent_days)
+where dt >= strftime(date '{TDAY}' - cast(recent_days - 1 as integer), '%Y-%m-%d') and dt <= '{TDAY}'
+group by recent_days, channel""", "session_1d"))
+def q_traffic_by_channel_sets(spark, sf):
+    """J-49 by mergeable states: devices as day bitmaps over a dictionary of the log's devices, OR-ed for 1/7/30 days."""
     d = _d(spark, sf)
     devices = D.page_log(d, add_days(TDAY, -29), TDAY).select(F.col("common.mid").alias("mid_id"))
-    return P.traffic_by_channel(_session_1d(spark, sf), TDAY, number_ids(devices, "mid_id"))
+    return P.traffic_by_channel_sets(_session_1d(spark, sf), TDAY, number_ids(devices, "mid_id", rows=d.events.count()))
 
 
 @register("rpt_traffic_by_channel_union", with_ctes(" union all ".join(f"""
