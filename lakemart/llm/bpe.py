@@ -3,8 +3,8 @@
 The words of a batch that are not encoded yet are laid out end to end as symbols.  An index
 maps each pair of neighbouring symbols to all its positions in the layout; a heap holds the
 ranks of the pairs that occur.  The lowest active rank is taken, merged at all its positions
-at once (left to right; a position whose symbols have changed meanwhile is skipped), and the
-lists of the pairs that the merges create are updated.  Words never touch, so the order of
+at once (as one array operation where they are many; a position whose symbols have changed
+meanwhile is skipped), and the lists of the pairs that the merges create are updated.  Words never touch, so the order of
 merges within a word is the usual one: lowest rank first.
 
 Encoded words are kept between batches of a task, those in use longest, up to ``CACHE`` words.  Texts are read whole.
@@ -36,6 +36,8 @@ from .common import small_batches, with_text
 #: Words, and stretches of text without white space, whose encodings a task keeps: as many of
 #: the last ones in use, and as many again of those in use before.
 CACHE = 350_000
+#: Positions from which on a pair is merged at all of them at once.
+MANY = 48
 
 # Fixed values of the file format: the white space of its patterns, small letters, its word
 # pattern, and the printable stand-ins of the 256 bytes.
@@ -71,6 +73,15 @@ def byte_names() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def latin(text: str) -> bool:
+    """Whether all characters are below U+0100 (much faster to tell than to search for others)."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Recent:
     """A bounded map: the last ``size`` entries in use, and the ones before them."""
 
@@ -116,6 +127,10 @@ class WordBPE:
         names = byte_names()
         self.inner = np.array([self.ids.get(n, -1) for n in names])
         self.final = np.array([self.ids.get(n + self.suffix, -1) for n in names])
+        spelled = {i: n.encode() + b" " for i, n in self.names.items()}
+        self.width = np.array([len(spelled.get(i, b"")) for i in range(max(spelled) + 1)])
+        wide = int(self.width.max())
+        self.spelled = np.frombuffer(b"".join(spelled.get(i, b"").ljust(wide) for i in range(max(spelled) + 1)), np.uint8).reshape(-1, wide)
         codes = np.array(self.pair)
         self.order = np.argsort(codes)
         self.codes = codes[self.order]
@@ -133,7 +148,7 @@ class WordBPE:
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # lower() would choose between two forms by position
             text = text.replace("Σ", "σ")
-        if not text.isascii() and self.newer.search(text):
+        if not latin(text) and self.newer.search(text):
             text = text.translate(NEWER)
         return text.lower()
 
@@ -166,8 +181,11 @@ class WordBPE:
         out[np.arange(len(data)) + np.repeat(np.arange(len(raw)), length) + 1] = symbol
         return out
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Symbols of each word after all merges, by one index over all words."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words after all merges, end to end, and each word's bounds in them; by one index over all words.
+
+        A pair with many positions is merged at all of them at once; one with few, position by position (the same arrays,
+        seen as memory views).  Only positions of a pair of two equal symbols can overlap: these go left to right."""
         laid = self.layout(words)
         ends = np.flatnonzero(laid < 0) if len(words) else np.zeros(1, np.int64)
         if len(ends) != len(words) + 1:  # some byte is no symbol of this vocabulary: leave it out
@@ -175,30 +193,61 @@ class WordBPE:
             laid = np.array([-1, *(x for own in known for x in (*own, -1))])
             ends = np.concatenate([[0], np.cumsum([len(own) + 1 for own in known])]).astype(np.int64)
         size = len(laid)
-        code = laid[:-1] << 20 | laid[1:]
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        found_at = np.flatnonzero((self.codes[at] == code) & (laid[:-1] >= 0) & (laid[1:] >= 0))
-        ranks = self.order[at[found_at]]
-        by = np.argsort(ranks, kind="stable")
-        ranks, found_at = ranks[by], found_at[by]
-        cuts = np.flatnonzero(np.diff(ranks)) + 1
-        places: dict[int, list[int]] = {}  # rank of a pair -> all its positions
-        if len(ranks):
-            places = dict(zip(ranks[np.concatenate([[0], cuts])].tolist(), (x.tolist() for x in np.split(found_at, cuts)), strict=True))
-        active = list(places)  # ascending: a heap
-        symbol = laid.tolist()
-        after = list(range(1, size + 1))
-        before = list(range(-1, size - 1))
+        symbols, afters, befores = laid.astype(np.int64), np.arange(1, size + 1), np.arange(-1, size - 1)
+        fresh = np.zeros(size + 1, bool)
+        symbol, after, before = memoryview(symbols), memoryview(afters), memoryview(befores)
+        places: dict[int, list] = {}  # rank of a pair -> all its positions: numbers, and arrays of numbers
         rank, by_rank, pop, push = self.rank.get, self.pair, heapq.heappop, heapq.heappush
+        active: list[int] = []  # a heap of the ranks in the index
+
+        def enter(codes: np.ndarray, at: np.ndarray) -> None:
+            """Put the positions of these pairs into the index."""
+            near = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            own = np.flatnonzero(self.codes[near] == codes)
+            ranks, at = self.order[near[own]], at[own]
+            by = np.argsort(ranks, kind="stable")
+            ranks, at = ranks[by], at[by]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            starts = np.append(0, cuts)[:len(ranks)].tolist()
+            flat = at.tolist()
+            for r, a, z in zip(ranks[starts].tolist(), starts, [*cuts.tolist(), len(flat)], strict=False):
+                if r not in places:
+                    places[r] = []
+                    push(active, r)
+                if z - a < MANY:
+                    places[r].extend(flat[a:z])
+                else:
+                    places[r].append(at[a:z])
+
+        enter(np.where((symbols[:-1] >= 0) & (symbols[1:] >= 0), symbols[:-1] << 20 | symbols[1:], -1), np.arange(size - 1))
         while active:
             lowest = pop(active)
-            positions = places.pop(lowest)
+            held = places.pop(lowest)
             pair = by_rank[lowest]
             left, right = pair >> 20, pair & 0xFFFFF
             merged = rank(pair)[1]
-            if len(positions) > 1:
-                positions.sort()
-            for at in positions:
+            arrays = [x for x in held if type(x) is not int]
+            if left != right and (arrays or len(held) >= MANY):
+                at = np.concatenate([*arrays, np.array([x for x in held if type(x) is int], np.int64)])
+                at = at[(symbols[at] == left) & (symbols[afters[at]] == right)]
+                nxt = afters[at]
+                beyond = afters[nxt]
+                symbols[at], symbols[nxt] = merged, -2
+                afters[at], befores[beyond] = beyond, at
+                fresh[at] = True
+                other = symbols[beyond]
+                prev = befores[at]
+                behind = symbols[prev]
+                from_left = (behind >= 0) & ~fresh[prev]  # a neighbour merged just now has the pair as its own right side
+                fresh[at] = False
+                ahead = other >= 0
+                enter(np.concatenate([merged << 20 | other[ahead], behind[from_left] << 20 | merged]), np.concatenate([at[ahead], prev[from_left]]))
+                continue
+            if arrays:
+                held = [x for x in held if type(x) is int] + [x for a in arrays for x in a.tolist()]
+            if left == right:
+                held.sort()
+            for at in held:
                 nxt = after[at]
                 if symbol[at] != left or symbol[nxt] != right:
                     continue
@@ -220,11 +269,8 @@ class WordBPE:
                     else:
                         places[found[0]] = [prev]
                         push(active, found[0])
-        done = np.array(symbol)
-        keep = np.flatnonzero(done >= 0)
-        cut = np.searchsorted(keep, ends).tolist()
-        flat = done[keep].tolist()
-        return [flat[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        keep = np.flatnonzero(symbols >= 0)
+        return symbols[keep], np.searchsorted(keep, ends)
 
     # -- batches ----------------------------------------------------------------------
 
@@ -237,9 +283,15 @@ class WordBPE:
         plain = [p for p in missing if p not in split and p not in self.special]
         plain += self.kept.get(parts - got.keys() - set(plain), got)
         fresh = {p: (struct.pack("<I", self.special[p]), p.encode()) for p in missing if p in self.special}
-        names = self.names
-        for w, ids in zip(plain, self.merge(plain), strict=True):
-            fresh[w] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids]).encode())
+        ids, cuts = self.merge(plain)
+        codes, text = ids.astype("<u4").tobytes(), self.spelled[ids]
+        size = self.width[ids]
+        # every name and a space, end to end; a word's ends before its last space
+        text = text[np.arange(text.shape[1]) < size[:, None]].tobytes()
+        upto = np.concatenate([[0], np.cumsum(size)])[cuts].tolist()
+        cuts = (4 * cuts).tolist()
+        for w, a, z, b, y in zip(plain, cuts, cuts[1:], upto, upto[1:], strict=False):
+            fresh[w] = (codes[a:z], text[b:y - 1] if y > b else b"")
         got |= fresh
         for p, own in split.items():
             both = [got[w] for w in own]
