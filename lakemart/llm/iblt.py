@@ -260,14 +260,13 @@ def successors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         cut, place = lambda df: df, F.when(F.col("id").isNull(), 0).otherwise(1)
     heads = {r["range"]: r["top"] for r in cut(ids).select(place.alias("range"), "id").groupBy("range").agg(F.max("id").alias("top")).collect()}
     ranges = sorted(heads)
-    ghost = F.lit(None).cast("int")
-    for k, r in enumerate(ranges):  # a range's first row follows the last row of the next higher range
-        above = ranges[(k + 1) % len(ranges)]
-        own = F.col("id").isNull() if heads[r] is None else F.col("id") == F.lit(heads[r])
-        ghost = F.when(own, F.lit(above)).otherwise(ghost)
-    dealt = cut(x.withColumn("key", F.col("id").cast("double"))).select(
-        "id", "text", F.explode(F.array(F.struct(place.alias("range"), F.lit(0).alias("ghost")),
-                                        F.struct(ghost.alias("range"), F.lit(1).alias("ghost")))).alias("p")) \
+    # a range's first row follows the last row of the next higher range: a row a range, joined by the id
+    kind = docs.schema[id_col].dataType.simpleString()
+    follows = [(heads[r], ranges[(k + 1) % len(ranges)]) for k, r in enumerate(ranges)]
+    firsts = F.broadcast(spark.createDataFrame(follows, f"top {kind}, above int"))  # as many rows as ranges
+    placed = cut(x.withColumn("key", F.col("id").cast("double"))).withColumn("range", place).select("id", "text", "range")
+    placed = placed.join(firsts, F.col("id").eqNullSafe(F.col("top")), "left")
+    dealt = placed.select("id", "text", F.explode(F.array(F.struct("range", F.lit(0).alias("ghost")), F.struct(F.col("above").alias("range"), F.lit(1).alias("ghost")))).alias("p")) \
         .select("id", "text", F.col("p.range").alias("range"), F.col("p.ghost").alias("ghost")).where("range is not null")
     return dealt.repartitionById(len(bounds) + 3, F.col("range")) \
         .sortWithinPartitions("range", "ghost", F.col("id").desc_nulls_last(), "text").select("id", "text", "ghost")

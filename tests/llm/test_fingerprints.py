@@ -46,3 +46,19 @@ def test_query_against_brute_force(spark):
     assert iblt.fingerprints(empty(spark)).collect() == []
     one = iblt.fingerprints(documents(spark, ROWS[:1])).collect()  # follows itself
     assert len(one) == 1 and one[0]["near_next"] == 1
+
+
+def test_many_partitions(spark):
+    """As many ranges as a large cluster has partitions: the plan doesn't grow with them."""
+    rows = [(k, f"text {k} of a row", None, None) for k in range(3000)] + [(None, "no id", None, None)]
+    x = documents(spark, rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = sorted((tuple(r)[:4] for r in iblt.fingerprints(x).select("doc_id", "n_chars", "edited_sha256", "near_next").collect()), key=str)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1000")
+        many = iblt.fingerprints(x).select("doc_id", "n_chars", "edited_sha256", "near_next")
+        assert len(many._jdf.queryExecution().optimizedPlan().toString()) < 20000
+        got = sorted((tuple(r) for r in many.coalesce(8).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
