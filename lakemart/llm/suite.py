@@ -155,33 +155,38 @@ fits AS (
   FROM p JOIN listed ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
 x AS (
   SELECT p.*, f.rule, f.verdict AS known,
-         list_distinct(list_transform(regexp_extract_all(host, '[a-z0-9-]+'), lambda t: 'h:' || t)
+         list_sort(list_distinct(list_transform(regexp_extract_all(host, '[a-z0-9-]+'), lambda t: 'h:' || t)
            || list_transform(list_filter(regexp_extract_all(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+'),
                                          lambda t: regexp_matches(t, '[a-z]')), lambda t: 'p:' || t)
-           || list_transform(regexp_extract_all(query, '([a-z0-9_]+)=', 1), lambda t: 'q:' || t)) AS tokens
+           || list_transform(regexp_extract_all(query, '([a-z0-9_]+)=', 1), lambda t: 'q:' || t))) AS tokens
   FROM p LEFT JOIN fits f ON f.r = p.r AND f.k = 1),
 labelled AS (
   SELECT row_number() OVER () AS t, tokens,
          coalesce(known, CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 'block' ELSE 'allow' END) AS label
   FROM x JOIN labels ON page_id = doc_id),
-least AS (SELECT ceil(0.01 * count(*)) AS n FROM labelled),
-one AS (SELECT t, label, unnest(tokens) AS a FROM labelled),
-held AS (
-  SELECT t, label, a, NULL AS b FROM one
-  UNION ALL SELECT x.t, x.label, x.a, y.a FROM one x JOIN one y ON x.t = y.t AND x.a < y.a),
-total AS (SELECT a, b, count(*) AS n FROM held GROUP BY a, b),
+least AS (SELECT greatest(3, ceil(0.0005 * count(*))) AS n FROM labelled),
+every AS (
+  SELECT t, label, array_to_string(list_filter(tokens, lambda k, i: ((m >> (i - 1)) & 1) = 1), ' ') AS ante
+  FROM (SELECT t, label, tokens, unnest(range(1, 1 << len(tokens))) AS m FROM labelled)),
+total AS (SELECT ante, count(*) AS n FROM every GROUP BY ante),
 mined AS (
-  SELECT h.a, h.b, h.label, count(*) AS support, count(*) / any_value(total.n) AS confidence
-  FROM held h JOIN total ON h.a = total.a AND h.b IS NOT DISTINCT FROM total.b
-  GROUP BY h.a, h.b, h.label
-  HAVING count(*) >= (SELECT n FROM least) AND count(*) / any_value(total.n) >= 0.6),
-open AS (SELECT r, tokens FROM x WHERE known IS NULL),
-best AS (
-  SELECT r, label, confidence, concat_ws(' ', a, b) AS mined,
-         row_number() OVER (PARTITION BY r ORDER BY b IS NULL, confidence DESC, support DESC, label = 'allow', concat_ws(' ', a, b)) AS k
-  FROM (SELECT r, tokens, unnest(tokens) AS tok FROM open) o JOIN mined ON o.tok = mined.a AND (b IS NULL OR list_contains(tokens, b)))
+  SELECT ante, label, support, p AS confidence
+  FROM (SELECT every.ante, label, count(*) AS support, any_value(total.n) AS n, count(*) / any_value(total.n) AS p
+        FROM every JOIN total USING (ante) GROUP BY every.ante, label)
+  WHERE support >= (SELECT n FROM least)
+    AND (p + 1.2816 * 1.2816 / 2 / n - 1.2816 * sqrt((p * (1 - p) + 1.2816 * 1.2816 / 4 / n) / n)) / (1 + 1.2816 * 1.2816 / n) >= 0.6),
+open AS (SELECT row_number() OVER () AS s, tokens FROM (SELECT DISTINCT tokens FROM x WHERE known IS NULL)),
+held AS (
+  SELECT s, len(own) AS size, array_to_string(own, ' ') AS ante
+  FROM (SELECT s, list_filter(tokens, lambda k, i: ((m >> (i - 1)) & 1) = 1) AS own
+        FROM (SELECT s, tokens, unnest(range(1, 1 << len(tokens))) AS m FROM open))),
+ranked AS (
+  SELECT s, label, confidence, ante AS mined,
+         row_number() OVER (PARTITION BY s ORDER BY size DESC, confidence DESC, support DESC, label = 'allow', ante) AS k
+  FROM held JOIN mined USING (ante)),
+best AS (SELECT open.tokens, label, confidence, mined FROM ranked JOIN open USING (s) WHERE k = 1)
 SELECT x.page_id, x.host, x.path, x.rule, coalesce(x.known, best.label, 'allow') AS verdict, best.mined, best.confidence
-FROM x LEFT JOIN best ON best.r = x.r AND best.k = 1
+FROM x LEFT JOIN best ON x.known IS NULL AND best.tokens = x.tokens
 """
 
 
@@ -191,13 +196,6 @@ def op2(spark, sf_dir):
     return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-@register("url_rules_whole")
-def url_rules_whole(spark, sf_dir):
-    """op2 with rules of every size and of rare sets, which its SQL does not state."""
-    from . import urlrules
-    return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), whole=True)
-
-
 @register("op8_licenses")
 def op8(spark, sf_dir):
     from . import licenses

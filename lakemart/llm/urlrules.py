@@ -9,18 +9,18 @@ fitting rule decides.
 For all other URLs rules are mined.  A URL's tokens are the labels of its host, the words of
 its path that hold a letter, and the keys of its query.  Labelled URLs (a listed rule's
 verdict, else a bad label of the page: block; a good one: allow) are mined by FP-growth for
-frequent token sets; a set of up to ``TOKENS`` tokens becomes a rule for a verdict if at least
-``SUPPORT`` of the labelled URLs hold both and at least ``CONFIDENCE`` of those that hold the
-set have the verdict.  Rules are matched through an inverted index: each is listed under its
-rarest token, looked up by the tokens of the distinct token sets, and checked for its others.
-Of the matching rules the one with most tokens decides, then confidence, support, block before
-allow, and tokens in order; without any the verdict is allow.
-
-``judge(whole=True)`` mines rules of every size and of rare sets: a set of tokens is a rule where at
-least ``LEAST`` labelled URLs hold it with the verdict and the lower end of the confidence's Wilson
-interval (``Z``) is at least ``BOUND``, which guards small counts.  Tokens that the same labelled token
-sets hold count as one item: a set's support and confidence hang on the items alone, so nothing is
-lost, and copies of a long URL give one set, not one for each choice of its tokens.
+token sets of every size.  A set is a rule for a verdict where at least ``least_of`` labelled URLs
+(``LEAST``, and ``SHARE`` of all) hold it with the verdict and the lower end of the confidence's
+Wilson interval (``Z``) is at least ``BOUND``, which guards small counts.  Tokens that the same
+labelled token sets hold count as one item: a set's support and confidence hang on the items
+alone, so nothing is lost, and copies of a long URL give one set, not one for each choice of its
+tokens.  ``SHARE`` bounds what the miner gathers on the driver: at most tokens a URL / ``SHARE``
+frequent items, whatever the number of pages.
+
+Rules are matched through an inverted index: each is listed under its rarest item, looked up by
+the items of the distinct token sets, and checked for its others.  Of the matching rules the one
+with most tokens decides, then confidence, support, block before allow, and tokens in order;
+without any the verdict is allow.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no tokens, and
 is allowed; labels of unknown pages are not used, several labels of a page each count; repeated
@@ -30,6 +30,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -39,8 +40,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-SUPPORT, CONFIDENCE, TOKENS = 0.01, 0.6, 2
-LEAST, BOUND, Z = 3, 0.6, 1.2816
+LEAST, SHARE, BOUND, Z = 3, 0.0005, 0.6, 1.2816
 
 
 def lower(x: Column) -> Column:
@@ -74,33 +74,6 @@ def tokens() -> Column:
     return F.array_sort(F.array_distinct(F.concat(host, path, keys)))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = TOKENS) -> DataFrame:
-    """Rules (``ante`` array, ``verdict``, ``support`` count, ``confidence``, ``anchor``) from
-    rows of ``tokens`` and ``label``."""
-    held = labelled.select(F.array_append("tokens", F.concat(F.lit("="), F.col("label"))).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(held).freqItemsets
-    own = F.filter("items", lambda x: x.startswith("="))
-    sets = sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("="))).alias("ante"), own.alias("label"), "freq") \
-        .where((F.size("ante").between(1, most)) & (F.size("label") <= 1))
-    alone = sets.where(F.size("label") == 0).select("ante", F.col("freq").alias("all"))
-    rules = sets.where(F.size("label") == 1).join(alone, "ante").withColumn("confidence", F.col("freq") / F.col("all")) \
-        .where(F.col("confidence") >= confidence)
-    # the inverted index: a rule stands under the rarest of its tokens
-    single = alone.where(F.size("ante") == 1).select(F.col("ante")[0].alias("token"), F.col("all").alias("n"))
-    rarest = rules.select("ante", "label", F.explode("ante").alias("token")).join(single, "token") \
-        .groupBy("ante", "label").agg(F.min(F.struct("n", "token")).alias("r"))
-    return rules.join(rarest, ["ante", "label"]).select(
-        "ante", F.substring(F.col("label")[0], 2, 20).alias("verdict"), F.col("freq").alias("support"), "confidence", F.col("r.token").alias("anchor"))
-
-
-def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """For each distinct ``tokens`` array the rule that decides: ``mined`` (its tokens, joined by
-    spaces), ``verdict`` and ``confidence``."""
-    found = sets.select("tokens", F.explode("tokens").alias("anchor")).join(rules, "anchor") \
-        .where(F.size(F.array_except("ante", "tokens")) == 0)
-    return match_best(found)
-
-
 def match_best(found: DataFrame) -> DataFrame:
     """Of the rules found for each ``tokens`` array the one that decides."""
     rank = F.struct((-F.size("ante")).alias("size"), (-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"),
@@ -117,7 +90,12 @@ def token_items(labelled: DataFrame) -> DataFrame:
     return same.select("token", F.concat_ws(".", "n", F.hex("a"), F.hex("b")).alias("item"))
 
 
-def mine_whole(labelled: DataFrame, items: DataFrame, least: int = LEAST, bound: float = BOUND) -> DataFrame:
+def least_of(labelled: int) -> int:
+    """Labelled URLs that must hold a rule's set with its verdict."""
+    return max(LEAST, math.ceil(SHARE * labelled))
+
+
+def mine(labelled: DataFrame, items: DataFrame, bound: float = BOUND) -> DataFrame:
     """Rules of every size (``ante`` array of items, ``verdict``, ``support`` count, ``confidence``,
     ``anchor``) from rows of ``tokens`` and ``label``."""
     sets = labelled.select("tokens").distinct()
@@ -125,8 +103,8 @@ def mine_whole(labelled: DataFrame, items: DataFrame, least: int = LEAST, bound:
         .groupBy("tokens").agg(F.collect_set("item").alias("own"))
     held = staged(labelled.join(named, "tokens").select(F.array_append("own", F.concat(F.lit("="), F.col("label"))).alias("items")), "url-items")
     n = max(held.count(), 1)
-    # half a URL less: the miner rounds support x count up, to ``least`` itself
-    sets = FPGrowth(itemsCol="items", minSupport=min((least - 0.5) / n, 1.0), minConfidence=bound).fit(held).freqItemsets
+    # half a URL less: the miner rounds support x count up, to the number itself
+    sets = FPGrowth(itemsCol="items", minSupport=min((least_of(n) - 0.5) / n, 1.0), minConfidence=bound).fit(held).freqItemsets
     sets = staged(sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("="))).alias("ante"),
                               F.filter("items", lambda x: x.startswith("=")).alias("label"), "freq")
                   .where((F.size("ante") >= 1) & (F.size("label") <= 1)), "url-sets")
@@ -139,8 +117,9 @@ def mine_whole(labelled: DataFrame, items: DataFrame, least: int = LEAST, bound:
     return good.select("ante", F.substring(F.col("label")[0], 2, 20).alias("verdict"), F.col("freq").alias("support"), "confidence", anchor.alias("anchor"))
 
 
-def match_whole(sets: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
-    """``match`` for rules of items: a rule's tokens in a URL are all that the URL has of its items."""
+def match(sets: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
+    """For each distinct ``tokens`` array the rule that decides: ``mined`` (its tokens, joined by spaces), ``verdict`` and
+    ``confidence``.  A rule's tokens in a URL are all that the URL has of its items."""
     own = sets.select("tokens", F.explode("tokens").alias("token")).join(items, "token") \
         .groupBy("tokens").agg(F.collect_list(F.struct("item", "token")).alias("own"))
     own = own.withColumn("held", F.array_distinct(F.transform("own", lambda x: x["item"])))
@@ -150,9 +129,9 @@ def match_whole(sets: DataFrame, items: DataFrame, rules: DataFrame) -> DataFram
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
-          label_id: str = "doc_id", whole: bool = False) -> DataFrame:
+          label_id: str = "doc_id") -> DataFrame:
     """Every page's host, path, listed ``rule``, ``verdict``, and where no rule is listed the
-    ``mined`` one and its ``confidence``; ``whole``: mined rules of every size and of rare sets."""
+    ``mined`` one and its ``confidence``."""
     x = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     x = x.select("id", *[F.coalesce(v, F.lit("")).alias(k) for k, v in parts(F.col("url")).items()])
     x = x.select("id", "host", "path", listed(rules).alias("l"), tokens().alias("tokens"))
@@ -161,12 +140,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     labelled = x.join(known, "id").select("tokens", F.coalesce("l.verdict", "label").alias("label"))
     # written: the join with the pages then has a side of its own, which is broadcast or, by size, split where it is skewed
     open_sets = x.where("l is null").select("tokens").distinct()
-    if whole:
-        labelled = staged(labelled, "url-labelled")
-        items = staged(token_items(labelled), "url-token-items")
-        found = match_whole(open_sets, items, mine_whole(labelled, items))
-    else:
-        found = match(open_sets, mine(labelled))
+    labelled = staged(labelled, "url-labelled")
+    items = staged(token_items(labelled), "url-token-items")
+    found = match(open_sets, items, mine(labelled, items))
     found = staged(found, "url-verdicts")
     open_ = x.where("l is null").join(found, "tokens", "left").select(
         "id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"), "mined", "confidence")

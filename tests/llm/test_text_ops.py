@@ -154,7 +154,7 @@ def test_mined_rules_decide(spark):
         labels.append((k, int(not bad), 0))
     got = urlrules.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")).collect()
     assert all((r["verdict"] == "block") == (labels[r["page_id"]][1] == 0) for r in got)
-    assert all(r["mined"] and r["confidence"] >= urlrules.CONFIDENCE for r in got)
+    assert all(r["mined"] and r["confidence"] >= urlrules.BOUND for r in got)
 
 
 def test_longest_increasing():
