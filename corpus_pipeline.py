@@ -7,9 +7,16 @@ so a lost executor costs at most one stage's tasks.
 * quality: documents that the classifier (fitted on the labelled ones among them) rejects go;
 * line_dedup: repeated multi-line chunks are cut out of the texts, ``n_chars`` follows;
 * near_duplicates: of the documents that links (five-word n-grams, Jaccard 0.8) connect, the
-  one with the smallest id stays;
+  one with the smallest id stays (a null id comes after all others; of rows of one id, one);
 * decontamination: documents that hold ten consecutive words of a benchmark item go;
 * encoding: the texts' token ids, with digests of ids and decoded text.
+
+Defined results: every decision is a row's own, whatever its id: rows with a null id or with the
+id of another row are scored, cut, linked and matched by their own text.  Repeated rows are near
+duplicates of one another, so one stays; without words they link with nothing and stay, with no
+tokens.  A null text counts as an empty one and is returned as it is by all stages but line_dedup,
+which returns the empty text.  Other columns are dropped by the first stage.  An empty table gives
+an empty one (without labels the classifier rejects nothing).
 """
 
 from __future__ import annotations
@@ -40,16 +47,28 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _by_row(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a number of each row's own, written, so that it stays the same: decisions go by row, not by an id
+    that may be null or repeated."""
+    return staged(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), name)
+
+
+def _without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    return rows.join(staged(gone.select("row"), name), "row", "left_anti").select(*COLUMNS)
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = sigtree.join(docs, n=WORDS, num=SIMILAR, den=100)
-    others = staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _by_row(docs, "near_duplicate_rows")
+    groups = sigtree.join(rows, n=WORDS, num=SIMILAR, den=100, id_col="row").join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    kept = groups.groupBy("component_id").agg(first.alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", "kept")
+    return _without(rows, groups.join(kept, "component_id").where("row <> kept"), "duplicates")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    hit = staged(found.where("n_hit > 0").select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _by_row(docs, "decontamination_rows")
+    found = decontam.contamination(rows, _table(spark, sf_dir, "benchmark"), id_col="row")
+    return _without(rows, found.where("n_hit > 0"), "contaminated")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
