@@ -1,0 +1,82 @@
+"""Pipeline stages on null and repeated ids, repeated rows, null and empty texts, other columns and empty tables."""
+
+import pytest
+
+import corpus_pipeline as P
+
+from .cases import documents, empty, prose
+
+COLUMNS = P.COLUMNS
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Labels and a benchmark of their own."""
+    base = str(tmp_path_factory.mktemp("tables"))
+    good = [(k, prose(k, 60)) for k in range(40)]
+    bad = [(100 + k, "!!! $$$ buy buy 1234 " * 12 + f"x{k}") for k in range(40)]
+    spark.createDataFrame([(i, int(i < 100), 0) for i, _ in good + bad], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(prose(77, 40).split()[5:20]))], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    return base, [(i, t, "en", "a") for i, t in good + bad]
+
+
+def run(spark, stage, rows, base):
+    docs = documents(spark, rows)
+    out = dict(P.STAGES)[stage](spark, docs, base)
+    if stage != "encoding":
+        assert out.columns == COLUMNS
+    return out.collect()
+
+
+def key(r):
+    return (r["doc_id"], r["text"])
+
+
+def test_near_duplicates_go_by_row(spark, tables):
+    one, two = prose(1, 80), prose(2, 80)
+    rows = [(5, one, "en", "a"), (5, one, "en", "a"),  # a repeated row: one stays
+            (None, one, "en", "a"),  # a copy without an id: goes, the smallest id stays
+            (7, two, "en", "a"), (7, prose(3, 80), "en", "a"),  # one id, two texts: both stay
+            (None, prose(4, 80), "en", "a"),  # no id, no copy: stays
+            (8, None, None, None), (8, None, None, None), (9, "", "en", "a")]  # without words: stay
+    got = run(spark, "near_duplicates", rows, tables[0])
+    assert sorted(map(key, got), key=str) == sorted([(5, one), (7, two), (7, prose(3, 80)), (None, prose(4, 80)), (8, None), (8, None), (9, "")], key=str)
+
+
+def test_decontamination_goes_by_row(spark, tables):
+    dirty, clean = prose(77, 40), prose(6, 60)
+    rows = [(1, dirty, "en", "a"), (1, clean, "en", "a"), (None, dirty, "en", "a"), (None, clean, "en", "a"), (2, clean, "en", "a"), (2, clean, "en", "a"), (3, None, None, None)]
+    got = run(spark, "decontamination", rows, tables[0])
+    assert sorted(map(key, got), key=str) == sorted([(1, clean), (None, clean), (2, clean), (2, clean), (3, None)], key=str)
+
+
+def test_quality_keeps_rows_of_any_id(spark, tables):
+    base, known = tables
+    rows = [*known, (None, known[0][1], "en", "a"), (0, known[0][1], "en", "a"), (None, known[60][1], "en", "a"), (900, None, None, None)]
+    got = [key(r) for r in run(spark, "quality", rows, base)]
+    assert got.count((None, known[0][1])) == 1 and got.count((0, known[0][1])) == 2 and (None, known[60][1]) not in got
+    assert all(t == next(x[1] for x in rows if x[0] == i and x[1] == t) for i, t in got)
+
+
+def test_line_dedup_and_encoding_keep_all_rows(spark, tables):
+    rows = [(1, prose(1, 40), "en", "a"), (1, prose(1, 40), "en", "a"), (None, prose(2, 40), "en", "a"), (2, None, None, None), (3, "", "en", "a")]
+    got = run(spark, "line_dedup", rows, tables[0])
+    assert len(got) == 5 and all(r["text"] is not None and r["n_chars"] == len(r["text"]) for r in got)
+    got = run(spark, "encoding", rows, tables[0])
+    assert len(got) == 5 and sorted(r["n_tokens"] > 0 for r in got) == [False, False, True, True, True]
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in P.STAGES])
+def test_empty_table(spark, tables, stage):
+    docs = empty(spark)
+    assert dict(P.STAGES)[stage](spark, docs, tables[0]).collect() == []
+
+
+def test_run_is_written_stage_by_stage(spark, tables, tmp_path):
+    base, known = tables
+    import shutil
+    for t in ("labels", "benchmark"):
+        shutil.copytree(f"{base}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    documents(spark, [*known, (500, prose(77, 40), "en", "a"), (None, None, None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()}
+    assert 500 not in got and 0 in got and 100 not in got
