@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
 
@@ -55,11 +56,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and staged writes.
 
     The cluster's ``spark.checkpoint.dir`` wins.  Only where it is unset is one chosen, the
-    same way in every mode: a folder under the warehouse location, which driver and
-    executors share."""
+    same way in every mode: a folder under the warehouse location.  On a cluster that must be in a
+    store that driver and executors share; a local path there is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lakemart_checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local" and urlparse(warehouse).scheme in ("", "file"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is on one machine's disk")
+        d = warehouse.rstrip("/") + "/_lakemart_checkpoints"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -117,3 +117,22 @@ def test_bucketed_state_joins_without_exchange(spark):
     assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString() and both.count() == 100
     for t in ("20240101", "20240102", "20240102_inc"):
         K.drop_table(spark, f"lakemart_test_state_{t}")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """Staged tables never go to one machine's disk."""
+    from types import SimpleNamespace
+
+    from lakemart.session import checkpoint_dir
+
+    def session(master, warehouse, own=None):
+        conf = {"spark.sql.warehouse.dir": warehouse, "spark.checkpoint.dir": own}
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: conf.get(k) or default), sparkContext=context)
+
+    assert checkpoint_dir(session("local[4]", "/w")) == "/w/_lakemart_checkpoints"
+    assert checkpoint_dir(session("yarn", "hdfs://n/w")) == "hdfs://n/w/_lakemart_checkpoints"
+    assert checkpoint_dir(session("yarn", "/w", "hdfs://n/c")) == "hdfs://n/c"
+    for master, warehouse in (("yarn", "/w"), ("spark://h:7077", "file:/w"), ("local-cluster[2,1,512]", "/w")):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_dir(session(master, warehouse))
