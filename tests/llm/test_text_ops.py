@@ -229,6 +229,6 @@ def test_pipeline_stages(spark):
 
 def test_every_operator_is_registered():
     q = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert "pipeline" in q and corpus_pipeline.ORACLE_SQL is None
