@@ -51,18 +51,38 @@ dw AS (
   FROM places CROSS JOIN sizes WHERE p + n - 1 <= len(w)),
 hits AS (SELECT dw.r, dw.p, dw.n, bw.item FROM dw JOIN bw USING (gram, n)),
 words AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
-own AS (SELECT r, string_agg(item, ',' ORDER BY item) AS ids, count(*) AS n FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+own AS (SELECT r, string_agg(item, ',' ORDER BY item) AS ids, count(*) AS n FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r),
+-- proximity: all words of a window within 15 words, in any order
+spots AS (SELECT r, p, w[p] AS t FROM places),
+wt AS (SELECT DISTINCT gram, unnest(string_split(gram, ' ')) AS t FROM bw),
+often AS (SELECT t, count(*) AS f FROM spots GROUP BY t),
+rare AS (SELECT gram, count(*) AS k, arg_min(wt.t, (coalesce(f, 0), wt.t)) AS t FROM wt LEFT JOIN often USING (t) GROUP BY gram),
+around AS (
+  SELECT DISTINCT rare.gram, rare.k, a.r, b.p, b.t
+  FROM rare JOIN spots a USING (t) JOIN spots b ON b.r = a.r AND b.p BETWEEN a.p - 14 AND a.p + 14
+  JOIN wt ON wt.gram = rare.gram AND wt.t = b.t),
+nexts AS (
+  SELECT s.gram, s.k, s.r, s.p, e.t, min(e.p) AS q
+  FROM around s JOIN around e ON e.gram = s.gram AND e.r = s.r AND e.p BETWEEN s.p AND s.p + 14
+  GROUP BY ALL),
+near AS (SELECT gram, r, p, max(q) AS q FROM nexts GROUP BY gram, r, p, k HAVING count(*) = k),
+near_words AS (SELECT r, count(DISTINCT x) AS n_near FROM (SELECT r, unnest(range(p, q + 1)) AS x FROM near) GROUP BY r),
+near_own AS (
+  SELECT r, string_agg(item, ',' ORDER BY item) AS ids, count(*) AS n
+  FROM (SELECT DISTINCT r, item FROM near JOIN bw USING (gram)) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(own.n, 0) AS BIGINT) AS n_items, sha256(coalesce(own.ids, '')) AS items_sha256,
-       coalesce(words.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN own USING (r)
+       coalesce(words.n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(near_words.n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(near_own.n, 0) AS BIGINT) AS n_near_items,
+       sha256(coalesce(near_own.ids, '')) AS near_items_sha256
+FROM d LEFT JOIN words USING (r) LEFT JOIN own USING (r) LEFT JOIN near_words USING (r) LEFT JOIN near_own USING (r)
 """
 
 
 @register("op10_decontamination", OP10_SQL)
 def op10(spark, sf_dir):
     from . import decontam
-    return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontam.digest(decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), proximity=decontam.NEAR))
 
 
 @register("op4_bpe")

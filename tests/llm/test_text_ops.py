@@ -56,6 +56,29 @@ def brute_hits(text, windows):
     return len(words), len(inside)
 
 
+def word_windows(text, window=10):
+    k = decontam.Words(pa.array([text or ""], pa.string()), decontam.WORD).key.tolist()
+    return [k[j:j + window] for j in range(max(1, len(k) - window + 1) if k else 0)]
+
+
+def brute_near(text, windows, span):
+    """Words in spans that start at a window's word and hold all its words, by a plain loop."""
+    words = decontam.Words(pa.array([text or ""], pa.string()), decontam.WORD).key.tolist()
+    inside, held = set(), set()
+    for item, w in windows:
+        need = set(w)
+        for s in range(len(words)):
+            if words[s] in need:
+                seen = set()
+                for e in range(s, min(s + span, len(words))):
+                    seen.add(words[e])
+                    if need <= seen:
+                        inside |= set(range(s, e + 1))
+                        held.add(item)
+                        break
+    return len(inside), sorted(map(str, held))
+
+
 def test_contamination_edge_cases(spark, monkeypatch):
     long = ROWS[6][1]
     items = [(1, " ".join(long.split()[500:512])), (2, None), (3, ""), (4, "one"), (4, "one"), (5, "a B"), (6, prose(99, 30))]
@@ -67,7 +90,7 @@ def test_contamination_edge_cases(spark, monkeypatch):
     want = sorted((str(i), *brute_hits(t, windows)) for i, t, *_ in ROWS)
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in found) == want
     assert {r["doc_id"]: r["items"] for r in found}[9] == ["5"] and {r["doc_id"]: r["items"] for r in found}[8] == ["4"]
-    monkeypatch.setattr(decontam, "ITEM_BYTES", 40)  # several blocks of items give the same
+    monkeypatch.setattr(decontam, "TERM_BITS", 8)  # a full map of terms gives the same
     again = decontam.contamination(documents(spark), x).collect()
     key = lambda r: (str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"], [tuple(s) for s in r["spans"]])
     assert sorted(map(key, again)) == sorted(map(key, found))
@@ -82,6 +105,29 @@ def test_proximity(spark):
     assert got == {1: 5, 2: 3, 3: 0}
 
 
+@pytest.mark.parametrize("span", [4, 15])
+def test_exact_and_near_matches_against_brute_force(spark, span):
+    rows = [r for r in ROWS if len(r[1] or "") < 20_000]
+    told = [r[1] for r in rows if r[1] and len(r[1].split()) > 40]
+    texts = [" ".join(told[0].split()[9:23][::-1]), " ".join(told[-1].split()[30:38] + ["no", "such"]), "the the of", "one", "A b", None, "",
+             " ".join(told[1].split()[3:16]), "one"]
+    items = [(k % 8, t) for k, t in enumerate(texts)] + [(None, "b a")]
+    windows = [(i, w) for i, t in items for w in word_windows(t)]
+    found = decontam.matches(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), proximity=span).collect()
+    want = []
+    for i, t, *_ in rows:
+        n, hit = brute_hits(t, [w for _, w in windows])
+        near, held = brute_near(t, [(k, w) for k, w in windows if k is not None], span)
+        near = brute_near(t, windows, span)[0]
+        want.append((str(i), n, hit, near, held))
+    got = [(str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_near"], r["near_items"]) for r in found]
+    assert sorted(got) == sorted(want)
+    assert any(r["n_hit"] for r in found) and (span < 10 or any(r["n_near"] > r["n_hit"] for r in found))
+    for r in found:
+        for column, n in (("spans", "n_hit"), ("near_spans", "n_near")):
+            assert len({k for a, b in r[column] for k in range(a, b)}) == r[n]
+
+
 def brute_chunks(rows):
     """Texts with repeated chunks removed, by a plain loop."""
     import hashlib
@@ -219,8 +265,7 @@ def test_pipeline_stages(spark):
     want = {i for i, _, c in brute([(r["doc_id"], r["text"]) for r in before], 5, 80, 100) if i == c}
     assert {r["doc_id"] for r in after} == want
     before, after = held["decontamination"]
-    items = decontam.item_windows([(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()], 10)
-    windows = [items[0][p].tolist() for p, _ in items[1]]
+    windows = [windowed for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for windowed in word_windows(r["text"])]
     assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before if not brute_hits(r["text"], windows)[1]}
     before, after = held["encoding"]
     assert {r["doc_id"]: r["n_tokens"] for r in after}.keys() == {r["doc_id"] for r in before}
