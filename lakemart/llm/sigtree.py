@@ -198,9 +198,10 @@ def routes(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> D
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], knot, knot]).view(np.int64)),
                                               pa.array(np.concatenate([ids[doc[first]], ties[:, 0], ties[:, 1]]))], names=["key", "id"])
 
-    keys = docs.where("id is not null").mapInArrow(run, "key long, id long")
-    least = F.expr("min(id) over (partition by key)")
-    return keys.select("id", least.alias("a")).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    keys = staged(docs.where("id is not null").mapInArrow(run, "key long, id long"), "keys")
+    # the least id of a key is found in the map tasks; the rows of a key that many documents hold are joined to it in parts
+    least = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
+    return keys.join(least, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 class Tree:
