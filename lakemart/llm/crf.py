@@ -69,12 +69,41 @@ class Block:
         by = np.argsort(-own_length, kind="stable")
         self.at, self.length = at[by], own_length[by]
 
+    def parts(self, most: int):
+        """The block in pieces of whole chains with at most about ``most`` words: each as the
+        range of its words and a block of its own (without texts)."""
+        if self.n <= max(most, CHAIN):
+            if self.n:
+                yield slice(0, self.n), self
+            return
+        by = np.argsort(self.at)
+        at, length = self.at[by], self.length[by]
+        size = np.diff(np.append(self.from_, len(self.feature)))
+        chain = 0
+        while chain < len(at):
+            upto = max(chain + 1, int(np.searchsorted(at + length, at[chain] + max(most, CHAIN), side="right")))
+            low, high = int(at[chain]), int(at[upto - 1] + length[upto - 1])
+            part = object.__new__(Block)
+            part.n = high - low
+            used, part.word = np.unique(self.word[low:high], return_inverse=True)
+            part.key, n = self.key[used], size[used]
+            part.from_ = np.cumsum(n) - n
+            part.feature = self.feature[np.repeat(self.from_[used] - part.from_, n) + np.arange(int(n.sum()))]
+            part.owner = np.repeat(np.arange(len(used)), n)
+            order = np.argsort(-length[chain:upto], kind="stable")
+            part.at, part.length = at[chain:upto][order] - low, length[chain:upto][order]
+            yield slice(low, high), part
+            chain = upto
+
 
 class Crf:
     def __init__(self, labels: list[str]):
         k = len(labels)
         self.labels = labels
-        self.weight = np.zeros((ROWS, k), np.float32)
+        self.rows = ROWS  # of the weight table, which keeps its size where there are many labels
+        while self.rows * k > ROWS * 200 and self.rows > 1 << 10:
+            self.rows //= 2
+        self.weight = np.zeros((self.rows, k), np.float32)
         self.lexicon = np.zeros(0, np.uint64)  # sorted keys of words, and the label of each
         self.lexicon_label = np.zeros(0, np.int64)
         self.lexicon_weight = np.zeros((k, k), np.float32)
@@ -91,7 +120,7 @@ class Crf:
 
     def scores(self, block: Block) -> np.ndarray:
         """Label scores of each distinct word."""
-        out = np.add.reduceat(self.weight[block.feature], block.from_, axis=0) + self.bias
+        out = np.add.reduceat(self.weight[block.feature & (self.rows - 1)], block.from_, axis=0) + self.bias
         hit, label = self.listed(block)
         out[hit] += self.lexicon_weight[label]
         return out
@@ -145,7 +174,7 @@ class Crf:
                 got, joint = self._chains(block, self.scores(block), pairs=True)
                 got[np.arange(block.n), label] -= 1  # expected less observed
                 by_word = np.stack([np.bincount(block.word, weights=got[:, j], minlength=len(block.key)) for j in range(k)], axis=1) / block.n
-                weight = np.stack([np.bincount(block.feature, weights=by_word[block.owner, j], minlength=ROWS) for j in range(k)], axis=1)
+                weight = np.stack([np.bincount(block.feature & (self.rows - 1), weights=by_word[block.owner, j], minlength=self.rows) for j in range(k)], axis=1)
                 hit, own = self.listed(block)
                 lexicon = np.zeros_like(self.lexicon_weight)
                 np.add.at(lexicon, own, by_word[hit])

@@ -51,6 +51,37 @@ def test_code_switched_text_is_labelled_word_by_word():
     assert langid.train([]) is None
 
 
+def test_parts_of_a_block_give_the_same_marginals():
+    texts = pa.array([prose(k, n) for k, n in enumerate([5, 300, 64, 1, 129, 65])] + ["", "one"])
+    block = Block(texts)
+    crf = Crf(["a", "b", "c"])
+    rng = np.random.default_rng(1)
+    crf.weight[:] = rng.normal(size=crf.weight.shape)
+    crf.step[:] = rng.normal(size=crf.step.shape)
+    whole = crf.marginals(block)
+    for most in (1, 64, 100, 200, 10_000):
+        parts = list(block.parts(most))
+        assert [s.start for s, _ in parts] == [0, *[s.stop for s, _ in parts[:-1]]] and parts[-1][0].stop == block.n
+        assert all(p.n <= max(most, 64) for _, p in parts)
+        assert np.allclose(np.concatenate([crf.marginals(p) for _, p in parts]), whole, atol=1e-5)
+
+
+def test_every_label_is_learned_whatever_its_texts(spark):
+    """260 languages of one text each but for two: one has long texts only, one repeated rows."""
+    own = {k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(12)) for k in range(260)}
+    rows = [(k, own[k], f"l{k:03d}", None) for k in range(260)]
+    rows += [(1000 + k, "long walk ahead " * 4000, "long", None) for k in range(3)] + [(7, "again and again", "same", None)] * 400
+    rows += [(2000 + k, own[1], "l001", None) for k in range(100)] + [(None, "no id here", "none", None)] * 5
+    docs = documents(spark, rows)
+    got = langid.sample(docs, "lang", "text", 20, doc_hash("doc_id", "text"), at_all=600)
+    labels = [x for x, _ in got]
+    assert set(labels) == {f"l{k:03d}" for k in range(260)} | {"long", "same", "none"}
+    assert max(map(labels.count, set(labels))) == 2 and all(len(t) <= langid.LONGEST for _, t in got)
+    model = langid.train([x for x in got if x[0] < "l003" or x[0] > "l9"])
+    out = langid.predict(docs.where("doc_id >= 1000 and lang = 'long'"), model).collect()
+    assert [r["lang_pred"] for r in out] == ["long"] * 3
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
