@@ -9,7 +9,7 @@ parquet scan as pushed filters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import ORDER_CANCELLED, ORDER_PAID, ORDER_UNPAID, PAYMENT_PAID, REFUND_DONE
@@ -345,37 +345,53 @@ def order_inc(drv: Driver) -> DataFrame:
     return ins.unionByName(cancel).unionByName(edit)
 
 
+def coupon_uses(drv: Driver) -> DataFrame:
+    """A row for each order and coupon that lines of it carry: ``order_id, coupon_id, user_id, paid, o_orderdate``.
+
+    An order's coupons (the remainders -9..9, and NULL) are summed up as bits before the join, and an order repeated
+    in the input counts once, so that a task holds a row of fixed width an order and not one a line."""
+    bit = F.coalesce(F.col("l_suppkey") % 10 + 9, F.lit(19)).cast("int")
+    li = (drv.lineitem.where(F.col("l_tax") > 0)
+          .groupBy("l_orderkey").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_coupons")))
+    o = (drv.orders.select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").alias("paid"), "o_orderdate")
+         .dropDuplicates(["o_orderkey"]))
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(19)), lambda i: F.getbit("_coupons", i) == 1)
+    return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+            .select("l_orderkey", "o_custkey", "paid", "o_orderdate", F.explode(set_bits).alias("_bit"))
+            .select(F.col("l_orderkey").alias("order_id"), F.when(F.col("_bit") < 19, F.col("_bit") - 9).cast("bigint").alias("coupon_id"),
+                    F.col("o_custkey").alias("user_id"), "paid", "o_orderdate"))
+
+
+def coupon_use_times() -> tuple[Column, Column, Column]:
+    """The day a coupon of ``coupon_uses`` was received (the day before the order), and the times of that and of its use."""
+    get_day = F.date_add(F.to_date("o_orderdate"), -1)
+    return (get_day, F.concat(F.date_format(get_day, "yyyy-MM-dd"), F.lit(" 10:00:00")),
+            F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+def coupon_use_data(get_time: Column, using: Column, used: Column) -> Column:
+    return F.struct((F.col("order_id") * 10 + F.col("coupon_id")).alias("id"), F.col("coupon_id").alias("coupon_id"),
+                    F.col("user_id").alias("user_id"), F.col("order_id").alias("order_id"),
+                    get_time.alias("get_time"), using.alias("using_time"), used.alias("used_time"))
+
+
 def coupon_use_inc(drv: Driver) -> DataFrame:
     """Coupon-use CDC from order lines carrying a coupon: received the day before the
     order (insert), used at order (update naming ``using_time``), used at payment for
     paid orders (update naming ``used_time``)."""
-    li = drv.lineitem.where(F.col("l_tax") > 0).select("l_orderkey", "l_suppkey")
-    o = drv.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    u = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-         .select(F.col("l_orderkey").alias("order_id"), (F.col("l_suppkey") % 10).alias("coupon_id"),
-                 F.col("o_custkey").alias("user_id"), "o_orderstatus", "o_orderdate")
-         .dropDuplicates(["order_id", "coupon_id"]))
-    day = F.to_date("o_orderdate")
-    get_day = F.date_add(day, -1)
-    t_get = F.concat(F.date_format(get_day, "yyyy-MM-dd"), F.lit(" 10:00:00"))
-    t_use = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    u = coupon_uses(drv)
+    get_day, t_get, t_use = coupon_use_times()
     null_s = F.lit(None).cast("string")
-
-    def data(using, used):
-        return F.struct((F.col("order_id") * 10 + F.col("coupon_id")).alias("id"), F.col("coupon_id").alias("coupon_id"),
-                        F.col("user_id").alias("user_id"), F.col("order_id").alias("order_id"),
-                        t_get.alias("get_time"), using.alias("using_time"), used.alias("used_time"))
-
     ins = u.select(F.lit("insert").alias("type"), F.unix_timestamp(get_day.cast("timestamp")).alias("ts"),
-                   data(null_s, null_s).alias("data"), F.lit(None).cast("map<string,string>").alias("old"),
+                   coupon_use_data(t_get, null_s, null_s).alias("data"), F.lit(None).cast("map<string,string>").alias("old"),
                    F.date_format(get_day, "yyyy-MM-dd").alias("dt"))
     using = u.select(F.lit("update").alias("type"), _epoch_s("o_orderdate").alias("ts"),
-                     data(t_use, null_s).alias("data"),
+                     coupon_use_data(t_get, t_use, null_s).alias("data"),
                      F.create_map(F.lit("using_time"), null_s, F.lit("coupon_status"), F.lit("1401")).alias("old"),
                      day_of("o_orderdate").alias("dt"))
-    used = u.where(F.col("o_orderstatus") == "F").select(
+    used = u.where("paid").select(
         F.lit("update").alias("type"), (_epoch_s("o_orderdate") + 1).alias("ts"),
-        data(t_use, t_use).alias("data"),
+        coupon_use_data(t_get, t_use, t_use).alias("data"),
         F.create_map(F.lit("used_time"), null_s, F.lit("coupon_status"), F.lit("1402")).alias("old"),
         day_of("o_orderdate").alias("dt"))
     return ins.unionByName(using).unionByName(used)
