@@ -158,9 +158,11 @@ def cancelled_header_boot(drv: Driver) -> DataFrame:
 
 def coupon_use_boot(drv: Driver) -> DataFrame:
     """Coupons received up to ``BOOT`` with what was known of their use then."""
-    x = D.coupon_use_inc(drv).where((F.col("dt") <= BOOT)).groupBy("data.id").agg(
-        F.max(F.struct("ts", "data")).alias("m")).select(F.col("m.data").alias("data"))
-    return _stream(x, "bootstrap-insert", BOOT, F.col("data"))
+    get_day, get_time, use_time = D.coupon_use_times()
+    x = D.coupon_uses(drv).where(F.date_format(get_day, "yyyy-MM-dd") <= BOOT)
+    come = F.date_format("o_orderdate", "yyyy-MM-dd") <= BOOT
+    return _stream(x, "bootstrap-insert", BOOT,
+                   D.coupon_use_data(get_time, F.when(come, use_time), F.when(come & F.col("paid"), use_time)))
 
 
 def cart_boot(drv: Driver) -> DataFrame:
