@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
@@ -23,14 +24,28 @@ JOB_CONF = {
     "spark.sql.orc.filterPushdown": "true",
 }
 
+# AQE joins small shuffle partitions up to this many bytes (compressed).  Sorts and hash maps take some twenty times
+# as much memory for narrow rows, and a task of a join and an aggregate has several: Spark's 64 MB would be gigabytes.
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+MOST_ADVISORY_MB = 16
+
+
+def _mb(size: str) -> float:
+    """A size setting (``64MB``, ``64m``, ``67108864b``, ``67108864``) in MB."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([bkmgtp]?)(?:i?b)?\s*", size.lower()).groups()
+    return int(number) * 1024.0 ** ("bkmgtp".index(unit or "b") - 2)
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the jobs need to an existing session.  All of them are
     runtime settings of a session: one that cannot be set is an error, since a job that ran
-    on without it could shift days or keep stale partitions."""
+    on without it could shift days or keep stale partitions.  A session's own smaller
+    partition size stays."""
     for k, v in JOB_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    if _mb(spark.conf.get(ADVISORY)) > MOST_ADVISORY_MB:
+        spark.conf.set(ADVISORY, f"{MOST_ADVISORY_MB}m")
     return spark
 
 
