@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +47,17 @@ class Lines:
         same = w.doc[1:] == w.doc[:-1]
         cut = same & ((w.key[:-1] % np.uint64(EVERY) == 0) | (ends[w.start[1:]] > ends[w.end[:-1]]))
         filled = self.offsets[:-1][np.diff(self.offsets) > 0]
-        self.start = np.union1d(filled, w.start[1:][cut]).astype(np.int64)
+        begins = np.zeros(len(self.data), dtype=bool)
+        begins[filled] = begins[w.start[1:][cut]] = True
+        self.start = np.flatnonzero(begins)
         self.end = np.append(self.start[1:], len(self.data))[:len(self.start)]
         self.doc = np.searchsorted(self.offsets, self.start, side="right") - 1
         self.first = np.searchsorted(self.doc, np.arange(len(texts)))
         self.count = np.bincount(self.doc, minlength=len(texts))
-        self.points = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+
+    def points(self) -> np.ndarray:
+        """The code points before each byte."""
+        return np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
 
     def chunks(self) -> tuple[np.ndarray, np.ndarray]:
         """The first line of each chunk, and its key."""
@@ -61,17 +67,34 @@ class Lines:
 
 
 def keys(base: DataFrame) -> DataFrame:
+    """The ``key`` of each chunk, to be counted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(Lines(texts_of(batch.column(0))).chunks()[1])], names=["key"])
+
+    return base.select("text").mapInArrow(run, "key long")
+
+
+def places(base: DataFrame) -> DataFrame:
     """Each chunk: its ``key``, the ``row`` and the number ``i`` of its first line there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 1):
             x = Lines(texts_of(batch.column(1)))
             at, key = x.chunks()
             d = x.doc[at]
-            rank = batch.column(2).take(pa.array(d))
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(d)), rank, pa.array((at - x.first[d]).astype(np.int32))],
-                                             names=["key", "row", "h", "i"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(d)), pa.array((at - x.first[d]).astype(np.int32))],
+                                             names=["key", "row", "i"])
+
+    return base.select("row", "text").mapInArrow(run, "key long, row long, i int")
+
 
-    return base.select("row", "text", "h").mapInArrow(run, "key long, row long, h long, i int")
+def held_chunks(own: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The repeated chunks of a batch of rows: each one's row, the number of its first line there, its key, and
+    whether it repeats an earlier one."""
+    d = np.repeat(np.arange(len(own)), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
+    x = own.flatten()
+    i, key, later = (x.field(x.type.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("i", "key", "later"))
+    return d, i.astype(np.int64), key, later
 
 
 def texts_of_chunks(held: DataFrame) -> DataFrame:
@@ -79,12 +102,9 @@ def texts_of_chunks(held: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 0):
             x = Lines(texts_of(batch.column(0)))
-            key, out = [], []
-            for d, own in enumerate(batch.column(1).to_pylist()):
-                for m in own or ():
-                    k = int(x.first[d]) + m["i"]
-                    key.append(m["key"])
-                    out.append(x.data[x.start[k]:x.end[k + 1]].tobytes())
+            d, i, key, _ = held_chunks(batch.column(1))
+            at, data = x.first[d] + i, x.data.tobytes()
+            out = [data[a:b] for a, b in zip(x.start[at].tolist(), x.end[at + 1].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(out, pa.binary())], names=["key", "t"])
 
     return held.select("text", "own").mapInArrow(run, "key long, t binary")
@@ -115,29 +135,35 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = staged(base.select("id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")), "passage-texts")
-    ids = base.select("id", "row")
-    found = keys(base)
+    ids = base.select("id", "row", "h")
     # keys that occur twice, before anything else of the chunks is moved
-    again = staged(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "passage-keys")
-    hits = staged(found.join(again, "key").join(ids, "row"), "passage-hits")
+    again = staged(keys(base).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "passage-keys")
+    hits = staged(places(base).join(again, "key").join(ids, "row"), "passage-hits")
     first = hits.groupBy("key").agg(F.min(F.struct("id", "h", "row", "i")).alias("f")).select("key", F.col("f.row").alias("row0"), F.col("f.i").alias("i0"))
     hits = hits.join(first, "key").select("row", "key", "i", ((F.col("row") != F.col("row0")) | (F.col("i") != F.col("i0"))).alias("later"))
     hits = staged(hits, "passage-places")
     own = hits.groupBy("row").agg(F.collect_list(F.struct("i", "key", "later")).alias("own"))
     held = staged(base.join(own, "row", "left").select("id", "row", "text", "own"), "passage-rows")
-    clash = texts_of_chunks(held.where("own is not null")).groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("key")
+    clash = texts_of_chunks(held.where("own is not null")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     bad = staged(hits.join(clash, "key").groupBy("row").agg(F.collect_set("key").alias("bad")), "passage-clashes")
     x = held.join(bad, "row", "left").select("id", "own", "bad", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 3):
             x = Lines(texts_of(batch.column(3)))
+            points = x.points()
             out, gone = [], []
-            for d, (m, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            own, i, key, later = held_chunks(batch.column(1))
+            own, i, key = own[later], i[later], key[later]
+            order = np.lexsort((i, own))
+            own, i, key = own[order], i[order], key[order]
+            bounds = np.searchsorted(own, np.arange(batch.num_rows + 1))
+            for d, b in enumerate(batch.column(2).to_pylist()):
                 text = x.data[x.offsets[d]:x.offsets[d + 1]].tobytes()
-                later = sorted(p["i"] for p in m or () if p["later"] and p["key"] not in set(b or ()))
+                mine = slice(int(bounds[d]), int(bounds[d + 1]))
+                later = i[mine] if b is None else i[mine][~np.isin(key[mine], b)]
                 lines = slice(int(x.first[d]), int(x.first[d] + x.count[d]))
-                t, n = cut(text, x.start[lines], x.end[lines], x.points, later)
+                t, n = cut(text, x.start[lines], x.end[lines], points, later.tolist())
                 out.append(t.decode())
                 gone.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(x.count.astype(np.int64)), pa.array(gone, pa.int64())],

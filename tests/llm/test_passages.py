@@ -83,3 +83,17 @@ def test_planted_passages_of_51_words_go(spark):
 def test_it_is_registered(spark):
     out = entry.queries()["line_passages"](spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_lines", "n_removed", "text"]
+
+
+def test_a_batch_of_repeated_chunks():
+    own = pa.array([None, [], [{"i": 3, "key": 7, "later": True}, {"i": 1, "key": 8, "later": False}], None, [{"i": 0, "key": 7, "later": False}]],
+                   pa.list_(pa.struct([("i", pa.int32()), ("key", pa.int64()), ("later", pa.bool_())])))
+    for cut, rows in ((own, [2, 2, 4]), (own.slice(2), [0, 0, 2])):
+        assert [x.tolist() for x in passages.held_chunks(cut)] == [rows, [3, 1, 0], [7, 8, 7], [True, False, False]]
+    assert [x.tolist() for x in passages.held_chunks(own.slice(0, 2))] == [[], [], [], []]
+
+
+def test_counting_moves_keys_alone(spark):
+    base = spark.createDataFrame([(1, prose(1, 60))], "row long, text string")
+    assert passages.keys(base).columns == ["key"]
+    assert sorted(r["key"] for r in passages.keys(base).collect()) == sorted(r["key"] for r in passages.places(base).collect())
