@@ -7,11 +7,12 @@ A document's set holds the 64-bit hashes of its distinct word n-grams.  Two docu
 2. ``routes``: documents that can link are brought together without loss.  Sizes are cut into
    bands so wide that linked documents lie in one band or two neighbouring ones.  Linked sets
    of a band differ in at most ``D`` n-grams, so of more than ``D`` parts (by hash) of the sets
-   at least one is equal; a document sends a key for each part, for its own band and the next
+   at least one is equal; there are so many more parts that linked sets share a number of keys,
+   the band's ``need``.  A document sends a key for each part, for its own band and the next
    lower one.  Parts are built from n-grams that are not common; a document with too many
-   empty parts sends keys over all its n-grams as well.  Keys that repeat inside a block of
-   documents are combined before the shuffle, so a key that a third of all documents share
-   costs one row a block.  Documents that share a key form families.
+   empty parts sends keys over all its n-grams as well, cut in another way while too many are empty.  Documents that share ``need`` keys form
+   families (``families``): one shared n-gram joins nothing, so that families do not grow
+   together with the number of documents.
 3. ``links``: in each family equal sets become one, and a signature tree holds the rest: its
    leaves are the sets' token bitmaps, a node ORs its children's bitmaps and spans their
    sizes.  A dual traversal drops pairs of nodes whose largest possible overlap is too small
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import M1, M2, Words, blocks, mix, small_batches, staged, texts_of
@@ -41,10 +42,17 @@ from .components import components
 TOKEN = np.ones(256, dtype=bool)
 TOKEN[[9, 10, 11, 12, 13, 32]] = False
 
-#: Sets of a block of a large family.
-BLOCK = 512
+#: Sets of a block of a large family at most (and about UNIT_BYTES): each is sent once for every other block, so that few
+#: large blocks move less.
+BLOCK = 2048
 #: Children of a tree node.
 FAN = 8
+#: Keys that linked sets share beyond the first: one of so many n-grams in which they can differ (rounded up).
+SPARE = 8
+#: Ways to cut all n-grams into parts, for documents that fill too few with those that are not common.
+CUTS = 3
+#: Documents of a key up to which all pairs of them are counted.
+MANY = 64
 #: Common n-grams: kept at most, and held by at least so many of a block's documents in 1000.
 COMMON, COMMON_PER_MILLE = 1 << 16, 4
 
@@ -83,11 +91,11 @@ class Sets:
 
 class Bands:
     """Bands of set sizes, the most n-grams in which linked sets of a band (and the next) can
-    differ, and the parts that sets are cut into."""
+    differ, the keys that linked sets share at least, and the parts that sets are cut into."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.low, self.differ, self.parts = [1], [], []
+        self.low, self.differ, self.need, self.parts = [1], [], [], []
         self._grow(1 << 10)
 
     def _grow(self, size: int) -> None:
@@ -95,11 +103,24 @@ class Bands:
             upper = self.low[-1] * self.den // self.num
             larger = upper * self.den // self.num
             d = (upper + larger) * (self.den - self.num) // (self.den + self.num)
-            extra = math.ceil(2 * (d + 1) * math.exp(-self.low[-1] / (d + 1))) + 2 if d else 0
+            need = 1 + -(-d // SPARE)
             self.differ.append(d)
-            self.parts.append(d + 1 + extra)
+            self.need.append(need)
+            self.parts.append(self._parts(self.low[-1], d + need) if d else 1)
             self.low.append(upper + 1)
 
+    @staticmethod
+    def _parts(size: int, least: int) -> int:
+        """Parts of which nearly all sets of a size (all within three deviations) fill ``least``."""
+        n = least
+        while n < max(size, least + 2):
+            c = size / n
+            empty = n * math.exp(-c)
+            if n - empty - 3 * math.sqrt(empty * max(0.0, 1 - (1 + c) * math.exp(-c))) >= least:
+                break
+            n += max(1, n // 64)
+        return n
+
     def of(self, size: np.ndarray) -> np.ndarray:
         if len(size):
             self._grow(int(size.max()) + 1)
@@ -107,36 +128,41 @@ class Bands:
 
 
 def part_keys(s: Sets, docs: np.ndarray, band: np.ndarray, bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of documents ``docs`` in the bands named, and the document of each."""
-    differ, parts = np.array(bands.differ)[band], np.array(bands.parts)[band]
-    size = s.size[docs]
-    own = np.repeat(np.arange(len(docs)), size)
-    key = s.key[np.repeat(s.first[docs] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
-    is_common = np.zeros(len(key), dtype=bool)
-    if len(common):
-        is_common = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key
-    where = np.cumsum(parts) - parts  # first part of each document
-    slot = where[own] + ((mix(key ^ M2) >> np.uint64(24)) % parts[own].astype(np.uint64)).astype(np.int64)
-    value = mix(key + M1)
-    owner = np.repeat(np.arange(len(docs)), parts)
-    part = np.arange(len(owner)) - where[owner]
+    """Keys of documents ``docs`` in the bands named, and the document of each.  A key's last byte
+    is the number of keys that linked sets share (255: so many or more).  A document that fills too
+    few parts for that sends keys by the next way of cutting, too: over all n-grams, ``CUTS`` times."""
+    need, parts = np.array(bands.need)[band], np.array(bands.parts)[band]
+    least = np.array(bands.differ)[band] + need
+    code = np.minimum(need, 255).astype(np.uint64)
     out_key, out_doc = [], []
-    wanted = np.ones(len(docs), dtype=bool)
-    for kind, use in enumerate((~is_common, np.ones(len(key), dtype=bool))):
+    wanted = np.arange(len(docs))
+    for kind in range(CUTS + 1):
+        mine, n = docs[wanted], parts[wanted]
+        size = s.size[mine]
+        own = np.repeat(np.arange(len(mine)), size)
+        key = s.key[np.repeat(s.first[mine] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        if not kind and len(common):
+            rare = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] != key
+            own, key = own[rare], key[rare]
+        where = np.cumsum(n) - n  # first part of each document
+        slot = where[own] + ((mix(key ^ (M2 + np.uint64(kind))) >> np.uint64(24)) % n[own].astype(np.uint64)).astype(np.int64)
+        owner = np.repeat(np.arange(len(mine)), n)
+        part = np.arange(len(owner)) - where[owner]
         total = np.zeros(len(owner), np.uint64)
-        order = np.argsort(slot[use], kind="stable")
-        held, inverse = np.unique(slot[use][order], return_index=True)
+        order = np.argsort(slot, kind="stable")
+        held, start = np.unique(slot[order], return_index=True)
         if len(held):
-            total[held] = np.add.reduceat(value[use][order], inverse)
+            total[held] = np.add.reduceat(mix(key[order] + M1), start)
         full = np.zeros(len(owner), dtype=bool)
         full[held] = True
-        empty = parts - np.bincount(owner[full], minlength=len(docs))
-        unsafe = wanted & (parts - empty <= differ)  # an equal part could be an empty one
-        send = wanted[owner] & (full | unsafe[owner] if kind else full)
-        name = mix(total + mix((band[owner] * 2 + kind).astype(np.uint64) * M1 + part.astype(np.uint64) * M2))
-        out_key.append(name[send])
-        out_doc.append(docs[owner[send]])
-        wanted = unsafe
+        unsafe = np.bincount(owner[full], minlength=len(mine)) < least[wanted]  # too many of the equal parts could be empty ones
+        send = full | unsafe[owner] if kind == CUTS else full
+        name = mix(total + mix((band[wanted][owner] * (CUTS + 1) + kind).astype(np.uint64) * M1 + part.astype(np.uint64) * M2))
+        out_key.append((name[send] & ~np.uint64(255)) | code[wanted][owner[send]])
+        out_doc.append(mine[owner[send]])
+        wanted = wanted[unsafe]
+        if not len(wanted):
+            break
     return np.concatenate(out_key), np.concatenate(out_doc)
 
 
@@ -163,8 +189,32 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "kind byte, a long, b long, d1 long, d2 long")
 
 
+def tied(key: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each document of a block the one that stands for it: of documents that share enough
+    keys with the first document of each key, the one with the least id (rows sorted by key and id)."""
+    lead = np.arange(len(ids))
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[1:] != key[:-1]
+    head = doc[first][np.cumsum(first) - 1]
+    need = (key & np.uint64(255)).astype(np.int64)
+    star, count = np.unique(np.stack([head, doc, need], axis=1)[~first], axis=0, return_counts=True)
+
+    def top(x: int) -> int:
+        while lead[x] != x:
+            lead[x] = x = lead[lead[x]]
+        return x
+
+    for a, b in star[count >= star[:, 2], :2].tolist():
+        x, y = sorted((top(a), top(b)), key=lambda d: ids[d])
+        lead[y] = x
+    while (lead[lead] != lead).any():
+        lead = lead[lead]
+    return lead
+
+
 def routes(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """Edges (a, b) that join all documents sharing a key into families."""
+    """The documents' keys: ``key, id``.  In a block one document stands for all that share enough
+    keys with it; a key of their own (last byte 0) ties each of them to it."""
     sent = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,27 +230,53 @@ def routes(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> D
             order = some[np.lexsort((ids[some], d2[some], d1[some]))]
             new = np.ones(len(order), dtype=bool)
             new[1:] = (d1[order[1:]] != d1[order[:-1]]) | (d2[order[1:]] != d2[order[:-1]])
-            lead = order[new][np.cumsum(new) - 1]
             single = order[new]
             band = bands.of(s.size[single])
             guest = band > 0
             key, doc = part_keys(s, np.concatenate([single, single[guest]]), np.concatenate([band, band[guest] - 1]), bands, sent.value)
-            # keys that repeat here: one row for the smallest id, the others tied to that id
             order2 = np.lexsort((ids[doc], key))
             key, doc = key[order2], doc[order2]
-            first = np.ones(len(key), dtype=bool)
-            first[1:] = key[1:] != key[:-1]
-            head = doc[first][np.cumsum(first) - 1]
-            tie_a = np.concatenate([ids[lead], ids[head[~first]]])
-            tie_b = np.concatenate([ids[order], ids[doc[~first]]])
-            ties = np.unique(np.stack([tie_a, tie_b], axis=1)[tie_a != tie_b], axis=0) if (tie_a != tie_b).any() else np.zeros((0, 2), np.int64)
-            knot = mix(ties[:, 0].astype(np.uint64) * M1 + mix(ties[:, 1].astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], knot, knot]).view(np.int64)),
-                                              pa.array(np.concatenate([ids[doc[first]], ties[:, 0], ties[:, 1]]))], names=["key", "id"])
-
-    keys = docs.where("id is not null").mapInArrow(run, "key long, id long")
-    least = F.expr("min(id) over (partition by key)")
-    return keys.select("id", least.alias("a")).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+            lead = tied(key, doc, ids)
+            # a key's documents that one stands for: one row
+            doc = lead[doc]
+            several = np.zeros(len(key), dtype=bool)
+            several[1:] = key[1:] == key[:-1]
+            several[:-1] |= several[1:]
+            rows = np.unique(np.stack([key[several].view(np.int64), doc[several]], axis=1), axis=0)
+            key = np.concatenate([key[~several], rows[:, 0].view(np.uint64)])
+            doc = np.concatenate([doc[~several], rows[:, 1]])
+            tie_a, tie_b = ids[lead[single[np.cumsum(new) - 1]]], ids[order]
+            tie_a, tie_b = tie_a[tie_a != tie_b], tie_b[tie_a != tie_b]
+            knot = mix(tie_a.astype(np.uint64) * M1 + mix(tie_b.astype(np.uint64))) & ~np.uint64(255)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, knot, knot]).view(np.int64)),
+                                              pa.array(np.concatenate([ids[doc], tie_a, tie_b]))], names=["key", "id"])
+
+    return docs.where("id is not null").mapInArrow(run, "key long, id long")
+
+
+def families(keys: DataFrame) -> DataFrame:
+    """``(id, root)`` of documents that can link with another one: linked documents have one root.
+
+    First the documents that share enough keys with the least one of each key are joined: near
+    copies meet here, however many they are.  Then all pairs that a key still holds apart are
+    counted, and those with enough keys are joined.  Of a key with more than ``MANY`` apart the
+    pairs are not counted: such a key lowers what its documents need, and joins only those of them
+    that can do without others."""
+    need = F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int").alias("need")
+    ends = [F.expr(f"{f}(id) over (partition by key)").alias(f"{f}_id") for f in ("min", "max")]
+    shared = staged(keys.select("key", "id", *ends).where("min_id <> max_id").select("key", "id", F.col("min_id").alias("a")), "shared")
+    stars = shared.where("id <> a").groupBy("a", F.col("id").alias("b"), need).agg(F.count(F.lit(1)).alias("n"))
+    first = components(stars.where("n >= need"))
+    apart = shared.join(first, "id", "left").select("key", F.coalesce("root", "id").alias("id")).repartition("key").distinct()
+    apart = staged(apart.withColumn("n", F.expr("count(1) over (partition by key)")).where("n > 1").select("key", "id", "n", need), "apart")
+    loose = F.count(F.when(F.col("n") > MANY, 1)).over(Window.partitionBy("id", "need"))
+    apart = staged(apart.withColumn("loose", loose), "loose")
+    few, many = apart.where(F.col("n") <= MANY), apart.where(F.col("n") > MANY).where("loose >= need")
+    other = few.select("key", F.col("id").alias("b"), F.col("loose").alias("loose_b"))
+    pairs = few.withColumnRenamed("id", "a").join(other, "key").where("a < b").groupBy("a", "b", "need") \
+        .agg((F.count(F.lit(1)) + F.max(F.least("loose", "loose_b"))).alias("n")).where("n >= need")
+    many = many.select(F.expr("min(id) over (partition by key)").alias("a"), F.col("id").alias("b"))
+    return components(first.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(pairs.select("a", "b")).unionByName(many))
 
 
 class Tree:
@@ -353,7 +429,7 @@ def _unit(num: int, den: int):
     return run
 
 
-#: Bytes of n-gram hashes that small families are put together to.
+#: Bytes of n-gram hashes that small families are put together to, and that large ones are cut into.
 UNIT_BYTES = 8 << 20
 
 
@@ -400,6 +476,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return docs.select("id", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p"), "text").mapInArrow(run, "id long, d1 long, d2 long, tokens binary")
 
 
+def _blocks(sets, tokens):
+    """Blocks that so many sets, with so many n-grams in all, are cut into."""
+    return F.greatest(F.lit(1), F.ceil(sets / F.lit(BLOCK)), F.ceil(tokens * 8 / F.lit(UNIT_BYTES))).cast("int")
+
+
 def links(docs: DataFrame, seen: DataFrame, family: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) that connect exactly the linked documents of each family; ``seen``: the
     documents' ids, set sizes and digests."""
@@ -408,16 +489,15 @@ def links(docs: DataFrame, seen: DataFrame, family: DataFrame, n: int, num: int,
     equal = mine.groupBy("family", "n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     equal = staged(equal, "equal")
     copies = mine.join(equal.where("rows > 1"), ["family", "n", "d1", "d2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    count = equal.groupBy("family").agg(F.count(F.lit(1)).alias("g"))
-    several = staged(count.where("g > 1").select("family", "g"), "several")
-    chosen = staged(equal.join(several, "family").select("family", "g", F.col("rep").alias("id"), "d1", "d2"), "chosen")
+    count = equal.groupBy("family").agg(F.count(F.lit(1)).alias("g"), _blocks(F.count(F.lit(1)), F.sum("n")).alias("nb"))
+    several = staged(count.where("g > 1"), "several")
+    chosen = staged(equal.join(several, "family").select("family", "g", "nb", F.col("rep").alias("id"), "d1", "d2"), "chosen")
     # the same join at every size: the sets are dealt out by id
-    reps = staged(sets_of(docs, chosen.select("id"), n).join(chosen.hint("merge"), ["id", "d1", "d2"]).select("family", "g", "id", "tokens"), "reps")
+    reps = staged(sets_of(docs, chosen.select("id"), n).join(chosen.hint("merge"), ["id", "d1", "d2"]).select("family", "g", "nb", "id", "tokens"), "reps")
     size = reps.agg(F.sum(F.length("tokens")).alias("s")).first()["s"] or 0
     units = max(1, -(-size // UNIT_BYTES))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("g") / BLOCK)).cast("int")
     own_block = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    x = reps.withColumn("nb", nb).withColumn("block", own_block).withColumn("known", F.col("id"))
+    x = reps.withColumn("block", own_block).withColumn("known", F.col("id"))
     schema = "a long, b long"
     # first: small families whole; blocks of large ones with themselves and with the family's first block
     small = x.where("nb = 1").select(F.pmod(F.xxhash64("family"), F.lit(units)).alias("unit"), F.lit(0).alias("part"), "family", "id", F.lit(0).alias("side"), "known", "tokens")
@@ -427,15 +507,16 @@ def links(docs: DataFrame, seen: DataFrame, family: DataFrame, n: int, num: int,
         .select(F.col("family").alias("unit"), "part", "family", "id", F.lit(1).alias("side"), "known", "tokens")
     near = staged(small.unionByName(inner).unionByName(first).groupBy("unit", "part").applyInArrow(_unit(num, den), schema), "near")
     edges = near.unionByName(copies)
-    if several.where(F.col("g") > BLOCK).isEmpty():
+    if several.where("nb > 1").isEmpty():
         return edges
     # then: what lies outside a large family's largest component, against all its blocks
     root = components(near)
     y = staged(big.drop("known").join(root, "id", "left").withColumn("known", F.coalesce("root", "id")).drop("root"), "grouped")
-    main = y.groupBy("family", "known").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.max(F.struct("k", "known")).alias("m")) \
-        .select("family", F.col("m.known").alias("main"), F.col("m.k").alias("k"))
+    main = y.groupBy("family", "known").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("tokens") / 8).alias("kt")) \
+        .groupBy("family").agg(F.max(F.struct("k", "known", "kt")).alias("m"), F.sum("kt").alias("t")) \
+        .select("family", F.col("m.known").alias("main"), F.col("m.k").alias("k"), (F.col("t") - F.col("m.kt")).alias("t"))
     y = y.join(main, "family").where("k < g")
-    rest = y.where("known <> main").withColumn("rb", F.greatest(F.lit(1), F.ceil((F.col("g") - F.col("k")) / BLOCK)).cast("int")) \
+    rest = y.where("known <> main").withColumn("rb", _blocks(F.col("g") - F.col("k"), F.col("t"))) \
         .withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), F.col("id")), F.col("rb")).cast("int"))
     chunks = rest.select("family", "chunk", "rb").distinct()
     right = y.join(chunks, "family").select("family", F.concat_ws("-", "chunk", "block").alias("part"), "id", F.lit(2).alias("side"), "known", "tokens")
@@ -454,7 +535,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     seen = staged(profile(x, n), "profile")
     often = seen.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).orderBy(F.desc("b"), "a").limit(COMMON).collect()
     common = np.sort(np.array([r["a"] for r in often], np.int64).view(np.uint64))
-    family = components(routes(x, n, num, den, common))
+    family = families(routes(x, n, num, den, common))
     sizes = seen.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "d1", "d2")
     root = components(links(x.where("id is not null"), sizes, family, n, num, den))
     return sizes.join(root, "id", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").cast(kind).alias("component_id"))

@@ -1,0 +1,36 @@
+import random
+
+from lakemart.llm import sigtree
+
+from .cases import documents, prose
+from .test_join import brute, got
+
+
+def test_a_few_shared_ngrams_make_no_family(spark, monkeypatch):
+    rng = random.Random(3)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(5)) for k in range(30)]
+    rows = []
+    for k in range(300):  # words of its own, and phrases that others hold, too
+        parts = [*rng.sample(phrases, 6), *(" ".join(f"w{rng.randrange(1 << 40)}" for _ in range(12)) for _ in range(6))]
+        rng.shuffle(parts)
+        rows.append((k, " ".join(parts)))
+    rows += [(1000 + k, t + " end") for k, t in rows[:20]]  # near copies
+    sizes = []
+    links = sigtree.links
+    monkeypatch.setattr(sigtree, "links", lambda docs, seen, family, *a: sizes.append(family.count()) or links(docs, seen, family, *a))
+    assert got(sigtree.join(documents(spark, [(i, t, None, None) for i, t in rows]), 5, 80, 100)) == brute(rows, 5, 80, 100)
+    assert 40 <= sizes[0] < 100
+
+
+def test_families_are_exact_with_crowded_keys(spark, monkeypatch):
+    monkeypatch.setattr(sigtree, "MANY", 2)
+    monkeypatch.setattr(sigtree, "BLOCK", 8)
+    rng = random.Random(8)
+    base = [prose(k, rng.choice([8, 30, 90])).split() for k in range(5)]
+    rows = []
+    for k in range(150):  # edits on both sides of the threshold
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, max(1, len(w) // 12))):
+            w[rng.randrange(len(w))] = f"w{rng.randint(0, 40)}"
+        rows.append((k, " ".join(w)))
+    assert got(sigtree.join(documents(spark, [(i, t, None, None) for i, t in rows]), 5, 80, 100)) == brute(rows, 5, 80, 100)
