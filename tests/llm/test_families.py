@@ -8,10 +8,10 @@ from .test_join import brute, got
 
 def test_a_few_shared_ngrams_make_no_family(spark, monkeypatch):
     rng = random.Random(3)
-    phrases = [" ".join(f"p{k}x{j}" for j in range(5)) for k in range(30)]
+    phrases = [" ".join(f"p{k}x{j}" for j in range(7)) for k in range(600)]
     rows = []
-    for k in range(300):  # words of its own, and phrases that others hold, too
-        parts = [*rng.sample(phrases, 6), *(" ".join(f"w{rng.randrange(1 << 40)}" for _ in range(12)) for _ in range(6))]
+    for k in range(600):  # words of its own, and phrases that others hold, too
+        parts = [*rng.sample(phrases, 8), *(" ".join(f"w{rng.randrange(1 << 40)}" for _ in range(12)) for _ in range(8))]
         rng.shuffle(parts)
         rows.append((k, " ".join(parts)))
     rows += [(1000 + k, t + " end") for k, t in rows[:20]]  # near copies
